@@ -139,22 +139,23 @@ def _node(level: int, shift: int) -> Column:
     return F.struct(F.lit(level).alias("lev"), axis("x").alias("a"), axis("y").alias("b"), axis("z").alias("c"))
 
 
-def _summary(points: DataFrame, keys, last: bool) -> DataFrame:
+def _summary(points: DataFrame, keys, last: bool, leaf: int) -> DataFrame:
     """One row per cell: objects, distinct positions and bounding box."""
     box = [f(c).alias(f"{tag}{c}") for c in "xyz" for f, tag in ((F.min, "lo"), (F.max, "hi"))]
     s = points.groupBy(*keys, "pix", "node", "up").agg(
         F.sum("n").alias("n"), F.count(F.lit(1)).alias("m"), *box
     )
-    return s.withColumn("leaf", F.lit(True) if last else F.col("m") <= F.lit(LEAF))
+    return s.withColumn("leaf", F.lit(True) if last else F.col("m") <= F.lit(leaf))
 
 
-class _Tree:
+class CellTree:
     """Cells of one catalog, level by level, each object ending in one small leaf."""
 
-    def __init__(self, points: DataFrame, keys, shift: int):
+    def __init__(self, points: DataFrame, keys, shift: int, leaf: int | None = None):
         self.keys, self.shift, self.level = list(keys), shift, 0
+        self.leaf = leaf or LEAF
         self.open = points.withColumns({"node": _node(0, shift), "up": F.lit(None).cast("int")})
-        self.cells = _summary(self.open, keys, shift == 0)
+        self.cells = _summary(self.open, keys, shift == 0, self.leaf)
         self.leaves: list[DataFrame] = []
 
     def split(self) -> None:
@@ -168,16 +169,15 @@ class _Tree:
         self.open = cut(
             rest.withColumn("up", F.col("node")).withColumn("node", _node(self.level, self.shift))
         )
-        self.cells = cut(_summary(self.open, self.keys, self.shift == 0).unionByName(settled))
+        self.cells = cut(_summary(self.open, self.keys, self.shift == 0, self.leaf).unionByName(settled))
 
     def packed(self) -> DataFrame:
-        """One row per leaf with its at most ``LEAF`` positions."""
+        """One row per leaf with its few positions."""
         pts = self.open.drop("up")
         for part in self.leaves:
             pts = pts.unionByName(part)
-        return pts.groupBy(*self.keys, "pix", "node").agg(
-            F.collect_list(F.struct("x", "y", "z", "n")).alias("pts")
-        )
+        own = [c for c in pts.columns if c not in (*self.keys, "pix", "node")]
+        return pts.groupBy(*self.keys, "pix", "node").agg(F.collect_list(F.struct(*own)).alias("pts"))
 
 
 def _suffixed(df: DataFrame, keys, tag: str) -> DataFrame:
@@ -192,7 +192,7 @@ def _bucket(d2: Column, limits) -> Column:
     return out
 
 
-def _meet(pairs: DataFrame, a: DataFrame, b: DataFrame, keys, limits, first: bool) -> DataFrame:
+def meet_cells(pairs: DataFrame, a: DataFrame, b: DataFrame, keys, limits, first: bool) -> DataFrame:
     """Cell pairs one level down, with the buckets of their nearest and farthest points.
 
     Box bounds and pair distances are summed in the same order, and rounding keeps
@@ -211,7 +211,7 @@ def _meet(pairs: DataFrame, a: DataFrame, b: DataFrame, keys, limits, first: boo
     j = j.withColumns({"near": near, "far": far})
     j = j.withColumns({"b0": _bucket(F.col("near"), limits), "b1": _bucket(F.col("far"), limits)})
     return j.where(F.col("b0") < len(limits)).select(
-        *keys, "pix1", "pix2", "node1", "node2", "n1", "n2", "leaf1", "leaf2", "b0", "b1"
+        *keys, "pix1", "pix2", "node1", "node2", "n1", "n2", "leaf1", "leaf2", "near", "far", "b0", "b1"
     )
 
 
@@ -263,13 +263,13 @@ def pair_count(
     # first cells: about half the largest separation on a side
     side = chord(edges[-1]) / 2.0
     shift = min(GRID_BITS, max(0, GRID_BITS + math.floor(math.log2(side))))
-    a = _Tree(lp, keys, shift)
-    b = a if rp is lp else _Tree(rp, keys, shift)
+    a = CellTree(lp, keys, shift)
+    b = a if rp is lp else CellTree(rp, keys, shift)
     trees = [a] if b is a else [a, b]
 
     counted = []
     straddle = F.col("b0") < F.col("b1")
-    met = cut(_meet(pairs, a.cells, b.cells, keys, limits, first=True))
+    met = cut(meet_cells(pairs, a.cells, b.cells, keys, limits, first=True))
     while True:
         counted.append(_products(met.where(~straddle), keys))
         to_split = straddle & ~(F.col("leaf1") & F.col("leaf2"))
@@ -281,7 +281,7 @@ def pair_count(
         )
         for t in trees:
             t.split()
-        met = cut(_meet(open_pairs, a.cells, b.cells, keys, limits, first=False))
+        met = cut(meet_cells(open_pairs, a.cells, b.cells, keys, limits, first=False))
     counted.append(_opened(met.where(straddle), a, b, keys, limits))
 
     total = counted[0]
@@ -304,7 +304,7 @@ def _products(met: DataFrame, keys) -> DataFrame:
     )
 
 
-def _opened(met: DataFrame, a: _Tree, b: _Tree, keys, limits) -> DataFrame:
+def _opened(met: DataFrame, a: CellTree, b: CellTree, keys, limits) -> DataFrame:
     """Pairs of two leaves, object by object inside one generated loop."""
     pairs = met.select(*keys, "pix1", "pix2", "node1", "node2")
     pa = _suffixed(a.packed(), keys, "1")
