@@ -1 +1,6 @@
 """Registered queries and the SQL each is checked against."""
+
+from .base import ORACLES, QUERIES
+from . import scalar_checks, sky_checks
+
+__all__ = ["ORACLES", "QUERIES"]

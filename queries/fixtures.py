@@ -107,7 +107,7 @@ TABLES: dict[str, tuple[str, dict[str, str]]] = {
         "dec": _dec(_PP, "6e0 * $S"),
         "filter": "case p_size - 5 * cast(floor(p_size / 5e0) as bigint) when 0 then 'g-band' when 1 then 'r-band' "
                   "when 2 then 'i2' when 3 then 'z' else 'y' end",
-        "isnull": "p_type = 'ECONOMY' and p_size > 45",
+        "is_null": "p_type = 'ECONOMY' and p_size > 45",
     }),
     # one redshift curve per vector, on 64 points
     "curves": ("embeddings", {

@@ -19,7 +19,7 @@ FIELD_CENTRES = {
 }
 
 
-def not_null_visits(visits: DataFrame, flag: str = "isnull") -> DataFrame:
+def not_null_visits(visits: DataFrame, flag: str = "is_null") -> DataFrame:
     return visits.where(~F.col(flag))
 
 
