@@ -198,9 +198,19 @@ def _(spark, sf):
     return M.polygon_flag(read(spark, sf, "randoms"), _caps(spark, sf), frame="given").select("id", "mask_ok")
 
 
-@query("f3_polygon_mask_galactic")
+def _gal(i, t):
+    from skytally.functions.geometry import GALACTIC_ROTATION as R
+    return f"({R[i][0]!r}e0*{t}.x + {R[i][1]!r}e0*{t}.y + {R[i][2]!r}e0*{t}.z)"
+
+
+# the same polygons in galactic axes: a point is inside where it is inside unrotated
+@query("f3_polygon_mask_galactic", with_(ctes("galaxies", "quasars"), _CAPS, """g AS (SELECT id, cos(radians(ra))*cos(radians(dec)) AS x,
+ sin(radians(ra))*cos(radians(dec)) AS y, sin(radians(dec)) AS z FROM galaxies)""") + f""",
+hit AS (SELECT DISTINCT id FROM (SELECT g.id, polygon_id, bool_and({_INSIDE}) AS inside FROM g, caps c GROUP BY ALL) WHERE inside)
+SELECT id FROM galaxies WHERE id NOT IN (FROM hit)""")
 def _(spark, sf):
-    caps = _caps(spark, sf)
+    caps = _caps(spark, sf).alias("c").selectExpr(
+        "polygon_id", *[f"{_gal(i, 'c')} as {n}" for i, n in enumerate("xyz")], "one_minus_cos")
     return M.polygon_mask(read(spark, sf, "galaxies"), caps).select("id")
 
 

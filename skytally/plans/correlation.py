@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.healpix import with_pixel
 from ..functions.scalars import midpoints
 from ..lineage import cut
-from ..operators.counts import mean_share
+from ..operators.counts import difference_edges, mean_share
 from ..operators.estimators import estimate, expand_terms, jackknife, jackknife_regions, leave_one_out
 from ..operators.histograms import count_per_pixel, z_histogram
 from ..operators.pairs import good_pairs, good_pixels, pair_count, pixel_pairs
@@ -58,17 +58,18 @@ def prepare_pair(data: DataFrame, randoms: DataFrame, zbins, nside: int, normali
     return PreparedPair(ds, rs, before, after, by_bin, hist)
 
 
-def count_correlations(points: DataFrame, corrs: DataFrame, abins, zbins, nside: int = 32,
+def count_correlations(points: DataFrame, corrs: DataFrame, abins, zbins=None, nside: int = 32,
                        convention: str = "pixel") -> Counted:
     """Pair counts of every correlation, redshift bin and term in one keyed plan.
 
     ``points`` has ``corr_id, catalog, ra, dec, redshift``; ``corrs`` has ``corr_id, type``.
+    Without ``zbins`` everything is bin 0.
     """
     terms = expand_terms(corrs)
     p = with_pixel(points.where("ra is not null and dec is not null"), nside)
     whole = p.groupBy("corr_id", "catalog", "pix").agg(F.count(F.lit(1)).alias("n"))
     good = good_pixels(whole, corrs)
-    z = split_by_z(p, zbins)
+    z = split_by_z(p, zbins, use_zbins=zbins is not None)
     populations = z.groupBy("corr_id", "zbin", "catalog", "pix").agg(F.count(F.lit(1)).alias("n"))
     z = z.join(good, ["corr_id", "pix"], "left_semi").select("corr_id", "catalog", "zbin", "pix", "ra", "dec")
     side = lambda s: z.join(
@@ -79,6 +80,18 @@ def count_correlations(points: DataFrame, corrs: DataFrame, abins, zbins, nside:
     return Counted(terms, counts, populations)
 
 
+def term_signals(counted: Counted) -> DataFrame:
+    """``corr_id, zbin, term, bin_idx, pairs, signal``: normalised pairs of every term."""
+    keys = ["corr_id", "zbin", "term"]
+    sums = counted.counts.groupBy(*keys, "edge_idx").agg(F.sum("n").alias("n"))
+    d = difference_edges(sums, keys).join(counted.terms.select("corr_id", "term", "first", "second"), ["corr_id", "term"])
+    pop = counted.populations.groupBy("corr_id", "zbin", "catalog").agg(F.sum("n").alias("pop"))
+    for i, side in enumerate(("first", "second"), 1):
+        d = d.join(pop.withColumnsRenamed({"catalog": side, "pop": f"pop{i}"}), ["corr_id", "zbin", side])
+    norm = F.col("pop1").cast("double") * F.col("pop2")
+    return d.select(*keys, "bin_idx", "pairs", F.try_divide(F.col("pairs").cast("double"), norm).alias("signal"))
+
+
 def correlation_function(points: DataFrame, corrs: DataFrame, abins, zbins, nside: int = 32, regions: int = 16,
                          convention: str = "pixel") -> DataFrame:
     """``corr_id, zbin, bin_idx, w, err, w_mean, w_std``: all signals with both errors.
