@@ -74,7 +74,11 @@ def ang2pix(nside: int, ra: Column | str, dec: Column | str) -> Column:
 
 
 def with_pixel(df: DataFrame, nside: int, ra: str = "ra", dec: str = "dec", name: str = "pix") -> DataFrame:
-    """Add the ring-ordered pixel of each position (NULL for a missing position)."""
+    """Add the ring-ordered pixel of each position, -1 for a missing position.
+
+    Never NULL: a nullable key would make Spark test it for NULL below every join,
+    which means working out the whole formula a second time.
+    """
     tt, z = F.col("_tt"), F.col("_z")
     jp, jm = _lines(nside, tt, z)
     steps = (
@@ -84,7 +88,7 @@ def with_pixel(df: DataFrame, nside: int, ra: str = "ra", dec: str = "dec", name
     pix = F.when(F.abs(z) <= F.lit(2.0 / 3.0), _belt_pixel(nside, F.col("_jp"), F.col("_jm"))).otherwise(
         _cap_pixel(nside, tt, z, F.col("_ir"))
     )
-    return steps.withColumn(name, pix).drop("_tt", "_z", "_jp", "_jm", "_ir")
+    return steps.withColumn(name, F.coalesce(pix, F.lit(-1).cast("long"))).drop("_tt", "_z", "_jp", "_jm", "_ir")
 
 
 def _ring_facts(nside: int, row: Column) -> tuple[Column, Column]:

@@ -11,10 +11,16 @@ import tempfile
 from pyspark.sql import DataFrame
 
 
-def cut(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+def shared_folder(df_or_spark) -> str:
+    """The folder the cluster names for checkpoints; a new local one where it is unset."""
+    spark = getattr(df_or_spark, "sparkSession", df_or_spark)
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         # only single-machine sessions (tests) come without a shared folder
-        folder = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skytally-")
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="skytally-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    shared_folder(df)
     return df.checkpoint(eager=True)

@@ -187,8 +187,8 @@ def fit_power_law(points: DataFrame, keys, x: str = "theta", k_lo: float = -3.0,
     for _ in range(passes):
         base = F.lit(k_lo) if start is None else F.col("k0")
         q = p if start is None else p.join(start, keys)
-        ks = F.transform(F.sequence(F.lit(0), F.lit(num - 1)), lambda i, b=base, s=step: b + i * F.lit(s))
-        q = q.select(*keys, "x", "y", "g", F.explode(ks).alias("k"))
+        q = q.select(*keys, "x", "y", "g", base.alias("k0"), F.explode(F.sequence(F.lit(0), F.lit(num - 1))).alias("i"))
+        q = q.withColumn("k", F.col("k0") + F.col("i") * F.lit(step))
         t = F.pow("x", "k")
         s = q.groupBy(*keys, "k").agg(
             F.sum(F.col("g") * F.col("y") * t).alias("sxy"), F.sum(F.col("g") * t * t).alias("sxx"),

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import chord, chord_sq, with_unit_vector
+from ..functions.geometry import chord, with_unit_vector
 from ..functions.healpix import with_pixel
 from ..lineage import cut
-from .pairs import GRID_BITS, CellTree, meet_cells, pixel_pairs, reach
+from .pairs import GRID_BITS, CellTree, Side, both_ways, leaf_objects, meet_cells, opened_pairs, pixel_pairs, point_distance_sq, reach
 
 NSIDE = 32
 MATCH_LEAF = 32
@@ -36,30 +36,21 @@ def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, l_ra="ra",
     rp = _located(right, r_ra, r_dec).groupBy("pix", "x", "y", "z").agg(
         F.count(F.lit(1)).alias("n"), F.min(right_id).alias("rid")
     )
-    one_way = pixel_pairs(left.sparkSession, NSIDE).select("pix1", "pix2")
-    pairs = one_way.unionByName(
-        one_way.where("pix1 < pix2").select(F.col("pix2").alias("pix1"), F.col("pix1").alias("pix2"))
-    )
-    a = CellTree(lp, [], FIRST_SHIFT, MATCH_LEAF)
-    b = CellTree(rp, [], FIRST_SHIFT, MATCH_LEAF)
+    pairs = both_ways(pixel_pairs(left.sparkSession, NSIDE).select("pix1", "pix2"))
+    a = Side(CellTree(lp, [], FIRST_SHIFT, MATCH_LEAF), "1")
+    b = Side(CellTree(rp, [], FIRST_SHIFT, MATCH_LEAF), "2")
     limits = [radius * radius]
-    first = True
     while True:
-        met = meet_cells(pairs, a.cells, b.cells, [], limits, first)
+        met = meet_cells(pairs, a, b, limits)
         sure = met.groupBy("pix1", "node1").agg(F.min("far").alias("sure"))
-        met = cut(met.join(sure, ["pix1", "node1"]).where("near <= sure"))
+        met = cut(met.join(sure, ["pix1", "node1"]).where("near <= sure").drop("sure"))
         if not met.where(~(F.col("leaf1") & F.col("leaf2"))).head(1):
             break
-        pairs = met.select("pix1", "pix2", F.col("node1").alias("up1"), F.col("node2").alias("up2"))
-        a.split()
-        b.split()
-        first = False
-    pa = a.packed().select(F.col("pix").alias("pix1"), F.col("node").alias("node1"), F.col("pts").alias("pts1"))
-    pb = b.packed().select(F.col("pix").alias("pix2"), F.col("node").alias("node2"), F.col("pts").alias("pts2"))
-    j = met.select("pix1", "pix2", "node1", "node2").join(pa, ["pix1", "node1"]).join(pb, ["pix2", "node2"])
-    j = j.select("pts2", F.explode("pts1").alias("p")).select("p", F.explode("pts2").alias("q"))
-    d2 = chord_sq(tuple(F.col(f"p.{c}") for c in "xyz"), tuple(F.col(f"q.{c}") for c in "xyz"))
-    j = j.select("p.x", "p.y", "p.z", "q.rid", d2.alias("d2")).where(F.col("d2") < F.lit(limits[0]))
+        pairs = opened_pairs(met)
+        a.tree.split()
+        b.tree.split()
+    j = leaf_objects(met.select("pix1", "pix2", "node1", "node2"), a, b, [])
+    j = j.select("p.x", "p.y", "p.z", "q.rid", point_distance_sq().alias("d2")).where(F.col("d2") < F.lit(limits[0]))
     best = j.groupBy("x", "y", "z").agg(F.min(F.struct("d2", "rid")).alias("best"))
     return best.select("x", "y", "z", F.col("best.rid").alias("match"), F.sqrt("best.d2").alias("dist"))
 

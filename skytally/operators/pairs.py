@@ -84,7 +84,7 @@ def pixel_pairs(spark: SparkSession, nside: int, pixels: DataFrame | None = None
 def good_pixels(populations: DataFrame, corrs: DataFrame) -> DataFrame:
     """``corr_id, pix`` holding objects of every catalog of the correlation.
 
-    ``populations`` has ``corr_id, catalog, pix, n`` over whole catalogs;
+    ``populations`` has one row ``corr_id, catalog, pix, n`` per catalog and pixel, over whole catalogs;
     ``corrs`` has ``corr_id, type`` ('auto' needs 2 catalogs, 'cross' 4).
     """
     need = corrs.select(
@@ -92,7 +92,7 @@ def good_pixels(populations: DataFrame, corrs: DataFrame) -> DataFrame:
     )
     have = (
         populations.where("n > 0").groupBy("corr_id", "pix")
-        .agg(F.count_distinct("catalog").alias("have"))
+        .agg(F.count(F.lit(1)).alias("have"))
     )
     return have.join(need, "corr_id").where("have = need").select("corr_id", "pix")
 
@@ -130,6 +130,7 @@ def _positions(df: DataFrame, keys, nside: int, weight: str | None) -> DataFrame
         d = with_pixel(d, nside)
     d = with_unit_vector(d)
     n = F.sum(weight) if weight else F.count(F.lit(1))
+    # the shuffle key is the position itself, so no pixel or catalog weighs on one task
     return d.groupBy(*keys, "pix", "x", "y", "z").agg(n.alias("n"))
 
 
@@ -149,7 +150,7 @@ def _summary(points: DataFrame, keys, last: bool, leaf: int) -> DataFrame:
 
 
 class CellTree:
-    """Cells of one catalog, level by level, each object ending in one small leaf."""
+    """Cells of one or more keyed catalogs, level by level; each object ends in one small leaf."""
 
     def __init__(self, points: DataFrame, keys, shift: int, leaf: int | None = None):
         self.keys, self.shift, self.level = list(keys), shift, 0
@@ -180,8 +181,27 @@ class CellTree:
         return pts.groupBy(*self.keys, "pix", "node").agg(F.collect_list(F.struct(*own)).alias("pts"))
 
 
-def _suffixed(df: DataFrame, keys, tag: str) -> DataFrame:
-    return df.select(*keys, *[F.col(c).alias(f"{c}{tag}") for c in df.columns if c not in keys])
+class Side:
+    """One end of the pairs: a tree, with its key columns named for this end."""
+
+    def __init__(self, tree: CellTree, tag: str, rename: dict[str, str] | None = None):
+        self.tree, self.tag, self.rename = tree, tag, rename or {}
+
+    def _named(self, df: DataFrame) -> DataFrame:
+        return df.select(*[
+            F.col(c).alias(self.rename.get(c, c) if c in self.tree.keys else c + self.tag) for c in df.columns
+        ])
+
+    def cells(self) -> DataFrame:
+        c = self.tree.cells
+        return self._named(c if self.tree.level else c.drop("up"))
+
+    def packed(self) -> DataFrame:
+        return self._named(self.tree.packed())
+
+
+def _natural(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.join(right, [c for c in right.columns if c in left.columns])
 
 
 def _bucket(d2: Column, limits) -> Column:
@@ -192,29 +212,106 @@ def _bucket(d2: Column, limits) -> Column:
     return out
 
 
-def meet_cells(pairs: DataFrame, a: DataFrame, b: DataFrame, keys, limits, first: bool) -> DataFrame:
+def meet_cells(pairs: DataFrame, a: Side, b: Side, limits) -> DataFrame:
     """Cell pairs one level down, with the buckets of their nearest and farthest points.
 
-    Box bounds and pair distances are summed in the same order, and rounding keeps
-    order, so a bound is never on the wrong side of an edge.
+    ``pairs`` holds pixel pairs at first and then the opened cell pairs. Box bounds and
+    pair distances are summed in the same order, and rounding keeps order, so a bound
+    is never on the wrong side of an edge.
     """
-    shared = [k for k in keys if k in pairs.columns]
-    up = [] if first else ["up"]
-    j = pairs.join(_suffixed(a.drop(*([] if up else ["up"])), keys, "1"), [*shared, "pix1", *[f"{c}1" for c in up]])
-    j = j.join(_suffixed(b.drop(*([] if up else ["up"])), keys, "2"), [*keys, "pix2", *[f"{c}2" for c in up]])
-    near, far = F.lit(0.0), F.lit(0.0)
+    j = _natural(_natural(pairs, a.cells()), b.cells())
+    near, far, used = F.lit(0.0), F.lit(0.0), ["m1", "m2", "up1", "up2"]
     for c in "xyz":
         lo1, hi1, lo2, hi2 = (F.col(f"{t}{c}{s}") for s in "12" for t in ("lo", "hi"))
         gap = F.greatest(F.lit(0.0), lo2 - hi1, lo1 - hi2)
         span = F.greatest(hi1 - lo2, hi2 - lo1)
         near, far = near + gap * gap, far + span * span
-    j = j.withColumns({"near": near, "far": far})
+        used += [f"{t}{c}{s}" for s in "12" for t in ("lo", "hi")]
+    j = j.withColumns({"near": near, "far": far}).drop(*used)
     j = j.withColumns({"b0": _bucket(F.col("near"), limits), "b1": _bucket(F.col("far"), limits)})
-    return j.where(F.col("b0") < len(limits)).select(
-        *keys, "pix1", "pix2", "node1", "node2", "n1", "n2", "leaf1", "leaf2", "near", "far", "b0", "b1"
+    return j.where(F.col("b0") < len(limits))
+
+
+def opened_pairs(met: DataFrame) -> DataFrame:
+    """Cell pairs as the parents of the next level."""
+    keep = [c for c in met.columns if c not in ("node1", "node2", "n1", "n2", "leaf1", "leaf2", "near", "far", "b0", "b1")]
+    return met.select(*keep, F.col("node1").alias("up1"), F.col("node2").alias("up2"))
+
+
+def leaf_objects(met: DataFrame, a: Side, b: Side, keep) -> DataFrame:
+    """``*keep, p, q``: every object pair of pairs of leaves, inside one generated loop."""
+    j = _natural(_natural(met, a.packed()), b.packed())
+    j = j.select(*keep, "pts2", F.explode("pts1").alias("p"))
+    return j.select(*keep, "p", F.explode("pts2").alias("q"))
+
+
+def point_distance_sq() -> Column:
+    return chord_sq(tuple(F.col(f"p.{c}") for c in "xyz"), tuple(F.col(f"q.{c}") for c in "xyz"))
+
+
+def first_shift(theta_deg: float) -> int:
+    """Cells of about half the largest separation on a side."""
+    return min(GRID_BITS, max(0, GRID_BITS + math.floor(math.log2(chord(theta_deg) / 2.0))))
+
+
+def _count(pairs: DataFrame, a: Side, b: Side, out_keys, limits) -> DataFrame:
+    """``*out_keys, pix1, pix2, bucket, n`` summed over cell pairs and opened leaves."""
+    counted = []
+    group = [*out_keys, "pix1", "pix2"]
+    straddle = F.col("b0") < F.col("b1")
+    while True:
+        met = cut(meet_cells(pairs, a, b, limits))
+        counted.append(met.where(~straddle).select(*group, F.col("b0").alias("bucket"), (F.col("n1") * F.col("n2")).alias("n")))
+        to_split = straddle & ~(F.col("leaf1") & F.col("leaf2"))
+        if not met.where(to_split).head(1):
+            break
+        # pairs of two leaves wait: a leaf is its own child on the next level
+        pairs = opened_pairs(met.where(straddle))
+        for t in {id(s.tree): s.tree for s in (a, b)}.values():
+            t.split()
+    rest = opened_pairs(met.where(straddle)).withColumnsRenamed({"up1": "node1", "up2": "node2"})
+    j = leaf_objects(rest, a, b, group)
+    j = j.select(*group, (F.col("p.n") * F.col("q.n")).alias("n"), point_distance_sq().alias("d2"))
+    j = j.where(F.col("d2") <= F.lit(limits[-1]))
+    j = j.select(*group, _bucket(F.col("d2"), limits).alias("bucket"), "n")
+    counted.append(j.groupBy(*group, "bucket").agg(F.sum("n").alias("n")).select(*group, "bucket", "n"))
+    total = counted[0]
+    for part in counted[1:]:
+        total = total.unionByName(part)
+    return total
+
+
+def _per_edge(total: DataFrame, out_keys, edges, convention: str) -> DataFrame:
+    """Cumulative counts, one row per pixel pair and edge."""
+    if convention == "symmetric":
+        total = total.withColumns({"pix1": F.least("pix1", "pix2"), "pix2": F.greatest("pix1", "pix2")})
+    per_edge = [
+        F.sum(F.when(F.col("bucket") <= i, F.col("n")).otherwise(0)).alias(f"e{i}") for i in range(len(edges))
+    ]
+    wide = total.groupBy(*out_keys, "pix1", "pix2").agg(*per_edge)
+    return wide.select(
+        *out_keys, "pix1", "pix2", F.posexplode(F.array(*[f"e{i}" for i in range(len(edges))])).alias("edge_idx", "n")
     )
 
 
+def _checked(edges_deg, nside: int, convention: str) -> list[float]:
+    edges = [float(e) for e in edges_deg]
+    if edges != sorted(edges):
+        raise ValueError("edges must ascend")
+    if edges[-1] > reach(nside):
+        raise ValueError(f"pairs out to {edges[-1]} deg leave the neighbour rings of nside {nside}")
+    if convention not in ("pixel", "symmetric"):
+        raise ValueError(f"unknown convention {convention!r}")
+    return edges
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Pixel pairs in both orientations."""
+    others = [c for c in pairs.columns if c not in ("pix1", "pix2")]
+    turned = pairs.where("pix1 < pix2").select(*others, F.col("pix2").alias("pix1"), F.col("pix1").alias("pix2"))
+    return pairs.select(*others, "pix1", "pix2").unionByName(turned)
+
+
 def pair_count(
     left: DataFrame,
     right: DataFrame,
@@ -238,82 +335,35 @@ def pair_count(
     (pix1 <= pix2), so a pixel with itself yields both orders and two pixels one
     orientation. ``'symmetric'`` counts both orientations everywhere.
     """
-    edges = [float(e) for e in edges_deg]
-    if edges != sorted(edges):
-        raise ValueError("edges must ascend")
-    if edges[-1] > reach(nside):
-        raise ValueError(f"pairs out to {edges[-1]} deg leave the neighbour rings of nside {nside}")
-    if convention not in ("pixel", "symmetric"):
-        raise ValueError(f"unknown convention {convention!r}")
+    edges = _checked(edges_deg, nside, convention)
     keys = list(keys)
-    limits = [chord(e) ** 2 for e in edges]
-    spark = left.sparkSession
-    lp = _positions(left, keys, nside, weight)
-    rp = lp if right is left else _positions(right, keys, nside, weight)
     if pairs is None:
-        # the meeting of cells below keeps only the pixels that hold objects
-        pairs = pixel_pairs(spark, nside)
+        # the meeting of cells keeps only the pixels that hold objects
+        pairs = pixel_pairs(left.sparkSession, nside)
     pairs = pairs.select(*[c for c in pairs.columns if c in (*keys, "pix1", "pix2")])
     if convention == "symmetric":
-        turned = pairs.where("pix1 < pix2").select(
-            *[c for c in pairs.columns if c in keys], F.col("pix2").alias("pix1"), F.col("pix1").alias("pix2")
-        )
-        pairs = pairs.unionByName(turned)
+        pairs = both_ways(pairs)
+    shift = first_shift(edges[-1])
+    ta = CellTree(_positions(left, keys, nside, weight), keys, shift)
+    tb = ta if right is left else CellTree(_positions(right, keys, nside, weight), keys, shift)
+    total = _count(pairs, Side(ta, "1"), Side(tb, "2"), keys, [chord(e) ** 2 for e in edges])
+    return _per_edge(total, keys, edges, convention)
 
-    # first cells: about half the largest separation on a side
-    side = chord(edges[-1]) / 2.0
-    shift = min(GRID_BITS, max(0, GRID_BITS + math.floor(math.log2(side))))
-    a = CellTree(lp, keys, shift)
-    b = a if rp is lp else CellTree(rp, keys, shift)
-    trees = [a] if b is a else [a, b]
 
-    counted = []
-    straddle = F.col("b0") < F.col("b1")
-    met = cut(meet_cells(pairs, a.cells, b.cells, keys, limits, first=True))
-    while True:
-        counted.append(_products(met.where(~straddle), keys))
-        to_split = straddle & ~(F.col("leaf1") & F.col("leaf2"))
-        if not met.where(to_split).head(1):
-            break
-        # pairs of two leaves wait: a leaf is its own child on the next level
-        open_pairs = met.where(straddle).select(
-            *keys, "pix1", "pix2", F.col("node1").alias("up1"), F.col("node2").alias("up2")
-        )
-        for t in trees:
-            t.split()
-        met = cut(meet_cells(open_pairs, a.cells, b.cells, keys, limits, first=False))
-    counted.append(_opened(met.where(straddle), a, b, keys, limits))
+def pair_count_terms(points: DataFrame, terms: DataFrame, edges_deg, pairs: DataFrame, nside: int = 32,
+                     keys=("corr_id", "zbin"), convention: str = "pixel") -> DataFrame:
+    """Counts ``*keys, term, pix1, pix2, edge_idx, n`` of every term of every correlation at once.
 
-    total = counted[0]
-    for part in counted[1:]:
-        total = total.unionByName(part)
+    ``points`` has ``*keys, catalog, ra, dec`` (optionally ``pix``), ``terms`` has ``corr_id,
+    term, first, second``, ``pairs`` has ``corr_id, pix1, pix2``. Each catalog is summed into
+    cells once; terms multiply cells, not objects.
+    """
+    edges = _checked(edges_deg, nside, convention)
+    tree_keys = [*keys, "catalog"]
     if convention == "symmetric":
-        total = total.withColumns({"pix1": F.least("pix1", "pix2"), "pix2": F.greatest("pix1", "pix2")})
-    per_edge = [
-        F.sum(F.when(F.col("bucket") <= i, F.col("n")).otherwise(0)).alias(f"e{i}") for i in range(len(edges))
-    ]
-    wide = total.groupBy(*keys, "pix1", "pix2").agg(*per_edge)
-    return wide.select(
-        *keys, "pix1", "pix2", F.posexplode(F.array(*[f"e{i}" for i in range(len(edges))])).alias("edge_idx", "n")
-    )
-
-
-def _products(met: DataFrame, keys) -> DataFrame:
-    return met.select(
-        *keys, "pix1", "pix2", F.col("b0").alias("bucket"), (F.col("n1") * F.col("n2")).alias("n")
-    )
-
-
-def _opened(met: DataFrame, a: CellTree, b: CellTree, keys, limits) -> DataFrame:
-    """Pairs of two leaves, object by object inside one generated loop."""
-    pairs = met.select(*keys, "pix1", "pix2", "node1", "node2")
-    pa = _suffixed(a.packed(), keys, "1")
-    pb = _suffixed(b.packed(), keys, "2")
-    j = pairs.join(pa, [*keys, "pix1", "node1"]).join(pb, [*keys, "pix2", "node2"])
-    j = j.select(*keys, "pix1", "pix2", "pts2", F.explode("pts1").alias("p"))
-    j = j.select(*keys, "pix1", "pix2", "p", F.explode("pts2").alias("q"))
-    d2 = chord_sq(tuple(F.col(f"p.{c}") for c in "xyz"), tuple(F.col(f"q.{c}") for c in "xyz"))
-    j = j.select(*keys, "pix1", "pix2", (F.col("p.n") * F.col("q.n")).alias("n"), d2.alias("d2"))
-    j = j.where(F.col("d2") <= F.lit(limits[-1]))
-    j = j.select(*keys, "pix1", "pix2", _bucket(F.col("d2"), limits).alias("bucket"), "n")
-    return j.groupBy(*keys, "pix1", "pix2", "bucket").agg(F.sum("n").alias("n"))
+        pairs = both_ways(pairs)
+    work = pairs.join(terms.select("corr_id", "term", "first", "second"), "corr_id")
+    tree = CellTree(_positions(points, tree_keys, nside, None), tree_keys, first_shift(edges[-1]))
+    a, b = Side(tree, "1", {"catalog": "first"}), Side(tree, "2", {"catalog": "second"})
+    total = _count(work, a, b, [*keys, "term"], [chord(e) ** 2 for e in edges])
+    return _per_edge(total, [*keys, "term"], edges, convention)

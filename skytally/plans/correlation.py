@@ -13,7 +13,7 @@ from ..lineage import cut
 from ..operators.counts import difference_edges, mean_share
 from ..operators.estimators import estimate, expand_terms, jackknife, jackknife_regions, leave_one_out
 from ..operators.histograms import count_per_pixel, z_histogram
-from ..operators.pairs import good_pairs, good_pixels, pair_count, pixel_pairs
+from ..operators.pairs import good_pairs, good_pixels, pair_count_terms, pixel_pairs
 from ..operators.partition import normalize_random, split_by_z
 
 
@@ -71,12 +71,8 @@ def count_correlations(points: DataFrame, corrs: DataFrame, abins, zbins=None, n
     good = good_pixels(whole, corrs)
     z = split_by_z(p, zbins, use_zbins=zbins is not None)
     populations = z.groupBy("corr_id", "zbin", "catalog", "pix").agg(F.count(F.lit(1)).alias("n"))
-    z = z.join(good, ["corr_id", "pix"], "left_semi").select("corr_id", "catalog", "zbin", "pix", "ra", "dec")
-    side = lambda s: z.join(
-        terms.select("corr_id", "term", F.col(s).alias("catalog")), ["corr_id", "catalog"]
-    ).select("corr_id", "zbin", "term", "pix", "ra", "dec")
     pairs = good_pairs(pixel_pairs(points.sparkSession, nside), good)
-    counts = pair_count(side("first"), side("second"), abins, pairs, nside, ("corr_id", "zbin", "term"), convention)
+    counts = pair_count_terms(z, terms, abins, pairs, nside, ("corr_id", "zbin"), convention)
     return Counted(terms, counts, populations)
 
 
