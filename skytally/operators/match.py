@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import chord, with_unit_vector
 from ..functions.healpix import with_pixel
 from ..lineage import cut
-from .pairs import GRID_BITS, CellTree, Side, both_ways, leaf_objects, meet_cells, opened_pairs, pixel_pairs, point_distance_sq, reach
+from .pairs import GRID_BITS, CellTree, Side, both_ways, leaf_objects, meet_cells, opened_pairs, pending, pixel_pairs, point_distance_sq, reach
 
 NSIDE = 32
 MATCH_LEAF = 32
@@ -44,12 +44,13 @@ def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, l_ra="ra",
         met = meet_cells(pairs, a, b, limits)
         sure = met.groupBy("pix1", "node1").agg(F.min("far").alias("sure"))
         met = cut(met.join(sure, ["pix1", "node1"]).where("near <= sure").drop("sure"))
-        if not met.where(~(F.col("leaf1") & F.col("leaf2"))).head(1):
+        crowded, tasks = pending(met)
+        if not crowded:
             break
         pairs = opened_pairs(met)
         a.tree.split()
         b.tree.split()
-    j = leaf_objects(met.select("pix1", "pix2", "node1", "node2"), a, b, [])
+    j = leaf_objects(met.select("pix1", "pix2", "node1", "node2"), a, b, [], tasks)
     j = j.select("p.x", "p.y", "p.z", "q.rid", point_distance_sq().alias("d2")).where(F.col("d2") < F.lit(limits[0]))
     best = j.groupBy("x", "y", "z").agg(F.min(F.struct("d2", "rid")).alias("best"))
     return best.select("x", "y", "z", F.col("best.rid").alias("match"), F.sqrt("best.d2").alias("dist"))

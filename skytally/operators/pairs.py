@@ -20,6 +20,8 @@ from ..lineage import cut
 
 # most distinct positions a cell may hold before it is split
 LEAF = 256
+# object pairs that one task tries
+TASK_PAIRS = 20_000_000
 # cells are cubes with sides of 2**(shift - GRID_BITS)
 GRID_BITS = 50
 
@@ -212,6 +214,11 @@ def _bucket(d2: Column, limits) -> Column:
     return out
 
 
+def _wide(df: DataFrame) -> int:
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def meet_cells(pairs: DataFrame, a: Side, b: Side, limits) -> DataFrame:
     """Cell pairs one level down, with the buckets of their nearest and farthest points.
 
@@ -219,28 +226,50 @@ def meet_cells(pairs: DataFrame, a: Side, b: Side, limits) -> DataFrame:
     pair distances are summed in the same order, and rounding keeps order, so a bound
     is never on the wrong side of an edge.
     """
-    j = _natural(_natural(pairs, a.cells()), b.cells())
-    near, far, used = F.lit(0.0), F.lit(0.0), ["m1", "m2", "up1", "up2"]
+    cb = b.cells()
+    j = _natural(pairs, a.cells())
+    # few bytes, much work: keep the number of tasks from shrinking with the bytes
+    j = j.repartition(_wide(pairs), *[c for c in cb.columns if c in j.columns])
+    j = _natural(j, cb)
+    near, far, used = F.lit(0.0), F.lit(0.0), ["up1", "up2"]
     for c in "xyz":
         lo1, hi1, lo2, hi2 = (F.col(f"{t}{c}{s}") for s in "12" for t in ("lo", "hi"))
         gap = F.greatest(F.lit(0.0), lo2 - hi1, lo1 - hi2)
         span = F.greatest(hi1 - lo2, hi2 - lo1)
         near, far = near + gap * gap, far + span * span
         used += [f"{t}{c}{s}" for s in "12" for t in ("lo", "hi")]
-    j = j.withColumns({"near": near, "far": far}).drop(*used)
-    j = j.withColumns({"b0": _bucket(F.col("near"), limits), "b1": _bucket(F.col("far"), limits)})
-    return j.where(F.col("b0") < len(limits))
+    # the one comparison that becomes part of the join; all else is worked out for survivors
+    j = j.withColumns({"near": near, "far": far}).drop(*used).where(F.col("near") <= F.lit(limits[-1]))
+    return j.withColumns({"b0": _bucket(F.col("near"), limits), "b1": _bucket(F.col("far"), limits)})
 
 
 def opened_pairs(met: DataFrame) -> DataFrame:
     """Cell pairs as the parents of the next level."""
-    keep = [c for c in met.columns if c not in ("node1", "node2", "n1", "n2", "leaf1", "leaf2", "near", "far", "b0", "b1")]
+    facts = {f"{c}{i}" for c in ("node", "n", "m", "leaf") for i in "12"} | {"near", "far", "b0", "b1"}
+    keep = [c for c in met.columns if c not in facts]
     return met.select(*keep, F.col("node1").alias("up1"), F.col("node2").alias("up2"))
 
 
-def leaf_objects(met: DataFrame, a: Side, b: Side, keep) -> DataFrame:
-    """``*keep, p, q``: every object pair of pairs of leaves, inside one generated loop."""
-    j = _natural(_natural(met, a.packed()), b.packed())
+def pending(met: DataFrame) -> tuple[bool, int]:
+    """Whether a cell must be split, and over how many tasks to open the leaf pairs."""
+    leaves = F.col("leaf1") & F.col("leaf2")
+    crowded, work = met.agg(
+        F.coalesce(F.bool_or(~leaves), F.lit(False)),
+        F.coalesce(F.sum(F.when(leaves, F.col("m1").cast("double") * F.col("m2"))), F.lit(0.0)),
+    ).first()
+    return crowded, max(met.sparkSession.sparkContext.defaultParallelism, math.ceil(work / TASK_PAIRS))
+
+
+def leaf_objects(met: DataFrame, a: Side, b: Side, keep, tasks: int) -> DataFrame:
+    """``*keep, p, q``: every object pair of pairs of leaves, inside one generated loop.
+
+    The work is large for few bytes, so it is spread over a number of tasks that
+    follows the pairs to try, not the size of the rows.
+    """
+    pb = b.packed()
+    j = _natural(met, a.packed())
+    j = j.repartition(tasks, *[c for c in pb.columns if c in j.columns])
+    j = _natural(j, pb)
     j = j.select(*keep, "pts2", F.explode("pts1").alias("p"))
     return j.select(*keep, "p", F.explode("pts2").alias("q"))
 
@@ -250,8 +279,8 @@ def point_distance_sq() -> Column:
 
 
 def first_shift(theta_deg: float) -> int:
-    """Cells of about half the largest separation on a side."""
-    return min(GRID_BITS, max(0, GRID_BITS + math.floor(math.log2(chord(theta_deg) / 2.0))))
+    """Cells of half to all of the largest separation on a side."""
+    return min(GRID_BITS, max(0, GRID_BITS + math.floor(math.log2(chord(theta_deg)))))
 
 
 def _count(pairs: DataFrame, a: Side, b: Side, out_keys, limits) -> DataFrame:
@@ -262,15 +291,15 @@ def _count(pairs: DataFrame, a: Side, b: Side, out_keys, limits) -> DataFrame:
     while True:
         met = cut(meet_cells(pairs, a, b, limits))
         counted.append(met.where(~straddle).select(*group, F.col("b0").alias("bucket"), (F.col("n1") * F.col("n2")).alias("n")))
-        to_split = straddle & ~(F.col("leaf1") & F.col("leaf2"))
-        if not met.where(to_split).head(1):
+        crowded, tasks = pending(met.where(straddle))
+        if not crowded:
             break
         # pairs of two leaves wait: a leaf is its own child on the next level
         pairs = opened_pairs(met.where(straddle))
         for t in {id(s.tree): s.tree for s in (a, b)}.values():
             t.split()
     rest = opened_pairs(met.where(straddle)).withColumnsRenamed({"up1": "node1", "up2": "node2"})
-    j = leaf_objects(rest, a, b, group)
+    j = leaf_objects(rest, a, b, group, tasks)
     j = j.select(*group, (F.col("p.n") * F.col("q.n")).alias("n"), point_distance_sq().alias("d2"))
     j = j.where(F.col("d2") <= F.lit(limits[-1]))
     j = j.select(*group, _bucket(F.col("d2"), limits).alias("bucket"), "n")
