@@ -89,9 +89,8 @@ def jackknife_regions(shares: DataFrame, num: int = 16, keys=()) -> DataFrame:
         return pdf[[*keys, "pix", "region", "region_share"]]
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "pix long, region int, region_share double"])
-    grouped = shares.select(*keys, "pix", "share")
-    grouped = grouped.groupBy(*keys) if keys else grouped.groupBy(F.lit(0))
-    return grouped.applyInPandas(lambda pdf: deal(pdf), schema)
+    named = shares.select(*keys, "pix", "share").withColumn("_all", F.lit(0))
+    return named.groupBy(*(keys or ["_all"])).applyInPandas(deal, schema)
 
 
 def leave_one_out(counts: DataFrame, populations: DataFrame, terms: DataFrame, regions: DataFrame,
