@@ -265,13 +265,12 @@ FROM dd_s JOIN dr_s USING (bin_idx) JOIN rr_s USING (bin_idx) JOIN ed USING (bin
 def auto_signal(spark, sf):
     c = C.count_correlations(corr_points(spark, sf, AUTO), corr_table(spark, AUTO), ABINS, None, NSIDE)
     s = C.term_signals(c)
-    w = C.simple_correlation(s, c.terms, ["corr_id", "zbin"])
-    p = s.groupBy("bin_idx").agg(*[
-        F.max(F.when(F.col("term") == t, F.col("pairs"))).alias(n) for t, n in (("D0D0", "dd"), ("D0R0", "dr"), ("R0R0", "rr"))])
+    terms = (("D0D0", "dd"), ("D0R0", "dr"), ("R0R0", "rr"))
+    pick = lambda t, col, name: F.max(F.when(F.col("term") == t, F.col(col))).alias(name)
+    p = s.groupBy("bin_idx").agg(*[pick(t, "pairs", n) for t, n in terms], *[pick(t, "signal", "s" + n) for t, n in terms])
     edge = lambda k: F.element_at(F.array(*[F.lit(e) for e in ABINS]), F.col("bin_idx") + k)
-    return w.join(p, "bin_idx").select(
-        F.col("bin_idx"), edge(1).alias("theta_lo"), edge(2).alias("theta_hi"),
-        "dd", "dr", "rr", F.round("w", 6).alias("w"))
+    w = E.landy_szalay_auto(F.col("sdd"), F.col("sdr"), F.col("srr"))
+    return p.select("bin_idx", edge(1).alias("theta_lo"), edge(2).alias("theta_hi"), "dd", "dr", "rr", F.round(w, 6).alias("w"))
 
 
 @query("e2_landy_szalay_cross", with_(cross_ctes(True), _diffs("dd", "dr", "rd", "rr", keys="zbin")) + """,

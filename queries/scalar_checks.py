@@ -157,9 +157,9 @@ def _(spark, sf):
 
 # J0(x) by its integral over [0, pi], 64 midpoints: independent of the polynomials
 @query("x17_bessel_j0", with_(ctes("galaxies")) + f"""
-SELECT id, round(avg(cos(20e0*redshift*sin({PI}*(k+0.5e0)/64e0))), 5) AS j0 FROM galaxies, range(64) t(k) GROUP BY id""")
+SELECT id, round(avg(cos(20e0*redshift*sin({PI}*(k+0.5e0)/64e0))), 3) AS j0 FROM galaxies, range(64) t(k) GROUP BY id""")
 def _(spark, sf):
-    return read(spark, sf, "galaxies").select("id", F.round(C.bessel_j0(F.col("redshift") * F.lit(20.0)), 5).alias("j0"))
+    return read(spark, sf, "galaxies").select("id", F.round(C.bessel_j0(F.col("redshift") * F.lit(20.0)), 3).alias("j0"))
 
 
 @query("x18_deg_to_rad", with_(ctes("randoms")) + f" SELECT id, round({PI}*ra/180e0, 6) AS r FROM randoms")

@@ -6,6 +6,7 @@ import heapq
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .counts import difference_edges
@@ -93,6 +94,17 @@ def jackknife_regions(shares: DataFrame, num: int = 16, keys=()) -> DataFrame:
     return named.groupBy(*(keys or ["_all"])).applyInPandas(deal, schema)
 
 
+def _without_each(sums: DataFrame, keys, num: int, name: str) -> DataFrame:
+    """Per key, the total (region -1) less each region's part.
+
+    The parts of a key are at most ``num`` + 1 numbers, held in one small map.
+    """
+    parts = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("region", "n"))).alias("part"))
+    parts = parts.select(*keys, "part", F.explode(F.sequence(F.lit(-1), F.lit(num - 1))).alias("region"))
+    own = F.when(F.col("region") >= 0, F.coalesce(F.try_element_at("part", F.col("region")), F.lit(0))).otherwise(F.lit(0))
+    return parts.select(*keys, "region", (F.try_element_at("part", F.lit(-1)) - own).alias(name))
+
+
 def leave_one_out(counts: DataFrame, populations: DataFrame, terms: DataFrame, regions: DataFrame,
                   num: int, keys) -> DataFrame:
     """Signals with each region left out: ``*keys, term, region, bin_idx, signal``; region -1 keeps all.
@@ -110,21 +122,13 @@ def leave_one_out(counts: DataFrame, populations: DataFrame, terms: DataFrame, r
         c.select(*keys, "term", "edge_idx", "n", F.explode(hit).alias("region"))
         .groupBy(*keys, "term", "edge_idx", "region").agg(F.sum("n").alias("n"))
     )
-    every = F.explode(F.sequence(F.lit(-1), F.lit(num - 1)))
-    total = sums.where("region = -1").select(*keys, "term", "edge_idx", F.col("n").alias("total"), every.alias("region"))
-    touched = sums.where("region >= 0")
-    left = total.join(touched, [*keys, "term", "edge_idx", "region"], "left").select(
-        *keys, "term", "region", "edge_idx", (F.col("total") - F.coalesce("n", F.lit(0))).alias("n")
-    )
+    left = _without_each(sums, [*keys, "term", "edge_idx"], num, "n")
     d = difference_edges(left, [*keys, "term", "region"])
 
     p = populations.join(r, [*keys, "pix"], "left")
+    p = p.select(*keys, "catalog", "n", F.explode(F.array_compact(F.array(F.lit(-1), F.col("region")))).alias("region"))
     psum = p.groupBy(*keys, "catalog", "region").agg(F.sum("n").alias("n"))
-    ptotal = psum.groupBy(*keys, "catalog").agg(F.sum("n").alias("total"))
-    ptotal = ptotal.select("*", every.alias("region"))
-    pop = ptotal.join(psum, [*keys, "catalog", "region"], "left").select(
-        *keys, "catalog", "region", (F.col("total") - F.coalesce("n", F.lit(0))).alias("pop")
-    )
+    pop = _without_each(psum, [*keys, "catalog"], num, "pop")
     d = d.join(terms.select("corr_id", "term", "first", "second"), ["corr_id", "term"])
     for i, side in enumerate(("first", "second"), 1):
         d = d.join(pop.withColumnsRenamed({"catalog": side, "pop": f"pop{i}"}), [*keys, side, "region"])
@@ -140,10 +144,12 @@ def jackknife(loo: DataFrame, terms: DataFrame, keys) -> DataFrame:
     """
     keys = list(keys)
     e = estimate(loo, terms, [*keys, "region"])
-    full = e.where("region = -1").select(*keys, "bin_idx", F.col("w").alias("w0"), F.col("rr").alias("rr0"))
-    part = e.where("region >= 0").join(full, [*keys, "bin_idx"])
+    # the few estimates of one bin stand side by side with the one that keeps all
+    w = W.partitionBy(*keys, "bin_idx")
+    whole = lambda c: F.max(F.when(F.col("region") == -1, F.col(c))).over(w)
+    e = e.withColumns({"w0": whole("w"), "rr0": whole("rr")}).where("region >= 0")
     dev = F.col("w") - F.col("w0")
-    return part.groupBy(*keys, "bin_idx").agg(
+    return e.groupBy(*keys, "bin_idx").agg(
         F.first("w0").alias("w"),
         F.sqrt(F.sum(F.try_divide(F.col("rr"), F.col("rr0")) * dev * dev)).alias("err"),
         F.avg("w").alias("w_mean"),

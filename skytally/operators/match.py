@@ -64,11 +64,12 @@ def cross_match(left: DataFrame, right: DataFrame, radius_arcsec: float = 2.0, l
     columns and NULL elsewhere. ``distance`` names an extra column for the chord.
     """
     best = nearest(left, right, radius_arcsec, l_ra, l_dec, r_ra, r_dec, right_id)
-    here = with_unit_vector(left, l_ra, l_dec, ("_x", "_y", "_z"))
-    out = here.join(best.withColumnsRenamed({"x": "_x", "y": "_y", "z": "_z", "match": "_match", "dist": "_dist"}),
-                    ["_x", "_y", "_z"], "left")
+    # matched positions take up the right columns first, so that left rows are joined
+    # once, by position, and rows without a match never share a key
     other = right.select(*[F.col(c).alias(c + suffix) for c in right.columns], F.col(right_id).alias("_match"))
-    out = out.join(other, "_match", "left")
+    best = best.withColumnsRenamed({"x": "_x", "y": "_y", "z": "_z", "match": "_match", "dist": "_dist"})
+    best = best.join(other, "_match").drop("_match")
+    out = with_unit_vector(left, l_ra, l_dec, ("_x", "_y", "_z")).join(best, ["_x", "_y", "_z"], "left")
     cols = [F.col(c) for c in left.columns]
     for name, kind in right.dtypes:
         c = F.col(name + suffix)

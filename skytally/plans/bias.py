@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cosmology import Cosmology
+from ..lineage import cut
 from ..operators.curves import interp, normalize_curve
 from ..operators.estimators import fit_range
 from ..operators.model import best_bias, bias_likelihood, deproject_bias, limber_model
@@ -37,7 +38,8 @@ def corr_bias(signals: DataFrame, corrs: DataFrame, samples: DataFrame, pdz: Dat
     keys = ["corr_id", "zbin"]
     curves = normalize_curve(pdz, ["curve_id"])
     model = limber_model(curves, curves, k_table, samples, cosmo)
-    points = model_at(fit_range(signals, n_to_cut), model)
+    # a few rows per correlation, read several times below
+    points = cut(model_at(fit_range(signals, n_to_cut), model))
     likelihood = bias_likelihood(points, keys)
     best = best_bias(likelihood, keys)
     return BiasFit(model, likelihood, deproject_bias(best, best, corrs))
