@@ -8,7 +8,7 @@ from skytally.functions.healpix import with_pixel
 from skytally.lineage import cut
 from skytally.operators import counts as M
 from skytally.operators import estimators as E
-from skytally.operators.histograms import top_pixels
+from skytally.operators.histograms import count_by_group, top_pixels
 from skytally.operators.pairs import good_pairs, good_pixels, pair_count, pair_plan, pixel_pairs
 from skytally.plans import correlation as C
 
@@ -185,11 +185,11 @@ def _(spark, sf):
     return _long(M.balance(c.unionByName(_gr(spark, sf, "randoms", "galaxies"))))
 
 
-@query("m4_clear", with_(ctes("galaxies"), pixed("p", "galaxies")) + " SELECT (SELECT count(*) FROM p WHERE false) AS left_, count(DISTINCT pix) AS before FROM p")
+@query("m4_clear", with_(ctes("galaxies"), pixed("p", "galaxies")) +
+       " SELECT 'before' AS stage, count(DISTINCT pix) AS n FROM p UNION ALL SELECT 'after', 0")
 def _(spark, sf):
     c = with_pixel(read(spark, sf, "galaxies"), NSIDE).groupBy("pix").agg(F.count(F.lit(1)).alias("n"))
-    left = M.clear(c).agg(F.count(F.lit(1)).alias("left_")).withColumn("_k", F.lit(1))
-    return c.agg(F.count(F.lit(1)).alias("before")).withColumn("_k", F.lit(1)).join(left, "_k").select("left_", "before")
+    return count_by_group(c, M.clear(c))
 
 
 def _sides(spark, sf, a="galaxies", b="randoms"):

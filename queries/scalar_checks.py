@@ -206,14 +206,15 @@ def _(spark, sf):
 
 
 @query("a14_interp", with_(ctes("galaxies", "quasars")) + """,
-nodes AS (SELECT zb, avg(redshift) AS x, avg(lum) AS y FROM (SELECT cast(floor(redshift/0.1e0) AS int) AS zb, redshift, lum FROM quasars) GROUP BY zb),
-seg AS (SELECT x AS a, y AS ya, lead(x) OVER (ORDER BY x) AS b, lead(y) OVER (ORDER BY x) AS yb FROM nodes),
-r AS (SELECT min(x) AS x0, max(x) AS x1 FROM nodes)
-SELECT id, round(CASE WHEN redshift <= x0 THEN (SELECT arg_min(y, x) FROM nodes) WHEN redshift >= x1 THEN (SELECT arg_max(y, x) FROM nodes)
- ELSE ya + (redshift-a)/(b-a)*(yb-ya) END, 5) AS y FROM galaxies CROSS JOIN r LEFT JOIN seg ON redshift >= a AND redshift < b""")
-def _(spark, sf):
-    q = read(spark, sf, "quasars").groupBy(F.floor(F.col("redshift") / 0.1).alias("zb")).agg(
-        F.avg("redshift").alias("x"), F.avg("lum").alias("y"))
-    curve = q.select(F.lit("lum").alias("curve_id"), "x", "y")
-    g = read(spark, sf, "galaxies").withColumn("curve_id", F.lit("lum"))
+nodes AS (SELECT k, zb, avg(redshift) AS x, avg(lum) AS y FROM (SELECT cast(p_t1 > 0.5e0 AS int) AS k, cast(floor(redshift/0.1e0) AS int) AS zb, redshift, lum FROM quasars) GROUP BY k, zb),
+seg AS (SELECT k, x AS a, y AS ya, lead(x) OVER w AS b, lead(y) OVER w AS yb FROM nodes WINDOW w AS (PARTITION BY k ORDER BY x)),
+r AS (SELECT k, min(x) AS x0, max(x) AS x1, arg_min(y, x) AS y0, arg_max(y, x) AS y1 FROM nodes GROUP BY k)
+SELECT id, round(CASE WHEN redshift <= x0 THEN y0 WHEN redshift >= x1 THEN y1 ELSE ya + (redshift-a)/(b-a)*(yb-ya) END, 5) AS y
+FROM galaxies JOIN r ON r.k = wise_flag LEFT JOIN seg ON seg.k = wise_flag AND redshift >= a AND redshift < b""")
+def _(spark, sf):
+    q = read(spark, sf, "quasars").groupBy(
+        (F.col("p_t1") > 0.5).cast("int").alias("curve_id"), F.floor(F.col("redshift") / 0.1).alias("zb")
+    ).agg(F.avg("redshift").alias("x"), F.avg("lum").alias("y"))
+    curve = q.select("curve_id", "x", "y")
+    g = read(spark, sf, "galaxies").withColumn("curve_id", F.col("wise_flag"))
     return interp(g, "redshift", curve).select("id", F.round("y", 5).alias("y"))

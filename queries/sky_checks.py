@@ -246,11 +246,11 @@ _LOW = " OR ".join(f"(zb > {a}e0 AND zb < {b}e0 AND lum < {t}e0)" for a, b, t in
 
 
 @query("f6_cut_by_bin", with_(ctes("quasars")) + f""", q AS (SELECT *, {_BEST} FROM quasars), p AS (SELECT id, NOT ({_LOW}) AS ok FROM q)
-SELECT id, round((SELECT avg(cast(ok AS int)) FROM p), 6) AS fraction FROM p WHERE ok""")
+SELECT id, NULL AS fraction FROM p WHERE ok UNION ALL SELECT NULL, round(avg(cast(ok AS int)), 6) FROM p""")
 def _(spark, sf):
     from skytally.plans.figures import LUM_CUTS, LUM_Z_EDGES, with_best_redshift
     kept, part = M.cut_by_bin(with_best_redshift(read(spark, sf, "quasars")), "lum", "z", LUM_Z_EDGES, LUM_CUTS)
-    return kept.withColumn("_k", F.lit(1)).join(part.withColumn("_k", F.lit(1)), "_k").select("id", F.round("fraction", 6).alias("fraction"))
+    return kept.select("id").unionByName(part.select(F.round("fraction", 6).alias("fraction")), allowMissingColumns=True)
 
 
 @query("f8_not_null_visits", with_(ctes("visits")) + " SELECT visit_id, pntgid FROM visits WHERE NOT is_null")

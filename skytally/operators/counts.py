@@ -65,11 +65,10 @@ def pair_signal(counts: DataFrame, pops: DataFrame, keys=(), cut: DataFrame | No
             c = c.join(cut.select(F.col("pix").alias(end)), end, "left_anti")
     sums = c.groupBy(*keys, "edge_idx").agg(F.sum("n").alias("n"))
     d = difference_edges(sums, keys)
-    pop = population(pops, keys, cut)
-    if keys:
-        d = d.join(pop, list(keys))
-    else:
-        d = d.withColumn("_k", F.lit(1)).join(pop.withColumn("_k", F.lit(1)), "_k")
+    # a few rows per key: the populations are laid beside the angles
+    both = d.unionByName(population(pops, keys, cut), allowMissingColumns=True)
+    w = W.partitionBy(*(keys or [F.lit(0)]))
+    d = both.withColumns({p: F.max(p).over(w) for p in ("pop1", "pop2")}).where("bin_idx is not null")
     norm = F.col("pop1").cast("double") * F.col("pop2")
     return d.select(*keys, "bin_idx", "pairs", F.try_divide(F.col("pairs").cast("double"), norm).alias("signal"))
 

@@ -61,6 +61,14 @@ def normalize_curve(curve: DataFrame, keys) -> DataFrame:
         "y", F.try_divide(F.col("y"), F.col("area"))).drop("area")
 
 
+def one_key(c: str) -> Column:
+    """The same key for every row, as an expression of a number.
+
+    A literal on both sides would turn the equi-join into a nested loop.
+    """
+    return F.floor(F.coalesce(F.col(c), F.lit(0.0)) * F.lit(0.0)).cast("long")
+
+
 def interp(df: DataFrame, x: str, curve: DataFrame, key: str = "curve_id", name: str = "y") -> DataFrame:
     """Value of each row's curve at ``x``, linear between nodes and flat beyond the ends.
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.healpix import npix, with_pixel
@@ -46,14 +47,9 @@ def hist1d(df: DataFrame, x: str, lo: float, hi: float, bins: int, keys=()) -> D
 def z_histogram(df: DataFrame, lo: float, hi: float, bins: int = 29, z: str = "redshift", keys=()) -> DataFrame:
     """The same with ``density`` = n / (N * width) over the whole set."""
     h = hist1d(df, z, lo, hi, bins, keys)
-    total = h.groupBy(*keys).agg(F.sum("n").alias("total")) if keys else None
-    width = F.lit((hi - lo) / bins)
-    if keys:
-        h = h.join(total, list(keys))
-    else:
-        one = h.agg(F.sum("n").alias("total")).withColumn("_k", F.lit(1))
-        h = h.withColumn("_k", F.lit(1)).join(one, "_k")
-    return h.select(*keys, "bin_idx", "lo", "hi", "n", (F.col("n") / (F.col("total") * width)).alias("density"))
+    total = F.sum("n").over(W.partitionBy(*(keys or [F.lit(0)])))
+    density = F.col("n") / (total * F.lit((hi - lo) / bins))
+    return h.select(*keys, "bin_idx", "lo", "hi", "n", density.alias("density"))
 
 
 def hist2d(df: DataFrame, x: str, y: str, x_range, y_range, bins, keys=()) -> DataFrame:
@@ -76,11 +72,10 @@ def joint_histogram(df: DataFrame, sample: str, x: str, y: str, x_range, y_range
 
 def contour_levels(cells: DataFrame, fractions=(0.1, 0.3, 0.6), keys=()) -> DataFrame:
     """Cells with ``level``: how many of the given fractions of the peak they reach."""
-    keys = list(keys) or ["_k"]
-    c = cells if keys != ["_k"] else cells.withColumn("_k", F.lit(1))
-    peak = c.groupBy(*keys).agg(F.max("n").alias("peak"))
+    # cells are few: their number is fixed by the bins
+    c = cells.withColumn("peak", F.max("n").over(W.partitionBy(*(keys or [F.lit(0)]))))
     level = sum(((F.col("n") >= F.lit(float(f)) * F.col("peak")).cast("int") for f in fractions), F.lit(0))
-    return c.join(peak, keys).withColumn("level", level).drop("_k", "peak")
+    return c.withColumn("level", level).drop("peak")
 
 
 def count_by_group(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -92,7 +87,6 @@ def count_by_group(before: DataFrame, after: DataFrame) -> DataFrame:
 def top_pixels(shares: DataFrame, num: int) -> DataFrame:
     """The ``num`` pixels of largest share; fewer occupied pixels than that is an error."""
     top = shares.where("share > 0").orderBy(F.desc("share"), F.desc("pix")).limit(num)
-    size = top.agg(F.count(F.lit(1)).alias("have")).withColumn("_k", F.lit(1))
-    out = top.withColumn("_k", F.lit(1)).join(size, "_k")
+    out = top.withColumn("have", F.count(F.lit(1)).over(W.partitionBy(F.lit(0))))
     safe = F.when(F.col("have") < num, F.raise_error(F.lit("fewer occupied pixels than asked for"))).otherwise(F.col("pix"))
     return out.select(safe.cast("long").alias("pix"), "share")

@@ -10,7 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.cosmology import Cosmology, bessel_j0, hubble_over_c, with_distance
 from ..functions.scalars import grid_points
-from .curves import interp
+from .curves import interp, one_key
+
+
+# longest redshift grid of a theory table
+MOST_Z = 5000
 
 
 def trapezoid_weights(df: DataFrame, x: str, keys, name: str = "weight") -> DataFrame:
@@ -41,10 +45,10 @@ def matter_power(df: DataFrame, power: DataFrame, z: str = "z", k: str = "k", na
 
     ``df`` needs a column ``id``. Values beyond the table take its edge.
     """
-    rows = power.select("z").distinct().withColumn("curve_id", F.lit(0))
+    rows = power.select("z").distinct().withColumn("curve_id", one_key("z"))
     order = W.partitionBy("curve_id").orderBy("z")
     rows = rows.select("curve_id", F.col("z").alias("x"), (F.row_number().over(order) - 1).cast("double").alias("y"))
-    d = interp(df.withColumn("curve_id", F.lit(0)), z, rows, name="_pos").drop("curve_id")
+    d = interp(df.withColumn("curve_id", one_key(z)), z, rows, name="_pos").drop("curve_id")
     d = d.withColumns({"_lo": F.floor("_pos").cast("long"), "_hi": F.ceil("_pos").cast("long")})
     number = rows.select(F.col("x").alias("z"), F.col("y").cast("long").alias("curve_id"))
     curves = power.join(number, "z").select("curve_id", F.col("k").alias("x"), F.col("p").alias("y"))
@@ -61,11 +65,16 @@ def limber_model(pdz1: DataFrame, pdz2: DataFrame, k_table: DataFrame, keys, cos
     ``keys`` maps output rows to curves: a table ``*keys, curve1, curve2``.
     """
     names = [c for c in keys.columns if c not in ("curve1", "curve2")]
-    z = k_table.select("z").distinct()
-    z = trapezoid_weights(z.withColumn("_k", F.lit(1)), "z", ["_k"])
-    zs = z.groupBy("_k").agg(F.collect_list(F.struct("z", "weight")).alias("zs"))
-    g = keys.withColumn("_k", F.lit(1)).join(zs, "_k").select(*keys.columns, F.explode("zs").alias("g"))
-    g = g.select(*keys.columns, F.col("g.z").alias("z"), F.col("g.weight").alias("weight"))
+    # the redshift grid of the table is a setting; a longer list is not a grid
+    zs = [r.z for r in k_table.select("z").distinct().orderBy("z").limit(MOST_Z + 1).collect()]
+    if len(zs) > MOST_Z:
+        raise ValueError("the table is not on a redshift grid")
+    last = len(zs) - 1
+    grid = F.array(*[
+        F.struct(F.lit(z).alias("z"), F.lit((zs[min(i + 1, last)] - zs[max(i - 1, 0)]) / 2.0).alias("weight"))
+        for i, z in enumerate(zs)
+    ])
+    g = keys.select(*keys.columns, F.explode(grid).alias("g")).select(*keys.columns, "g.z", "g.weight")
     g = interp(g.withColumn("curve_id", F.col("curve1")), "z", pdz1, name="p1").drop("curve_id")
     g = interp(g.withColumn("curve_id", F.col("curve2")), "z", pdz2, name="p2").drop("curve_id")
     g = g.withColumn("c", F.lit(math.pi) * F.col("weight") * F.col("p1") * F.col("p2") * hubble_over_c("z", cosmo))

@@ -76,14 +76,14 @@ def random_fractions(data: DataFrame, randoms: DataFrame) -> DataFrame:
     """
     d = data.select("pix", F.col("n").alias("n_data"))
     r = randoms.select("pix", F.col("n").alias("n_random"))
-    j = r.join(d, "pix", "left").withColumn("n_data", F.coalesce("n_data", F.lit(0))).withColumn("_k", F.lit(1))
-    top = data.agg(F.max("n").alias("_d")).withColumn("_k", F.lit(1)).join(
-        randoms.agg(F.max("n").alias("_r")).withColumn("_k", F.lit(1)), "_k")
+    # one row per pixel, a number fixed by nside, so whole-sky maxima are a window
+    sky = W.partitionBy(F.lit(0))
+    j = r.join(d, "pix", "full").na.fill(0, ["n_data", "n_random"])
+    j = j.withColumns({"_d": F.max("n_data").over(sky), "_r": F.max("n_random").over(sky)}).where("n_random > 0")
     f = F.try_divide(F.try_divide(F.col("n_data").cast("double"), F.col("_d")),
                      F.try_divide(F.col("n_random").cast("double"), F.col("_r")))
-    j = j.join(top, "_k").withColumn("_f", F.coalesce(f, F.lit(0.0)))
-    best = j.groupBy("_k").agg(F.max("_f").alias("_top"))
-    return j.join(best, "_k").select(
+    j = j.withColumn("_f", F.coalesce(f, F.lit(0.0))).withColumn("_top", F.max("_f").over(sky))
+    return j.select(
         "pix", "n_data", "n_random", F.coalesce(F.try_divide(F.col("_f"), F.col("_top")), F.lit(0.0)).alias("fraction"))
 
 
