@@ -81,17 +81,17 @@ def _(spark, sf):
     return E.expand_terms(c).drop("role")
 
 
-_META = """old AS (SELECT 'C0D0' AS catalog, pix, count(*) AS n FROM g GROUP BY pix UNION ALL SELECT 'C0R0', pix, count(*) FROM r GROUP BY pix),
-new AS (SELECT 'C0R0' AS catalog, pix, count(*) AS n FROM m GROUP BY pix UNION ALL SELECT 'C1D1', pix, count(*) FROM q GROUP BY pix)"""
-
-
-@query("s7_merge_meta", with_(ctes("galaxies", "randoms", "moved", "quasars"), *[
-    pixed(a, b) for a, b in (("g", "galaxies"), ("r", "randoms"), ("m", "moved"), ("q", "quasars"))], _META) +
-    " FROM old UNION ALL FROM new WHERE catalog = 'C1D1'")
-def _(spark, sf):
-    pop = lambda t, c: H.count_per_pixel(read(spark, sf, t), NSIDE).select(F.lit(c).alias("catalog"), "pix", "n")
-    old = pop("galaxies", "C0D0").unionByName(pop("randoms", "C0R0"))
-    return SP.merge_meta(old, pop("moved", "C0R0").unionByName(pop("quasars", "C1D1")))
+@query("s7_merge_meta", """
+WITH old AS (SELECT c_mktsegment AS catalog, c_nationkey AS pix, count(*) AS n FROM customer GROUP BY 1, 2),
+new AS (SELECT CASE WHEN c_nationkey < 12 THEN c_mktsegment ELSE 'C' || c_nationkey END AS catalog, c_nationkey AS pix, count(*) AS n
+ FROM customer WHERE c_acctbal > 0 GROUP BY 1, 2)
+FROM old UNION ALL FROM new WHERE catalog NOT IN (SELECT catalog FROM old)""")
+def _(spark, sf):
+    c = spark.read.parquet(f"{sf}/customer.parquet").withColumn("pix", F.col("c_nationkey"))
+    pop = lambda df: df.groupBy("catalog", "pix").agg(F.count(F.lit(1)).alias("n"))
+    named = F.when(F.col("c_nationkey") < 12, F.col("c_mktsegment")).otherwise(F.concat(F.lit("C"), F.col("c_nationkey").cast("string")))
+    new = c.where("c_acctbal > 0").withColumn("catalog", named)
+    return SP.merge_meta(pop(c.withColumn("catalog", F.col("c_mktsegment"))), pop(new))
 
 
 @query("s8_save_load_run", "SELECT o_orderpriority, count(*) AS n, 1 AS run_id FROM orders WHERE o_orderstatus = 'F' GROUP BY 1")
