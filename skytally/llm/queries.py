@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skytally.llm.decontaminate import leaks
+from skytally.llm.language import language_of
 from skytally.llm.minhash import near_duplicates
+from skytally.llm.mixing import mix_sizes
+from skytally.llm.sharding import sharded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +29,58 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@query("op1_benchmark_decontamination")
+def op1(spark, sf_dir):
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    return language_of(read(spark, sf_dir, "documents"))
+
+
+@query("op6_mixing", sql=r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY 1),
+w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::BIGINT AS w,
+  (sum(source_size) OVER ())::BIGINT AS total FROM s),
+f AS (SELECT *, coalesce(sum(2 * source_size) OVER (ORDER BY source_size * (10 // w), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before,
+  (sum(w) OVER (ORDER BY source_size * (10 // w), source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS rest FROM w),
+c AS (SELECT *, w * (150 * total - 100 * before) >= 200 * source_size * rest AS capped FROM f),
+l AS (SELECT *, (sum(CASE WHEN capped THEN 2 * source_size ELSE 0 END) OVER ())::BIGINT AS spent, (sum(CASE WHEN capped THEN 0 ELSE w END) OVER ())::BIGINT AS open FROM c),
+goal AS (SELECT source, source_size, CASE WHEN capped THEN (2 * source_size)::DOUBLE ELSE (w * (150 * total - 100 * spent))::DOUBLE / (100 * open)::DOUBLE END AS target FROM l),
+g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM goal),
+d AS (SELECT z.*, source_size, target, whole, target - whole * source_size AS cut, place >> 48 AS cell
+  FROM sized z JOIN g ON z.source IS NOT DISTINCT FROM g.source),
+cells AS (SELECT source, cell, any_value(cut) AS cut, sum(size) AS s, count(*) AS n FROM d GROUP BY 1, 2),
+run AS (SELECT *, sum(s) OVER (PARTITION BY source ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY source ORDER BY cell) AS cnt FROM cells),
+edge AS (SELECT source, min(cell) AS edge, min(cnt - n) AS c0, min(upto - s) AS s0 FROM run WHERE upto > cut GROUP BY 1),
+state AS (SELECT r.source, r.cell, CASE WHEN edge IS NULL OR cell < edge THEN 1 WHEN cnt - n < c0 + 2048 THEN 2 ELSE 0 END AS state, cut - s0 AS r0
+  FROM run r LEFT JOIN edge e ON r.source IS NOT DISTINCT FROM e.source),
+p0 AS (SELECT d.*, state, r0, 0 AS more FROM d JOIN state t ON d.source IS NOT DISTINCT FROM t.source AND d.cell = t.cell),
+""" + "".join(f"""
+a{i} AS (SELECT *, CASE WHEN state = 2 AND more = 0 AND size <= r{i - 1} AND sum(CASE WHEN more = 0 AND size <= r{i - 1} THEN size ELSE 0 END)
+  OVER (PARTITION BY source, state ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) <= r{i - 1} THEN 1 ELSE 0 END AS new{i} FROM p{i - 1}),
+p{i} AS (SELECT * REPLACE (more + new{i} AS more), r{i - 1} - sum(new{i} * size) OVER (PARTITION BY source, state) AS r{i} FROM a{i})""" + ("," if i < 4 else "") for i in range(1, 5)) + """
+SELECT doc_id, size, source_size, target, (size * (whole + CASE WHEN state = 2 THEN more ELSE state END))::BIGINT AS taken FROM p4""")
+def op6(spark, sf_dir):
+    return mix_sizes(read(spark, sf_dir, "documents"))
+
+
+@query("op7_sharding", sql=r"""
+WITH d AS (SELECT doc_id, coalesce(octet_length(encode(text)), 0)::BIGINT AS b, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS key FROM documents),
+depths AS (SELECT unnest(range(0, 61)) AS depth),
+nodes AS (SELECT depth, key >> (60 - depth) AS prefix, sum(b)::BIGINT AS shard_bytes, count(*)::BIGINT AS shard_docs
+  FROM d CROSS JOIN depths GROUP BY 1, 2 HAVING sum(b) <= 1048576 OR min(key) = max(key)),
+leaf AS (SELECT doc_id, min(depth) AS depth, any_value(key) AS key FROM d JOIN nodes n ON n.prefix = key >> (60 - depth) GROUP BY 1)
+SELECT doc_id, l.depth::VARCHAR || '/' || prefix::VARCHAR AS shard_id, l.depth::INTEGER AS shard_depth, 0::BIGINT AS shard_page, shard_bytes, shard_docs
+FROM leaf l JOIN nodes n ON n.depth = l.depth AND n.prefix = l.key >> (60 - l.depth)""")
+def op7(spark, sf_dir):
+    return sharded(read(spark, sf_dir, "documents")).select("doc_id", "shard_id", "shard_depth", "shard_page", "shard_bytes", "shard_docs")
+
+
 @query("op10_minhash_near_dedup", sql=r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
