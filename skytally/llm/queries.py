@@ -10,7 +10,9 @@ from skytally.llm.decontaminate import leaks
 from skytally.llm.language import language_of
 from skytally.llm.minhash import near_duplicates
 from skytally.llm.mixing import mix_sizes
+from skytally.llm.neighbours import near_vectors
 from skytally.llm.sharding import sharded
+from skytally.llm.urls import judge
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -39,6 +41,20 @@ def op3(spark, sf_dir):
     return language_of(read(spark, sf_dir, "documents"))
 
 
+@query("op4_embedding_near_dedup", sql="""
+WITH RECURSIVE v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+part AS (SELECT x, min(y) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT x, count(*) AS n FROM links GROUP BY 1)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN part p ON p.x = e.vec_id LEFT JOIN n ON n.x = e.vec_id""")
+def op4(spark, sf_dir):
+    return near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 @query("op6_mixing", sql=r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
@@ -81,13 +97,26 @@ def op7(spark, sf_dir):
     return sharded(read(spark, sf_dir, "documents")).select("doc_id", "shard_id", "shard_depth", "shard_page", "shard_bytes", "shard_docs")
 
 
+@query("op9_url_filters", sql=r"""
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM r),
+p AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM h),
+rules(verdict, rh, rp) AS (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')),
+hits AS (SELECT p.*, rh || rp AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, length(rh) DESC) AS k
+  FROM p LEFT JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp))
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM hits WHERE k = 1""")
+def op9(spark, sf_dir):
+    return judge(read(spark, sf_dir, "pages"))
+
+
 @query("op10_minhash_near_dedup", sql=r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM documents WHERE text IS NOT NULL),
 shingles AS (
   SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' ')) END) AS s FROM words),
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) END) AS s FROM words),
 sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
 links AS (
   SELECT a.doc_id AS x, b.doc_id AS y FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
