@@ -12,10 +12,11 @@
 Pairs within a band are never all written out. First each document is tried
 with one partner, the smallest document of the band it shares most often;
 what this joins needs no further test. Bands that still hold several
-components are compared in tiles of bounded size, which put out one best pair
-for each two components; after those are verified, the pairs still open
-between different components are all verified. So no candidate is capped,
-and a group of thousands of copies costs about one pair for each member.
+components are compared in tiles of bounded size, and each component is tried
+with its best partner, round by round, as long as that joins any. Then all
+candidates still open between different components are verified. So no
+candidate is capped, and a group of thousands of copies costs about one pair for each
+member.
 """
 
 from __future__ import annotations
@@ -142,30 +143,31 @@ def _verified(pairs: DataFrame, texts: DataFrame, share: int, miss: float) -> Da
     return both.select("a", "b", "sa", "sb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame | None, sigs: DataFrame, best: bool, share: int, miss: float) -> DataFrame:
-    """Surviving pairs of different components within bands; `best`: one for each two components."""
-    rows = shared.select("band", "doc_id")
-    if labels is not None:
-        rows = (rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-                .select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")))
-    else:
-        rows = rows.withColumn("component", F.col("doc_id"))
+def _open_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, tried: DataFrame, best: bool, share: int, miss: float) -> DataFrame:
+    """Surviving pairs `a, b` of different components within bands that weren't tried.
+
+    `best`: of each component only the pair with most matches, out of the best pair of each of
+    its documents.
+    """
+    rows = (shared.select("band", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+            .select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     mixed = (rows.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo < hi").select("band", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")))
-    rows = (rows.join(mixed, "band").join(sigs.select("doc_id", "sig"), "doc_id")
+    rows = (rows.join(mixed, "band").join(sigs.select("doc_id", "sig", "n_shingles"), "doc_id")
             .withColumn("mine", F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks")).cast("int"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "doc_id", "component", "sig"))
+            .select("band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "doc_id", "component", "sig", "n_shingles"))
     rows = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "mine", "doc_id")
 
-    def tile(band, x, y, mine, ids, comp, sig):
+    def tile(band, x, y, mine, ids, comp, sig, size):
         """Pairs of one tile: both within one block, or one from each of two."""
         if x == y:
             i, j = np.triu_indices(len(ids), 1)
         else:
             left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
             i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-        ok = comp[i] != comp[j]
+        # of sets that differ too much in size no signature need be compared
+        ok = (comp[i] != comp[j]) & (100 * np.minimum(size[i], size[j]) >= share * np.maximum(size[i], size[j]))
         i, j = i[ok], j[ok]
         # a pair is tried in the first band it shares only
         first, rest = np.full(len(i), -1), np.arange(len(i))
@@ -178,13 +180,15 @@ def _open_pairs(shared: DataFrame, labels: DataFrame | None, sigs: DataFrame, be
         i, j = i[hit], j[hit]
         keep, m = survivors(sig[i], sig[j], share, miss)
         i, j = i[keep], j[keep]
-        swap = comp[i] > comp[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
         if best and len(i):
-            order = np.lexsort((ids[j], ids[i], -m, comp[j], comp[i]))
-            i, j, m = i[order], j[order], m[order]
-            new = np.r_[True, (comp[i][1:] != comp[i][:-1]) | (comp[j][1:] != comp[j][:-1])]
-            i, j, m = i[new], j[new], m[new]
+            chosen = []
+            for one, other in ((i, j), (j, i)):
+                order = np.lexsort((ids[other], -m, ids[one]))
+                chosen.append(order[np.r_[True, ids[one][order][1:] != ids[one][order][:-1]]])
+            pick = np.unique(np.concatenate(chosen))
+            i, j, m = i[pick], j[pick], m[pick]
+        swap = ids[i] > ids[j]
+        i, j = np.where(swap, j, i), np.where(swap, i, j)
         return comp[i], comp[j], ids[i], ids[j], m
 
     def run(batches):
@@ -192,9 +196,9 @@ def _open_pairs(shared: DataFrame, labels: DataFrame | None, sigs: DataFrame, be
 
         def flush(table):
             band, x, y, mine, ids, comp = (table.column(c).to_numpy() for c in range(6))
-            sig = _signatures(table.column(6))
+            sig, size = _signatures(table.column(6)), table.column(7).to_numpy()
             new = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-            parts = [tile(band[lo], x[lo], y[lo], mine[lo:hi], ids[lo:hi], comp[lo:hi], sig[lo:hi])
+            parts = [tile(band[lo], x[lo], y[lo], mine[lo:hi], ids[lo:hi], comp[lo:hi], sig[lo:hi], size[lo:hi])
                      for lo, hi in zip(new, np.r_[new[1:], len(band)]) if hi - lo > 1]
             cols = [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in range(5)]
             return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["ca", "cb", "a", "b", "m"])
@@ -218,10 +222,11 @@ def _open_pairs(shared: DataFrame, labels: DataFrame | None, sigs: DataFrame, be
         if held:
             yield flush(pa.Table.from_batches(held).combine_chunks())
 
-    out = rows.mapInArrow(run, "ca long, cb long, a long, b long, m long")
+    out = rows.mapInArrow(run, "ca long, cb long, a long, b long, m long").distinct().join(tried, ["a", "b"], "left_anti")
     if best:
-        out = out.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b")
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        sides = F.explode(F.array("ca", "cb")).alias("c")
+        out = out.select(sides, "a", "b", "m").groupBy("c").agg(F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b")
+    return out.select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE, miss: float = MISS) -> DataFrame:
@@ -249,24 +254,30 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, miss: float = MISS) ->
                .filter("pivot < most").select("band", "pivot"))
     shared = stash(bands.join(several, "band"), "shared")
     needed = shared.select("doc_id").distinct()
-    texts = stash(filled.select("doc_id", "sig").join(needed, "doc_id", "left_semi").join(docs, "doc_id"), "texts")
-    sigs = texts.select("doc_id", "sig")
+    texts = stash(filled.select("doc_id", "sig", "n_shingles").join(needed, "doc_id", "left_semi").join(docs, "doc_id"), "texts")
+    sigs = texts.select("doc_id", "sig", "n_shingles")
 
     tried = stash(
         shared.filter("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("n"))
         .groupBy("doc_id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b"))
         .select(F.col("b").alias("a"), F.col("doc_id").alias("b")), "tried")
     edges = stash(_verified(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), texts, share, miss), "links")
-    labels = components(edges)
-    for best in (True, False):
-        more = stash(_open_pairs(shared, labels, sigs, best, share, miss).join(tried, ["a", "b"], "left_anti"), "tried")
-        if more.isEmpty():
+    labels, best = components(edges), True
+    while True:
+        more = stash(_open_pairs(shared, labels, sigs, tried, best, share, miss), "tried")
+        joined = None
+        if not more.isEmpty():
+            joined = stash(_verified(more, texts, share, miss), "links")
+            tried = tried.unionByName(more)
+            if joined.isEmpty():
+                joined = None
+            else:
+                edges = edges.unionByName(joined)
+                labels = components(edges)
+        if not best:
             break
-        joined = stash(_verified(more, texts, share, miss), "links")
-        tried = tried.unionByName(more)
-        if not joined.isEmpty():
-            edges = edges.unionByName(joined)
-            labels = components(edges)
+        # each round of best pairs at least halves the components that still join
+        best = joined is not None
     found = (classes.distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left")
              .select("doc_id", F.coalesce("component", "rep").alias("found")))
     # a repeated doc_id with different texts belongs to both classes; its smallest component holds
