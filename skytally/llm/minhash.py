@@ -9,14 +9,13 @@
    uniform prior, is below the miss probability.
 3. Survivors are verified on the full shingle sets, and links join components.
 
-Pairs within a band are never all written out. First each document is tried
-with one partner, the smallest document of the band it shares most often;
-what this joins needs no further test. Bands that still hold several
-components are compared in tiles of bounded size, and each component is tried
-with its best partner, round by round, as long as that joins any. Then all
-candidates still open between different components are verified. So no
-candidate is capped, and a group of thousands of copies costs about one pair for each
-member.
+Pairs within a band are never written out. First each document is tried with
+one partner, the smallest document of the band it shares most often; what this
+joins needs no further test. Bands that still hold several components are
+compared in tiles of bounded size: a first pass tells which documents have a
+surviving pair there, a second one brings their texts and verifies the pairs, best
+first, putting out only links that join components. So no candidate is capped,
+and a group of thousands of copies costs about one row for each member.
 """
 
 from __future__ import annotations
@@ -31,6 +30,7 @@ from pyspark.sql import functions as F
 
 from skytally.lineage import stash
 from skytally.llm.components import components
+from skytally.llm.tiles import whole_groups
 from skytally.llm.words import linked, randoms, shingle_sets
 
 HASHES, ROWS = 128, 4
@@ -143,90 +143,85 @@ def _verified(pairs: DataFrame, texts: DataFrame, share: int, miss: float) -> Da
     return both.select("a", "b", "sa", "sb", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _open_pairs(shared: DataFrame, labels: DataFrame, sigs: DataFrame, tried: DataFrame, best: bool, share: int, miss: float) -> DataFrame:
-    """Surviving pairs `a, b` of different components within bands that weren't tried.
+def _tile_pairs(table: pa.Table, lo: int, hi: int, share: int, miss: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i, j of the open pairs of one tile that survive, and their matches.
 
-    `best`: of each component only the pair with most matches, out of the best pair of each of
-    its documents.
+    A tile is two blocks of a band, or one block with itself. A pair is tried
+    in the first band that it shares only.
     """
+    band, x, y = (table.column(c)[lo].as_py() for c in range(3))
+    mine, ids, comp, size = (table.column(c).to_numpy()[lo:hi] for c in (3, 4, 5, 6))
+    sig = _signatures(table.column(7).slice(lo, hi - lo))
+    if x == y:
+        i, j = np.triu_indices(len(ids), 1)
+    else:
+        left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+    # of sets that differ too much in size no signature need be compared
+    ok = (comp[i] != comp[j]) & (100 * np.minimum(size[i], size[j]) >= share * np.maximum(size[i], size[j]))
+    i, j = i[ok], j[ok]
+    first, rest = np.full(len(i), -1), np.arange(len(i))
+    for k in range(BANDS):
+        same = sig[i[rest], k] == sig[j[rest], k]
+        first[rest[same]] = k
+        rest = rest[~same]
+    hit = np.flatnonzero(first >= 0)
+    hit = hit[(sig[i[hit], first[hit]] ^ _SALT[first[hit]]).view(np.int64) == band]
+    i, j = i[hit], j[hit]
+    keep, m = survivors(sig[i], sig[j], share, miss)
+    return i[keep], j[keep], m
+
+
+def _open_links(shared: DataFrame, labels: DataFrame, texts: DataFrame, share: int, miss: float) -> DataFrame:
+    """Links `a, b` that join different components, out of all candidate pairs between them."""
     rows = (shared.select("band", "doc_id").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
             .select("band", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     mixed = (rows.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-             .filter("lo < hi").select("band", F.ceil(F.col("n") / TILE).cast("int").alias("blocks")))
-    rows = (rows.join(mixed, "band").join(sigs.select("doc_id", "sig", "n_shingles"), "doc_id")
-            .withColumn("mine", F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks")).cast("int"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            .select("band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "doc_id", "component", "sig", "n_shingles"))
-    rows = rows.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y", "mine", "doc_id")
-
-    def tile(band, x, y, mine, ids, comp, sig, size):
-        """Pairs of one tile: both within one block, or one from each of two."""
-        if x == y:
-            i, j = np.triu_indices(len(ids), 1)
-        else:
-            left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
-            i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-        # of sets that differ too much in size no signature need be compared
-        ok = (comp[i] != comp[j]) & (100 * np.minimum(size[i], size[j]) >= share * np.maximum(size[i], size[j]))
-        i, j = i[ok], j[ok]
-        # a pair is tried in the first band it shares only
-        first, rest = np.full(len(i), -1), np.arange(len(i))
-        for k in range(BANDS):
-            same = sig[i[rest], k] == sig[j[rest], k]
-            first[rest[same]] = k
-            rest = rest[~same]
-        hit = np.flatnonzero(first >= 0)
-        hit = hit[(sig[i[hit], first[hit]] ^ _SALT[first[hit]]).view(np.int64) == band]
-        i, j = i[hit], j[hit]
-        keep, m = survivors(sig[i], sig[j], share, miss)
-        i, j = i[keep], j[keep]
-        if best and len(i):
-            chosen = []
-            for one, other in ((i, j), (j, i)):
-                order = np.lexsort((ids[other], -m, ids[one]))
-                chosen.append(order[np.r_[True, ids[one][order][1:] != ids[one][order][:-1]]])
-            pick = np.unique(np.concatenate(chosen))
-            i, j, m = i[pick], j[pick], m[pick]
-        swap = ids[i] > ids[j]
-        i, j = np.where(swap, j, i), np.where(swap, i, j)
-        return comp[i], comp[j], ids[i], ids[j], m
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def flush(table):
-            band, x, y, mine, ids, comp = (table.column(c).to_numpy() for c in range(6))
-            sig, size = _signatures(table.column(6)), table.column(7).to_numpy()
-            new = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-            parts = [tile(band[lo], x[lo], y[lo], mine[lo:hi], ids[lo:hi], comp[lo:hi], sig[lo:hi], size[lo:hi])
-                     for lo, hi in zip(new, np.r_[new[1:], len(band)]) if hi - lo > 1]
-            cols = [np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, np.int64) for c in range(5)]
-            return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in cols], names=["ca", "cb", "a", "b", "m"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            # the last tile of a batch may go on in the next one
-            keys = [batch.column(c).to_numpy() for c in range(3)]
-            same = (keys[0] == keys[0][-1]) & (keys[1] == keys[1][-1]) & (keys[2] == keys[2][-1])
-            start = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
-            if start:
-                yield flush(pa.Table.from_batches([*held, batch.slice(0, start)]).combine_chunks())
-                held = [batch.slice(start)]
-            elif held and held[0].column(0)[0] == batch.column(0)[0] and held[0].column(1)[0] == batch.column(1)[0] and held[0].column(2)[0] == batch.column(2)[0]:
-                held.append(batch)
-            else:
-                if held:
-                    yield flush(pa.Table.from_batches(held).combine_chunks())
-                held = [batch]
-        if held:
-            yield flush(pa.Table.from_batches(held).combine_chunks())
-
-    out = rows.mapInArrow(run, "ca long, cb long, a long, b long, m long").distinct().join(tried, ["a", "b"], "left_anti")
-    if best:
-        sides = F.explode(F.array("ca", "cb")).alias("c")
-        out = out.select(sides, "a", "b", "m").groupBy("c").agg(F.max_by(F.struct("a", "b"), F.struct("m", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b")
-    return out.select("a", "b").distinct()
+             .filter("lo < hi").select("band", F.ceil(F.col("n") / TILE).cast("long").alias("blocks")))
+    tile = ["band", "x", "y"]
+    rows = (rows.join(mixed, "band").join(texts.select("doc_id", "n_shingles", "sig"), "doc_id")
+            .withColumn("mine", F.pmod(F.xxhash64("doc_id", "band"), F.col("blocks")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            .select("band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "doc_id", "component", "n_shingles", "sig"))
+
+    def open_rows(batches):
+        """The documents of a tile that have a surviving pair there."""
+        for table, groups in whole_groups(batches, 3):
+            some = np.zeros(len(table), bool)
+            for lo, hi in groups:
+                i, j, _ = _tile_pairs(table, lo, hi, share, miss)
+                some[lo + i] = some[lo + j] = True
+            yield from table.filter(pa.array(some)).to_batches()
+
+    rows = rows.repartition(*tile).sortWithinPartitions(*tile)
+    rows = rows.mapInArrow(open_rows, rows.schema)
+    rows = rows.join(texts.select("doc_id", "text"), "doc_id").select(*tile, "mine", "doc_id", "component", "n_shingles", "sig", "text")
+
+    def verified(batches):
+        for table, groups in whole_groups(batches, 3):
+            links = []
+            for lo, hi in groups:
+                i, j, m = _tile_pairs(table, lo, hi, share, miss)
+                if not len(i):
+                    continue
+                ids, comp = (table.column(c).to_numpy()[lo:hi] for c in (4, 5))
+                sets = list(shingle_sets(_as_bytes(table.column(8).slice(lo, hi - lo).combine_chunks())))
+                # what a link found here has joined needs no further test
+                leader = {c: c for c in comp.tolist()}
+
+                def lead(c):
+                    while leader[c] != c:
+                        leader[c] = c = leader[leader[c]]
+                    return c
+
+                for k in np.argsort(-m, kind="stable").tolist():
+                    p, q = lead(int(comp[i[k]])), lead(int(comp[j[k]]))
+                    if p != q and linked(sets[i[k]], sets[j[k]], share):
+                        leader[max(p, q)] = min(p, q)
+                        links.append((ids[i[k]], ids[j[k]]))
+            yield pa.RecordBatch.from_arrays([pa.array([l[c] for l in links], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return rows.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(verified, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, share: int = SHARE, miss: float = MISS) -> DataFrame:
@@ -255,29 +250,14 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, miss: float = MISS) ->
     shared = stash(bands.join(several, "band"), "shared")
     needed = shared.select("doc_id").distinct()
     texts = stash(filled.select("doc_id", "sig", "n_shingles").join(needed, "doc_id", "left_semi").join(docs, "doc_id"), "texts")
-    sigs = texts.select("doc_id", "sig", "n_shingles")
-
-    tried = stash(
-        shared.filter("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("n"))
-        .groupBy("doc_id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b"))
-        .select(F.col("b").alias("a"), F.col("doc_id").alias("b")), "tried")
-    edges = stash(_verified(tried.select(F.col("b").alias("a"), F.col("a").alias("b")), texts, share, miss), "links")
-    labels, best = components(edges), True
-    while True:
-        more = stash(_open_pairs(shared, labels, sigs, tried, best, share, miss), "tried")
-        joined = None
-        if not more.isEmpty():
-            joined = stash(_verified(more, texts, share, miss), "links")
-            tried = tried.unionByName(more)
-            if joined.isEmpty():
-                joined = None
-            else:
-                edges = edges.unionByName(joined)
-                labels = components(edges)
-        if not best:
-            break
-        # each round of best pairs at least halves the components that still join
-        best = joined is not None
+    # each document with the smallest of the band it shares most often
+    tried = (shared.filter("doc_id <> pivot").groupBy("doc_id", "pivot").agg(F.count("*").alias("n"))
+             .groupBy("doc_id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b")).select(F.col("doc_id").alias("a"), "b"))
+    edges = stash(_verified(tried, texts, share, miss), "links")
+    labels = components(edges)
+    more = stash(_open_links(shared, labels, texts, share, miss), "links")
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
     found = (classes.distinct().join(labels.withColumnRenamed("node", "rep"), "rep", "left")
              .select("doc_id", F.coalesce("component", "rep").alias("found")))
     # a repeated doc_id with different texts belongs to both classes; its smallest component holds

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from skytally.lineage import stash
 from skytally.llm.components import components
+from skytally.llm.tiles import whole_groups
 
 THRESHOLD = 0.95
 STEP = 2.0
@@ -49,7 +50,8 @@ def plan(vectors: int, threshold: float = THRESHOLD, recall: float = RECALL) ->
     return projections, math.ceil(math.log(1 - recall) / math.log(1 - near**projections))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
@@ -93,36 +95,14 @@ def _tiles(rows: DataFrame, tables: int, threshold: float) -> DataFrame:
         return node[told], links[told].astype(np.int64), low[told]
 
     def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def flush(data: pa.Table):
-            t, b, x, y, mine, node, copies = (data.column(c).to_numpy() for c in range(7))
-            codes, unit = _matrix(data.column(7).combine_chunks()), _unit(_matrix(data.column(8).combine_chunks()))
-            new = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (b[1:] != b[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-            found = [one(t[lo], (x[lo], y[lo]), mine[lo:hi], node[lo:hi], copies[lo:hi], codes[lo:hi], unit[lo:hi])
-                     for lo, hi in zip(new, np.r_[new[1:], len(t)]) if hi - lo > 1]
+        for data, groups in whole_groups(batches, 4):
+            x, y, mine, node, copies = (data.column(c).to_numpy() for c in range(2, 7))
+            t = data.column(0).to_numpy()
+            codes, unit = _matrix(data.column(7)), _unit(_matrix(data.column(8)))
+            found = [one(t[lo], (x[lo], y[lo]), mine[lo:hi], node[lo:hi], copies[lo:hi], codes[lo:hi], unit[lo:hi]) for lo, hi in groups]
             found = [f for f in found if f is not None]
             cols = [np.concatenate([f[c] for f in found]) if found else np.zeros(0, np.int64) for c in range(3)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "links", "other"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = [batch.column(c).to_numpy() for c in range(4)]
-            differs = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in keys]))
-            start = int(differs[-1]) + 1 if len(differs) else 0
-            goes_on = held and all(held[-1].column(c)[held[-1].num_rows - 1].as_py() == k[0] for c, k in enumerate(keys))
-            if start == 0 and not goes_on:
-                if held:
-                    yield flush(pa.Table.from_batches(held))
-                held = [batch]
-            elif start == 0:
-                held.append(batch)
-            else:
-                yield flush(pa.Table.from_batches([*held, batch.slice(0, start)]))
-                held = [batch.slice(start)]
-        if held:
-            yield flush(pa.Table.from_batches(held))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["node", "links", "other"])
 
     return rows.mapInArrow(run, "node long, links long, other long")
 
