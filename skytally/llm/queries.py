@@ -11,6 +11,7 @@ from skytally.llm.language import language_of
 from skytally.llm.minhash import near_duplicates
 from skytally.llm.mixing import mix_sizes
 from skytally.llm.neighbours import near_vectors
+from skytally.llm.quality import quality_of
 from skytally.llm.sharding import sharded
 from skytally.llm.urls import judge
 
@@ -97,6 +98,11 @@ def op7(spark, sf_dir):
     return sharded(read(spark, sf_dir, "documents")).select("doc_id", "shard_id", "shard_depth", "shard_page", "shard_bytes", "shard_docs")
 
 
+@query("op8_quality_classifier")
+def op8(spark, sf_dir):
+    return quality_of(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 @query("op9_url_filters", sql=r"""
 WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM r),
