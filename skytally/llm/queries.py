@@ -14,6 +14,7 @@ from skytally.llm.neighbours import near_vectors
 from skytally.llm.quality import quality_of
 from skytally.llm.sharding import sharded
 from skytally.llm.urls import judge
+from skytally.llm.warc import round_trip
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,6 +57,15 @@ def op4(spark, sf_dir):
     return near_vectors(read(spark, sf_dir, "embeddings"))
 
 
+@query("op5_warc", sql="""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT p.*, CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id > first THEN first END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)""")
+def op5(spark, sf_dir):
+    return round_trip(read(spark, sf_dir, "pages"))
+
+
 @query("op6_mixing", sql=r"""
 WITH sized AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
