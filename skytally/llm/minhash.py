@@ -238,7 +238,8 @@ def near_duplicates(docs: DataFrame, share: int = SHARE, miss: float = MISS) ->
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prof = stash(profiles(docs), "profiles")
     filled = prof.filter("n_shingles > 0 and doc_id is not null")
-    classes = filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"))
+    # written first, so that a class with very many copies can be split in the join
+    classes = stash(filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     classes = stash(filled.select("doc_id", "f1", "f2", "n_shingles").join(classes, ["f1", "f2", "n_shingles"]).select("doc_id", "rep"), "classes")
     reps = classes.filter("doc_id = rep").select("doc_id").distinct()
     reps = filled.select("doc_id", "sig").join(reps, "doc_id", "left_semi")

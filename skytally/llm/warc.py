@@ -109,9 +109,9 @@ def described(pages: DataFrame) -> DataFrame:
     page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     page = page.withColumn("page_bytes", F.length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    # only payloads that occur twice are looked up
-    first = (page.filter((F.col("page_bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("digest")
-             .agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last").select("digest", "first"))
+    # only payloads that occur twice are looked up; written first, so that one with very many pages can be split in the join
+    first = stash(page.filter((F.col("page_bytes") >= REVISIT_BYTES) & F.col("page_id").isNotNull()).groupBy("digest")
+             .agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).filter("first < last").select("digest", "first"), "first")
     page = page.join(first, "digest", "left").withColumn("refers_to", F.when(F.col("page_id") > F.col("first"), F.col("first")))
     return page.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).otherwise(F.lit(b"")).alias("payload"), "digest", "page_bytes", "refers_to")
 
