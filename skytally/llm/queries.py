@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skytally.llm.decontaminate import leaks
 from skytally.llm.language import language_of
+from skytally.llm.lines import fuzzy_lines
 from skytally.llm.minhash import near_duplicates
 from skytally.llm.mixing import mix_sizes
 from skytally.llm.neighbours import near_vectors
@@ -38,6 +39,11 @@ def op1(spark, sf_dir):
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+@query("op2_line_dedup")
+def op2(spark, sf_dir):
+    return fuzzy_lines(read(spark, sf_dir, "documents"))
+
+
 @query("op3_language_id")
 def op3(spark, sf_dir):
     return language_of(read(spark, sf_dir, "documents"))
