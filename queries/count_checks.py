@@ -349,5 +349,5 @@ def _(spark, sf):
     rr = c.populations.where("catalog = 'R0'").select(
         "corr_id", "zbin", "pix", "n", F.explode(F.array(F.lit(1), F.lit(2))).alias("side"))
     parts = E.jackknife_regions(M.mean_share(rr, ["corr_id", "zbin"]), REGIONS, ["corr_id", "zbin"])
-    sig = E.jackknife(E.leave_one_out(c.counts, c.populations, c.terms, parts, REGIONS, ["corr_id", "zbin"]), c.terms, ["corr_id", "zbin"])
+    sig = E.jackknife(E.leave_one_out(c.counts, c.populations, c.terms, parts, REGIONS, ["corr_id", "zbin"], c.edges), c.terms, ["corr_id", "zbin"])
     return C.correlation_summary(sig, c.populations, corrs, ZBINS)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -50,21 +51,27 @@ def distance_table(spark: SparkSession, z_max: float, step: float = 0.001,
     )
 
 
-def with_distance(df: DataFrame, z: str = "z", z_max: float = 5.0, step: float = 0.001,
+def with_distance(df: DataFrame, z: str = "z", z_max: float | None = None, step: float = 0.001,
                   cosmo: Cosmology = Cosmology(), name: str = "d_c") -> DataFrame:
     """Attach the comoving distance of each row's redshift, linear between grid points.
 
     Grid points are found by their whole number, so this is an equi-join with a
-    table of ``z_max/step`` rows. Redshifts outside the grid are clamped to it.
+    table of ``z_max/step`` rows. The grid reaches the largest redshift of the rows, which
+    is looked up once unless ``z_max`` tells it; a redshift that is missing, negative, not
+    finite or beyond a given ``z_max`` has no distance.
     """
     spark = df.sparkSession
+    sound = col(z).isNotNull() & ~F.isnan(col(z)) & (col(z) >= 0) & (col(z) < F.lit(float("inf")))
+    if z_max is None:
+        z_max = step * math.ceil((df.agg(F.max(F.when(sound, col(z)))).first()[0] or 0.0) / step + 1)
     t = distance_table(spark, z_max, step, cosmo)
     nxt = t.select((F.col("i") - 1).alias("i"), F.col("d_c").alias("_d1"))
     seg = t.select("i", F.col("d_c").alias("_d0")).join(nxt, "i", "left")
     last = int(round(z_max / step))
-    pos = F.least(F.greatest(col(z) / F.lit(step), F.lit(0.0)), F.lit(float(last)))
+    # a missing position keeps its row, spread over the grid rather than under one key
+    pos = F.when(sound & (col(z) / F.lit(step) <= F.lit(last + 1e-9)), F.least(col(z) / F.lit(step), F.lit(float(last))))
     d = df.withColumn("_pos", pos)
-    d = d.withColumn("_i", F.floor("_pos").cast("long"))
+    d = d.withColumn("_i", F.coalesce(F.floor("_pos"), F.floor(F.rand(0) * F.lit(last + 1))).cast("long"))
     j = d.join(seg.withColumnRenamed("i", "_i"), "_i", "left")
     frac = F.col("_pos") - F.col("_i")
     val = F.col("_d0") + frac * (F.coalesce("_d1", "_d0") - F.col("_d0"))

@@ -34,17 +34,20 @@ def stack_pdz(df: DataFrame, pdz: str, step: float, lo: float = 0.0, keys=(), sp
               spec_sigma: float = 0.01) -> DataFrame:
     """``*keys, i, x, y``: sum of each row's curve divided by its own area.
 
-    Rows with a value in ``specz`` add a narrow normal density instead. A curve of
-    zero area adds nothing.
+    Rows with a value in ``specz`` add a narrow normal density instead, whether they have a
+    curve or not. A curve of zero area adds nothing.
     """
-    d = df.withColumn("_area", trapz_even(F.col(pdz), step))
-    cols = [*keys, "_area", *([specz] if specz else [])]
-    d = d.select(*cols, F.posexplode(pdz).alias("i", "p"))
     x = F.lit(float(lo)) + F.col("i") * F.lit(step)
-    y = F.try_divide(F.col("p").cast("double"), F.col("_area"))
+    d = df.withColumn("_area", trapz_even(F.col(pdz), step))
+    own = d.where(F.col(specz).isNull()) if specz else d
+    s = own.select(*keys, "_area", F.posexplode(pdz).alias("i", "p")).select(*keys, "i", F.try_divide(F.col("p").cast("double"), F.col("_area")).alias("y"))
     if specz:
-        y = F.when(F.col(specz).isNotNull(), gauss(x, F.col(specz), F.lit(spec_sigma))).otherwise(y)
-    s = d.select(*keys, "i", y.alias("y")).groupBy(*keys, "i").agg(F.sum("y").alias("y"))
+        # the grid is that of the longest curve, also for rows that have none themselves
+        points = df.agg(F.max(F.size(pdz)).alias("n")).select(F.greatest("n", F.lit(0)).alias("n")).scalar()
+        narrow = df.where(F.col(specz).isNotNull()).select(*keys, F.col(specz).alias("_s"), points.alias("_n")).where("_n > 0")
+        narrow = narrow.select(*keys, "_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("i"))
+        s = s.unionByName(narrow.select(*keys, "i", gauss(x, F.col("_s"), F.lit(spec_sigma)).alias("y")))
+    s = s.groupBy(*keys, "i").agg(F.sum("y").alias("y"))
     return s.select(*keys, "i", x.alias("x"), "y")
 
 
@@ -61,44 +64,39 @@ def normalize_curve(curve: DataFrame, keys) -> DataFrame:
         "y", F.try_divide(F.col("y"), F.col("area"))).drop("area")
 
 
-def one_key(c: str) -> Column:
-    """The same key for every row, as an expression of a number.
+NODES = 256
 
-    A literal on both sides would turn the equi-join into a nested loop.
-    """
-    return F.floor(F.coalesce(F.col(c), F.lit(0.0)) * F.lit(0.0)).cast("long")
+
+def sorted_place(array: str, q: Column) -> Column:
+    """How many elements of a sorted array lie at or below ``q``, less one: the segment that holds it."""
+    return F.greatest(F.size(F.filter(F.col(array), lambda v: v <= q)) - 1, F.lit(0))
 
 
 def interp(df: DataFrame, x: str, curve: DataFrame, key: str = "curve_id", name: str = "y") -> DataFrame:
     """Value of each row's curve at ``x``, linear between nodes and flat beyond the ends.
 
-    ``df`` carries the curve's key. Segments are laid out on a lattice as fine as the
-    curve's mean spacing, and rows meet their segment by an equi-join on the lattice
-    cell, so no range join is planned.
+    ``df`` carries the curve's key. A curve is cut into blocks of 256 nodes by rank, whatever
+    their spacing. A row finds its block among the curve's block starts (one short
+    array for each curve) and joins it by curve and block; in the block's array
+    it meets the one segment that holds it.
     """
-    span = curve.groupBy(key).agg(
-        F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.count(F.lit(1)).alias("_n"))
-    span = span.select(key, "_x0", "_x1", F.try_divide(
-        F.col("_x1") - F.col("_x0"), F.greatest(F.col("_n") - 1, F.lit(1))).alias("_w"))
-    cell = lambda c: F.coalesce(F.floor(F.try_divide(c - F.col("_x0"), F.col("_w"))), F.lit(0)).cast("long")
-    w = W.partitionBy(key).orderBy("x")
-    seg = curve.select(
-        key, F.col("x").alias("_a"), F.col("y").alias("_ya"),
-        F.lead("x").over(w).alias("_b"), F.lead("y").over(w).alias("_yb"))
-    seg = seg.join(span, key)
-    # the last node closes the curve: a segment of no width
-    seg = seg.withColumns({"_end": F.col("_b").isNull(), "_b": F.coalesce("_b", "_a"), "_yb": F.coalesce("_yb", "_ya")})
-    seg = seg.select(key, "_a", "_ya", "_b", "_yb", "_end",
-                     F.explode(F.sequence(cell(F.col("_a")), cell(F.col("_b")))).alias("_cell"))
-    d = df.join(span, key, "left")
-    d = d.withColumn("_q", F.greatest(F.col("_x0"), F.least(F.col("_x1"), F.col(x))))
-    d = d.withColumn("_cell", cell(F.col("_q"))).alias("d")
-    s = seg.alias("s")
-    on = (
-        (F.col(f"d.{key}") == F.col(f"s.{key}")) & (F.col("d._cell") == F.col("s._cell"))
-        & (F.col("d._q") >= F.col("s._a"))
-        & ((F.col("d._q") < F.col("s._b")) | (F.col("s._end") & (F.col("d._q") == F.col("s._a"))))
-    )
-    part = F.coalesce(F.try_divide(F.col("d._q") - F.col("s._a"), F.col("s._b") - F.col("s._a")), F.lit(0.0))
-    value = F.col("s._ya") + part * (F.col("s._yb") - F.col("s._ya"))
-    return d.join(s, on, "left").select(*[F.col(f"d.{c}") for c in df.columns], value.alias(name))
+    by = W.partitionBy(key).orderBy("x")
+    nodes = curve.select(key, "x", "y", F.floor((F.row_number().over(by) - 1) / NODES).cast("int").alias("_block"),
+                         F.lead("x").over(by).alias("_nx"), F.lead("y").over(by).alias("_ny"))
+    # the first node of the next block closes a block
+    blocks = nodes.groupBy(key, "_block").agg(
+        F.array_sort(F.collect_list(F.struct("x", "y"))).alias("_p"), F.min("x").alias("_b0"),
+        F.max(F.struct("x", "_nx", "_ny")).alias("_e"))
+    closing = F.when(F.col("_e._nx").isNotNull(), F.array(F.struct(F.col("_e._nx").alias("x"), F.col("_e._ny").alias("y")))).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+    plain = F.transform("_p", lambda v: F.struct(v.x.cast("double").alias("x"), v.y.cast("double").alias("y")))
+    blocks = blocks.select(key, "_block", "_b0", F.concat(plain, F.transform(closing, lambda v: F.struct(v.x.cast("double").alias("x"), v.y.cast("double").alias("y")))).alias("_p"))
+    starts = blocks.groupBy(key).agg(F.array_sort(F.collect_list("_b0")).alias("_starts"))
+    d = df.join(starts, key, "left").withColumn("_block", sorted_place("_starts", F.col(x).cast("double"))).drop("_starts")
+    d = d.join(blocks.drop("_b0"), [key, "_block"], "left")
+    q = F.greatest(F.element_at("_p", 1)["x"], F.least(F.element_at("_p", -1)["x"], F.col(x).cast("double")))
+    at = F.greatest(F.size(F.filter("_p", lambda v: v.x <= F.col("_q"))), F.lit(1))
+    d = d.withColumn("_q", q).withColumn("_at", at)
+    d = d.withColumn("_a", F.try_element_at("_p", F.col("_at"))).withColumn("_b", F.coalesce(F.try_element_at("_p", F.col("_at") + 1), F.col("_a")))
+    part = F.coalesce(F.try_divide(F.col("_q") - F.col("_a.x"), F.col("_b.x") - F.col("_a.x")), F.lit(0.0))
+    value = F.col("_a.y") + part * (F.col("_b.y") - F.col("_a.y"))
+    return d.select(*df.columns, F.when(F.col(x).isNotNull(), value).alias(name))

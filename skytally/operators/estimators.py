@@ -9,10 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .counts import difference_edges
-
-# pixels per jackknife fold that are ordered in one group: all of nside 128
-MOST_PIXELS = 12 * 128 * 128
+from ..lineage import cut
 
 
 def expand_terms(corrs: DataFrame) -> DataFrame:
@@ -46,12 +43,15 @@ def estimate(signals: DataFrame, terms: DataFrame, keys) -> DataFrame:
     """``*keys, bin_idx, w, rr`` from normalised term signals.
 
     ``signals`` has ``*keys, term, bin_idx, signal``; keys include ``corr_id``.
-    Autocorrelations have one mixed term, cross-correlations two.
+    Autocorrelations have one mixed term that counts twice, cross-correlations two. A
+    term without a row has no pairs and counts as 0; without random pairs w is NULL.
     """
-    s = signals.join(terms.select("corr_id", "term", "role"), ["corr_id", "term"])
-    pick = lambda r: F.max(F.when(F.col("role") == r, F.col("signal"))).alias(r)
-    g = s.groupBy(*keys, "bin_idx").agg(pick("dd"), pick("dr"), pick("rd"), pick("rr"))
-    rd = F.coalesce("rd", "dr")
+    kinds = terms.groupBy("corr_id").agg(F.bool_or(F.col("role") == "rd").alias("crossed"))
+    s = signals.join(terms.select("corr_id", "term", "role"), ["corr_id", "term"]).join(kinds, "corr_id")
+    pick = lambda r: F.max(F.when(F.col("role") == r, F.col("signal")))
+    none = lambda r: F.coalesce(pick(r), F.lit(0.0)).alias(r)
+    g = s.groupBy(*keys, "bin_idx").agg(none("dd"), none("dr"), none("rd"), pick("rr").alias("rr"), F.bool_or("crossed").alias("crossed"))
+    rd = F.when(F.col("crossed"), F.col("rd")).otherwise(F.col("dr"))
     return g.select(*keys, "bin_idx", landy_szalay_cross(F.col("dd"), F.col("dr"), rd, F.col("rr")).alias("w"), "rr")
 
 
@@ -60,7 +60,8 @@ def jackknife_regions(shares: DataFrame, num: int = 16, keys=()) -> DataFrame:
 
     The largest pixels seed the regions, then the smallest remaining pixel goes to
     the lightest region (the first of equals). ``shares`` has one row per occupied
-    pixel, a number fixed by nside. Too few pixels, or too many, are an error.
+    pixel, a number that nside bounds, whatever the size of the catalogs; to deal larger
+    parts of the sky count at a lower nside. Too few pixels are an error.
     """
     keys = list(keys)
     kinds = dict(shares.dtypes)
@@ -68,8 +69,6 @@ def jackknife_regions(shares: DataFrame, num: int = 16, keys=()) -> DataFrame:
     def deal(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < num:
             raise ValueError(f"asked for {num} regions but only {len(pdf)} pixels have data")
-        if len(pdf) > MOST_PIXELS:
-            raise ValueError("too many pixels to deal; count at a lower nside")
         pdf = pdf.sort_values(["share", "pix"]).reset_index(drop=True)
         share = pdf["share"].to_numpy()
         region = [0] * len(pdf)
@@ -106,9 +105,11 @@ def _without_each(sums: DataFrame, keys, num: int, name: str) -> DataFrame:
 
 
 def leave_one_out(counts: DataFrame, populations: DataFrame, terms: DataFrame, regions: DataFrame,
-                  num: int, keys) -> DataFrame:
+                  num: int, keys, edges: int) -> DataFrame:
     """Signals with each region left out: ``*keys, term, region, bin_idx, signal``; region -1 keeps all.
 
+    Every term with objects on both sides has a row for each of the ``edges`` - 1 angles, also where no pair is left.
+
     ``counts`` has ``*keys, term, pix1, pix2, edge_idx, n``, ``populations`` has ``*keys,
     catalog, pix, n``, ``regions`` has ``*keys, pix, region``. One pass over the counts:
     the pairs that touch a region are taken off the total.
@@ -123,19 +124,35 @@ def leave_one_out(counts: DataFrame, populations: DataFrame, terms: DataFrame, r
         .groupBy(*keys, "term", "edge_idx", "region").agg(F.sum("n").alias("n"))
     )
     left = _without_each(sums, [*keys, "term", "edge_idx"], num, "n")
-    d = difference_edges(left, [*keys, "term", "region"])
 
     p = populations.join(r, [*keys, "pix"], "left")
     p = p.select(*keys, "catalog", "n", F.explode(F.array_compact(F.array(F.lit(-1), F.col("region")))).alias("region"))
     psum = p.groupBy(*keys, "catalog", "region").agg(F.sum("n").alias("n"))
     pop = _without_each(psum, [*keys, "catalog"], num, "pop")
-    d = d.join(terms.select("corr_id", "term", "first", "second"), ["corr_id", "term"])
-    for i, side in enumerate(("first", "second"), 1):
-        d = d.join(pop.withColumnsRenamed({"catalog": side, "pop": f"pop{i}"}), [*keys, side, "region"])
+    d = with_populations(terms, pop, [*keys, "region"])
+    d = with_pairs(d, left, [*keys, "term", "region"], edges)
     norm = F.col("pop1").cast("double") * F.col("pop2")
     return d.select(*keys, "term", "region", "bin_idx", F.try_divide(F.col("pairs").cast("double"), norm).alias("signal"))
 
 
+def with_populations(terms: DataFrame, pop: DataFrame, keys) -> DataFrame:
+    """``*keys, term, pop1, pop2`` of each term whose two catalogs have objects under the same keys.
+
+    ``pop`` has ``*keys, catalog, pop``; keys include ``corr_id``.
+    """
+    d = terms.select("corr_id", "term", "first", "second").join(pop.withColumnsRenamed({"catalog": "first", "pop": "pop1"}), ["corr_id", "first"])
+    return d.join(pop.withColumnsRenamed({"catalog": "second", "pop": "pop2"}), [*keys, "second"]).select(*keys, "term", "pop1", "pop2")
+
+
+def with_pairs(known: DataFrame, sums: DataFrame, keys, edges: int) -> DataFrame:
+    """``known`` with ``bin_idx, pairs`` for each angle; counts that ``sums`` (``*keys, edge_idx, n``) lacks are 0."""
+    grid = known.select("*", F.explode(F.sequence(F.lit(0), F.lit(edges - 1))).alias("edge_idx"))
+    full = grid.join(sums, [*keys, "edge_idx"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    before = F.lag("n").over(W.partitionBy(*keys).orderBy("edge_idx"))
+    d = full.withColumn("pairs", F.col("n") - before).where("pairs is not null")
+    return d.withColumn("bin_idx", F.col("edge_idx") - 1).drop("edge_idx", "n")
+
+
 def jackknife(loo: DataFrame, terms: DataFrame, keys) -> DataFrame:
     """``*keys, bin_idx, w, err, w_mean, w_std`` from :func:`leave_one_out` signals.
 
@@ -178,29 +195,50 @@ def positive_points(signals: DataFrame) -> DataFrame:
     return signals.where("w > 0").withColumn("err", F.when(F.col("err") == 0, F.lit(1.0)).otherwise(F.col("err")))
 
 
+MOVES = 40
+
+
+def _tried(points: DataFrame, keys, num: int, step: float) -> DataFrame:
+    """``*keys, b``: the best of ``num`` exponents from ``k0`` on, as ``sse, k, a, i``; points have ``x, y, g, k0``."""
+    q = points.select(*keys, "x", "y", "g", "k0", F.explode(F.sequence(F.lit(0), F.lit(num - 1))).alias("i"))
+    q = q.withColumn("k", F.col("k0") + F.col("i") * F.lit(step))
+    t = F.pow("x", "k")
+    s = q.groupBy(*keys, "k", "i").agg(
+        F.sum(F.col("g") * F.col("y") * t).alias("sxy"), F.sum(F.col("g") * t * t).alias("sxx"),
+        F.sum(F.col("g") * F.col("y") * F.col("y")).alias("syy"))
+    a = F.try_divide(F.col("sxy"), F.col("sxx"))
+    s = s.select(*keys, "k", "i", a.alias("a"), (F.col("syy") - a * F.col("sxy")).alias("sse"))
+    # powers that overflow are no fit
+    s = s.where(F.col("sse").isNotNull() & ~F.isnan("sse"))
+    return s.groupBy(*keys).agg(F.min(F.struct("sse", "k", "a", "i")).alias("b"))
+
+
 def fit_power_law(points: DataFrame, keys, x: str = "theta", k_lo: float = -3.0, k_hi: float = 1.0,
                   num: int = 81, passes: int = 3) -> DataFrame:
     """Least-squares ``w = a * x**k`` per key: ``*keys, a, k, sse``.
 
     For a given exponent the amplitude is a ratio of sums, so a grid of exponents
-    is tried in one aggregation and then refined round the best one.
+    is tried in one aggregation. ``k_lo`` and ``k_hi`` are where it starts: while the best
+    exponent of a key lies on the edge of its grid, that key's grid moves on by its width. Then it is
+    refined round the best one. A fit that still improves after 40 moves (data of which no
+    power is the best) keeps its last exponent.
     """
     keys = list(keys)
     p = points.select(*keys, F.col(x).alias("x"), F.col("w").alias("y"), (F.lit(1.0) / (F.col("err") * F.col("err"))).alias("g"))
     step = (k_hi - k_lo) / (num - 1)
-    start, best = None, None
-    for _ in range(passes):
-        base = F.lit(k_lo) if start is None else F.col("k0")
-        q = p if start is None else p.join(start, keys)
-        q = q.select(*keys, "x", "y", "g", base.alias("k0"), F.explode(F.sequence(F.lit(0), F.lit(num - 1))).alias("i"))
-        q = q.withColumn("k", F.col("k0") + F.col("i") * F.lit(step))
-        t = F.pow("x", "k")
-        s = q.groupBy(*keys, "k").agg(
-            F.sum(F.col("g") * F.col("y") * t).alias("sxy"), F.sum(F.col("g") * t * t).alias("sxx"),
-            F.sum(F.col("g") * F.col("y") * F.col("y")).alias("syy"))
-        a = F.try_divide(F.col("sxy"), F.col("sxx"))
-        s = s.select(*keys, "k", a.alias("a"), (F.col("syy") - a * F.col("sxy")).alias("sse"))
-        best = s.groupBy(*keys).agg(F.min(F.struct("sse", "k", "a")).alias("b"))
+    best = cut(_tried(p.withColumn("k0", F.lit(float(k_lo))), keys, num, step))
+    for _ in range(MOVES):
+        on_edge = F.col("b.i").isin(0, num - 1)
+        moved = best.where(on_edge).select(*keys, F.when(F.col("b.i") == 0, F.col("b.k") - F.lit(k_hi - k_lo)).otherwise(F.col("b.k")).alias("k0"))
+        if moved.isEmpty():
+            break
+        again = _tried(p.join(moved, keys), keys, num, step)
+        # settled where the shared exponent stays the best
+        again = again.join(best.select(*keys, F.col("b.k").alias("was")), keys)
+        again = again.withColumn("b", F.when(F.abs(F.col("b.k") - F.col("was")) < step / 2, F.col("b").withField("i", F.lit(1))).otherwise(F.col("b")))
+        best = cut(best.where(~on_edge).unionByName(again.select(*keys, "b")))
+    for _ in range(passes - 1):
         start = best.select(*keys, (F.col("b.k") - F.lit(step)).alias("k0"))
         step = 2.0 * step / (num - 1)
+        best = _tried(p.join(start, keys), keys, num, step)
     return best.select(*keys, "b.a", "b.k", "b.sse")

@@ -68,7 +68,7 @@ def seed_pixels(spark: SparkSession, nside: int, seeds=FIELD_CENTRES) -> DataFra
         "field", ang2pix(nside, "ra", "dec").alias("pix"))
 
 
-def connected_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def connected_labels(edges: DataFrame) -> DataFrame:
     """``pix, label``: the lowest pixel of each connected part of ``pix, near``.
 
     Alternating star contraction (Kiveris et al. 2014): the number of rounds grows
@@ -76,7 +76,7 @@ def connected_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     e = cut(edges.where("pix > near").select(F.col("pix").alias("u"), F.col("near").alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
+    while True:
         # large star: point every larger neighbour at the smallest one
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -91,8 +91,6 @@ def connected_labels(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if state == before:
             break
         before = state
-    else:
-        raise RuntimeError("contraction did not settle")
     return e.select(F.col("u").alias("pix"), F.col("v").alias("label"))
 
 

@@ -6,39 +6,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import chord, with_unit_vector
-from ..functions.healpix import with_pixel
 from ..lineage import cut
-from .pairs import GRID_BITS, CellTree, Side, both_ways, leaf_objects, meet_cells, opened_pairs, pending, pixel_pairs, point_distance_sq, reach
+from .pairs import GRID_BITS, CellTree, Side, first_shift, leaf_objects, meet_cells, opened_pairs, pending, point_distance_sq
 
-NSIDE = 32
 MATCH_LEAF = 32
 FIRST_SHIFT = GRID_BITS - 8
+_AXIS = 1 << 20
 
 
-def _located(df: DataFrame, ra: str, dec: str) -> DataFrame:
-    d = df.where(F.col(ra).isNotNull() & F.col(dec).isNotNull())
-    return with_unit_vector(with_pixel(d, NSIDE, ra, dec), ra, dec)
+def _located(df: DataFrame, ra: str, dec: str, shift: int) -> DataFrame:
+    """Rows with a position, their unit vector, and the cube of space (``pix``) that holds it."""
+    d = with_unit_vector(df.where(F.col(ra).isNotNull() & F.col(dec).isNotNull()), ra, dec)
+    side = float(2 ** GRID_BITS)
+    axis = lambda c: F.shiftright(F.floor((F.col(c) + 1.0) * side).cast("long"), shift)
+    return d.withColumn("pix", (axis("x") * _AXIS + axis("y")) * _AXIS + axis("z"))
+
+
+def _near_cubes(left: DataFrame, right: DataFrame) -> DataFrame:
+    """``pix1, pix2``: occupied cubes of both sides that are equal or touch."""
+    steps = [(i * _AXIS + j) * _AXIS + k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+    pairs = left.select("pix").distinct().select(F.col("pix").alias("pix1"), F.explode(F.array(*[F.col("pix") + F.lit(s) for s in steps])).alias("pix2"))
+    return pairs.join(right.select(F.col("pix").alias("pix2")).distinct(), "pix2", "left_semi").select("pix1", "pix2")
 
 
 def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, l_ra="ra", l_dec="dec",
             r_ra="ra", r_dec="dec", right_id="id") -> DataFrame:
-    """``x, y, z, match, dist`` for each left position with a right one within the radius.
+    """``x, y, z, match, dist, _rx, _ry, _rz`` for each left position with a right one within the radius.
 
     ``match`` is the closest right object (the lowest number on equal distance) and
-    ``dist`` the straight distance. Both sides are summed into cells; a pair of cells
+    ``dist`` the straight distance. Both sides are summed into cubes at least as wide as the
+    radius, which meet their up to 27 neighbours by an equi-join, so the cell pairs tried grow with the occupied cubes; a pair of cells
     is dropped when another right cell is certainly nearer, and crowded cells are
     split, so equal or crowded positions never meet pair by pair.
     """
     radius = chord(radius_arcsec / 3600.0)
-    if radius_arcsec / 3600.0 > reach(NSIDE):
-        raise ValueError("radius leaves the neighbour rings")
-    lp = _located(left, l_ra, l_dec).groupBy("pix", "x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
-    rp = _located(right, r_ra, r_dec).groupBy("pix", "x", "y", "z").agg(
+    shift = min(max(FIRST_SHIFT, first_shift(radius_arcsec / 3600.0) + 1), GRID_BITS + 1)
+    lp = _located(left, l_ra, l_dec, shift).groupBy("pix", "x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
+    rp = _located(right, r_ra, r_dec, shift).groupBy("pix", "x", "y", "z").agg(
         F.count(F.lit(1)).alias("n"), F.min(right_id).alias("rid")
     )
-    pairs = both_ways(pixel_pairs(left.sparkSession, NSIDE).select("pix1", "pix2"))
-    a = Side(CellTree(lp, [], FIRST_SHIFT, MATCH_LEAF), "1")
-    b = Side(CellTree(rp, [], FIRST_SHIFT, MATCH_LEAF), "2")
+    pairs = _near_cubes(lp, rp)
+    a = Side(CellTree(lp, [], shift, MATCH_LEAF), "1")
+    b = Side(CellTree(rp, [], shift, MATCH_LEAF), "2")
     limits = [radius * radius]
     while True:
         met = meet_cells(pairs, a, b, limits)
@@ -51,25 +60,33 @@ def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, l_ra="ra",
         a.tree.split()
         b.tree.split()
     j = leaf_objects(met.select("pix1", "pix2", "node1", "node2"), a, b, [], tasks)
-    j = j.select("p.x", "p.y", "p.z", "q.rid", point_distance_sq().alias("d2")).where(F.col("d2") < F.lit(limits[0]))
-    best = j.groupBy("x", "y", "z").agg(F.min(F.struct("d2", "rid")).alias("best"))
-    return best.select("x", "y", "z", F.col("best.rid").alias("match"), F.sqrt("best.d2").alias("dist"))
+    spot = F.struct(F.col("q.x").alias("_rx"), F.col("q.y").alias("_ry"), F.col("q.z").alias("_rz"))
+    j = j.select("p.x", "p.y", "p.z", "q.rid", point_distance_sq().alias("d2"), spot.alias("spot")).where(F.col("d2") < F.lit(limits[0]))
+    best = j.groupBy("x", "y", "z").agg(F.min(F.struct("d2", "rid", "spot")).alias("best"))
+    return best.select("x", "y", "z", F.col("best.rid").alias("match"), F.sqrt("best.d2").alias("dist"), "best.spot.*")
 
 
 def cross_match(left: DataFrame, right: DataFrame, radius_arcsec: float = 2.0, l_ra="ra", l_dec="dec",
                 r_ra="ra", r_dec="dec", suffix="_join", right_id="id", distance: str | None = None) -> DataFrame:
     """Every left row with the columns of its nearest right row within the radius.
 
-    Right columns take the suffix. Rows without a match get False in boolean
-    columns and NULL elsewhere. ``distance`` names an extra column for the chord.
+    Right columns take the suffix. Rows without a match, or without a position, get False in boolean
+    columns and NULL elsewhere. ``distance`` names an extra column for the chord. Of right
+    rows that share the matched number and position one is taken.
     """
     best = nearest(left, right, radius_arcsec, l_ra, l_dec, r_ra, r_dec, right_id)
     # matched positions take up the right columns first, so that left rows are joined
     # once, by position, and rows without a match never share a key
-    other = right.select(*[F.col(c).alias(c + suffix) for c in right.columns], F.col(right_id).alias("_match"))
     best = best.withColumnsRenamed({"x": "_x", "y": "_y", "z": "_z", "match": "_match", "dist": "_dist"})
-    best = best.join(other, "_match").drop("_match")
-    out = with_unit_vector(left, l_ra, l_dec, ("_x", "_y", "_z")).join(best, ["_x", "_y", "_z"], "left")
+    # a number that stands for several right rows is told apart by the matched position
+    spot = ["_match", "_rx", "_ry", "_rz"]
+    other = with_unit_vector(right.where(F.col(r_ra).isNotNull() & F.col(r_dec).isNotNull()), r_ra, r_dec, ("_rx", "_ry", "_rz"))
+    other = other.select(*[F.col(c).alias(c + suffix) for c in right.columns], F.col(right_id).alias("_match"), "_rx", "_ry", "_rz")
+    best = best.join(other.dropDuplicates(spot), spot).drop(*spot)
+    known = F.col(l_ra).isNotNull() & F.col(l_dec).isNotNull()
+    out = with_unit_vector(left.where(known), l_ra, l_dec, ("_x", "_y", "_z")).join(best, ["_x", "_y", "_z"], "left")
+    # rows without a position match nothing and stay out of the join
+    out = out.unionByName(left.where(~known), allowMissingColumns=True)
     cols = [F.col(c) for c in left.columns]
     for name, kind in right.dtypes:
         c = F.col(name + suffix)

@@ -10,12 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.cosmology import Cosmology, bessel_j0, hubble_over_c, with_distance
 from ..functions.scalars import grid_points
-from .curves import interp, one_key
+from .curves import interp, sorted_place
 
 
-# longest redshift grid of a theory table
-MOST_Z = 5000
-
 
 def trapezoid_weights(df: DataFrame, x: str, keys, name: str = "weight") -> DataFrame:
     """Each grid point's share of a trapezoid integral over ``x``."""
@@ -25,7 +22,7 @@ def trapezoid_weights(df: DataFrame, x: str, keys, name: str = "weight") -> Data
     return df.withColumn(name, (left + right) / F.lit(2.0))
 
 
-def k_integral_table(power: DataFrame, thetas_deg, cosmo: Cosmology = Cosmology(), z_max: float = 5.0) -> DataFrame:
+def k_integral_table(power: DataFrame, thetas_deg, cosmo: Cosmology = Cosmology(), z_max: float | None = None) -> DataFrame:
     """``z, t, theta, value``: integral over k of k P(z,k)/(2 pi^2) J0(k theta D(z)).
 
     ``power`` has ``z, k, p``. Weights of the integral are set before the angles are
@@ -45,16 +42,19 @@ def matter_power(df: DataFrame, power: DataFrame, z: str = "z", k: str = "k", na
 
     ``df`` needs a column ``id``. Values beyond the table take its edge.
     """
-    rows = power.select("z").distinct().withColumn("curve_id", one_key("z"))
-    order = W.partitionBy("curve_id").orderBy("z")
-    rows = rows.select("curve_id", F.col("z").alias("x"), (F.row_number().over(order) - 1).cast("double").alias("y"))
-    d = interp(df.withColumn("curve_id", one_key(z)), z, rows, name="_pos").drop("curve_id")
-    d = d.withColumns({"_lo": F.floor("_pos").cast("long"), "_hi": F.ceil("_pos").cast("long")})
-    number = rows.select(F.col("x").alias("z"), F.col("y").cast("long").alias("curve_id"))
-    curves = power.join(number, "z").select("curve_id", F.col("k").alias("x"), F.col("p").alias("y"))
-    d = interp(d.withColumn("curve_id", F.col("_lo")), k, curves, name="_plo").drop("curve_id")
-    d = interp(d.withColumn("curve_id", F.col("_hi")), k, curves, name="_phi").drop("curve_id")
-    value = F.col("_plo") + (F.col("_pos") - F.col("_lo")) * (F.col("_phi") - F.col("_plo"))
+    # the table's redshifts, one sorted array that every row searches by itself
+    rows = power.agg(F.array_sort(F.collect_set("z")).alias("zs")).scalar()
+    last = F.size("_zs") - 1
+    d = df.withColumn("_zs", rows)
+    q = F.least(F.greatest(F.col(z), F.element_at("_zs", 1)), F.element_at("_zs", -1))
+    d = d.withColumn("_q", q).withColumn("_at", sorted_place("_zs", F.col("_q")))
+    d = d.withColumns({"_z0": F.element_at("_zs", F.col("_at") + 1), "_z1": F.element_at("_zs", F.least(F.col("_at") + 1, last) + 1)}).drop("_zs", "_at")
+    part = F.coalesce(F.try_divide(F.col("_q") - F.col("_z0"), F.col("_z1") - F.col("_z0")), F.lit(0.0))
+    d = d.withColumn("_part", part).drop("_q")
+    curves = power.select(F.col("z").alias("curve_z"), F.col("k").alias("x"), F.col("p").alias("y"))
+    d = interp(d.withColumn("curve_z", F.col("_z0")), k, curves, key="curve_z", name="_plo").drop("curve_z")
+    d = interp(d.withColumn("curve_z", F.col("_z1")), k, curves, key="curve_z", name="_phi").drop("curve_z")
+    value = F.col("_plo") + F.col("_part") * (F.col("_phi") - F.col("_plo"))
     return d.select(*df.columns, value.alias(name))
 
 
@@ -65,16 +65,10 @@ def limber_model(pdz1: DataFrame, pdz2: DataFrame, k_table: DataFrame, keys, cos
     ``keys`` maps output rows to curves: a table ``*keys, curve1, curve2``.
     """
     names = [c for c in keys.columns if c not in ("curve1", "curve2")]
-    # the redshift grid of the table is a setting; a longer list is not a grid
-    zs = [r.z for r in k_table.select("z").distinct().orderBy("z").limit(MOST_Z + 1).collect()]
-    if len(zs) > MOST_Z:
-        raise ValueError("the table is not on a redshift grid")
-    last = len(zs) - 1
-    grid = F.array(*[
-        F.struct(F.lit(z).alias("z"), F.lit((zs[min(i + 1, last)] - zs[max(i - 1, 0)]) / 2.0).alias("weight"))
-        for i, z in enumerate(zs)
-    ])
-    g = keys.select(*keys.columns, F.explode(grid).alias("g")).select(*keys.columns, "g.z", "g.weight")
+    # rows are key sets x redshifts of the table; the grid comes as the value of a subquery
+    zs = trapezoid_weights(k_table.select("z").distinct().withColumn("grid", F.lit(0)), "z", ["grid"])
+    zs = zs.groupBy("grid").agg(F.array_sort(F.collect_list(F.struct("z", "weight"))).alias("zs"))
+    g = keys.select(*keys.columns, F.explode(zs.select("zs").scalar()).alias("g")).select(*keys.columns, "g.z", "g.weight")
     g = interp(g.withColumn("curve_id", F.col("curve1")), "z", pdz1, name="p1").drop("curve_id")
     g = interp(g.withColumn("curve_id", F.col("curve2")), "z", pdz2, name="p2").drop("curve_id")
     g = g.withColumn("c", F.lit(math.pi) * F.col("weight") * F.col("p1") * F.col("p2") * hubble_over_c("z", cosmo))
@@ -98,11 +92,12 @@ def bias_likelihood(points: DataFrame, keys, lo: float = 0.0, hi: float = 8.0, n
     g = g.withColumn("b", F.lit(lo) + F.col("i") * F.lit(step))
     b2 = F.col("b") * F.col("b")
     g = g.withColumn("chi2", F.col("ww") - F.lit(2.0) * b2 * F.col("wm") + b2 * b2 * F.col("mm"))
-    best = g.groupBy(*keys).agg(F.min("chi2").alias("least"))
-    g = g.join(best, keys).withColumn("l", F.exp((F.col("least") - F.col("chi2")) / F.lit(2.0)))
+    # the grid of a key stands together; its rows are a setting
+    own = W.partitionBy(*keys)
+    g = g.withColumn("l", F.exp((F.min("chi2").over(own) - F.col("chi2")) / F.lit(2.0)))
     edge = F.when(F.col("i").isin(0, num - 1), F.lit(0.5)).otherwise(F.lit(1.0))
-    area = g.groupBy(*keys).agg((F.sum(F.col("l") * edge) * F.lit(step)).alias("area"))
-    return g.join(area, keys).select(*keys, "i", "b", (F.col("l") / F.col("area")).alias("likelihood"), "chi2")
+    g = g.withColumn("area", F.sum(F.col("l") * edge).over(own) * F.lit(step))
+    return g.select(*keys, "i", "b", (F.col("l") / F.col("area")).alias("likelihood"), "chi2")
 
 
 def best_bias(likelihood: DataFrame, keys) -> DataFrame:

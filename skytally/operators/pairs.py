@@ -278,9 +278,17 @@ def point_distance_sq() -> Column:
     return chord_sq(tuple(F.col(f"p.{c}") for c in "xyz"), tuple(F.col(f"q.{c}") for c in "xyz"))
 
 
-def first_shift(theta_deg: float) -> int:
-    """Cells of half to all of the largest separation on a side."""
-    return min(GRID_BITS, max(0, GRID_BITS + math.floor(math.log2(chord(theta_deg)))))
+def first_shift(theta_deg: float, nside: int | None = None) -> int:
+    """Cells of half to all of the largest separation on a side.
+
+    With ``nside`` never less than a quarter of a pixel's side, so that the cell
+    pairs of the first level are bounded by the occupied pixels however small the
+    separation; crowded cells are split further on their way down.
+    """
+    side = chord(theta_deg)
+    if nside is not None:
+        side = max(side, math.sqrt(4 * math.pi / npix(nside)) / 4)
+    return min(GRID_BITS, max(0, GRID_BITS + math.floor(math.log2(side))))
 
 
 def _count(pairs: DataFrame, a: Side, b: Side, out_keys, limits) -> DataFrame:
@@ -372,7 +380,7 @@ def pair_count(
     pairs = pairs.select(*[c for c in pairs.columns if c in (*keys, "pix1", "pix2")])
     if convention == "symmetric":
         pairs = both_ways(pairs)
-    shift = first_shift(edges[-1])
+    shift = first_shift(edges[-1], nside)
     ta = CellTree(_positions(left, keys, nside, weight), keys, shift)
     tb = ta if right is left else CellTree(_positions(right, keys, nside, weight), keys, shift)
     total = _count(pairs, Side(ta, "1"), Side(tb, "2"), keys, [chord(e) ** 2 for e in edges])
@@ -392,7 +400,7 @@ def pair_count_terms(points: DataFrame, terms: DataFrame, edges_deg, pairs: Data
     if convention == "symmetric":
         pairs = both_ways(pairs)
     work = pairs.join(terms.select("corr_id", "term", "first", "second"), "corr_id")
-    tree = CellTree(_positions(points, tree_keys, nside, None), tree_keys, first_shift(edges[-1]))
+    tree = CellTree(_positions(points, tree_keys, nside, None), tree_keys, first_shift(edges[-1], nside))
     a, b = Side(tree, "1", {"catalog": "first"}), Side(tree, "2", {"catalog": "second"})
     total = _count(work, a, b, [*keys, "term"], [chord(e) ** 2 for e in edges])
     return _per_edge(total, [*keys, "term"], edges, convention)

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.healpix import with_pixel
 from ..functions.scalars import midpoints
 from ..lineage import cut
-from ..operators.counts import difference_edges, mean_share
-from ..operators.estimators import estimate, expand_terms, jackknife, jackknife_regions, leave_one_out
+from ..operators.counts import mean_share
+from ..operators.estimators import estimate, expand_terms, jackknife, jackknife_regions, leave_one_out, with_pairs, with_populations
 from ..operators.histograms import count_per_pixel, z_histogram
 from ..operators.pairs import good_pairs, good_pixels, pair_count_terms, pixel_pairs
 from ..operators.partition import normalize_random, split_by_z
@@ -24,6 +24,7 @@ class Counted:
     terms: DataFrame
     counts: DataFrame       # corr_id, zbin, term, pix1, pix2, edge_idx, n
     populations: DataFrame  # corr_id, zbin, catalog, pix, n
+    edges: int              # number of angles
 
 
 @dataclass
@@ -73,17 +74,18 @@ def count_correlations(points: DataFrame, corrs: DataFrame, abins, zbins=None, n
     populations = z.groupBy("corr_id", "zbin", "catalog", "pix").agg(F.count(F.lit(1)).alias("n"))
     pairs = good_pairs(pixel_pairs(points.sparkSession, nside), good)
     counts = pair_count_terms(z, terms, abins, pairs, nside, ("corr_id", "zbin"), convention)
-    return Counted(terms, counts, populations)
+    return Counted(terms, counts, populations, len(list(abins)))
 
 
 def term_signals(counted: Counted) -> DataFrame:
-    """``corr_id, zbin, term, bin_idx, pairs, signal``: normalised pairs of every term."""
+    """``corr_id, zbin, term, bin_idx, pairs, signal``: normalised pairs of every term.
+
+    A term whose catalogs both have objects in a redshift bin has a row for each angle, also without any pair.
+    """
     keys = ["corr_id", "zbin", "term"]
     sums = counted.counts.groupBy(*keys, "edge_idx").agg(F.sum("n").alias("n"))
-    d = difference_edges(sums, keys).join(counted.terms.select("corr_id", "term", "first", "second"), ["corr_id", "term"])
     pop = counted.populations.groupBy("corr_id", "zbin", "catalog").agg(F.sum("n").alias("pop"))
-    for i, side in enumerate(("first", "second"), 1):
-        d = d.join(pop.withColumnsRenamed({"catalog": side, "pop": f"pop{i}"}), ["corr_id", "zbin", side])
+    d = with_pairs(with_populations(counted.terms, pop, ["corr_id", "zbin"]), sums, keys, counted.edges)
     norm = F.col("pop1").cast("double") * F.col("pop2")
     return d.select(*keys, "bin_idx", "pairs", F.try_divide(F.col("pairs").cast("double"), norm).alias("signal"))
 
@@ -103,7 +105,7 @@ def correlation_function(points: DataFrame, corrs: DataFrame, abins, zbins, nsid
     shares = mean_share(c.populations.join(rr, ["corr_id", "catalog"]), keys)
     parts = jackknife_regions(shares, regions, keys)
     # every left-out estimate reads the counts, so they are kept once
-    loo = leave_one_out(cut(c.counts), c.populations, c.terms, parts, regions, keys)
+    loo = leave_one_out(cut(c.counts), c.populations, c.terms, parts, regions, keys, c.edges)
     return jackknife(loo, c.terms, keys)
 
 

@@ -126,7 +126,7 @@ def test_left_out_sums_equal_removal(spark):
     pops = spark.createDataFrame([(0, 0, "R0", p, 10 + p) for p in range(8)], "corr_id int, zbin int, catalog string, pix long, n long")
     regions = spark.createDataFrame([(0, 0, p, p % 4) for p in range(7)], "corr_id int, zbin int, pix long, region int")
     terms = E.expand_terms(spark.createDataFrame([(0, "auto")], "corr_id int, type string"))
-    got = {(x.region, x.bin_idx): x.signal for x in E.leave_one_out(counts, pops, terms, regions, 4, ["corr_id", "zbin"]).collect()}
+    got = {(x.region, x.bin_idx): x.signal for x in E.leave_one_out(counts, pops, terms, regions, 4, ["corr_id", "zbin"], 3).collect()}
     reg = {p: p % 4 for p in range(7)}
     for k in (-1, 0, 1, 2, 3):
         ok = lambda p: k < 0 or reg.get(p) != k
