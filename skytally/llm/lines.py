@@ -1,34 +1,37 @@
 """Fuzzy line deduplication by MinHash, with DataFrame functions only.
 
 Lines are compared in lower case without blanks around them. Equal lines form a
-class, named by a 64-bit hash of the line (a second one tells apart classes whose
-names agree). A class's set of 5-character shingles is hashed into 32 bins; the
-smallest hash of each bin is its signature. Sixteen bands of six bins each, of which any two
-may overlap, make candidates; lines whose sets have a Jaccard similarity of 0.8 or more,
-computed on the whole sets, are linked, and of each component the first line in
-order of doc_id and line number is kept.
-
-Within a band each line is first tried with the smallest line. Bands that
+class, told apart by two 64-bit hashes of the line. A line's signature is a
+bottom-k MinHash sketch: the smallest hashes of its 8-character shingles, of which
+those that begin a word are hashed (in runs of more than eight characters
+without a blank every one). Bands are runs of three neighbours among the 12 smallest,
+so that one differing hash spoils at most three of the ten bands. Lines that share a band are candidates; they are
+linked when the Jaccard similarity of the sets of all their 8-character
+shingles is 0.75 or more. Of each component the first line in order of doc_id
+and line number is kept.
+
+Within a band each line is first tried with the smallest class. Bands that
 still hold several components go on in rounds, each with up to 16 further lines
 against the rest, until every pair between different components was tried. So
-no round writes all pairs of a band, and none is left out.
+no round writes all pairs of a band, and none is left out. Texts are never
+shuffled: candidates fetch theirs by the place where the line occurs first.
 """
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skytally.lineage import stash
 from skytally.llm.components import components
 
-SHINGLE = 5
-BINS, ROWS, BANDS = 32, 6, 16
-SIMILARITY = 0.8
+SHINGLE = 8
+RUN, BANDS = 3, 10
+SIMILARITY = 0.75
 PIVOTS = 16
-SEED = 3
+#: Candidates whose places are sent to every executor at most (about 100 MB); more are joined by a shuffle.
+SENT_LINES = 2_000_000
+_BEGIN = r"(?s)(?:^| |(?<=[^ ]{8}))(?=(.{1,8}))"
 
 
 def plain(line: Column) -> Column:
@@ -45,7 +48,7 @@ def _shingle(codes: Column, i: Column) -> Column:
 
 
 def _count(codes: Column) -> Column:
-    """Shingles of a line, one at least: a line of fewer than five characters is a shingle by itself."""
+    """Shingles of a line, one at least: a line of fewer than eight characters is a shingle by itself."""
     return F.greatest(F.length(codes) / 2 - (SHINGLE - 1), F.lit(1)).cast("int")
 
 
@@ -63,31 +66,30 @@ def _keys(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit(1)).alias("h2")]
 
 
-def _bands(classes: DataFrame) -> DataFrame:
-    """`name, size, band` for each class and band."""
-    coded = classes.select("h1", "h2", _codes(F.col("text")).alias("codes"))
-    coded = coded.select("h1", "h2", _count(F.col("codes")).alias("size"), "codes")
-    each = coded.select("h1", "h2", "size", "codes", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i"))
-    each = each.select("h1", "h2", "size", _shingle(F.col("codes"), F.col("i")).alias("s"))
-    low = each.groupBy("h1", "h2", "size", F.shiftrightunsigned("s", 59).cast("int").alias("bin")).agg(F.min("s").alias("low"))
-    draw = random.Random(SEED)
-    chosen = [draw.sample(range(BINS), ROWS) for _ in range(BANDS)]
-    keys = [F.bit_xor(F.when(F.col("bin").isin(bins), F.xxhash64("bin", "low"))).alias(f"k{b}") for b, bins in enumerate(chosen)]
-    wide = low.groupBy("h1", "h2", "size").agg(*keys)
-    # a band whose bins are all empty makes no candidates
-    spread = wide.select(F.col("h1").alias("name"), "size", F.posexplode(F.array(*[f"k{b}" for b in range(BANDS)])).alias("b", "key")).filter("key is not null")
-    return spread.select("name", "size", F.xxhash64("b", "key").alias("band"))
+def _bands(lines: DataFrame) -> DataFrame:
+    """`name, size, band` for each class and band, from `doc_id, line_no, h1, h2, text`."""
+    starts = F.regexp_extract_all("text", F.lit(_BEGIN), F.lit(1))
+    rows = lines.select("h1", "h2", F.length("text").alias("size"), F.sort_array(F.array_distinct(F.transform(starts, lambda x: F.xxhash64(x)))).alias("low"))
+    runs = F.transform(F.sequence(F.lit(1), F.least(F.size("low") - RUN + 1, F.lit(BANDS))), lambda i: F.xxhash64(F.slice("low", i, F.lit(RUN))))
+    rows = rows.select("h1", "h2", "size", F.when(F.size("low") >= RUN, runs).otherwise(F.array(F.xxhash64("low"))).alias("bands"))
+    # equal lines have equal bands
+    rows = rows.groupBy("h1", "h2").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
+    return rows.select(F.col("h1").alias("name"), "size", F.explode(F.array_distinct("bands")).alias("band"))
 
 
 def _close(a: str, b: str, share: float) -> Column:
-    """Whether the numbers of shingles allow the similarity; as multisets, so with room for repeated ones."""
-    return F.least(a, b) >= F.greatest(a, b) * F.lit(share / 2)
+    """Whether the lengths allow the similarity; shingles that repeat within a line are given room."""
+    return F.least(a, b) + SHINGLE >= (F.greatest(a, b) - SHINGLE) * F.lit(share / 2)
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, share: float) -> DataFrame:
+def _linked(pairs: DataFrame, lines: DataFrame, classes: DataFrame, share: float) -> DataFrame:
     """The pairs `a, b` whose shingle sets reach the similarity."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("name")).distinct()
-    texts = stash(classes.select(F.col("h1").alias("name"), "text").join(needed, "name", "left_semi"), "texts")
+    names = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+    needed = stash(classes.select("h1", "first.doc_id", "first.line_no").join(names, "h1"), "needed")
+    if needed.count() <= SENT_LINES:
+        needed = F.broadcast(needed)
+    found = lines.select("doc_id", "line_no", "h1", "text").join(needed, ["doc_id", "line_no", "h1"]).select(F.col("h1").alias("name"), "text")
+    texts = stash(found.dropDuplicates(["name"]), "texts")
     both = (pairs.select("a", "b").join(texts.select(F.col("name").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("name").alias("b"), F.col("text").alias("tb")), "b"))
     both = both.select("a", "b", _set(F.col("ta")).alias("sa"), _set(F.col("tb")).alias("sb"))
@@ -107,15 +109,17 @@ def fuzzy_lines(docs: DataFrame, share: float = SIMILARITY) -> DataFrame:
     line = plain(F.col("line"))
     lines = lines_of(docs).select("doc_id", "line_no", line.alias("text")).select("doc_id", "line_no", "text", *_keys(F.col("text")))
     filled = lines.filter("text <> ''")
-    classes = stash(filled.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"), F.first("text").alias("text")), "classes")
+    lean = stash(lines.select("doc_id", "line_no", "h1", "h2", (F.col("text") == "").alias("blank")), "lines")
+    classes = lean.filter("not blank").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    classes = stash(classes, "classes")
     within = Window.partitionBy("band")
-    shared = (_bands(classes).withColumn("pivot", F.min("name").over(within)).withColumn("last", F.max("name").over(within))
+    shared = (_bands(filled).withColumn("pivot", F.min("name").over(within)).withColumn("last", F.max("name").over(within))
               .filter("pivot < last").select("band", "name", "size", "pivot"))
     shared = stash(shared, "shared")
     sizes = shared.filter("name = pivot").select("band", F.col("size").alias("pivot_size"))
     pairs = shared.filter("name <> pivot").join(sizes, "band").filter(_close("size", "pivot_size", share)).select(F.col("pivot").alias("a"), F.col("name").alias("b")).distinct()
     tried = stash(pairs, "tried")
-    edges = stash(_linked(tried, classes, share), "links")
+    edges = stash(_linked(tried, filled, classes, share), "links")
     labels, done = components(edges), 0
     rank = F.row_number().over(Window.partitionBy("band").orderBy("name"))
     open_ = shared.select("band", "name", "size", rank.alias("rank"))
@@ -133,7 +137,7 @@ def fuzzy_lines(docs: DataFrame, share: float = SIMILARITY) -> DataFrame:
         more = stash(more, "tried")
         if not more.isEmpty():
             tried = tried.unionByName(more)
-            joined = stash(_linked(more, classes, share), "links")
+            joined = stash(_linked(more, filled, classes, share), "links")
             if not joined.isEmpty():
                 edges = edges.unionByName(joined)
                 labels = components(edges)
@@ -144,7 +148,7 @@ def fuzzy_lines(docs: DataFrame, share: float = SIMILARITY) -> DataFrame:
     groups = named.filter("n > 1 or component is not null").select("h1", "h2", "first", F.coalesce("component", "h1").alias("component"))
     keepers = groups.groupBy("component").agg(F.min("first").alias("keeper"))
     groups = groups.join(keepers, "component").select("h1", "h2", "keeper")
-    out = lines.select("doc_id", "line_no", "h1", "h2", (F.col("text") == "").alias("blank")).join(groups, ["h1", "h2"], "left")
+    out = lean.join(stash(groups, "groups"), ["h1", "h2"], "left")
     own = F.struct("doc_id", "line_no")
     keeper = F.when(~F.col("blank"), F.coalesce("keeper", own))
     return out.select("doc_id", "line_no", (F.col("blank") | F.col("keeper").isNull() | F.col("keeper").eqNullSafe(own)).alias("kept"),
