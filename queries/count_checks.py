@@ -9,13 +9,13 @@ from skytally.lineage import cut
 from skytally.operators import counts as M
 from skytally.operators import estimators as E
 from skytally.operators.histograms import count_by_group, top_pixels
-from skytally.operators.pairs import good_pairs, good_pixels, pair_count, pair_plan, pixel_pairs
+from skytally.operators.pairs import by_cost, good_pairs, good_pixels, pair_count, pair_plan, pixel_pairs
 from skytally.plans import correlation as C
 
 from .base import ABINS, NSIDE, ZBINS, counted, ctes, d, pairs_sky, pixed, query, read, with_, xyzed
 from .scalar_checks import Z_CASE
 
-REGIONS = 8
+REGIONS = 16
 AUTO = [(0, "auto", "galaxies", True)]
 BOTH = [(0, "auto", "galaxies", True), (1, "cross", "quasars with galaxies", True)]
 SLOT_TABLES = {"auto": {"D0": "galaxies", "R0": "randoms"},
@@ -43,8 +43,8 @@ def located(name, src, z=False):
     return f"{zc},\n{pixed(name + '_p', name + '_0')},\n{xyzed(name, name + '_p')}"
 
 
-def auto_ctes(z=False):
-    keys = ("zbin",) if z else ()
+def auto_ctes(z=False, keyed=None):
+    keys = ("zbin",) if z or keyed else ()
     return ",\n".join([
         ctes("galaxies", "randoms"), located("g", "galaxies", z), located("r", "randoms", z), pairs_sky(NSIDE),
         "good AS (SELECT DISTINCT pix FROM g WHERE pix IN (SELECT pix FROM r))",
@@ -53,11 +53,15 @@ def auto_ctes(z=False):
     ])
 
 
-def cross_ctes(z=False):
+def cross_ctes(z=False, whole=()):
+    """CTEs of a cross-correlation; catalogs in ``whole`` have no redshift and go into every bin."""
     keys = ("zbin",) if z else ()
+    every = lambda name, src: (f"{name}_0 AS (SELECT t.*, cast(b.zbin AS int) AS zbin FROM {src} t, range({len(ZBINS) - 1}) b(zbin)),\n"
+                               f"{pixed(name + '_p', name + '_0')},\n{xyzed(name, name + '_p')}")
+    at = lambda name, src: every(name, src) if name in whole else located(name, src, z)
     return ",\n".join([
-        ctes("galaxies", "randoms", "quasars", "quasar_randoms"), located("g", "galaxies", z), located("r", "randoms", z),
-        located("q", "quasars", z), located("s", "quasar_randoms", z), pairs_sky(NSIDE),
+        ctes("galaxies", "randoms", "quasars", "quasar_randoms"), at("g", "galaxies"), at("r", "randoms"),
+        at("q", "quasars"), at("s", "quasar_randoms"), pairs_sky(NSIDE),
         "good AS (SELECT pix FROM g INTERSECT SELECT pix FROM r INTERSECT SELECT pix FROM q INTERSECT SELECT pix FROM s)",
         "pp AS (SELECT pix1, pix2 FROM pixpairs WHERE pix1 IN (FROM good) AND pix2 IN (FROM good))",
         counted("dd", "q", "g", "pp", keys), counted("dr", "q", "r", "pp", keys), counted("rd", "g", "s", "pp", keys),
@@ -140,10 +144,9 @@ def _(spark, sf):
     return _plan(spark, sf).drop("corr_id")
 
 
-@query("t1_by_cost", _PLAN_SQL + " SELECT term, zbin, pix1, pix2, cost FROM plan_ ORDER BY cost DESC, term, zbin, pix1, pix2 LIMIT 100")
+@query("t1_by_cost", _PLAN_SQL + " SELECT row_number() OVER (ORDER BY cost DESC, term, zbin, pix1, pix2) - 1 AS rank, term, zbin, pix1, pix2, cost FROM plan_")
 def _(spark, sf):
-    return _plan(spark, sf).select("term", "zbin", "pix1", "pix2", "cost").orderBy(
-        F.desc("cost"), "term", "zbin", "pix1", "pix2").limit(100)
+    return by_cost(_plan(spark, sf)).select("rank", "term", "zbin", "pix1", "pix2", "cost")
 
 
 # ---------------------------------------------------------------- count tables
@@ -276,8 +279,8 @@ def auto_signal(spark, sf):
 @query("e2_landy_szalay_cross", with_(cross_ctes(True), _diffs("dd", "dr", "rd", "rr", keys="zbin")) + """,
 n AS (SELECT zbin, cast((SELECT count(*) FROM q WHERE q.zbin = z.zbin) AS double) AS d1, cast((SELECT count(*) FROM g WHERE g.zbin = z.zbin) AS double) AS d2,
  cast((SELECT count(*) FROM s WHERE s.zbin = z.zbin) AS double) AS r1, cast((SELECT count(*) FROM r WHERE r.zbin = z.zbin) AS double) AS r2 FROM range(4) z(zbin)),
-w AS (SELECT zbin, bin_idx, coalesce(rr_s.pairs, NULL)/(r1*r2) AS rr, dd_s.pairs/(d1*d2) AS dd, dr_s.pairs/(d1*r2) AS dr, rd_s.pairs/(d2*r1) AS rd
- FROM rr_s JOIN dd_s USING (zbin, bin_idx) JOIN dr_s USING (zbin, bin_idx) JOIN rd_s USING (zbin, bin_idx) JOIN n USING (zbin))
+w AS (SELECT zbin, bin_idx, rr_s.pairs/(r1*r2) AS rr, coalesce(dd_s.pairs, 0)/(d1*d2) AS dd, coalesce(dr_s.pairs, 0)/(d1*r2) AS dr, coalesce(rd_s.pairs, 0)/(d2*r1) AS rd
+ FROM rr_s LEFT JOIN dd_s USING (zbin, bin_idx) LEFT JOIN dr_s USING (zbin, bin_idx) LEFT JOIN rd_s USING (zbin, bin_idx) JOIN n USING (zbin))
 SELECT cast(zbin AS int) AS zbin, bin_idx, round(CASE WHEN rr = 0 THEN NULL ELSE (dd - dr - rd + rr)/rr END, 6) AS w FROM w WHERE rr IS NOT NULL""")
 def _(spark, sf):
     rows = [r for r in BOTH if r[1] == "cross"]
@@ -325,23 +328,68 @@ FROM (SELECT zbin, bin_idx, w AS w0, rr AS rr0 FROM wk WHERE k = -1) JOIN (SELEC
 _KS = f"ks AS (SELECT cast(k - 1 AS int) AS k FROM range({REGIONS + 1}) t(k))"
 
 
-@query("e4_e5_jackknife_auto", with_(auto_ctes(True), _RSHARE, regions_sql(REGIONS), _KS, _loo("dd", "g", "g"), _loo("dr", "g", "r"),
-                                     _loo("rr", "r", "r")).replace("WITH ", "WITH RECURSIVE ", 1) + """,
-wk AS (SELECT zbin, k, bin_idx, (dd_k.s - 2e0*dr_k.s + rr_k.s)/rr_k.s AS w, rr_k.s AS rr FROM rr_k JOIN dd_k USING (zbin, k, bin_idx) JOIN dr_k USING (zbin, k, bin_idx) WHERE rr_k.s > 0)
-""" + _ESTIMATED)
+def _recursive(sql):
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_WK_AUTO = """,
+wk AS (SELECT r.zbin, r.k, r.bin_idx, (coalesce(dd_k.s, 0e0) - 2e0*coalesce(dr_k.s, 0e0) + r.s)/r.s AS w, r.s AS rr FROM rr_k r LEFT JOIN dd_k USING (zbin, k, bin_idx)
+ LEFT JOIN dr_k USING (zbin, k, bin_idx) WHERE r.s > 0)
+"""
+_WK_CROSS = """,
+wk AS (SELECT r.zbin, r.k, r.bin_idx, (coalesce(dd_k.s, 0e0) - coalesce(dr_k.s, 0e0) - coalesce(rd_k.s, 0e0) + r.s)/r.s AS w, r.s AS rr FROM rr_k r LEFT JOIN dd_k USING (zbin, k, bin_idx)
+ LEFT JOIN dr_k USING (zbin, k, bin_idx) LEFT JOIN rd_k USING (zbin, k, bin_idx) WHERE r.s > 0)
+"""
+_SRSHARE = """sh AS (SELECT zbin, pix, count(*)/cast(sum(count(*)) OVER (PARTITION BY zbin) AS double) AS v FROM s WHERE zbin IS NOT NULL GROUP BY zbin, pix
+ UNION ALL SELECT zbin, pix, count(*)/cast(sum(count(*)) OVER (PARTITION BY zbin) AS double) FROM r WHERE zbin IS NOT NULL GROUP BY zbin, pix),
+share AS (SELECT zbin, pix, sum(v)/2e0 AS share FROM sh GROUP BY zbin, pix)"""
+
+
+def _auto_jackknife(z):
+    return _recursive(with_(auto_ctes(z, True), _RSHARE, regions_sql(REGIONS), _KS, _loo("dd", "g", "g"), _loo("dr", "g", "r"), _loo("rr", "r", "r"))) + _WK_AUTO + _ESTIMATED
+
+
+def _cross_jackknife(whole=()):
+    return _recursive(with_(cross_ctes(True, whole), _SRSHARE, regions_sql(REGIONS), _KS, _loo("dd", "q", "g"), _loo("dr", "q", "r"),
+                            _loo("rd", "g", "s"), _loo("rr", "s", "r"))) + _WK_CROSS + _ESTIMATED
+
+
+def _estimates(w, *ids):
+    return w.where("w is not null").select(*ids, "zbin", F.col("bin_idx").cast("long").alias("bin_idx"),
+                                           *[F.round(c, 5).alias(c) for c in ("w", "err", "w_mean", "w_std")])
+
+
+@query("e4_e5_jackknife_auto", _auto_jackknife(True))
+def _(spark, sf):
+    return _estimates(C.correlation_function(corr_points(spark, sf, AUTO), corr_table(spark, AUTO), ABINS, ZBINS, NSIDE, REGIONS))
+
+
+CROSS = [r for r in BOTH if r[1] == "cross"]
+
+
+@query("e4_e5_jackknife_cross", _cross_jackknife())
 def _(spark, sf):
-    w = C.correlation_function(corr_points(spark, sf, AUTO), corr_table(spark, AUTO), ABINS, ZBINS, NSIDE, REGIONS)
-    return w.select("zbin", F.col("bin_idx").cast("long").alias("bin_idx"),
-                    *[F.round(c, 5).alias(c) for c in ("w", "err", "w_mean", "w_std")])
+    return _estimates(C.correlation_function(corr_points(spark, sf, CROSS), corr_table(spark, CROSS), ABINS, ZBINS, NSIDE, REGIONS))
+
+
+# one correlation that is not split by redshift, and one whose first random catalog has no redshift
+FLAGGED = [(0, "auto", "galaxies", False), (1, "cross", "quasars with galaxies", True)]
 
 
-@query("e6_correlation_function")
+@query("e6_correlation_function", f"SELECT 0 AS corr_id, * FROM ({_auto_jackknife(False)}) UNION ALL SELECT 1, * FROM ({_cross_jackknife(('s',))})")
 def _(spark, sf):
-    w = C.correlation_function(corr_points(spark, sf, BOTH), corr_table(spark, BOTH), ABINS, ZBINS, NSIDE, REGIONS)
-    return w.select("corr_id", "zbin", "bin_idx", *[F.round(c, 5).alias(c) for c in ("w", "err", "w_mean", "w_std")])
+    points = corr_points(spark, sf, FLAGGED).withColumn("redshift", F.when(F.col("catalog") != "R1", F.col("redshift")))
+    return _estimates(C.correlation_function(points, corr_table(spark, FLAGGED), ABINS, ZBINS, NSIDE, REGIONS), "corr_id")
+
+
+_PARTS = _auto_jackknife(True).replace("round(any_value(w0), 5)", "any_value(w0)").replace("rr/rr0*(w-w0)*(w-w0))), 5)", "rr/rr0*(w-w0)*(w-w0))), 12)")
 
 
-@query("s10_correlation_summary")
+@query("s10_correlation_summary", f"""SELECT 0 AS corr_id, zbin, 'galaxies | z [' || printf('%.2f', z0) || ', ' || printf('%.2f', z1) || ') | D0=' || d0 || ' R0=' || r0 || ' | ' || t AS text
+FROM (SELECT zbin, string_agg(printf('%.3f+-%.3f', w, err), ' ' ORDER BY bin_idx) AS t FROM ({_PARTS}) GROUP BY zbin)
+JOIN (VALUES {', '.join(f'({i}, {a}, {b})' for i, (a, b) in enumerate(zip(ZBINS, ZBINS[1:])))}) e(zbin, z0, z1) USING (zbin)
+JOIN ({with_(ctes('galaxies'))} SELECT {Z_CASE} AS zbin, count(*) AS d0 FROM galaxies GROUP BY 1) USING (zbin)
+JOIN ({with_(ctes('randoms'))} SELECT {Z_CASE} AS zbin, count(*) AS r0 FROM randoms GROUP BY 1) USING (zbin)""")
 def _(spark, sf):
     corrs = corr_table(spark, AUTO)
     c = C.count_correlations(corr_points(spark, sf, AUTO), corrs, ABINS, ZBINS, NSIDE)

@@ -244,20 +244,44 @@ def _(spark, sf):
     return E.positive_points(E.fit_range(s, 3)).select("corr_id", "zbin", "bin_idx", F.round("w", 6).alias("w"), F.round("err", 6).alias("err"))
 
 
-@query("e7_fit_power_law", _SIG_FROM + """,
-g AS (SELECT corr_id, zbin, i, -3e0+0.01e0*i AS k, sum(w/(err*err)*power(theta, -3e0+0.01e0*i)) AS sxy, sum(power(theta, -3e0+0.01e0*i)*power(theta, -3e0+0.01e0*i)/(err*err)) AS sxx,
- sum(w*w/(err*err)) AS syy FROM sig, range(401) t(i) GROUP BY ALL)
-SELECT corr_id, zbin, round(arg_min(sxy/sxx, syy - sxy*sxy/sxx), 5) AS a, round(arg_min(k, syy - sxy*sxy/sxx), 5) AS k, round(min(syy - sxy*sxy/sxx), 4) AS sse FROM g GROUP BY ALL""")
+def _fit_sql(w):
+    """Least squares over exponents from -8 to 6 in steps of 0.05, refined twice round the best."""
+    at = lambda k: (f"sum({w}/(err*err)*power(theta, {k})) AS sxy, sum(power(theta, {k})*power(theta, {k})/(err*err)) AS sxx, sum({w}*{w}/(err*err)) AS syy")
+    step = [0.05, 0.05 * 2 / 80, 0.05 * 4 / 6400]
+    out = f"""g0 AS (SELECT corr_id, zbin, -8e0+0.05e0*i AS k, {at("-8e0+0.05e0*i")} FROM sig, range(281) t(i) GROUP BY ALL),
+b0 AS (SELECT corr_id, zbin, arg_min(k, syy - sxy*sxy/sxx) AS k0 FROM g0 GROUP BY ALL)"""
+    for n in (1, 2):
+        k = f"k0 - {d(step[n - 1])} + {d(step[n])}*i"
+        out += f""",
+g{n} AS (SELECT corr_id, zbin, {k} AS k, {at(k)} FROM sig JOIN b{n - 1} USING (corr_id, zbin), range(81) t(i) GROUP BY corr_id, zbin, k0, i),
+b{n} AS (SELECT corr_id, zbin, arg_min(k, syy - sxy*sxy/sxx) AS k0 FROM g{n} GROUP BY ALL)"""
+    return _SIG_FROM + f""", {out}
+SELECT corr_id, zbin, round(arg_min(sxy/sxx, syy - sxy*sxy/sxx), 3) AS a, round(arg_min(k, syy - sxy*sxy/sxx), 3) AS k FROM g2 GROUP BY ALL"""
+
+
+def _fitted(signals):
+    return E.fit_power_law(signals, ["corr_id", "zbin"]).select("corr_id", "zbin", F.round("a", 3).alias("a"), F.round("k", 3).alias("k"))
+
+
+@query("e7_fit_power_law", _fit_sql("w"))
 def _(spark, sf):
-    f = E.fit_power_law(_sig(spark, sf), ["corr_id", "zbin"], num=401, passes=1)
-    return f.select("corr_id", "zbin", F.round("a", 5).alias("a"), F.round("k", 5).alias("k"), F.round("sse", 4).alias("sse"))
+    return _fitted(_sig(spark, sf))
+
+
+@query("e7_fit_steep_power_law", _fit_sql("(w*power(theta, CASE WHEN corr_id = 0 THEN -3.2e0 ELSE 2.7e0 END))"))
+def _(spark, sf):
+    bent = F.pow("theta", F.when(F.col("corr_id") == 0, F.lit(-3.2)).otherwise(F.lit(2.7)))
+    return _fitted(_sig(spark, sf).withColumn("w", F.col("w") * bent))
+
+
+_WIDE = [0.01 * 1.7 ** i for i in range(9)]
 
 
 @query("x12_with_angle", _SIG_FROM + " SELECT corr_id, zbin, bin_idx, round(" + "CASE bin_idx " + " ".join(
-    f"WHEN {i} THEN {(a + b) / 2!r}e0" for i, (a, b) in enumerate(zip(ABINS, ABINS[1:]))) + " END, 6) AS theta FROM sig WHERE bin_idx < 4")
+    f"WHEN {i} THEN {(a + b) / 2!r}e0" for i, (a, b) in enumerate(zip(_WIDE, _WIDE[1:]))) + " END, 6) AS theta FROM sig")
 def _(spark, sf):
-    s = _sig(spark, sf).drop("theta").where("bin_idx < 4")
-    return with_angle(s, ABINS).select("corr_id", "zbin", "bin_idx", F.round("theta", 6).alias("theta"))
+    s = _sig(spark, sf).drop("theta")
+    return with_angle(s, _WIDE).select("corr_id", "zbin", "bin_idx", F.round("theta", 6).alias("theta"))
 
 
 # ---------------------------------------------------------------- theory tables

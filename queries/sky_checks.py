@@ -127,11 +127,16 @@ def _(spark, sf):
     return P.draw_fraction(r, ["pix"], F.lit(0.3), F.expr(_ORDER)).select("id", "pix")
 
 
-@query("n3_random_catalog")
+_EVEN = ("id * 2654435761 % 4294967296 / 4294967296e0", "id * 2246822519 % 4294967291 / 4294967291e0")
+
+
+@query("n3_random_catalog", with_(ctes("galaxies"), pixed("gp", "galaxies", 16)) + f""",
+p AS (SELECT id, {_EVEN[0]} * 360e0 AS ra, degrees(asin(2e0*({_EVEN[1]}) - 1e0)) AS dec FROM range(20 * (SELECT count(*) FROM events)) t(id)),
+{pixed("pp", "p", 16)} SELECT id, round(ra, 6) AS ra, round(dec, 6) AS dec FROM pp WHERE pix IN (SELECT pix FROM gp)""")
 def _(spark, sf):
     g = H.count_per_pixel(read(spark, sf, "galaxies"), 16)
     n = spark.read.parquet(f"{sf}/events.parquet").count() * 20
-    return P.random_catalog(spark, n, g, 16, seed=3).select("id", F.round("ra", 6).alias("ra"), F.round("dec", 6).alias("dec"))
+    return P.random_catalog(spark, n, g, 16, even=lambda c, k: F.expr(_EVEN[k])).select("id", F.round("ra", 6).alias("ra"), F.round("dec", 6).alias("dec"))
 
 
 @query("p3_prepare_pair", with_(ctes("galaxies", "randoms"), pixed("gp", "galaxies", 8), pixed("rp", "randoms", 8)) + _DRAW + f""",
@@ -142,6 +147,26 @@ def _(spark, sf):
     return p.by_bin
 
 
+@query("p3_fit_randoms", with_(ctes("galaxies", "randoms"), pixed("gp", "galaxies", 8), pixed("rp", "randoms", 8)) + _DRAW + """
+SELECT 0 AS corr_id, 'R0' AS catalog, id FROM kept UNION ALL SELECT 0, 'D0', id FROM galaxies
+UNION ALL SELECT 1, 'R0', id FROM randoms UNION ALL SELECT 1, 'D0', id FROM galaxies""")
+def _(spark, sf):
+    both = read(spark, sf, "galaxies").select(F.lit("D0").alias("catalog"), "id", "ra", "dec").unionByName(
+        read(spark, sf, "randoms").select(F.lit("R0").alias("catalog"), "id", "ra", "dec"))
+    p = both.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("corr_id"))
+    corrs = spark.createDataFrame([(0, "auto", True), (1, "auto", False)], "corr_id int, type string, normalize boolean")
+    return P.fit_randoms(p, corrs, 8, F.expr(_ORDER)).select("corr_id", "catalog", "id")
+
+
+@query("p3_prepare_populations", with_(ctes("galaxies", "randoms"), pixed("gp", "galaxies", 8), pixed("rp", "randoms", 8)) + _DRAW + """
+SELECT 'before' AS stage, 'D' AS catalog, pix, count(*) AS n FROM gp GROUP BY pix UNION ALL SELECT 'before', 'R', pix, count(*) FROM rp GROUP BY pix
+UNION ALL SELECT 'after', 'D', pix, count(*) FROM gp GROUP BY pix UNION ALL SELECT 'after', 'R', pix, count(*) FROM kept GROUP BY pix""")
+def _(spark, sf):
+    p = prepare_pair(read(spark, sf, "galaxies"), read(spark, sf, "randoms"), ZBINS, 8, normalize=True, order=F.expr(_ORDER))
+    stage = lambda df, name: df.select(F.lit(name).alias("stage"), "catalog", "pix", "n")
+    return stage(p.before, "before").unionByName(stage(p.after, "after"))
+
+
 # ---------------------------------------------------------------- masks and cuts
 
 SPOTS = [(139.0, 140.0, -1.0, 0.5), (142.0, 142.6, -3.0, 3.0)]

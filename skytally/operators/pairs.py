@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import chord, chord_sq, with_unit_vector
 from ..functions.healpix import neighbours, npix, with_pixel
 from ..lineage import cut
+from ..sources.catalog import number_rows
 
 # most distinct positions a cell may hold before it is split
 LEAF = 256
@@ -125,6 +126,12 @@ def pair_plan(pairs: DataFrame, populations: DataFrame, terms: DataFrame) -> Dat
     )
 
 
+def by_cost(plan: DataFrame) -> DataFrame:
+    """The work list with ``rank`` from 0, the most costly pixel pair first; rows are never brought together."""
+    order = [c for c in ("corr_id", "term", "zbin", "pix1", "pix2") if c in plan.columns]
+    return number_rows(plan.orderBy(F.desc("cost"), *order), name="rank")
+
+
 def _positions(df: DataFrame, keys, nside: int, weight: str | None) -> DataFrame:
     """Distinct positions with their number of objects: copies collapse map-side."""
     d = df.where(F.col("ra").isNotNull() & F.col("dec").isNotNull())

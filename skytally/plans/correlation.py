@@ -14,7 +14,7 @@ from ..operators.counts import mean_share
 from ..operators.estimators import estimate, expand_terms, jackknife, jackknife_regions, leave_one_out, with_pairs, with_populations
 from ..operators.histograms import count_per_pixel, z_histogram
 from ..operators.pairs import good_pairs, good_pixels, pair_count_terms, pixel_pairs
-from ..operators.partition import normalize_random, split_by_z
+from ..operators.partition import fit_randoms, normalize_random, split_by_correlation, split_by_z
 
 
 @dataclass
@@ -63,14 +63,15 @@ def count_correlations(points: DataFrame, corrs: DataFrame, abins, zbins=None, n
                        convention: str = "pixel") -> Counted:
     """Pair counts of every correlation, redshift bin and term in one keyed plan.
 
-    ``points`` has ``corr_id, catalog, ra, dec, redshift``; ``corrs`` has ``corr_id, type``.
-    Without ``zbins`` everything is bin 0.
+    ``points`` has ``corr_id, catalog, ra, dec, redshift``; ``corrs`` has ``corr_id, type`` and
+    may have ``use_zbins``. A catalog without redshift goes into every bin. Without
+    ``zbins`` everything is bin 0.
     """
     terms = expand_terms(corrs)
     p = with_pixel(points.where("ra is not null and dec is not null"), nside)
     whole = p.groupBy("corr_id", "catalog", "pix").agg(F.count(F.lit(1)).alias("n"))
     good = good_pixels(whole, corrs)
-    z = split_by_z(p, zbins, use_zbins=zbins is not None)
+    z = split_by_correlation(p, corrs, zbins)
     populations = z.groupBy("corr_id", "zbin", "catalog", "pix").agg(F.count(F.lit(1)).alias("n"))
     pairs = good_pairs(pixel_pairs(points.sparkSession, nside), good)
     counts = pair_count_terms(z, terms, abins, pairs, nside, ("corr_id", "zbin"), convention)
@@ -91,20 +92,24 @@ def term_signals(counted: Counted) -> DataFrame:
 
 
 def correlation_function(points: DataFrame, corrs: DataFrame, abins, zbins, nside: int = 32, regions: int = 16,
-                         convention: str = "pixel") -> DataFrame:
+                         convention: str = "pixel", norm_nside: int = 8, order=None) -> DataFrame:
     """``corr_id, zbin, bin_idx, w, err, w_mean, w_std``: all signals with both errors.
 
-    Regions are dealt from the random-random populations of each correlation and bin.
+    ``corrs`` has ``corr_id, type`` and may have the flags of a specification: ``normalize`` fits
+    a correlation's randoms to its data first (``points`` then has ``id``), ``use_zbins`` splits it
+    by redshift. Regions are dealt from the random-random populations of each correlation and bin.
     """
     keys = ["corr_id", "zbin"]
+    points = fit_randoms(points, corrs, norm_nside, order)
     c = count_correlations(points, corrs, abins, zbins, nside, convention)
+    c.populations = cut(c.populations)
     rr = c.terms.where("role = 'rr'")
     sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("first").alias("catalog")),
                               F.struct(F.lit(2).alias("side"), F.col("second").alias("catalog"))))
     rr = rr.select("corr_id", sides.alias("s")).select("corr_id", "s.*")
     shares = mean_share(c.populations.join(rr, ["corr_id", "catalog"]), keys)
-    parts = jackknife_regions(shares, regions, keys)
-    # every left-out estimate reads the counts, so they are kept once
+    parts = cut(jackknife_regions(shares, regions, keys))
+    # every left-out estimate reads counts, populations and regions, so they are kept once
     loo = leave_one_out(cut(c.counts), c.populations, c.terms, parts, regions, keys, c.edges)
     return jackknife(loo, c.terms, keys)
 

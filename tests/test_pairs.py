@@ -158,3 +158,50 @@ def test_randoms_against_randoms_show_no_signal(spark):
     corrs = spark.createDataFrame([(0, "auto")], "corr_id int, type string")
     w = correlation_function(spark.createDataFrame(pts), corrs, [0.1, 0.4, 0.8], [0.3, 0.7], regions=6).toPandas()
     assert len(w) == 2 and w.w.abs().max() < 0.1 and (w.err > 0).all()
+
+
+def test_absent_terms_count_as_no_pairs(spark):
+    terms = E.expand_terms(spark.createDataFrame([(0, "auto"), (1, "cross")], "corr_id int, type string"))
+    def w(corr, **signal):
+        rows = [(corr, 0, term, float(v)) for term, v in signal.items()]
+        return E.estimate(spark.createDataFrame(rows, "corr_id int, bin_idx int, term string, signal double"), terms, ["corr_id"]).first().w
+    assert w(1, D1D2=3, D1R2=1, R1R2=1) == 3.0
+    assert w(1, D1D2=3, D2R1=1, R1R2=1) == 3.0
+    assert w(1, D1R2=1, D2R1=1, R1R2=1) == -1.0
+    assert w(0, D0R0=1, R0R0=1) == -1.0
+    assert w(0, D0D0=2, R0R0=1) == 3.0
+    assert w(0, D0D0=2, D0R0=1) is None
+
+
+def test_catalogs_without_redshift_go_into_every_bin(spark):
+    pts = spark.createDataFrame([(0, "D0", 0.4), (0, "D0", None), (0, "R0", None), (1, "D0", 0.4), (1, "R0", 9.0)], "corr_id int, catalog string, redshift double")
+    corrs = spark.createDataFrame([(0, "auto", True), (1, "auto", False)], "corr_id int, type string, use_zbins boolean")
+    got = sorted((r.corr_id, r.catalog, r.zbin) for r in PT.split_by_correlation(pts, corrs, [0.3, 0.5, 0.7]).collect())
+    assert got == [(0, "D0", 0), (0, "R0", 0), (0, "R0", 1), (1, "D0", 0), (1, "R0", 0)]
+    bare = PT.split_by_correlation(pts.drop("redshift"), corrs, [0.3, 0.5, 0.7])
+    assert bare.where("corr_id = 0").count() == 6 and bare.where("corr_id = 1").count() == 2
+
+
+@pytest.mark.parametrize("k", [-3.6, 1.8, -11.0])
+def test_steep_power_laws_are_found(spark, k):
+    pts = [(0, t, 2.0 * t ** k, 0.1 * t ** k) for t in (0.05, 0.1, 0.3, 0.6, 1.0)]
+    f = E.fit_power_law(spark.createDataFrame(pts, "corr_id int, theta double, w double, err double"), ["corr_id"]).first()
+    assert f.a == pytest.approx(2.0, abs=1e-4) and f.k == pytest.approx(k, abs=1e-4)
+
+
+def test_cell_pairs_don_t_grow_for_small_angles(spark):
+    """Cell pairs of the first level follow the occupied pixels, not the angle."""
+    from skytally.operators import pairs as P
+    r = np.random.default_rng(5)
+    df = spark.createDataFrame(pd.DataFrame({"ra": r.uniform(150, 160, 4000), "dec": r.uniform(-5, 5, 4000)}))
+    met = {}
+    for theta in (0.5, 0.01, 0.001):
+        tree = P.CellTree(P._positions(df, [], 32, None), [], P.first_shift(theta, 32))
+        met[theta] = tree.cells.count()
+    assert met[0.01] == met[0.001] <= 2 * met[0.5]
+    x = df.toPandas()
+    a, d = np.radians(x.ra.to_numpy()), np.radians(x.dec.to_numpy())
+    v = np.stack([np.cos(d) * np.cos(a), np.cos(d) * np.sin(a), np.sin(d)], 1)
+    dist = 2 * np.arcsin(np.clip(np.linalg.norm(v[:, None] - v[None], axis=2) / 2, 0, 1))
+    got = P.pair_count(df, df, [0.01, 0.05], convention="symmetric").groupBy("edge_idx").agg(F.sum("n").alias("n")).collect()
+    assert {r.edge_idx: r.n for r in got} == {i: int((dist <= np.radians(e)).sum()) for i, e in enumerate((0.01, 0.05))}

@@ -95,3 +95,35 @@ def test_last_bin_is_closed(spark):
 def test_stack_skips_empty_curves(spark):
     d = spark.createDataFrame([([0.0, 2.0, 0.0],), ([0.0, 0.0, 0.0],)], "p array<double>")
     assert [r.y for r in CV.stack_pdz(d, "p", 0.5).orderBy("i").collect()] == [0.0, 2.0, 0.0]
+
+
+def test_spectra_count_without_a_curve(spark):
+    d = spark.createDataFrame([([1.0, 1.0, 1.0], None), (None, 0.5), ([], 0.5)], "p array<double>, z double")
+    got = [r.y for r in CV.stack_pdz(d, "p", 0.5, specz="z", spec_sigma=0.1).orderBy("i").collect()]
+    top = 1 / (0.1 * np.sqrt(2 * np.pi))
+    assert got[1] == pytest.approx(1.0 + 2 * top) and got[0] == pytest.approx(1.0, abs=1e-4)
+
+
+def test_interp_on_a_log_grid_of_many_nodes(spark):
+    xs = np.geomspace(1e-4, 50, 3000)
+    ys, q = np.log(xs), np.random.default_rng(8).uniform(0, 60, 400)
+    curve = spark.createDataFrame([("c", float(a), float(b)) for a, b in zip(xs, ys)], "curve_id string, x double, y double")
+    d = spark.createDataFrame([(i, "c", float(v)) for i, v in enumerate(q)] + [(400, "none", 1.0), (401, "c", None)], "i int, curve_id string, v double")
+    got = CV.interp(d, "v", curve, name="o").orderBy("i").toPandas().o
+    assert np.allclose(got[:400], np.interp(q, xs, ys), atol=1e-12) and got[400:].isna().all()
+
+
+def test_distances_reach_the_data(spark):
+    d = CO.with_distance(spark.createDataFrame([(5.0,), (6.0,), (9.0,), (-1.0,), (None,), (float("nan"),)], "z double")).toPandas()
+    by = d.set_index("z").d_c
+    assert by[5.0] < by[6.0] - 400 and by[6.0] < by[9.0] - 400 and len(d) == 6
+    assert d[~d.z.isin([5.0, 6.0, 9.0])].d_c.isna().all()
+
+
+def test_match_with_repeated_numbers_and_missing_positions(spark):
+    from skytally.operators.match import cross_match
+
+    left = spark.createDataFrame([(1, 10.0, 0.0), (2, None, None), (3, 200.0, 5.0), (4, None, 1.0)], "id int, ra double, dec double")
+    right = spark.createDataFrame([(7, 10.0, 0.0001), (7, 70.0, 0.0), (8, None, None)], "id int, ra double, dec double")
+    got = {r.id: (r.id_join, r.ra_join) for r in cross_match(left, right, 2.0).collect()}
+    assert got == {1: (7, 10.0), 2: (None, None), 3: (None, None), 4: (None, None)}
