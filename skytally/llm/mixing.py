@@ -26,7 +26,7 @@ EPOCHS = 2
 SHARE_PERCENT = 150
 SEED = "mix"
 CELL_BITS = 12
-EDGE_DOCUMENTS = 2048
+EDGE_DOCUMENTS = 512
 PASSES = 4
 _KEY = ["mix_none", "mix_name", "mix_cell"]
 
@@ -91,15 +91,17 @@ def mixture(docs: DataFrame, sized: DataFrame, seed: str = SEED, weights=WEIGHTS
              .withColumn("mix_whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
              .withColumn("cut", F.col("target") - F.col("mix_whole") * F.col("source_size"))
              .withColumn("edge", F.min(F.when(F.col("upto") > F.col("cut"), F.struct("mix_cell", F.col("count") - F.col("n"), F.col("upto") - F.col("s")))).over(first)))
-    reached = F.col("mix_cell") >= F.col("edge")["mix_cell"]
-    cells = (cells.withColumn("mix_state", F.when(F.col("edge").isNull() | ~reached, F.lit(1))
-                              .when(F.col("count") - F.col("n") < F.col("edge")["col2"] + EDGE_DOCUMENTS, F.lit(2)).otherwise(F.lit(0)))
-             .withColumn("mix_rest", F.col("cut") - F.col("edge")["col3"])
-             .select(*_KEY, "source_size", "target", "mix_whole", "mix_state", "mix_rest"))
-
-    rows = keyed(docs).join(cells, _KEY)
-    plain = rows.filter("mix_state <> 2").withColumn("mix_more", F.col("mix_state"))
-    edge = rows.filter("mix_state = 2").withColumn("mix_more", F.lit(0))
+    # one short row for each source, written first so that its size is known when the join is planned
+    near = F.when((F.col("mix_cell") >= F.col("edge")["mix_cell"]) & (F.col("count") - F.col("n") < F.col("edge")["col2"] + EDGE_DOCUMENTS), F.col("mix_cell"))
+    limits = stash(cells.groupBy("mix_none", "mix_name").agg(
+        F.first("source_size").alias("source_size"), F.first("target").alias("target"), F.first("mix_whole").alias("mix_whole"),
+        F.first(F.col("cut") - F.col("edge")["col3"]).alias("mix_rest"), F.first(F.col("edge")["mix_cell"]).alias("mix_from"), F.max(near).alias("mix_upto")), "limits")
+
+    rows = keyed(docs).join(limits, ["mix_none", "mix_name"])
+    at_edge = F.coalesce(F.col("mix_cell").between(F.col("mix_from"), F.col("mix_upto")), F.lit(False))
+    below = F.col("mix_from").isNull() | (F.col("mix_cell") < F.col("mix_from"))
+    plain = rows.filter(~at_edge).withColumn("mix_more", below.cast("int"))
+    edge = rows.filter(at_edge).withColumn("mix_more", F.lit(0))
     group = Window.partitionBy("mix_none", "mix_name")
     order = group.orderBy("mix_place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for _ in range(PASSES):

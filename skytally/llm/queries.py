@@ -90,7 +90,7 @@ d AS (SELECT z.*, source_size, target, whole, target - whole * source_size AS cu
 cells AS (SELECT source, cell, any_value(cut) AS cut, sum(size) AS s, count(*) AS n FROM d GROUP BY 1, 2),
 run AS (SELECT *, sum(s) OVER (PARTITION BY source ORDER BY cell) AS upto, sum(n) OVER (PARTITION BY source ORDER BY cell) AS cnt FROM cells),
 edge AS (SELECT source, min(cell) AS edge, min(cnt - n) AS c0, min(upto - s) AS s0 FROM run WHERE upto > cut GROUP BY 1),
-state AS (SELECT r.source, r.cell, CASE WHEN edge IS NULL OR cell < edge THEN 1 WHEN cnt - n < c0 + 2048 THEN 2 ELSE 0 END AS state, cut - s0 AS r0
+state AS (SELECT r.source, r.cell, CASE WHEN edge IS NULL OR cell < edge THEN 1 WHEN cnt - n < c0 + 512 THEN 2 ELSE 0 END AS state, cut - s0 AS r0
   FROM run r LEFT JOIN edge e ON r.source IS NOT DISTINCT FROM e.source),
 p0 AS (SELECT d.*, state, r0, 0 AS more FROM d JOIN state t ON d.source IS NOT DISTINCT FROM t.source AND d.cell = t.cell),
 """ + "".join(f"""
