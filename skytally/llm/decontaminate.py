@@ -194,6 +194,8 @@ def find(ix: Index, texts: list[str | None]) -> tuple[np.ndarray, ...]:
                 continue
             edits, ends = _aligned(ix, part, seg, diagonal)
             ok = edits <= ix.budget[seg]
+            if not ok.any():
+                continue
             seg, edits, ends = seg[ok], edits[ok], ends[ok] + lo
             doc = np.searchsorted(begin, ends - 1, "right") - 1
             rows.append(np.stack([doc + at, ix.items[seg], seg, edits, np.maximum(ends - ix.lengths[seg] - begin[doc], 0), ends - begin[doc]], axis=1))
