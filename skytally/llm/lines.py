@@ -85,10 +85,12 @@ def _close(a: str, b: str, share: float) -> Column:
 def _linked(pairs: DataFrame, lines: DataFrame, classes: DataFrame, share: float) -> DataFrame:
     """The pairs `a, b` whose shingle sets reach the similarity."""
     names = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    needed = stash(classes.select("h1", "first.doc_id", "first.line_no").join(names, "h1"), "needed")
+    needed = stash(classes.select(F.col("h1").alias("name"), F.col("first.doc_id").alias("at_doc"), F.col("first.line_no").alias("at_line")).join(names.withColumnRenamed("h1", "name"), "name"), "needed")
     if needed.count() <= SENT_LINES:
         needed = F.broadcast(needed)
-    found = lines.select("doc_id", "line_no", "h1", "text").join(needed, ["doc_id", "line_no", "h1"]).select(F.col("h1").alias("name"), "text")
+    # the first of equal lines may be in a document without an id
+    place = (F.col("h1") == F.col("name")) & (F.col("line_no") == F.col("at_line")) & F.col("doc_id").eqNullSafe(F.col("at_doc"))
+    found = lines.select("doc_id", "line_no", "h1", "text").join(needed, place).select("name", "text")
     texts = stash(found.dropDuplicates(["name"]), "texts")
     both = (pairs.select("a", "b").join(texts.select(F.col("name").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("name").alias("b"), F.col("text").alias("tb")), "b"))
