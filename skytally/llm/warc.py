@@ -169,7 +169,9 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()))],
                                                  names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    return archives.select("path").repartition(F.col("path")).mapInArrow(run, schema)
+    # rows of a few bytes that stand for much work: a number of tasks of its own, two archives each
+    tasks = max(1, -(-archives.count() // 2))
+    return archives.select("path").repartition(tasks).mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
