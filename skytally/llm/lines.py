@@ -3,8 +3,8 @@
 Lines are compared in lower case without blanks around them. Equal lines form a
 class, told apart by two 64-bit hashes of the line. A line's signature is a
 bottom-k MinHash sketch: the smallest hashes of its 8-character shingles, of which
-those that begin a word are hashed (in runs of more than eight characters
-without a blank every one). Bands are runs of three neighbours among the 12 smallest,
+in long lines those that begin a word are hashed (in runs of more than eight
+characters without a blank every one), in short lines all. Bands are runs of three neighbours among the 12 smallest,
 so that one differing hash spoils at most three of the ten bands. Lines that share a band are candidates; they are
 linked when the Jaccard similarity of the sets of all their 8-character
 shingles is 0.75 or more. Of each component the first line in order of doc_id
@@ -31,6 +31,9 @@ SIMILARITY = 0.75
 PIVOTS = 16
 #: Candidates whose places are sent to every executor at most (about 100 MB); more are joined by a shuffle.
 SENT_LINES = 2_000_000
+#: Shorter lines hash all their shingles, longer ones those that begin a word; in between, both make bands.
+SHORT = (80, 128)
+_EACH = r"(?s)(?=(.{8}|^.{1,7}$))"
 _BEGIN = r"(?s)(?:^| |(?<=[^ ]{8}))(?=(.{1,8}))"
 
 
@@ -68,10 +71,16 @@ def _keys(line: Column) -> list[Column]:
 
 def _bands(lines: DataFrame) -> DataFrame:
     """`name, size, band` for each class and band, from `doc_id, line_no, h1, h2, text`."""
-    starts = F.regexp_extract_all("text", F.lit(_BEGIN), F.lit(1))
-    rows = lines.select("h1", "h2", F.length("text").alias("size"), F.sort_array(F.array_distinct(F.transform(starts, lambda x: F.xxhash64(x)))).alias("low"))
-    runs = F.transform(F.sequence(F.lit(1), F.least(F.size("low") - RUN + 1, F.lit(BANDS))), lambda i: F.xxhash64(F.slice("low", i, F.lit(RUN))))
-    rows = rows.select("h1", "h2", "size", F.when(F.size("low") >= RUN, runs).otherwise(F.array(F.xxhash64("low"))).alias("bands"))
+    def low(pattern):
+        return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.xxhash64(x))))
+
+    def runs(low):
+        several = F.transform(F.sequence(F.lit(1), F.least(F.size(low) - RUN + 1, F.lit(BANDS))), lambda i: F.xxhash64(F.slice(low, i, F.lit(RUN))))
+        return F.when(F.col(low).isNull(), F.array().cast("array<long>")).when(F.size(low) >= RUN, several).otherwise(F.array(F.xxhash64(low)))
+
+    size = F.length("text")
+    rows = lines.select("h1", "h2", size.alias("size"), F.when(size <= SHORT[1], low(_EACH)).alias("each"), F.when(size >= SHORT[0], low(_BEGIN)).alias("begin"))
+    rows = rows.select("h1", "h2", "size", F.concat(runs("each"), runs("begin")).alias("bands"))
     # equal lines have equal bands
     rows = rows.groupBy("h1", "h2").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
     return rows.select(F.col("h1").alias("name"), "size", F.explode(F.array_distinct("bands")).alias("band"))
