@@ -124,7 +124,7 @@ def mix_sizes(docs: DataFrame, **options) -> DataFrame:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each row of `docs` as often as it is taken, with the columns of `docs`."""
-    sized = docs.withColumn("size", words(F.col("text")))
+    sized = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", words(F.col("text")).alias("size"))
     lean = stash(sized.select("doc_id", "source", "size"), "sized")
     out = mixture(sized, lean, **options).filter("copies > 0")
-    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return out.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

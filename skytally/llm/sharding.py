@@ -71,7 +71,8 @@ def sharded(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
     above. Repeated rows go to one bucket, a NULL id is hashed as an empty
     one, an empty table gives no shard.
     """
-    keyed = docs.withColumn("shard_key", hash_bits(F.col("doc_id"))).withColumn("shard_size", F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), hash_bits(F.col("doc_id")).alias("shard_key"),
+                        F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("shard_size"))
     keys = stash(keyed.select(F.col("shard_key").alias("key"), F.col("shard_size").alias("bytes")), "keys")
     buckets, rounds = directory(keys, limit)
 
@@ -110,5 +111,5 @@ def sharded(docs: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
         many = many.drop("bucket_bytes", "bucket_docs").join(pages, ["shard_key", "shard_page"])
         plain = plain.unionByName(many.select(*plain.columns))
     name = F.concat_ws("/", F.col("depth").cast("string"), F.col("prefix").cast("string"))
-    return plain.select(*docs.columns, F.when(F.col("shard_page") > 0, F.concat_ws("+", name, F.col("shard_page").cast("string"))).otherwise(name).alias("shard_id"),
+    return plain.select("row.*", F.when(F.col("shard_page") > 0, F.concat_ws("+", name, F.col("shard_page").cast("string"))).otherwise(name).alias("shard_id"),
                         F.col("depth").cast("int").alias("shard_depth"), "shard_page", "shard_bytes", "shard_docs")
