@@ -3,8 +3,8 @@
 Lines are compared in lower case without blanks around them. Equal lines form a
 class, told apart by two 64-bit hashes of the line. A line's signature is a
 bottom-k MinHash sketch: the smallest hashes of its 8-character shingles, of which
-in long lines those that begin a word are hashed (in runs of more than eight
-characters without a blank every one), in short lines all. Bands are runs of three neighbours among the 12 smallest,
+in long lines those that begin a word are hashed, in short lines and
+in lines with few blanks all. Bands are runs of three neighbours among the 12 smallest,
 so that one differing hash spoils at most three of the ten bands. Lines that share a band are candidates; they are
 linked when the Jaccard similarity of the sets of all their 8-character
 shingles is 0.75 or more. Of each component the first line in order of doc_id
@@ -34,7 +34,9 @@ SENT_LINES = 2_000_000
 #: Shorter lines hash all their shingles, longer ones those that begin a word; in between, both make bands.
 SHORT = (80, 128)
 _EACH = r"(?s)(?=(.{8}|^.{1,7}$))"
-_BEGIN = r"(?s)(?:^| |(?<=[^ ]{8}))(?=(.{1,8}))"
+_BEGIN = r"(?s)(?:^| )(?=(.{1,8}))"
+#: Lines of longer runs without a blank on average hash all their shingles too.
+LONG_RUN = 16
 
 
 def plain(line: Column) -> Column:
@@ -55,8 +57,8 @@ def _count(codes: Column) -> Column:
     return F.greatest(F.length(codes) / 2 - (SHINGLE - 1), F.lit(1)).cast("int")
 
 
-def _set(text: Column) -> Column:
-    codes = _codes(text)
+def _set(codes: Column) -> Column:
+    """The set of all shingles; ``codes`` must be a column, or it would be made anew for each."""
     return F.array_distinct(F.transform(F.sequence(F.lit(0), _count(codes) - 1), lambda i: _shingle(codes, i)))
 
 
@@ -79,7 +81,8 @@ def _bands(lines: DataFrame) -> DataFrame:
         return F.when(F.col(low).isNull(), F.array().cast("array<long>")).when(F.size(low) >= RUN, several).otherwise(F.array(F.xxhash64(low)))
 
     size = F.length("text")
-    rows = lines.select("h1", "h2", size.alias("size"), F.when(size <= SHORT[1], low(_EACH)).alias("each"), F.when(size >= SHORT[0], low(_BEGIN)).alias("begin"))
+    blanks = size - F.length(F.replace("text", F.lit(" "), F.lit("")))
+    rows = lines.select("h1", "h2", size.alias("size"), F.when((size <= SHORT[1]) | (blanks * LONG_RUN < size), low(_EACH)).alias("each"), F.when(size >= SHORT[0], low(_BEGIN)).alias("begin"))
     rows = rows.select("h1", "h2", "size", F.concat(runs("each"), runs("begin")).alias("bands"))
     # equal lines have equal bands
     rows = rows.groupBy("h1", "h2").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
@@ -103,7 +106,8 @@ def _linked(pairs: DataFrame, lines: DataFrame, classes: DataFrame, share: float
     texts = stash(found.dropDuplicates(["name"]), "texts")
     both = (pairs.select("a", "b").join(texts.select(F.col("name").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("name").alias("b"), F.col("text").alias("tb")), "b"))
-    both = both.select("a", "b", _set(F.col("ta")).alias("sa"), _set(F.col("tb")).alias("sb"))
+    both = both.select("a", "b", _codes(F.col("ta")).alias("ca"), _codes(F.col("tb")).alias("cb"))
+    both = both.select("a", "b", _set(F.col("ca")).alias("sa"), _set(F.col("cb")).alias("sb"))
     both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
     return both.filter(F.col("n") >= share * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
 
