@@ -25,6 +25,9 @@ HEADLINE = [
     "g1_color_redshift",
     "b1_k_integral_table",
     "b4_bias_likelihood",
+    "e6_correlation_function",
+    "x22_matter_power",
+    "j4_pair_count_auto",
 ]
 
 
