@@ -94,16 +94,20 @@ def _close(a: str, b: str, share: float) -> Column:
     return F.least(a, b) + SHINGLE >= (F.greatest(a, b) - SHINGLE) * F.lit(share / 2)
 
 
-def _linked(pairs: DataFrame, lines: DataFrame, classes: DataFrame, share: float) -> DataFrame:
-    """The pairs `a, b` whose shingle sets reach the similarity."""
-    names = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-    needed = stash(classes.select(F.col("h1").alias("name"), F.col("first.doc_id").alias("at_doc"), F.col("first.line_no").alias("at_line")).join(names.withColumnRenamed("h1", "name"), "name"), "needed")
+def _texts(names: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
+    """`name, text` of the classes in `names`, read where each occurs first."""
+    places = classes.select(F.col("h1").alias("name"), F.col("first.doc_id").alias("at_doc"), F.col("first.line_no").alias("at_line"))
+    needed = stash(places.join(names, "name", "left_semi"), "needed")
     if needed.count() <= SENT_LINES:
         needed = F.broadcast(needed)
     # the first of equal lines may be in a document without an id
     place = (F.col("h1") == F.col("name")) & (F.col("line_no") == F.col("at_line")) & F.col("doc_id").eqNullSafe(F.col("at_doc"))
     found = lines.select("doc_id", "line_no", "h1", "text").join(needed, place).select("name", "text")
-    texts = stash(found.dropDuplicates(["name"]), "texts")
+    return stash(found.dropDuplicates(["name"]), "texts")
+
+
+def _linked(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
+    """The pairs `a, b` whose shingle sets reach the similarity."""
     both = (pairs.select("a", "b").join(texts.select(F.col("name").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("name").alias("b"), F.col("text").alias("tb")), "b"))
     both = both.select("a", "b", _codes(F.col("ta")).alias("ca"), _codes(F.col("tb")).alias("cb"))
@@ -134,7 +138,8 @@ def fuzzy_lines(docs: DataFrame, share: float = SIMILARITY) -> DataFrame:
     sizes = shared.filter("name = pivot").select("band", F.col("size").alias("pivot_size"))
     pairs = shared.filter("name <> pivot").join(sizes, "band").filter(_close("size", "pivot_size", share)).select(F.col("pivot").alias("a"), F.col("name").alias("b")).distinct()
     tried = stash(pairs, "tried")
-    edges = stash(_linked(tried, filled, classes, share), "links")
+    texts = _texts(shared.select("name").distinct(), filled, classes)
+    edges = stash(_linked(tried, texts, share), "links")
     labels, done = components(edges), 0
     rank = F.row_number().over(Window.partitionBy("band").orderBy("name"))
     open_ = shared.select("band", "name", "size", rank.alias("rank"))
@@ -152,7 +157,7 @@ def fuzzy_lines(docs: DataFrame, share: float = SIMILARITY) -> DataFrame:
         more = stash(more, "tried")
         if not more.isEmpty():
             tried = tried.unionByName(more)
-            joined = stash(_linked(more, filled, classes, share), "links")
+            joined = stash(_linked(more, texts, share), "links")
             if not joined.isEmpty():
                 edges = edges.unionByName(joined)
                 labels = components(edges)
