@@ -82,7 +82,9 @@ class Cascade:
 
 
 def _inside(words: np.ndarray, depth: int, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
-    size, ok, a, b = len(words) * 64, np.ones(len(h1), bool), h1 & _LOW, h2 & _LOW
+    # each filter reads other bits of the hashes, so keys that a small filter can't tell apart part in the next
+    turn = depth * 5 % 24
+    size, ok, a, b = len(words) * 64, np.ones(len(h1), bool), (h1 >> turn) & _LOW, (h2 >> turn) & _LOW
     for i in range(PROBES):
         at = (a + b * np.int64(depth * PROBES + i + 1)) % np.int64(size)
         ok &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
@@ -94,7 +96,8 @@ def _filter(keys: DataFrame, count: int, depth: int) -> np.ndarray:
     words = max(1, -(-count * BITS_PER_KEY // 64))
     probe = F.explode(F.array(*[F.lit(depth * PROBES + i + 1).cast("long") for i in range(PROBES)])).alias("i")
     # sums wrap as they do in numpy: the low 64 bits, by try_ free arithmetic on the bits
-    at = F.expr(f"((h1 & {_LOW}L) + (h2 & {_LOW}L) * i) % {words * 64}L")
+    turn = depth * 5 % 24
+    at = F.expr(f"((shiftright(h1, {turn}) & {_LOW}L) + (shiftright(h2, {turn}) & {_LOW}L) * i) % {words * 64}L")
     rows = (keys.select("h1", "h2", probe).select(at.alias("at")).select(F.shiftright("at", 6).alias("w"), F.expr("shiftleft(1L, cast(at & 63 as int))").alias("b"))
             .groupBy("w").agg(F.bit_or("b").alias("b")).collect())
     out = np.zeros(words, np.int64)
