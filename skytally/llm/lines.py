@@ -112,8 +112,9 @@ def _linked(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
             .join(texts.select(F.col("name").alias("b"), F.col("text").alias("tb")), "b"))
     both = both.select("a", "b", _codes(F.col("ta")).alias("ca"), _codes(F.col("tb")).alias("cb"))
     both = both.select("a", "b", _set(F.col("ca")).alias("sa"), _set(F.col("cb")).alias("sb"))
-    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
-    return both.filter(F.col("n") >= share * (F.col("na") + F.col("nb") - F.col("n"))).select("a", "b")
+    # the row number keeps the filter from being pushed into the projections, where each set would be made again for each of its uses
+    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"), F.monotonically_increasing_id().alias("row"))
+    return both.filter((F.col("n") >= share * (F.col("na") + F.col("nb") - F.col("n"))) & (F.col("row") >= 0)).select("a", "b")
 
 
 def fuzzy_lines(docs: DataFrame, share: float = SIMILARITY) -> DataFrame:
