@@ -4,12 +4,17 @@ Lines are compared in lower case without blanks around them. Equal lines form a
 class, told apart by two 64-bit hashes of the line. A line's signature is a
 bottom-k MinHash sketch: the smallest hashes of its 8-character shingles, of which
 in long lines those that begin a word are hashed, in short lines and
-in lines with few blanks all. Bands are runs of three neighbours among the 12 smallest,
-so that one differing hash spoils at most three of the ten bands. Lines that share a band are candidates; they are
+in lines with few blanks all. Bands are runs of three neighbours among the 32 smallest,
+and in signatures of up to 16 hashes runs of two besides. Lines that share a band are candidates; they are
 linked when the Jaccard similarity of the sets of all their 8-character
 shingles is 0.75 or more. Of each component the first line in order of doc_id
 and line number is kept.
 
+Sets of at most 32 shingles lose no pair: d differing hashes split the c common
+ones into at most d + 1 runs, and 3 d <= c at a similarity of 0.75. So there is
+a run of three where c > 6, and one of two where c > 1; with c <= 6 both sets
+have at most 8 hashes. Larger sets lose about one pair in ten thousand at 0.75, fewer above.
+
 Within a band each line is first tried with the smallest class. Bands that
 still hold several components go on in rounds, each with up to 16 further lines
 against the rest, until every pair between different components was tried. So
@@ -26,7 +31,9 @@ from skytally.lineage import stash
 from skytally.llm.components import components
 
 SHINGLE = 8
-RUN, BANDS = 3, 10
+RUN, BANDS = 3, 30
+#: Signatures of so many hashes have runs of two as bands too; 8 would do for all shingles, words are few in some long lines.
+FEW = 16
 SIMILARITY = 0.75
 PIVOTS = 16
 #: Candidates whose places are sent to every executor at most (about 100 MB); more are joined by a shuffle.
@@ -77,8 +84,13 @@ def _bands(lines: DataFrame) -> DataFrame:
         return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.xxhash64(x))))
 
     def runs(low):
-        several = F.transform(F.sequence(F.lit(1), F.least(F.size(low) - RUN + 1, F.lit(BANDS))), lambda i: F.xxhash64(F.slice(low, i, F.lit(RUN))))
-        return F.when(F.col(low).isNull(), F.array().cast("array<long>")).when(F.size(low) >= RUN, several).otherwise(F.array(F.xxhash64(low)))
+        none, n = F.array().cast("array<long>"), F.size(low)
+
+        def of(run):
+            several = F.transform(F.sequence(F.lit(1), F.least(n - run + 1, F.lit(BANDS))), lambda i: F.xxhash64(F.slice(low, i, F.lit(run))))
+            return F.when(n >= run, several).otherwise(F.array(F.xxhash64(low)))
+
+        return F.when(F.col(low).isNull(), none).otherwise(F.concat(of(RUN), F.when(n <= FEW, of(2)).otherwise(none)))
 
     size = F.length("text")
     blanks = size - F.length(F.replace("text", F.lit(" "), F.lit("")))

@@ -1,6 +1,7 @@
 """Language, decontamination, quality and line operators."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -214,3 +215,40 @@ def test_kept_lines_make_texts(make_docs):
     docs = make_docs((1, "one two three four\nfive"), (2, "One two three four\nsix\n"), (3, None))
     got = {r.doc_id: r.text for r in N.without_repeats(docs, N.fuzzy_lines(docs)).collect()}
     assert got == {1: "one two three four\nfive", 2: "six\n", 3: None}
+
+
+def shingles(line):
+    return {line[i:i + 8] for i in range(max(1, len(line) - 7))}
+
+
+def test_bands_meet_at_every_length(spark):
+    """Pairs at a similarity of 0.75 to 0.80 share a band, all of them where the sets are small."""
+    rng = random.Random(11)
+    pairs, seen = [("chapter 10", "chapter 100"), ("qwertyuiopa", "qwertyuiopas")], Counter()
+
+    def add(a, b, kind):
+        x, y = shingles(a), shingles(b)
+        j = len(x & y) / len(x | y)
+        if a != b and j >= 0.75 and (j <= 0.8 or len(a) < 20):
+            pairs.append((a, b))
+            seen[kind] += 1
+
+    # one character more, at either end
+    for n in range(10, 40):
+        for _ in range(40):
+            a = letters(rng, 20).replace(" ", rng.choice(["", " "]))[:n].strip()
+            more = "".join(rng.choice("abcdefgh") for _ in range(max(1, (len(a) - 7) // 3)))
+            add(a, rng.choice([a + more, more + a]), "grown")
+    for n in (60, 100, 128, 129, 160, 240, 400, 800):
+        while seen[n] < 150:
+            a = letters(rng, n)[:n].strip()
+            add(a, edited(rng, a, max(1, round(n * rng.uniform(0.012, 0.025)))), n)
+    rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
+    text = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.lit(0).alias("line_no"), "text", *N._keys(F.col("text")))
+    bands = {}
+    for r in N._bands(text).select("name", "band").collect():
+        bands.setdefault(r["name"], set()).add(r.band)
+    name = {r.text: r.h1 for r in text.select("text", "h1").collect()}
+    lost = [(a, b) for a, b in pairs if not bands[name[a]] & bands[name[b]]]
+    assert seen["grown"] > 500 and not [p for p in lost if max(len(shingles(t)) for t in p) <= 32]
+    assert len(lost) <= 2
