@@ -94,6 +94,19 @@ def test_passages_are_found(make_docs, spark, clashing):
     assert D.decontaminated(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_passages_are_found_wherever_they_begin():
+    """Verbatim passages of 64 normalised characters from every place of an item, whole words or not."""
+    rng = random.Random(12)
+    items = [letters(rng, 45)[:n].strip() for n in (64, 65, 71, 100, 163, 226)]
+    ix = D.index(list(enumerate(items)))
+    for i, item in enumerate(items):
+        spans = [item[at:at + D.SEGMENT] for at in range(len(item) - D.SEGMENT + 1)]
+        texts = [letters(rng, 15) + " " + s.strip() + " " + letters(rng, 15) for s in spans if s == s.strip()]
+        texts += [letters(rng, 15) + s + letters(rng, 15) for s in spans]
+        assert {t for t, k in zip(*D.find(ix, texts)[:2]) if k == i} == set(range(len(texts)))
+    assert not len(D.find(ix, [letters(rng, 400)])[0])
+
+
 def test_bands_lose_no_alignment_within_the_budget():
     """Every region within the edit budget, found by full dynamic programming, is reported."""
     rng = random.Random(9)
