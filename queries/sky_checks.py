@@ -330,6 +330,31 @@ def _(spark, sf):
     return a.select("band", "pixels", F.round("area", 6).alias("area"))
 
 
+# the same at the defaults of the operators: nside 1024 and all exposures; brute force is in tests/test_footprint_full.py
+FULL_NS = 1024
+
+
+@query("j7_disc_coverage_1024")
+def _(spark, sf):
+    return FP.disc_coverage(_visits(spark, sf), COVER_R, FULL_NS).select("visit_id", "pix")
+
+
+@query("f9_band_depth_1024")
+def _(spark, sf):
+    return FP.band_depth(_visits(spark, sf))
+
+
+@query("f9_full_depth_footprint_1024")
+def _(spark, sf):
+    return FP.full_depth_footprint(_visits(spark, sf))
+
+
+@query("f10_footprint_area_1024")
+def _(spark, sf):
+    a = FP.footprint_area(FP.deep_pixels(FP.band_depth(_visits(spark, sf))), FULL_NS, ["band"])
+    return a.select("band", "pixels", F.round("area", 6).alias("area"))
+
+
 # places where galaxies crowd, and what connects over edges to the fullest of them
 _CROWD = f"""{pixed('p', 'galaxies', 64)}, m AS (SELECT pix FROM p GROUP BY pix HAVING count(*) >= 2),
 seed AS (SELECT pix FROM p GROUP BY pix ORDER BY count(*) DESC, pix LIMIT 3)"""
