@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from skytally.llm.bpe import digests, read_spec
 from skytally.llm.decontaminate import leaks
+from skytally.llm.fim import fill_in_middle, restored
 from skytally.llm.language import language_of
 from skytally.llm.lines import fuzzy_lines
 from skytally.llm.minhash import near_duplicates
@@ -16,6 +19,7 @@ from skytally.llm.quality import quality_of
 from skytally.llm.sharding import sharded
 from skytally.llm.urls import judge
 from skytally.llm.warc import round_trip
+from skytally.llm.whiten import components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +154,35 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = componen
 FROM documents d JOIN part ON d.doc_id = x LEFT JOIN sizes z ON z.doc_id = d.doc_id""")
 def op10(spark, sf_dir):
     return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+@query("op11_bpe_encoding")
+def op11(spark, sf_dir):
+    import public_tokenizers
+
+    return digests(read(spark, sf_dir, "documents"), read_spec(public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op12_embedding_whitening")
+def op12(spark, sf_dir):
+    return components(read(spark, sf_dir, "embeddings"))
+
+
+@query("op13_fill_in_middle", sql=r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^
+]*
+|[^
+]+') AS u, ('0x' || substr(d, 1, 8))::BIGINT AS h1, ('0x' || substr(d, 9, 8))::BIGINT AS h2,
+  ('0x' || substr(d, 17, 8))::BIGINT AS h3, ('0x' || substr(d, 25, 8))::BIGINT AS h4 FROM t),
+c AS (SELECT *, len(u)::BIGINT AS n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+    WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS prefix, coalesce(array_to_string(u[a + 1:b], ''), '') AS middle, coalesce(array_to_string(u[b + 1:], ''), '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle)::BIGINT END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM p""")
+def op13(spark, sf_dir):
+    made = fill_in_middle(read(spark, sf_dir, "documents"))
+    digest = [F.sha2(c.cast("binary"), 256) for c in (F.col("output"), restored(F.col("output"), F.col("form")))]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest[0].alias("output_sha256"), digest[1].alias("restored_sha256"))
