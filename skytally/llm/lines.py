@@ -2,10 +2,12 @@
 
 Lines are compared in lower case without blanks around them. Equal lines form a
 class, told apart by two 64-bit hashes of the line. A line's signature is a
-bottom-k MinHash sketch: the smallest hashes of its 8-character shingles, of which
+one-permutation MinHash sketch of its 8-character shingles, of which
 in long lines those that begin a word are hashed, in short lines and
-in lines with few blanks all. Bands are runs of three neighbours among the 32 smallest,
-and in signatures of up to 16 hashes runs of two besides. Lines that share a band are candidates; they are
+in lines with few blanks all: hashes fall into 42 ranges, and the smallest of
+each counts. Three neighbouring ranges make a band, so there are 14. Small sets
+have runs of neighbours in the sorted list of all their hashes as bands
+instead: runs of three, and of two besides in the smallest. Lines that share a band are candidates; they are
 linked when the Jaccard similarity of the sets of all their 8-character
 shingles is 0.75 or more. Of each component the first line in order of doc_id
 and line number is kept.
@@ -13,29 +15,36 @@ and line number is kept.
 Sets of at most 32 shingles lose no pair: d differing hashes split the c common
 ones into at most d + 1 runs, and 3 d <= c at a similarity of 0.75. So there is
 a run of three where c > 6, and one of two where c > 1; with c <= 6 both sets
-have at most 8 hashes. Larger sets lose about one pair in ten thousand at 0.75, fewer above.
-
-Within a band each line is first tried with the smallest class. Bands that
-still hold several components go on in rounds, each with up to 16 further lines
-against the rest, until every pair between different components was tried. So
-no round writes all pairs of a band, and none is left out. Texts are never
-shuffled: candidates fetch theirs by the place where the line occurs first.
+have at most 8 hashes. Of larger sets about one pair in two thousand is lost at 0.75, fewer above.
+
+Bands are made once for each class, and those of one class alone go before their
+names are shuffled. A class is first tried with one partner, the smallest class of the
+band it shares most often. Bands that still hold several components are
+compared in tiles of bounded size. There each pair is tried in the first band
+that it shares only, and goes on to the exact test only if enough of the two
+sketches agree, which misses about one pair in a million. So no pair of a band is left out, and only likely
+ones are written. Texts are not shuffled but for candidates, which
+fetch theirs by the place where the line occurs first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytally.lineage import stash
 from skytally.llm.components import components
 
 SHINGLE = 8
-RUN, BANDS = 3, 30
-#: Signatures of so many hashes have runs of two as bands too; 8 would do for all shingles, words are few in some long lines.
+RUN, BANDS = 3, 14
+RANGES = RUN * BANDS
+#: Sets of up to so many hashes have runs as bands: of all shingles, and of those that begin a word.
+SMALL = (32, 16)
+#: Up to so many hashes, runs of two are bands too; 8 would do for all shingles, words are few in some long lines.
 FEW = 16
 SIMILARITY = 0.75
-PIVOTS = 16
+#: Rows of a tile's side, and how many of the 42 ranges must agree for the exact test: at 0.75 fewer do once in a million.
+TILE, AGREE = 64, 18
 #: Candidates whose places are sent to every executor at most (about 100 MB); more are joined by a shuffle.
 SENT_LINES = 2_000_000
 #: Shorter lines hash all their shingles, longer ones those that begin a word; in between, both make bands.
@@ -78,32 +87,74 @@ def _keys(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit(1)).alias("h2")]
 
 
+def _low(pattern: str) -> Column:
+    """The sorted distinct hashes of the shingles of `text` that the pattern finds."""
+    return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.xxhash64(x))))
+
+
+def _place(x: Column, ranges: int) -> Column:
+    """The range that a hash falls into, in order of the hashes."""
+    return F.floor((x.cast("double") / 2.0**64 + 0.5) * ranges).cast("int")
+
+
+def _leads(low: Column) -> Column:
+    """The smallest hash of each range that has one."""
+    return F.filter(low, lambda x, i: (i == 0) | (_place(x, RANGES) != _place(F.get(low, i - 1), RANGES)))
+
+
+def _sketches(lines: DataFrame) -> DataFrame:
+    """The columns of `lines(..., text)`, and `each` and `begin`: sorted hashes of all shingles, and of those that begin a word, where they count."""
+    size = F.length("text")
+    blanks = size - F.length(F.replace("text", F.lit(" "), F.lit("")))
+    return lines.select("*", F.when((size <= SHORT[1]) | (blanks * LONG_RUN < size), _low(_EACH)).alias("each"), F.when(size >= SHORT[0], _low(_BEGIN)).alias("begin"))
+
+
 def _bands(lines: DataFrame) -> DataFrame:
-    """`name, size, band` for each class and band, from `doc_id, line_no, h1, h2, text`."""
-    def low(pattern):
-        return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.xxhash64(x))))
+    """`name, band` for each class and band, from `h1, h2, text`."""
+    none = F.array().cast("array<long>")
 
     def runs(low):
-        none, n = F.array().cast("array<long>"), F.size(low)
+        n = F.size(low)
 
         def of(run):
-            several = F.transform(F.sequence(F.lit(1), F.least(n - run + 1, F.lit(BANDS))), lambda i: F.xxhash64(F.slice(low, i, F.lit(run))))
+            several = F.transform(F.sequence(F.lit(1), n - run + 1), lambda i: F.xxhash64(F.slice(low, i, F.lit(run))))
             return F.when(n >= run, several).otherwise(F.array(F.xxhash64(low)))
 
-        return F.when(F.col(low).isNull(), none).otherwise(F.concat(of(RUN), F.when(n <= FEW, of(2)).otherwise(none)))
+        return F.concat(of(RUN), F.when(n <= FEW, of(2)).otherwise(none))
 
-    size = F.length("text")
-    blanks = size - F.length(F.replace("text", F.lit(" "), F.lit("")))
-    rows = lines.select("h1", "h2", size.alias("size"), F.when((size <= SHORT[1]) | (blanks * LONG_RUN < size), low(_EACH)).alias("each"), F.when(size >= SHORT[0], low(_BEGIN)).alias("begin"))
-    rows = rows.select("h1", "h2", "size", F.concat(runs("each"), runs("begin")).alias("bands"))
+    def ranges(leads):
+        each = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.struct(j.alias("j"), F.filter(leads, lambda x: _place(x, BANDS) == j).alias("of")))
+        return F.transform(F.filter(each, lambda b: F.size(b["of"]) > 0), lambda b: F.xxhash64(b["of"], b["j"]))
+
+    def bands(low, small, leads):
+        # sets of a middle size have both kinds, to meet smaller and larger ones
+        n = F.size(low)
+        return F.when(F.col(low).isNull(), none).otherwise(F.concat(F.when(n <= small, runs(F.col(low))).otherwise(none), F.when(n > small // 2, ranges(F.col(leads))).otherwise(none)))
+
+    rows = _sketches(lines.select("h1", "h2", "text")).select("h1", "h2", "each", "begin", _leads(F.col("each")).alias("le"), _leads(F.col("begin")).alias("lb"))
+    rows = rows.select("h1", "h2", F.concat(bands("each", SMALL[0], "le"), bands("begin", SMALL[1], "lb")).alias("bands"))
     # equal lines have equal bands
-    rows = rows.groupBy("h1", "h2").agg(F.first("size").alias("size"), F.first("bands").alias("bands"))
-    return rows.select(F.col("h1").alias("name"), "size", F.explode(F.array_distinct("bands")).alias("band"))
+    rows = rows.groupBy("h1", "h2").agg(F.first("bands").alias("bands"))
+    return rows.select(F.col("h1").alias("name"), F.explode(F.array_distinct("bands")).alias("band"))
+
 
+def _profiles(texts: DataFrame) -> DataFrame:
+    """`name, each, begin`: for either kind of hashes and each of the 42 ranges 16 bits of its smallest, 0 if it has none; NULL where the kind does not count."""
+    def of(low, leads):
+        marks = F.map_from_entries(F.transform(F.col(leads), lambda x: F.struct(_place(x, RANGES), F.shiftright(F.xxhash64(x), 48).cast("short"))))
+        dense = F.transform(F.sequence(F.lit(0), F.lit(RANGES - 1)), lambda j: F.coalesce(F.try_element_at(marks, j), F.lit(0).cast("short")))
+        return F.when(F.col(low).isNotNull(), dense).alias(low)
 
-def _close(a: str, b: str, share: float) -> Column:
-    """Whether the lengths allow the similarity; shingles that repeat within a line are given room."""
-    return F.least(a, b) + SHINGLE >= (F.greatest(a, b) - SHINGLE) * F.lit(share / 2)
+    rows = _sketches(texts.select("name", "text")).select("name", "each", "begin", _leads(F.col("each")).alias("le"), _leads(F.col("begin")).alias("lb"))
+    return rows.select("name", of("each", "le"), of("begin", "lb"))
+
+
+def _alike(a: str, b: str) -> Column:
+    """Whether enough ranges of two sketches agree; those empty on both sides count, which only lets more pairs on."""
+    def agree(kind):
+        return F.coalesce(F.size(F.filter(F.zip_with(f"{a}.{kind}", f"{b}.{kind}", lambda x, y: x == y), lambda e: e)), F.lit(-1))
+
+    return (agree("each") >= AGREE) | (agree("begin") >= AGREE)
 
 
 def _texts(names: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
@@ -129,6 +180,33 @@ def _linked(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     return both.filter((F.col("n") >= share * (F.col("na") + F.col("nb") - F.col("n"))) & (F.col("row") >= 0)).select("a", "b")
 
 
+def _likely(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """The pairs `a, b` whose sketches agree enough."""
+    side = profiles.select("name", F.struct("each", "begin").alias("s"))
+    both = (pairs.join(side.select(F.col("name").alias("a"), F.col("s").alias("x")), "a").join(side.select(F.col("name").alias("b"), F.col("s").alias("y")), "b"))
+    return both.filter(_alike("x", "y")).select("a", "b")
+
+
+def _open_pairs(shared: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Pairs `a, b` of different components that share a band and whose sketches agree enough, each once."""
+    rows = shared.join(labels.withColumnRenamed("node", "name"), "name", "left").select("band", "name", F.coalesce("component", "name").alias("component"))
+    rows = stash(rows, "marked")
+    mixed = (rows.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+             .filter("lo < hi").select("band", F.ceil(F.col("n") / TILE).cast("long").alias("blocks")))
+    open_ = stash(rows.join(mixed, "band"), "open")
+    mine = open_.groupBy("name").agg(F.sort_array(F.collect_set("band")).alias("bands")).join(profiles, "name").select("name", "bands", F.struct("each", "begin").alias("s"))
+    tiled = (open_.join(mine, "name").withColumn("mine", F.pmod(F.xxhash64("name", "band"), F.col("blocks")))
+             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+             .select("band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "name", "component", "bands", "s"))
+    tile = ["band", "x", "y"]
+    left, right = (tiled.select(*tile, *[F.col(c).alias(f"{c}_{k}") for c in ("mine", "name", "component", "bands", "s")]) for k in "ab")
+    # within a block each pair once; between two blocks from the first to the second
+    sides = F.when(F.col("x") == F.col("y"), F.col("name_a") < F.col("name_b")).otherwise((F.col("mine_a") == F.col("x")) & (F.col("mine_b") == F.col("y")))
+    first = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")
+    pairs = left.join(right, tile).filter(sides & (F.col("component_a") != F.col("component_b")) & _alike("s_a", "s_b") & first)
+    return stash(pairs.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")), "candidates")
+
+
 def fuzzy_lines(docs: DataFrame, share: float = SIMILARITY) -> DataFrame:
     """`doc_id, line_no, kept, keeper_doc, keeper_line` for each line of `docs(doc_id, text, ...)`.
 
@@ -144,37 +222,21 @@ def fuzzy_lines(docs: DataFrame, share: float = SIMILARITY) -> DataFrame:
     lean = stash(lines.select("doc_id", "line_no", "h1", "h2", (F.col("text") == "").alias("blank")), "lines")
     classes = lean.filter("not blank").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     classes = stash(classes, "classes")
-    within = Window.partitionBy("band")
-    shared = (_bands(filled).withColumn("pivot", F.min("name").over(within)).withColumn("last", F.max("name").over(within))
-              .filter("pivot < last").select("band", "name", "size", "pivot"))
-    shared = stash(shared, "shared")
-    sizes = shared.filter("name = pivot").select("band", F.col("size").alias("pivot_size"))
-    pairs = shared.filter("name <> pivot").join(sizes, "band").filter(_close("size", "pivot_size", share)).select(F.col("pivot").alias("a"), F.col("name").alias("b")).distinct()
-    tried = stash(pairs, "tried")
+    bands = _bands(filled)
+    # counted first: bands of one class alone are most, and their names need not be shuffled again
+    several = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", "n")
+    shared = stash(bands.join(several, "band").select("band", "name", "n"), "shared")
+    pivots = stash(shared.groupBy("band").agg(F.min("name").alias("pivot")), "pivots")
+    tried = (shared.join(pivots, "band").filter("name <> pivot").groupBy("name", "pivot").agg(F.count("*").alias("n"))
+             .groupBy("name").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b")).select(F.col("name").alias("a"), "b"))
     texts = _texts(shared.select("name").distinct(), filled, classes)
+    profiles = stash(_profiles(texts), "profiles")
+    tried = stash(_likely(tried, profiles), "tried")
     edges = stash(_linked(tried, texts, share), "links")
-    labels, done = components(edges), 0
-    rank = F.row_number().over(Window.partitionBy("band").orderBy("name"))
-    open_ = shared.select("band", "name", "size", rank.alias("rank"))
-    while True:
-        marked = (open_.filter(F.col("rank") > done).join(labels.withColumnRenamed("node", "name"), "name", "left")
-                  .select("band", "name", "size", "rank", F.coalesce("component", "name").alias("component")))
-        mixed = marked.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("band")
-        marked = stash(marked.join(mixed, "band", "left_semi"), "open")
-        if marked.isEmpty():
-            break
-        done += PIVOTS
-        pivots = marked.filter(F.col("rank") <= done).select("band", F.col("name").alias("a"), F.col("size").alias("as"), F.col("rank").alias("ar"), F.col("component").alias("ca"))
-        more = (pivots.join(marked.withColumnsRenamed({"name": "b", "size": "bs"}), "band").filter("ar < rank and ca <> component").filter(_close("as", "bs", share))
-                .select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        more = stash(more, "tried")
-        if not more.isEmpty():
-            tried = tried.unionByName(more)
-            joined = stash(_linked(more, texts, share), "links")
-            if not joined.isEmpty():
-                edges = edges.unionByName(joined)
-                labels = components(edges)
-        open_ = marked.select("band", "name", "size", "rank")
+    labels = components(edges)
+    more = stash(_linked(_open_pairs(shared, labels, profiles), texts, share), "links")
+    if not more.isEmpty():
+        labels = components(edges.unionByName(more))
 
     # lines that stand alone need no keeper to be looked up
     named = classes.select("h1", "h2", "first", "n").join(labels.withColumnRenamed("node", "h1"), "h1", "left")

@@ -216,7 +216,7 @@ def test_lines_equal_brute_force(make_docs, clashing):
     for d in range(60):
         lines = [rng.choice([lambda b: b, str.upper, lambda b: " " + b, lambda b: edited(rng, b, 1), lambda b: b + " z"])(rng.choice(base)) for _ in range(rng.randrange(1, 6))]
         rows.append((d, "\n".join(lines)))
-    rows += [(900, None), (901, ""), (902, "\n \nx"), (903, "q" * 3000), (904, "q" * 3001), (None, base[0]), (905, "x")]
+    rows += [(900, None), (901, ""), (902, "\n \nx"), (903, "q" * 3000), (904, "q" * 3001), (906, "-" * 20 + "\n" + "-" * 100 + "\n" + "-" * 1000), (907, "ab" * 10 + "\n" + "ab" * 500), (None, base[0]), (905, "x")]
     out = N.fuzzy_lines(clashing(make_docs(*rows))).collect()
     want = brute_lines(rows)
     assert sorted(((r.doc_id, r.line_no, r.keeper_doc, r.keeper_line) for r in out), key=str) == sorted(want, key=str)
