@@ -13,7 +13,7 @@ import numpy as np
 SHINGLE = 5
 CHUNK_BYTES = 1 << 21
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_PERIOD = 4096
+_TABLE = 4096
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,7 +34,7 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256)
 _LOWER[0x41:0x5B] += 32
 _BYTE = randoms(256, 1000)[_LOWER]
-_PLACE = randoms(_PERIOD, 5000) | np.uint64(1)
+_PLACE = randoms(_TABLE, 5000) | np.uint64(1)
 _ORDER = randoms(SHINGLE + 1, 9000) | np.uint64(1)
 
 
@@ -48,9 +48,14 @@ def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     lengths = ends - starts
     letters = data[inside]
     first = np.cumsum(lengths) - lengths
-    place = (np.arange(len(letters)) - np.repeat(first, lengths)) % _PERIOD
+    place = np.arange(len(letters)) - np.repeat(first, lengths)
+    factor = _PLACE[np.minimum(place, _TABLE - 1)]
+    # factors beyond the table follow the same rule, so that none repeats in a word of any length
+    far = np.flatnonzero(place >= _TABLE)
     with np.errstate(over="ignore"):
-        sums = np.add.reduceat(_BYTE[letters] * _PLACE[place], first)
+        if len(far):
+            factor[far] = mix((place[far].astype(np.uint64) + np.uint64(5001)) * _GOLD) | np.uint64(1)
+        sums = np.add.reduceat(_BYTE[letters] * factor, first)
         return starts, mix(sums + lengths.astype(np.uint64) * _GOLD)
 
 
