@@ -1,7 +1,7 @@
 """URL filters by a cascade of Bloom filters.
 
 A rule is a host and a path prefix; it becomes the key `host + path`. A URL has
-as keys every suffix of its host at a dot, with every prefix of its path that
+as keys the suffixes of its host with as many labels as some rule's host, with every prefix of its path that
 is as long as some rule's. The keys of all URLs together are the universe
 over which a cascade is exact: its first filter encodes the listed keys, the
 second the keys of the universe that the first accepts wrongly, the third the
@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytally.lineage import stash
@@ -52,10 +52,10 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.coalesce(lower, F.lit("")), F.coalesce(path, F.lit(""))
 
 
-def url_keys(host: Column, path: Column, lengths: list[int]) -> Column:
-    """All keys of a URL, given the lengths of the rules' paths."""
-    labels = F.split(host, r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def url_keys(host: Column, path: Column, lengths: list[int], labels: list[int]) -> Column:
+    """The keys of a URL that a rule can have, given the lengths of the rules' paths and the numbers of labels of their hosts."""
+    has = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    suffixes = F.filter(F.array(*[F.when(has >= n, F.substring_index(host, ".", -n)) for n in sorted(set(labels))]), lambda s: s.isNotNull())
     fitting = F.filter(F.array(*[F.lit(n) for n in sorted(set(lengths))]), lambda n: n <= F.length(path))
     return F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.concat(s, F.substring(path, F.lit(1), n)))))
 
@@ -137,7 +137,8 @@ def judge(pages: DataFrame, rules=RULES, default: str = ALLOW) -> DataFrame:
 
     A rule fits its host and all subdomains if the path begins with the
     rule's path. The longest rule wins (of equally long ones that with the
-    longer host; of the same key listed twice, the last given). Without a rule
+    longer host; of the same key listed twice, the last given, and in a table the allowing one).
+    `rules` are `Rule`s or a table `verdict, host, path`, whose keys stay in Spark; rows of it with a NULL are left out. Without a rule
     `rule` is NULL and the verdict is the default. A NULL url, or one without
     `://`, has an empty host and path. Repeated rows and NULL ids are kept;
     other columns are not read.
@@ -145,30 +146,32 @@ def judge(pages: DataFrame, rules=RULES, default: str = ALLOW) -> DataFrame:
     spark = pages.sparkSession
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"))
-    by_key = {r.host + r.path: r for r in rules}
-    if not by_key:
+    if not isinstance(rules, DataFrame):
+        last = {r.host + r.path: r for r in rules}
+        rules = spark.createDataFrame([(r.verdict, r.host, r.path) for r in last.values()], "verdict string, host string, path string")
+    rules = rules.select("host", "path", "verdict").dropna()
+    rules = stash(rules.groupBy(F.concat("host", "path").alias("key")).agg(F.min("verdict").alias("verdict"), F.first("host").alias("host"), F.first("path").alias("path")), "rules")
+    count = rules.count()
+    if not count:
         return rows.withColumn("rule", F.lit(None).cast("string")).withColumn("verdict", F.lit(default))
-    lengths = [len(r.path) for r in by_key.values()]
+    # as many as rules differ in length, not as there are rules
+    dots = F.length("host") - F.length(F.replace("host", F.lit("."), F.lit("")))
+    lengths, labels = ([r[0] for r in rules.select(c.alias("c")).distinct().collect()] for c in (F.length("path"), dots + 1))
     h1, h2 = _hashes(F.col("key"))
     # a key's partition of the filters is fixed by its hash, so that parts are independent cascades
-    universe = stash(rows.select(F.explode(F.array_distinct(url_keys(F.col("host"), F.col("path"), lengths))).alias("key")).distinct()
+    universe = stash(rows.select(F.explode(F.array_distinct(url_keys(F.col("host"), F.col("path"), lengths, labels))).alias("key")).distinct()
                      .select(h1.alias("h1"), h2.alias("h2")), "universe")
-    parts = -(-len(by_key) // PART_KEYS)
-    keys = url_keys(F.col("host"), F.col("path"), lengths)
+    parts = -(-count // PART_KEYS)
+    keys = url_keys(F.col("host"), F.col("path"), lengths, labels)
     found = rows.withColumn("keys", keys).withColumn("hit", F.lit(None).cast("string")).withColumn("verdict", F.lit(None).cast("string"))
     for verdict in (BLOCK, ALLOW):
-        names = [k for k, r in by_key.items() if r.verdict == verdict]
-        listed = _listed(spark, names, h1, h2)
+        listed = rules.filter(F.col("verdict") == verdict).select(h1.alias("h1"), h2.alias("h2"))
         for part in range(parts):
             of = F.pmod(F.col("h2"), F.lit(parts)) == part
             found = _matched(found, spark.sparkContext.broadcast(cascade(listed.filter(of), universe.filter(of))), verdict, part, parts)
     return found.select("page_id", "host", "path", F.col("hit").alias("rule"), F.coalesce("verdict", F.lit(default)).alias("verdict"))
 
 
-def _listed(spark: SparkSession, names: list[str], h1: Column, h2: Column) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in names], "key string").select(h1.alias("h1"), h2.alias("h2"))
-
-
 def _matched(rows: DataFrame, shared, verdict: str, part: int, parts: int) -> DataFrame:
     """`hit` and `verdict` replaced where this cascade lists a longer key of the row."""
     columns = ["page_id", "host", "path", "keys", "hit", "verdict"]

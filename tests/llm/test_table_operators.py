@@ -219,6 +219,13 @@ def test_urls_equal_brute_force(spark, clashing):
     assert U.judge(pages.limit(0)).collect() == []
 
 
+def test_rules_from_a_table_and_hosts_of_many_labels(spark):
+    urls = ["http://" + "a." * 20000 + "net/x", "http://b.c.example.com/de/", "http://example.com/de", "no"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    rules = spark.createDataFrame([("block", "net", "/"), ("block", "example.com", "/de/"), ("block", None, "/")], "verdict string, host string, path string")
+    assert sorted((r.page_id, r.rule, r.verdict) for r in U.judge(pages, rules).collect()) == [(0, "net/", "block"), (1, "example.com/de/", "block"), (2, None, "allow"), (3, None, "allow")]
+
+
 def test_cascade_is_exact_on_its_universe(spark, monkeypatch):
     monkeypatch.setattr(U, "BITS_PER_KEY", 6)  # many wrong positives, so several filters
     keys = spark.range(2000).select(F.xxhash64("id").alias("h1"), F.xxhash64("id", F.lit(7)).alias("h2"), (F.col("id") % 7 == 0).alias("mine"))
