@@ -33,6 +33,8 @@ SHORTEST = 24
 EDIT_SHARE = 0.1
 BLOCK_CHARS = 1 << 20
 PIECE = 1 << 20
+#: Pairs of a position and a segment's q-gram that are held at once.
+POSTINGS = 1 << 22
 _OVERLAP = 4 * SEGMENT
 _WALL = np.uint32(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -77,8 +79,10 @@ def grams(codes: np.ndarray) -> np.ndarray:
 class Index:
     """The q-grams of a block of benchmark items."""
 
-    items: np.ndarray       # item of each segment
-    codes: np.ndarray       # segments x 64, padded with 0
+    ids: list[int | None]   # item_id of each item
+    items: np.ndarray       # items of the segments, those of one segment together
+    upto: np.ndarray        # how many of them belong to the segments before each, and the number of all
+    codes: np.ndarray       # distinct segments x 64, padded with 0
     lengths: np.ndarray
     budget: np.ndarray      # edits allowed
     least: np.ndarray       # q-grams that a region must share
@@ -91,7 +95,7 @@ class Index:
 
 def index(items: list[tuple[int, str | None]]) -> Index | None:
     """None when no item is long enough to be looked for (24 normalised characters)."""
-    owner, parts = [], []
+    ids, at_item, at_part, owners, parts = [], {}, {}, [], []
     for item, text in items:
         codes = normalised([text])[0][:-1]
         codes = codes[codes != _WALL]
@@ -99,10 +103,18 @@ def index(items: list[tuple[int, str | None]]) -> Index | None:
         codes = codes[a:b]
         if len(codes) < SHORTEST:
             continue
+        # an item without id is told apart by its text
+        which = at_item.setdefault(text if item is None else item, len(ids))
+        if which == len(ids):
+            ids.append(item)
         last = max(len(codes) - SEGMENT, 0)
         for at in sorted({*range(0, last + 1, STEP), last}):
-            owner.append(item)
-            parts.append(codes[at:at + SEGMENT])
+            # equal segments, of one item or several, are looked for once
+            k = at_part.setdefault(codes[at:at + SEGMENT].tobytes(), len(parts))
+            if k == len(parts):
+                parts.append(codes[at:at + SEGMENT])
+                owners.append([])
+            owners[k].append(which)
     if not parts:
         return None
     lengths = np.array([len(p) for p in parts])
@@ -118,7 +130,7 @@ def index(items: list[tuple[int, str | None]]) -> Index | None:
     hashes, first = np.unique(h[order], return_index=True)
     bitmap = np.zeros(1 << _BITS, bool)
     bitmap[hashes >> np.uint64(64 - _BITS)] = True
-    return Index(np.array(owner), table, lengths, budget, lengths - Q + 1 - Q * budget, hashes, np.append(first, len(h)),
+    return Index(ids, np.concatenate([np.array(o) for o in owners]), np.cumsum([0] + [len(o) for o in owners]), table, lengths, budget, lengths - Q + 1 - Q * budget, hashes, np.append(first, len(h)),
                  segment[order], place[order], bitmap)
 
 
@@ -130,12 +142,14 @@ def _bands(ix: Index, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     same = ix.hashes[row] == h[at]
     at, row = at[same], row[same]
     counts = ix.first[row + 1] - ix.first[row]
-    post = np.repeat(ix.first[row] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    seg = ix.segment[post]
-    width = np.maximum(ix.budget[seg], 1)
-    # diagonals are counted from -64, so that none is negative
-    cell = (np.repeat(at, counts) - ix.place[post] + SEGMENT) // width
-    keys, n = np.unique((seg.astype(np.int64) << 32) | cell, return_counts=True)
+    # positions are taken in slices whose postings are bounded, however often the q-grams repeat
+    upto = np.cumsum(counts)
+    edges = [0, *np.unique(np.searchsorted(upto, np.arange(POSTINGS, upto[-1] if len(upto) else 0, POSTINGS), "right")).tolist(), len(at)]
+    found = [_cells(ix, at[a:b], row[a:b], counts[a:b]) for a, b in zip(edges, edges[1:]) if a < b]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, back = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    n = np.bincount(back, np.concatenate([m for _, m in found]), len(keys)).astype(np.int64)
     total = n.copy()
     beside = np.flatnonzero(keys[1:] == keys[:-1] + 1)
     total[beside] += n[beside + 1]
@@ -146,6 +160,16 @@ def _bands(ix: Index, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return seg, cell * np.maximum(ix.budget[seg], 1) - SEGMENT
 
 
+def _cells(ix: Index, at: np.ndarray, row: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (segment, diagonal) that q-grams at these positions fall into, and how many fall there."""
+    post = np.repeat(ix.first[row] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+    seg = ix.segment[post]
+    width = np.maximum(ix.budget[seg], 1)
+    # diagonals are counted from -64, so that none is negative
+    cell = (np.repeat(at, counts) - ix.place[post] + SEGMENT) // width
+    return np.unique((seg.astype(np.int64) << 32) | cell, return_counts=True)
+
+
 def _aligned(ix: Index, codes: np.ndarray, seg: np.ndarray, diagonal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edits of the best alignment in each band, and the position where it ends."""
     edits, ends = np.full(len(seg), _FAR), np.zeros(len(seg), np.int64)
@@ -177,12 +201,20 @@ def _aligned(ix: Index, codes: np.ndarray, seg: np.ndarray, diagonal: np.ndarray
 
 
 def find(ix: Index, texts: list[str | None]) -> tuple[np.ndarray, ...]:
-    """Rows `text, item, segments, edits, first, last` for each text that holds part of an item.
+    """Rows `text, item, segments, edits, first, last` for each text that holds part of an item, `item` by its place in `ix.ids`.
 
     `first` and `last` delimit the region in the normalised text. Texts are
     taken whole, about a million characters at a time with an overlap.
     """
     rows, at = [], 0
+
+    def lowest(doc, seg, edits, first, last):
+        """One row for each text and segment."""
+        order = np.lexsort((seg, doc))
+        doc, seg = doc[order], seg[order]
+        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (seg[1:] != seg[:-1])])
+        return doc[new], seg[new], np.minimum.reduceat(edits[order], new), np.minimum.reduceat(first[order], new), np.maximum.reduceat(last[order], new)
+
     while at < len(texts):
         upto, size = at, 0
         while upto < len(texts) and (upto == at or size + len(texts[upto] or "") < PIECE):
@@ -200,7 +232,10 @@ def find(ix: Index, texts: list[str | None]) -> tuple[np.ndarray, ...]:
                 continue
             seg, edits, ends = seg[ok], edits[ok], ends[ok] + lo
             doc = np.searchsorted(begin, ends - 1, "right") - 1
-            rows.append(np.stack([doc + at, ix.items[seg], seg, edits, np.maximum(ends - ix.lengths[seg] - begin[doc], 0), ends - begin[doc]], axis=1))
+            doc, seg, edits, first, last = lowest(doc, seg, edits, np.maximum(ends - ix.lengths[seg] - begin[doc], 0), ends - begin[doc])
+            many = ix.upto[seg + 1] - ix.upto[seg]
+            place = np.repeat(ix.upto[seg] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            rows.append(np.stack([np.repeat(doc + at, many), ix.items[place], place, *(np.repeat(c, many) for c in (edits, first, last))], axis=1))
         at = upto
     if not rows:
         return tuple(np.zeros(0, np.int64) for _ in range(6))
@@ -214,11 +249,11 @@ def find(ix: Index, texts: list[str | None]) -> tuple[np.ndarray, ...]:
 
 def _blocks(benchmark: DataFrame):
     """The items in blocks of about BLOCK_CHARS characters, so that what is sent to the executors is bounded."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // BLOCK_CHARS)
     for b in range(blocks):
-        ix = index([(r.item_id, r.text) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).collect()])
+        ix = index([(r.item_id, r.text) for r in items.filter(F.pmod(F.when(F.col("item_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("item_id")), F.lit(blocks)) == b).collect()])
         if ix is not None:
             yield benchmark.sparkSession.sparkContext.broadcast(ix)
 
@@ -228,7 +263,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     A NULL, empty or short text holds nothing, nor does an item of fewer than
     24 normalised characters; an empty benchmark gives no rows. Repeated rows
-    of `docs` give repeated rows, ties are all kept. `first` and `last` delimit the
+    of `docs` give repeated rows, ties are all kept. Items without an id are found like others, each text as an item of its own with NULL item_id. `first` and `last` delimit the
     region in the document's normalised text.
     """
     schema = "doc_id long, item_id long, segments long, edits long, first long, last long"
@@ -237,8 +272,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for shared in _blocks(benchmark):
         def run(batches, shared=shared):
             for batch in batches:
-                text, *rest = find(shared.value, batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), *(pa.array(c.astype(np.int64)) for c in rest)],
+                text, item, *rest = find(shared.value, batch.column(1).to_pylist())
+                ids = pa.array(shared.value.ids, pa.int64()).take(pa.array(item))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), ids, *(pa.array(c.astype(np.int64)) for c in rest)],
                                                  names=["doc_id", "item_id", "segments", "edits", "first", "last"])
 
         part = docs.mapInArrow(run, schema)
@@ -247,7 +283,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of `docs`, all columns, whose text holds no passage of an item; without a shuffle."""
+    """The rows of `docs`, all columns, whose text holds no passage of an item, whether that has an id or not; without a shuffle.
+
+    A NULL or empty text holds none, so it stays; repeated rows are decided
+    alike; an empty benchmark keeps all, an empty table gives no rows.
+    """
     for shared in _blocks(benchmark):
         def keep(texts, shared=shared):
             ok = np.ones(len(texts), bool)
