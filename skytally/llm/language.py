@@ -8,6 +8,8 @@ A text has the language whose prototype makes the largest cosine with it.
 Runs of anything but letters count as one blank, letters are lower-cased, and
 letters beyond a-z share 37 symbols by code point, so that the alphabet, and
 with it every table here, has a fixed size whatever the scripts of the corpus.
+Greek or Cyrillic letters nearly all keep symbols of their own; of scripts with thousands of
+letters hundreds share one, so such languages are told apart by how often runs of symbols occur.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ SHARPNESS = 25.0
 SAMPLE_PER_LANGUAGE = 4000
 UNKNOWN = "und"
 LEAST_SCORE, LEAST_COSINE = 0.4, 0.05
+#: Distinct trigrams from which the bounds hold in full (about ten words); they fall in proportion below.
+ENOUGH = 60
 _PIECE = 1 << 20
 _UNIT = 1 << 20
 
@@ -37,8 +41,8 @@ def _letters() -> tuple[np.ndarray, np.ndarray]:
     """Vectors of the symbols, and the symbol of each code point (0: no letter)."""
     vectors = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, DIMENSIONS))
     symbol = np.zeros(0x110000, np.uint8)
-    # code points outside the first plane are letters of rare scripts; one pass over all is short
-    for cp in range(0x30000):
+    # from here on no plane holds letters
+    for cp in range(0x40000):
         c = chr(cp)
         if c.isalpha():
             low = c.lower()
@@ -72,7 +76,7 @@ def _trigrams(text: str) -> np.ndarray:
 
 
 def _vectors(texts: list[str | None]):
-    """Blocks `rows, vectors` of the texts that hold letters; rows index the texts."""
+    """Blocks `rows, vectors, trigrams` of the texts that hold letters; rows index the texts, trigrams are their distinct ones."""
     block, held = [], []
 
     def made():
@@ -83,7 +87,7 @@ def _vectors(texts: list[str | None]):
         out = np.zeros((len(block), DIMENSIONS), np.float64)
         for lo in range(0, len(used), 4096):  # bounded tables also where every trigram occurs
             out += counts[:, lo:lo + 4096] @ _trigram_vectors(used[lo:lo + 4096]).astype(np.float32)
-        return np.array(held), out
+        return np.array(held), out, np.array([len(c) for c in block])
 
     for row, text in enumerate(texts):
         c = _trigrams(text) if text else np.zeros((0, 2), np.int64)
@@ -123,7 +127,7 @@ def prototypes(labelled: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> tuple[
         for batch in batches:
             langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             sums: dict[str, np.ndarray] = {}
-            for rows, vec in _vectors(texts):
+            for rows, vec, _ in _vectors(texts):
                 size = np.sqrt((vec * vec).sum(axis=1, keepdims=True))
                 vec = np.rint(vec / np.maximum(size, 1) * _UNIT).astype(np.int64)
                 for r, v in zip(rows, vec):
@@ -145,11 +149,11 @@ def _unit(protos: np.ndarray) -> np.ndarray:
 
 
 def _scored(texts: list[str | None], langs: list[str], unit: np.ndarray):
-    """Blocks `rows, language, score, cosine` of the texts that hold letters."""
-    for rows, vec in _vectors(texts) if langs else ():
+    """Blocks `rows, language, score, cosine, trigrams` of the texts that hold letters."""
+    for rows, vec, size in _vectors(texts) if langs else ():
         c = (vec @ unit.T) / np.sqrt(np.maximum((vec * vec).sum(axis=1, keepdims=True), 1e-30))
         top = c.max(axis=1)
-        yield rows, np.array(langs, object)[c.argmax(axis=1)], 1 / np.exp(SHARPNESS * (c - top[:, None])).sum(axis=1), top
+        yield rows, np.array(langs, object)[c.argmax(axis=1)], 1 / np.exp(SHARPNESS * (c - top[:, None])).sum(axis=1), top, size
 
 
 def identify(docs: DataFrame, names: list[str], protos: np.ndarray) -> DataFrame:
@@ -168,7 +172,7 @@ def identify(docs: DataFrame, names: list[str], protos: np.ndarray) -> DataFrame
             n = batch.num_rows
             pred, score, cosine = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
             for rows, *found in _scored(batch.column(1).to_pylist(), *shared.value):
-                pred[rows], score[rows], cosine[rows] = found
+                pred[rows], score[rows], cosine[rows] = found[:3]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(cosine)],
                                              names=["doc_id", "lang_pred", "score", "cosine"])
 
@@ -181,14 +185,17 @@ def known_language(docs: DataFrame, names: list[str], protos: np.ndarray, least_
 
     Rejected are texts that are NULL or without letters, and texts whose
     cosine or score stays below the bounds, which are no prose in any of the
-    languages. Nothing is shuffled.
+    languages. Short texts tell less, so their bounds are lower, by their
+    number of distinct trigrams. Repeated rows are decided alike; an empty table
+    gives no rows, and without a learned language none is kept. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast((list(names), _unit(protos)))
 
     def keep(texts):
         ok = np.zeros(len(texts), bool)
-        for rows, _, score, cosine in _scored(texts, *shared.value):
-            ok[rows] = (score >= least_score) & (cosine >= least_cosine)
+        for rows, _, score, cosine, size in _scored(texts, *shared.value):
+            share = np.minimum(size / ENOUGH, 1)
+            ok[rows] = (score >= least_score * share) & (cosine >= least_cosine * share)
         return ok
 
     return keep_rows(docs, keep)
@@ -200,6 +207,9 @@ def held_out() -> F.Column:
 
 
 def language_of(docs: DataFrame) -> DataFrame:
-    """Prototypes learned from the documents not held out, applied to all: `doc_id, held_out, lang_pred, score, cosine`."""
+    """Prototypes learned from the documents not held out, applied to all: `doc_id, held_out, lang_pred, score, cosine`.
+
+    A row without doc_id is not held out, and nothing is learned from it.
+    """
     names, protos = prototypes(docs.filter(~held_out()).select("doc_id", "text", "lang"))
-    return identify(docs, names, protos).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cosine")
+    return identify(docs, names, protos).select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "lang_pred", "score", "cosine")
