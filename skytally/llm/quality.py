@@ -167,7 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS, pe
     """A network from `docs(doc_id, text)` and `labels(doc_id, quality)`, whose quality is 0, 1 or NULL.
 
     About `sample` labelled documents of each class at most, picked by a hash
-    of doc_id, teach `per_text` chunks each at most. Without examples of both
+    of doc_id, teach `per_text` chunks each at most; of rows that repeat an id the first text in order, of its labels the larger, counts. Without examples of both
     classes there is nothing to tell apart: then the result is the share of 1
     among the labels (one half without any), which is every text's score.
     """
@@ -180,6 +180,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE_PER_CLASS, pe
     # at most about two samples of ids, whatever the size of the tables
     picked = labels.filter(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < rate).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    # one text an id, so that repeated rows send no more than the sample
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))
 
     def cut(batches):
         for batch in batches:
@@ -227,7 +229,8 @@ def score(docs: DataFrame, model: Network | float) -> DataFrame:
             net = shared.value
             if isinstance(net, Network):
                 logit = np.clip(_summaries(net, _bytes(batch.column(1))), -30, 30) @ net.combine
-                p = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+                # sums in single precision differ by what stands beside a text in its block
+                p = np.round(1 / (1 + np.exp(-np.clip(logit, -30, 30))), 6)
             else:
                 p = np.full(batch.num_rows, net)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array((p >= GOOD).astype(np.int32))], names=["doc_id", "score", "predicted"])

@@ -46,6 +46,48 @@ def test_languages_are_told_apart(make_docs, clashing):
     assert [r.lang_pred for r in L.language_of(make_docs((1, "the"))).collect()] == ["und"]
 
 
+def test_languages_equal_naive_sums(make_docs):
+    """Bind, bundle and compare, trigram by trigram."""
+    rows = corpus(60) + [(100, "ελληνικά και λόγια", "el", "s"), (101, "λόγια του κόσμου και της γης", "el", "s"), (102, "слова и мир на земле", "ru", "s"), (103, "мир и слова", "ru", "s"),
+                         (104, "漢字 漢字 中文", "zh", "s"), (106, "中文 漢字", "zh", "s"), (107, chr(0x30001) + chr(0x31351), None, "s"), (None, "the of", None, None)]
+    vectors, symbol = L._letters()
+
+    def bundle(text):
+        s = [0]
+        for c in text:
+            k = int(symbol[ord(c)])
+            if k or s[-1]:
+                s.append(k)
+        s += [0] if s[-1] else []
+        total = np.zeros(L.DIMENSIONS)
+        for a, b, c in zip(s, s[1:], s[2:]):
+            if a or b or c:
+                total += np.roll(vectors[a].astype(float), 2) * np.roll(vectors[b].astype(float), 1) * vectors[c]
+        return total
+
+    docs = make_docs(*rows)
+    names, protos = L.prototypes(docs)
+    sums = {n: sum(np.rint(v / np.linalg.norm(v) * L._UNIT) for v in (bundle(t) for _, t, lang, _ in rows if lang == n)) for n in names}
+    assert names == sorted({r[2] for r in rows if r[2]}) and all(np.abs(protos[i] - sums[n]).max() <= len(rows) for i, n in enumerate(names))
+    got = {r.doc_id: r for r in L.identify(docs, names, protos).collect()}
+    for i, t, *_ in rows:
+        v = bundle(t)
+        cos = [float(v @ sums[n] / np.linalg.norm(v) / np.linalg.norm(sums[n])) for n in names]
+        assert got[i].lang_pred == names[int(np.argmax(cos))] and got[i].cosine == pytest.approx(max(cos), abs=1e-5)
+        assert got[i].score == pytest.approx(1 / sum(np.exp(L.SHARPNESS * (c - max(cos))) for c in cos), abs=1e-4)
+    assert all(got[i].lang_pred == lang for i, lang in ((100, "el"), (102, "ru"), (104, "zh")))
+    assert {r.held_out for r in L.language_of(docs).collect()} == {True, False}
+
+
+def test_short_clean_texts_are_kept(make_docs):
+    rows = corpus(240)
+    names, protos = L.prototypes(make_docs(*rows))
+    short = [(1000 + i, w) for i, w in enumerate(["Avec", "der Stein", "the river", "après", "und", "schön hier", "house of stone"])]
+    junk = [(2000, "zqxj kvwq " * 60 + "xqzk jjkx"), (2001, "1 2 3"), (2002, None)]
+    kept = {r.doc_id for r in L.known_language(make_docs(*rows[:50], *short, *junk), names, protos).collect()}
+    assert kept >= {r[0] for r in rows[:50] + short} and not kept & {2001, 2002}
+
+
 def test_labels_of_held_out_documents_teach_nothing(make_docs, spark):
     rows = corpus(120)
     docs = make_docs(*rows)
@@ -83,11 +125,11 @@ def test_passages_are_found(make_docs, spark, clashing):
     near = [(200 + i, letters(rng, 20) + " " + edited(rng, items[i][1], 8) + " " + letters(rng, 20)) for i in range(6)]
     part = [(300 + i, letters(rng, 20) + " " + items[i][1][30:150] + " " + letters(rng, 20)) for i in range(6)]
     long = [(400, letters(rng, 400000) + " " + items[3][1] + " " + letters(rng, 10))]
-    odd = [(500, None), (501, ""), (502, "a b c"), (None, items[2][1])]
+    odd = [(500, None), (501, ""), (502, "a b c"), (None, items[2][1]), (600, items[-1][1])]
     docs = clashing(make_docs(*clean, *leaky, *near, *part, *long, *odd, leaky[0]))
     got = [(r.doc_id, r.item_id) for r in D.leaks(docs, clashing(bench)).collect()]
     assert sorted(got, key=str) == sorted([(100 + i, i) for i in range(6)] + [(100, 0)] + [(200 + i, i) for i in range(6)] + [(300 + i, i) for i in range(6)]
-                                          + [(400, 3), (None, 2)], key=str)
+                                          + [(400, 3), (None, 2), (600, None)], key=str)
     kept = D.decontaminated(docs, bench)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, _ in clean] + [500, 501, 502]
     assert D.leaks(make_docs(), bench).collect() == [] and D.leaks(docs, bench.limit(0)).collect() == []
@@ -107,6 +149,18 @@ def test_passages_are_found_wherever_they_begin():
     assert not len(D.find(ix, [letters(rng, 400)])[0])
 
 
+def test_repetitive_texts_stay_small(monkeypatch):
+    """One q-gram that fills item and document, in slices and at once."""
+    rng = random.Random(13)
+    ix = D.index([(1, "a" * 1000), (2, "ab " * 300), (3, letters(rng, 40))])
+    assert len(ix.codes) < 40 + 80
+    texts = ["a" * 30_000, "x " + "ab " * 4000, letters(rng, 50), "b" * 500]
+    whole = D.find(ix, texts)
+    assert set(zip(whole[0].tolist(), [ix.ids[i] for i in whole[1]])) == {(0, 1), (1, 2)}
+    monkeypatch.setattr(D, "POSTINGS", 1000)
+    assert all((a == b).all() for a, b in zip(whole, D.find(ix, texts)))
+
+
 def test_bands_lose_no_alignment_within_the_budget():
     """Every region within the edit budget, found by full dynamic programming, is reported."""
     rng = random.Random(9)
@@ -161,6 +215,29 @@ def test_chunks_cover_the_text():
         assert joined.rstrip(b"\0") == text
 
 
+def test_scores_equal_naive_convolution():
+    rng = np.random.default_rng(4)
+    net = Q._start(rng)
+    for p in net.parts():
+        p[...] += 0.1 * rng.standard_normal(p.shape).astype(np.float32)
+    x = rng.integers(0, 255, (3, Q.CHUNK), dtype=np.uint8)
+    x[2, 100:] = 0
+    for row, got in zip(x, Q.chunk_logits(net, x)):
+        seen = net.embed[row]
+        pooled = np.full(Q.FILTERS, -np.inf)
+        for at in range(0, Q.CHUNK - Q.WIDTH + 1, Q.STRIDE):
+            pooled = np.maximum(pooled, seen[at:at + Q.WIDTH].reshape(-1) @ net.kernel.reshape(-1, Q.FILTERS) + net.bias)
+        hidden = np.maximum(np.maximum(pooled, 0) @ net.w1 + net.b1, 0)
+        assert got == pytest.approx(float((hidden @ net.w2 + net.b2).ravel()[0]), rel=1e-3, abs=1e-3)
+
+
+def test_repeated_ids_teach_once(make_docs, spark):
+    rows = [(i, ("good text here " if i % 2 else "%%% $$ ### ") * 20) for i in range(60)]
+    lab = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    once, often = Q.train(make_docs(*rows), lab), Q.train(make_docs(*rows, *[rows[1]] * 500), lab)
+    assert all((a == b).all() for a, b in zip(once.parts(), often.parts())) and (once.combine == often.combine).all()
+
+
 def test_gradients_are_right():
     rng = np.random.default_rng(3)
     net = Q._start(rng)
