@@ -35,9 +35,11 @@ from skytally.llm.chunks import BITS, LEAST, MOST, chunk_ends
 
 #: Fixed value: how byte-level BPE parts text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KNOWN_WORDS = 1 << 18
+KNOWN_WORDS = 1 << 16
 KNOWN_LENGTH = 64
 HEAD = 64
+#: Rows whose texts and ids a task holds as Python objects at once.
+ROWS = 256
 
 
 def _letters() -> list[str]:
@@ -83,12 +85,6 @@ class Coder:
         self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in kind["added_tokens"]}
         self.at_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.word = regex.compile(WORDS)
-        own = {v: k.encode() for k, v in ((t["content"], t["id"]) for t in kind["added_tokens"])}
-        self.bytes = [b""] * (1 + max([*kind["model"]["vocab"].values(), *own]))
-        for token, i in kind["model"]["vocab"].items():
-            self.bytes[i] = bytes(_BYTE[c] for c in token)
-        for i, content in own.items():
-            self.bytes[i] = content
 
     def parts(self, text: str) -> list[bytes | list[bytes]]:
         """Ids of a special token, or the chunks of the text between two of them."""
@@ -175,9 +171,6 @@ class Coder:
             at += len(texts)
         return b"".join(out)
 
-    def text(self, ids: bytes) -> str:
-        return b"".join([self.bytes[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
-
 
 @lru_cache(1)
 def _coder(spec: str) -> Coder:
@@ -185,6 +178,31 @@ def _coder(spec: str) -> Coder:
     return Coder(spec)
 
 
+@lru_cache(1)
+def _token_bytes(spec: str) -> list[bytes]:
+    """The bytes of each token."""
+    kind = json.loads(spec)
+    own = {t["id"]: t["content"].encode() for t in kind["added_tokens"]}
+    out = [b""] * (1 + max([*kind["model"]["vocab"].values(), *own]))
+    for token, i in kind["model"]["vocab"].items():
+        out[i] = bytes(_BYTE[c] for c in token)
+    for i, content in own.items():
+        out[i] = content
+    return out
+
+
+def text_of(ids: bytes, spec: str) -> str:
+    table = _token_bytes(spec)
+    return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()]).decode("utf-8", "replace")
+
+
+def _few(batches):
+    """The same rows in small batches, so that few of them are Python objects at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def read_spec(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -220,7 +238,7 @@ def encodings(docs: DataFrame, spec: str) -> DataFrame:
 
     def cut(batches):
         coder, names = _coder(shared_spec.value), ["h1", "h2", "at", "c1", "c2"]
-        for batch in batches:
+        for batch in _few(batches):
             rows = []
             for a, b, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _texts(batch.column(2))):
                 chunks = [c for part in coder.parts(text) if isinstance(part, list) for c in part]
@@ -229,7 +247,7 @@ def encodings(docs: DataFrame, spec: str) -> DataFrame:
 
     def pack(batches):
         small = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
+        for batch in _few(batches):
             packed = [small.compress(v) for v in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["h1", "h2", "packed"])
 
@@ -243,7 +261,7 @@ def encodings(docs: DataFrame, spec: str) -> DataFrame:
 
     def encode_owned(batches):
         coder, open_ = _coder(shared_spec.value), zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _few(batches):
             rows = []
             for packed, owned in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if not owned:
@@ -263,7 +281,7 @@ def encodings(docs: DataFrame, spec: str) -> DataFrame:
 
     def put_together(batches):
         coder, open_ = _coder(shared_spec.value), zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _few(batches):
             ids = []
             for packed, lent in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 ids.append(coder.whole(_unpacked(open_, packed), {r["at"]: (r["ids"], r["end"], r["size"]) for r in lent or ()}))
@@ -284,9 +302,8 @@ def decoded(encodings: DataFrame, spec: str) -> DataFrame:
     shared_spec, at = encodings.sparkSession.sparkContext.broadcast(spec), encodings.columns.index("ids")
 
     def run(batches):
-        coder = _coder(shared_spec.value)
-        for batch in batches:
-            text = pa.array([None if v is None else coder.text(v) for v in batch.column(at).to_pylist()], pa.string())
+        for batch in _few(batches):
+            text = pa.array([None if v is None else text_of(v, shared_spec.value) for v in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*batch.schema.names, "decoded"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encodings.schema)

@@ -55,7 +55,7 @@ def test_joined_chunks_equal_the_library(library, size):
         ids = coder.whole(s, {})
         want = library.encode(s, add_special_tokens=False).ids
         assert np.frombuffer(ids, "<u4").tolist() == want, s
-        assert coder.text(ids) == library.decode(want, skip_special_tokens=False)
+        assert B.text_of(ids, B.read_spec(PATH)) == library.decode(want, skip_special_tokens=False)
 
 
 def test_words_of_any_length(library):
