@@ -43,8 +43,8 @@ SMALL = (32, 16)
 #: Up to so many hashes, runs of two are bands too; 8 would do for all shingles, words are few in some long lines.
 FEW = 16
 SIMILARITY = 0.75
-#: Rows of a tile's side, and how many of the 42 ranges must agree for the exact test: at 0.75 fewer do once in a million.
-TILE, AGREE = 64, 18
+#: Rows of a tile's side, and how many standard deviations below the expected number of equal ranges a pair still goes on to the exact test.
+TILE, SURE = 64, 4.75
 #: Candidates whose places are sent to every executor at most (about 100 MB); more are joined by a shuffle.
 SENT_LINES = 2_000_000
 #: Shorter lines hash all their shingles, longer ones those that begin a word; in between, both make bands.
@@ -123,8 +123,11 @@ def _bands(lines: DataFrame) -> DataFrame:
         return F.concat(of(RUN), F.when(n <= FEW, of(2)).otherwise(none))
 
     def ranges(leads):
-        each = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda j: F.struct(j.alias("j"), F.filter(leads, lambda x: _place(x, BANDS) == j).alias("of")))
-        return F.transform(F.filter(each, lambda b: F.size(b["of"]) > 0), lambda b: F.xxhash64(b["of"], b["j"]))
+        # of the at most three leads of a band the first one stands for it; `leads` must be a column, or it would be made anew for each
+        place = lambda i: _place(F.get(leads, i), BANDS)
+        begins = F.filter(F.sequence(F.lit(0), F.size(leads) - 1), lambda i: (i == 0) | (place(i) != F.coalesce(place(i - 1), F.lit(-1))))
+        same = lambda i, k: F.when(place(i + k) == place(i), F.get(leads, i + k))
+        return F.transform(begins, lambda i: F.xxhash64(F.get(leads, i), same(i, 1), same(i, 2)))
 
     def bands(low, small, leads):
         # sets of a middle size have both kinds, to meet smaller and larger ones
@@ -139,22 +142,20 @@ def _bands(lines: DataFrame) -> DataFrame:
 
 
 def _profiles(texts: DataFrame) -> DataFrame:
-    """`name, each, begin`: for either kind of hashes and each of the 42 ranges 16 bits of its smallest, 0 if it has none; NULL where the kind does not count."""
-    def of(low, leads):
-        marks = F.map_from_entries(F.transform(F.col(leads), lambda x: F.struct(_place(x, RANGES), F.shiftright(F.xxhash64(x), 48).cast("short"))))
-        dense = F.transform(F.sequence(F.lit(0), F.lit(RANGES - 1)), lambda j: F.coalesce(F.try_element_at(marks, j), F.lit(0).cast("short")))
-        return F.when(F.col(low).isNotNull(), dense).alias(low)
-
+    """`name, each, begin`: for either kind of hashes 32 bits of the smallest of each range; NULL where the kind does not count."""
     rows = _sketches(texts.select("name", "text")).select("name", "each", "begin", _leads(F.col("each")).alias("le"), _leads(F.col("begin")).alias("lb"))
-    return rows.select("name", of("each", "le"), of("begin", "lb"))
+    short = [F.transform(c, lambda x: F.shiftright(x, 32).cast("int")) for c in ("le", "lb")]
+    return rows.select("name", short[0].alias("each"), short[1].alias("begin"))
 
 
 def _alike(a: str, b: str) -> Column:
-    """Whether enough ranges of two sketches agree; those empty on both sides count, which only lets more pairs on."""
+    """Whether enough ranges of two sketches agree: within 4.75 standard deviations of what is expected at the similarity."""
     def agree(kind):
-        return F.coalesce(F.size(F.filter(F.zip_with(f"{a}.{kind}", f"{b}.{kind}", lambda x, y: x == y), lambda e: e)), F.lit(-1))
+        x, y = F.col(f"{a}.{kind}"), F.col(f"{b}.{kind}")
+        most = F.greatest(F.size(x), F.size(y))
+        return F.coalesce(F.size(F.array_intersect(x, y)) >= SIMILARITY * most - SURE * F.sqrt(SIMILARITY * (1 - SIMILARITY) * most), F.lit(False))
 
-    return (agree("each") >= AGREE) | (agree("begin") >= AGREE)
+    return agree("each") | agree("begin")
 
 
 def _texts(names: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
