@@ -241,7 +241,7 @@ def _(spark, sf):
 
 @query("t2_top_pixels", with_(ctes("galaxies", "randoms"), pixed("g", "galaxies"), pixed("r", "randoms")) + """,
 a AS (SELECT pix, count(*)/cast((SELECT count(*) FROM g) AS double) AS s FROM g GROUP BY pix), b AS (SELECT pix, count(*)/cast((SELECT count(*) FROM r) AS double) AS s FROM r GROUP BY pix)
-SELECT pix, round(share, 6) AS share FROM (SELECT pix, (coalesce(a.s, 0e0)+coalesce(b.s, 0e0))/2e0 AS share FROM a FULL JOIN b USING (pix)) ORDER BY share DESC, pix DESC LIMIT 8""")
+SELECT pix, round(share, 6) AS share FROM (SELECT pix, (coalesce(a.s, 0e0)+coalesce(b.s, 0e0))/2e0 AS share FROM a FULL JOIN b USING (pix)) ORDER BY share DESC, pix DESC LIMIT """ + str(REGIONS))
 def _(spark, sf):
     t = top_pixels(M.mean_share(_sides(spark, sf)), REGIONS)
     return t.select("pix", F.round("share", 6).alias("share"))

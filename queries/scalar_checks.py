@@ -134,22 +134,29 @@ def _(spark, sf):
     return read(spark, sf, "galaxies").select("id", F.round(lo, 6).alias("lower"), F.round(up, 6).alias("upper"))
 
 
-_DIST = f"""grid AS (SELECT i, i*0.001e0 AS z, 1e0/({C.Cosmology().h0 / C.LIGHT_KM_S!r}e0*sqrt(0.3e0*power(1e0+i*0.001e0,3)+0.7e0)) AS f FROM range(5001) t(i)),
-dist AS (SELECT i, sum(s) OVER (ORDER BY i) AS dc FROM (SELECT i, coalesce((f + lag(f) OVER (ORDER BY i))*0.0005e0, 0e0) AS s FROM grid)),
+# a grid of steps of 0.001, each by Simpson's rule
+_DIST = f"""grid AS (SELECT i, 1e0/({C.Cosmology().h0 / C.LIGHT_KM_S!r}e0*sqrt(0.3e0*power(1e0+i*0.0005e0,3)+0.7e0)) AS f FROM range(10001) t(i)),
+dist AS (SELECT i, sum(s) OVER (ORDER BY i) AS dc FROM (SELECT i // 2 AS i, i % 2 AS odd, coalesce((f + 4e0*lag(f) OVER (ORDER BY i) + lag(f, 2) OVER (ORDER BY i))*0.001e0/6e0, 0e0) AS s FROM grid) WHERE odd = 0),
 dz AS (SELECT i, dc, lead(dc) OVER (ORDER BY i) AS dn FROM dist)"""
-_DC = "(z0.dc + (t.redshift/0.001e0 - floor(t.redshift/0.001e0))*(z0.dn - z0.dc))"
 
 
-@query("x15_comoving_scale", with_(ctes("galaxies"), _DIST) + f"""
-SELECT t.id, round({_DC}*tan(radians(0.1e0)), 4) AS scale FROM galaxies t JOIN dz z0 ON z0.i = cast(floor(t.redshift/0.001e0) AS bigint)""")
+def _distances(table):
+    """Simpson's rule over 200 parts of each row's own range of redshifts."""
+    f = f"1e0/({C.Cosmology().h0 / C.LIGHT_KM_S!r}e0*sqrt(0.3e0*power(1e0+redshift*k/200e0,3)+0.7e0))"
+    return f"""far AS (SELECT id, redshift, sum({f}*CASE WHEN k IN (0, 200) THEN 1e0 WHEN k % 2 = 1 THEN 4e0 ELSE 2e0 END)*redshift/600e0 AS dc
+FROM {table}, range(201) t(k) GROUP BY id, redshift)"""
+
+
+@query("x15_comoving_scale", with_(ctes("galaxies"), _distances("galaxies")) + """
+SELECT id, round(dc*tan(radians(0.1e0)), 4) AS scale FROM far""")
 def _(spark, sf):
     g = C.with_distance(read(spark, sf, "galaxies"), "redshift")
     return g.select("id", F.round(C.comoving_scale(F.lit(0.1), "d_c"), 4).alias("scale"))
 
 
-@query("x16_comoving_distance", with_(ctes("quasars"), _DIST) + f"""
-SELECT t.id, round({_DC}, 3) AS d_c, round({C.Cosmology().h0 / C.LIGHT_KM_S!r}e0*sqrt(0.3e0*power(1e0+t.redshift,3)+0.7e0)*1e4, 5) AS h_over_c
-FROM quasars t JOIN dz z0 ON z0.i = cast(floor(t.redshift/0.001e0) AS bigint)""")
+@query("x16_comoving_distance", with_(ctes("quasars"), _distances("quasars")) + f"""
+SELECT t.id, round(dc, 3) AS d_c, round({C.Cosmology().h0 / C.LIGHT_KM_S!r}e0*sqrt(0.3e0*power(1e0+t.redshift,3)+0.7e0)*1e4, 5) AS h_over_c
+FROM far t""")
 def _(spark, sf):
     q = C.with_distance(read(spark, sf, "quasars"), "redshift")
     return q.select("id", F.round("d_c", 3).alias("d_c"), F.round(C.hubble_over_c("redshift") * F.lit(1e4), 5).alias("h_over_c"))

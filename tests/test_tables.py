@@ -120,6 +120,21 @@ def test_distances_reach_the_data(spark):
     assert d[~d.z.isin([5.0, 6.0, 9.0])].d_c.isna().all()
 
 
+def test_distance_by_quadrature(spark):
+    """Against fine trapezoids in the logarithm of 1 + z, from tiny redshifts to absurd ones, without grid, join or window."""
+    zs = [0.0, 1e-8, 1e-3, 0.3, 2.0, 10.0, 1100.0, 1e9]
+    df = spark.createDataFrame([(z,) for z in zs], "z double")
+    got = dict(CO.with_distance(df).collect())
+    for z in zs[1:]:
+        t = np.linspace(0, np.log1p(z), 400_001)
+        f = np.exp(t) / np.sqrt(0.3 * np.exp(3 * t) + 0.7)
+        assert got[z] == pytest.approx(CO.LIGHT_KM_S / 70.0 * np.trapezoid(f, t), rel=1e-9)
+    assert got[0.0] == 0
+    plan = CO.with_distance(df)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Window" not in plan and "Exchange" not in plan
+    assert [r.d_c for r in CO.with_distance(df, z_max=0.5).where("z > 0.5").collect()] == [None] * 4
+
+
 def test_match_with_repeated_numbers_and_missing_positions(spark):
     from skytally.operators.match import cross_match
 
