@@ -79,6 +79,18 @@ def _(spark, sf):
     return pair_count(g, g, ABINS, nside=NSIDE).withColumn("edge_idx", F.col("edge_idx").cast("long"))
 
 
+WIDE = [2.0, 5.0, 11.0, 20.0]
+
+
+@query("j4_pair_count_wide", with_(ctes("quasars"), located("q", "quasars"), "used AS (SELECT DISTINCT pix FROM q)",
+                                   "met AS (SELECT a.pix AS pix1, b.pix AS pix2 FROM used a JOIN used b ON a.pix <= b.pix)",
+                                   counted("c", "q", "q", "met", edges=WIDE)) +
+       " SELECT pix1, pix2, edge_idx, n FROM c")
+def _(spark, sf):
+    q = read(spark, sf, "quasars")
+    return pair_count(q, q, WIDE, nside=NSIDE).withColumn("edge_idx", F.col("edge_idx").cast("long"))
+
+
 @query("j4_pair_count_by_zbin", with_(ctes("galaxies", "randoms"), located("g", "galaxies", True), located("r", "randoms", True),
                                        pairs_sky(NSIDE), counted("c", "g", "r", keys=("zbin",))) +
        " SELECT zbin, pix1, pix2, edge_idx, n FROM c")

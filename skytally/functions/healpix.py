@@ -155,6 +155,62 @@ def pixel_centres(spark: SparkSession, nside: int) -> DataFrame:
     )
 
 
+def centre_of(nside: int, pix: Column | str) -> tuple[Column, Column]:
+    """cos(polar angle) and longitude in radians of a pixel's centre, from its number alone."""
+    p = col(pix).cast("long")
+    cap, all_ = 2 * nside * (nside - 1), npix(nside)
+
+    def ring(k):
+        # the root is exact enough here: k stays below 2^53 up to nside 2^25
+        return F.floor((F.lit(1.0) + F.sqrt(F.lit(1.0) + F.lit(2.0) * k)) / F.lit(2.0)).cast("long")
+
+    north, south = ring(p), ring(F.lit(all_ - 1) - p)
+    belt = F.floor((p - F.lit(cap)) / F.lit(4 * nside)).cast("long")
+    z = (F.when(p < F.lit(cap), F.lit(1.0) - north * north / F.lit(3.0 * nside * nside))
+         .when(p >= F.lit(all_ - cap), south * south / F.lit(3.0 * nside * nside) - F.lit(1.0))
+         .otherwise((F.lit(nside) - belt) * F.lit(2.0) / F.lit(3.0 * nside)))
+    half = math.pi / 2
+    place = F.pmod(p - F.lit(cap), F.lit(4 * nside).cast("long"))
+    from_end = F.lit(all_ - 1) - p - F.lit(2) * south * (south - 1)
+    phi = (F.when(p < F.lit(cap), (p - F.lit(2) * north * (north - 1) + F.lit(0.5)) * F.lit(half) / north)
+           .when(p >= F.lit(all_ - cap), (F.lit(4) * south - from_end - F.lit(0.5)) * F.lit(half) / south)
+           .otherwise((place + F.when(belt % 2 == 0, F.lit(0.5)).otherwise(F.lit(0.0))) * F.lit(half / nside)))
+    return z, phi
+
+
+def nested_id(nside: int, z: Column, phi: Column) -> Column:
+    """Number of the pixel at a place in nested order: the parent of a pixel is its number without the last two bits.
+
+    An ``nside`` between powers of two is laid out as the next one, with gaps.
+    """
+    ns = F.lit(nside).cast("long")
+    tt = F.pmod(phi / F.lit(math.pi / 2), F.lit(4.0))
+    up, down = (F.floor(F.lit(0.5 * nside) + F.lit(nside) * tt + s * F.lit(0.75 * nside) * z).cast("long") for s in (1, -1))
+    fp, fm = F.floor(down / ns).cast("long"), F.floor(up / ns).cast("long")
+    belt_face = F.when(fp == fm, F.pmod(fp, F.lit(4).cast("long")) + 4).when(fp < fm, F.pmod(fp, F.lit(4).cast("long"))).otherwise(F.pmod(fm, F.lit(4).cast("long")) + 8)
+    quarter = F.least(F.floor(tt), F.lit(3)).cast("long")
+    width = F.lit(float(nside)) * F.sqrt(F.lit(3.0) * (F.lit(1.0) - F.abs(z)))
+    jp, jm = (F.least(F.floor(t * width), ns - 1).cast("long") for t in (tt - quarter, F.lit(1.0) - tt + quarter))
+    belt = F.abs(z) <= F.lit(2 / 3)
+    face = F.when(belt, belt_face).when(z > 0, quarter).otherwise(quarter + 8)
+    x = F.when(belt, F.pmod(up, ns)).when(z > 0, ns - 1 - jm).otherwise(jp)
+    y = F.when(belt, ns - 1 - F.pmod(down, ns)).when(z > 0, ns - 1 - jp).otherwise(jm)
+
+    def spread(v):
+        # each bit moves to twice its place
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    depth = max(nside - 1, 0).bit_length()
+    return F.shiftleft(face, 2 * depth) + spread(x) + F.shiftleft(spread(y), 1)
+
+
+def pixel_radius(nside: int) -> float:
+    """No point of a pixel is farther than this many degrees from its centre."""
+    return math.degrees(1.2 / nside)
+
+
 def pixel_corners(spark: SparkSession, nside: int) -> DataFrame:
     """``pix, corner, k``: the four corners of each pixel in walking order.
 

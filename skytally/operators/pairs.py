@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.geometry import chord, chord_sq, with_unit_vector
-from ..functions.healpix import neighbours, npix, with_pixel
+from ..functions.healpix import centre_of, neighbours, nested_id, npix, pixel_radius, with_pixel
 from ..lineage import cut
 from ..sources.catalog import number_rows
 
@@ -84,6 +84,38 @@ def pixel_pairs(spark: SparkSession, nside: int, pixels: DataFrame | None = None
     return out.select("pix1", "pix2", "ring")
 
 
+def pairs_within(pixels: DataFrame, nside: int, theta_deg: float) -> DataFrame:
+    """``pix1, pix2`` with pix1 <= pix2: all pairs of given pixels that can hold objects within an angle, up to 180 degrees.
+
+    ``pixels`` has a column ``pix``. The pixels form a tree by their nested numbers, from the
+    twelve faces down; each node has the box round the centres below it. A pair of nodes is
+    opened only while its boxes are within the angle and two pixel radii, so work follows
+    the pairs that come out and the table of the whole sky is never made.
+    """
+    z, phi = centre_of(nside, "pix")
+    at = pixels.select("pix").where("pix >= 0").distinct().select("pix", z.alias("z"), phi.alias("phi"))
+    at = at.select("pix", nested_id(nside, F.col("z"), F.col("phi")).alias("nest"), "z", "phi", F.sqrt((F.lit(1.0) - F.col("z")) * (F.lit(1.0) + F.col("z"))).alias("s"))
+    at = cut(at.select("pix", "nest", (F.col("s") * F.cos("phi")).alias("x"), (F.col("s") * F.sin("phi")).alias("y"), "z"))
+    # a hair more than the chord, so that rounding never closes a pair
+    far_sq = chord(min(180.0, theta_deg + 2 * pixel_radius(nside))) ** 2 + 1e-9
+    depth = max(nside - 1, 0).bit_length()
+    met, above = None, depth
+    for up in [*range(depth, 0, -2), 0]:
+        box = [f(c).alias(f"{tag}{c}") for c in "xyz" for f, tag in ((F.min, "lo"), (F.max, "hi"))]
+        nodes = at.groupBy(F.shiftright("nest", 2 * up).alias("node")).agg(F.min("pix").alias("pix"), *box)
+        # twelve faces meet at most; below them only children of pairs that met
+        nodes = nodes.withColumn("parent", F.shiftright("node", 2 * (above - up)) if met is not None else F.lit(0).cast("long"))
+        a, b = (nodes.select(*[F.col(c).alias(f"{c}{i}") for c in nodes.columns]) for i in "12")
+        j = a.join(b, F.col("parent1") == F.col("parent2")) if met is None else met.join(a, "parent1").join(b, "parent2")
+        gap = F.lit(0.0)
+        for c in "xyz":
+            apart = F.greatest(F.lit(0.0), F.col(f"lo{c}2") - F.col(f"hi{c}1"), F.col(f"lo{c}1") - F.col(f"hi{c}2"))
+            gap = gap + apart * apart
+        j = j.where((gap <= F.lit(far_sq)) & (F.col("node1") <= F.col("node2")))
+        met, above = j.select(F.col("node1").alias("parent1"), F.col("node2").alias("parent2"), F.col("pix1").alias("p"), F.col("pix2").alias("q")), up
+    return met.select(F.least("p", "q").alias("pix1"), F.greatest("p", "q").alias("pix2"))
+
+
 def good_pixels(populations: DataFrame, corrs: DataFrame) -> DataFrame:
     """``corr_id, pix`` holding objects of every catalog of the correlation.
 
@@ -338,12 +370,12 @@ def _per_edge(total: DataFrame, out_keys, edges, convention: str) -> DataFrame:
     )
 
 
-def _checked(edges_deg, nside: int, convention: str) -> list[float]:
+def _checked(edges_deg, covered: float, convention: str) -> list[float]:
     edges = [float(e) for e in edges_deg]
-    if edges != sorted(edges):
-        raise ValueError("edges must ascend")
-    if edges[-1] > reach(nside):
-        raise ValueError(f"pairs out to {edges[-1]} deg leave the neighbour rings of nside {nside}")
+    if edges != sorted(edges) or edges[-1] > 180.0:
+        raise ValueError("edges must ascend, to 180 degrees at most")
+    if edges[-1] > covered:
+        raise ValueError(f"pairs out to {edges[-1]} deg leave the neighbour rings or other pairs given, which cover {covered} deg")
     if convention not in ("pixel", "symmetric"):
         raise ValueError(f"unknown convention {convention!r}")
     return edges
@@ -365,6 +397,7 @@ def pair_count(
     keys=(),
     convention: str = "pixel",
     weight: str | None = None,
+    covered: float | None = None,
 ) -> DataFrame:
     """Cumulative pair counts ``*keys, pix1, pix2, edge_idx, n`` per pixel pair.
 
@@ -372,18 +405,23 @@ def pair_count(
     paired with themselves count when both sides are one catalog (they cancel when
     edges are differenced). Inputs need ``ra, dec`` in degrees, the ``keys`` columns
     (only rows with equal keys meet) and optionally ``pix``. ``pairs`` limits the
-    pixel pairs and may itself carry key columns; pixel pairs without any object
+    pixel pairs and may itself carry key columns; they must cover the largest angle, and are
+    taken for the neighbour rings unless ``covered`` tells an angle. Without ``pairs``
+    any angle up to 180 degrees will do. Pixel pairs without any object
     pair have no rows.
 
     ``convention='pixel'`` takes the left object in pix1 and the right one in pix2
     (pix1 <= pix2), so a pixel with itself yields both orders and two pixels one
     orientation. ``'symmetric'`` counts both orientations everywhere.
     """
-    edges = _checked(edges_deg, nside, convention)
+    edges = _checked(edges_deg, 180.0 if pairs is None else covered or reach(nside), convention)
     keys = list(keys)
-    if pairs is None:
+    if pairs is None and edges[-1] <= reach(nside):
         # the meeting of cells keeps only the pixels that hold objects
         pairs = pixel_pairs(left.sparkSession, nside)
+    elif pairs is None:
+        place = lambda df: (df if "pix" in df.columns else with_pixel(df, nside)).select("pix")
+        pairs = pairs_within(place(left) if right is left else place(left).unionByName(place(right)), nside, edges[-1])
     pairs = pairs.select(*[c for c in pairs.columns if c in (*keys, "pix1", "pix2")])
     if convention == "symmetric":
         pairs = both_ways(pairs)
@@ -395,14 +433,15 @@ def pair_count(
 
 
 def pair_count_terms(points: DataFrame, terms: DataFrame, edges_deg, pairs: DataFrame, nside: int = 32,
-                     keys=("corr_id", "zbin"), convention: str = "pixel") -> DataFrame:
+                     keys=("corr_id", "zbin"), convention: str = "pixel", covered: float | None = None) -> DataFrame:
     """Counts ``*keys, term, pix1, pix2, edge_idx, n`` of every term of every correlation at once.
 
     ``points`` has ``*keys, catalog, ra, dec`` (optionally ``pix``), ``terms`` has ``corr_id,
-    term, first, second``, ``pairs`` has ``corr_id, pix1, pix2``. Each catalog is summed into
+    term, first, second``, ``pairs`` has ``corr_id, pix1, pix2`` and covers the neighbour rings, or
+    the angle ``covered``. Each catalog is summed into
     cells once; terms multiply cells, not objects.
     """
-    edges = _checked(edges_deg, nside, convention)
+    edges = _checked(edges_deg, covered or reach(nside), convention)
     tree_keys = [*keys, "catalog"]
     if convention == "symmetric":
         pairs = both_ways(pairs)

@@ -13,7 +13,7 @@ from ..lineage import cut
 from ..operators.counts import mean_share
 from ..operators.estimators import estimate, expand_terms, jackknife, jackknife_regions, leave_one_out, with_pairs, with_populations
 from ..operators.histograms import count_per_pixel, z_histogram
-from ..operators.pairs import good_pairs, good_pixels, pair_count_terms, pixel_pairs
+from ..operators.pairs import good_pairs, good_pixels, pair_count_terms, pairs_within, pixel_pairs, reach
 from ..operators.partition import fit_randoms, normalize_random, split_by_correlation, split_by_z
 
 
@@ -73,8 +73,12 @@ def count_correlations(points: DataFrame, corrs: DataFrame, abins, zbins=None, n
     good = good_pixels(whole, corrs)
     z = split_by_correlation(p, corrs, zbins)
     populations = z.groupBy("corr_id", "zbin", "catalog", "pix").agg(F.count(F.lit(1)).alias("n"))
-    pairs = good_pairs(pixel_pairs(points.sparkSession, nside), good)
-    counts = pair_count_terms(z, terms, abins, pairs, nside, ("corr_id", "zbin"), convention)
+    widest = float(list(abins)[-1])
+    if widest <= reach(nside):
+        pairs, widest = pixel_pairs(points.sparkSession, nside), None
+    else:
+        pairs = pairs_within(good, nside, widest)
+    counts = pair_count_terms(z, terms, abins, good_pairs(pairs, good), nside, ("corr_id", "zbin"), convention, widest)
     return Counted(terms, counts, populations, len(list(abins)))
 
 

@@ -75,7 +75,61 @@ def test_wrap_and_poles(spark):
 def test_reach_is_checked(spark):
     s = spark.createDataFrame(hot_sky(5, 30))
     with pytest.raises(ValueError, match="leave the neighbour rings"):
-        P.pair_count(s, s, [1.0, 20.0])
+        P.pair_count(s, s, [1.0, 20.0], P.pixel_pairs(spark, 32))
+    with pytest.raises(ValueError, match="180"):
+        P.pair_count(s, s, [1.0, 200.0])
+
+
+def whole_sky(seed, n):
+    r = np.random.default_rng(seed)
+    ra = np.concatenate([r.uniform(0, 360, n), [0.0, 0.0, 180.0, 90.0, 359.999], np.full(20, 77.0)])
+    dec = np.concatenate([np.degrees(np.arcsin(r.uniform(-1, 1, n))), [90.0, -90.0, 0.0, 0.0, 0.0], np.full(20, -33.0)])
+    return pd.DataFrame({"id": np.arange(len(ra)), "ra": ra, "dec": dec})
+
+
+@pytest.mark.parametrize("nside", [1, 4, 12, 32])
+def test_any_angle_counts_exactly(spark, nside):
+    """Over the whole sky, poles and the seam included, out to 180 degrees, in both conventions."""
+    a, b = whole_sky(1, 250), whole_sky(2, 150)
+    edges = [0.3, 5.0, 33.0, 90.0, 140.0, 180.0]
+    s, t = spark.createDataFrame(a), spark.createDataFrame(b)
+    d2, (pa, pb) = dist_sq(a, b), (with_pixel(x, nside).toPandas().sort_values("id").pix.to_numpy() for x in (s, t))
+    got = totals(P.pair_count(s, t, edges, nside=nside))
+    keep = pa[:, None] <= pb[None, :]
+    assert got == [int(((d2 <= chord(e) ** 2) & keep).sum()) for e in edges]
+    if nside == 4:
+        got = totals(P.pair_count(s, t, edges, nside=nside, convention="symmetric"))
+        assert got == [int((d2 <= chord(e) ** 2).sum()) for e in edges] and got[-1] >= len(a) * len(b) - 2
+
+
+@pytest.mark.parametrize("nside", [1, 2, 8, 12, 32])
+def test_pixels_know_their_centre_and_parent(spark, nside):
+    from skytally.functions.healpix import centre_of, nested_id, npix, pixel_centres, pixel_corners, pixel_radius
+
+    z, phi = centre_of(nside, "pix")
+    p = pixel_centres(spark, nside).withColumns({"cz": z, "cphi": phi})
+    apart = F.abs(F.col("z") - F.col("cz")) + F.abs(F.cos("cphi") - F.cos(F.radians("ra"))) + F.abs(F.sin("cphi") - F.sin(F.radians("ra")))
+    assert p.where(apart > 1e-9).count() == 0
+    n = p.select(nested_id(nside, F.col("cz"), F.col("cphi")).alias("n"))
+    assert n.distinct().count() == npix(nside)
+    if nside & (nside - 1) == 0:
+        got = n.agg(F.min("n"), F.max("n")).first()
+        assert tuple(got) == (0, npix(nside) - 1)
+        # four children of a parent are neighbours: their centres are within the parent's radius of each other
+        four = p.withColumn("up", F.shiftright(nested_id(nside, F.col("cz"), F.col("cphi")), 2)).groupBy("up").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"), F.count("*").alias("k"))
+        size = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
+        if nside >= 2:
+            assert four.where((F.col("k") != 4) | (size < 1 - np.radians(pixel_radius(nside)) ** 2)).count() == 0
+
+
+def test_counts_below_the_reach_are_those_of_the_rings(spark):
+    s = spark.createDataFrame(hot_sky(8, 400))
+    ring = as_dict(P.pair_count(s, s, EDGES))
+    tree = as_dict(P.pair_count(s, s, EDGES, P.pairs_within(with_pixel(s, 32), 32, EDGES[-1]), covered=EDGES[-1]))
+    assert ring == tree
+    few = P.pairs_within(with_pixel(s, 32), 32, EDGES[-1]).count()
+    used = with_pixel(s, 32).select("pix").distinct().count()
+    assert used <= few < used * 40
 
 
 def test_match_hot_and_tied(spark, monkeypatch):
