@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from skytally.functions.cosmology import LIGHT_KM_S, Cosmology
-from skytally.lineage import shared_folder
+from skytally.lineage import cut, shared_folder
 from skytally.operators import counts as M
 from skytally.operators import curves as CV
 from skytally.operators import estimators as E
@@ -121,6 +121,27 @@ def _(spark, sf):
     return R.load_counts(spark, path, corr_id=0, zbin=2, term="D0D0")
 
 
+# pixels of the galaxies as stored counts; those of the quasars are added where both have a term, bin 1 is then assigned anew
+@query("s9_update_counts", with_(ctes("galaxies", "quasars"), pixed("g", "galaxies"), pixed("q", "quasars")) + f""",
+gc AS (SELECT {Z_CASE} AS zbin, pix, count(*) AS n FROM g GROUP BY ALL), qc AS (SELECT {Z_CASE} AS zbin, pix, count(*) AS n FROM q GROUP BY ALL)
+SELECT zbin, pix AS pix1, CASE WHEN zbin = 1 THEN coalesce(qc.n, gc.n) ELSE coalesce(gc.n, 0) + coalesce(qc.n, 0) END AS n
+FROM gc FULL JOIN qc USING (zbin, pix) WHERE zbin < 4 AND zbin IS NOT NULL""")
+def _(spark, sf):
+    path = _new_path(spark)
+    from skytally.operators.partition import split_by_pixel, split_by_z
+
+    def counted_in(name):
+        t = split_by_pixel(split_by_z(read(spark, sf, name), ZBINS), NSIDE)
+        c = t.groupBy("zbin", F.col("pix").alias("pix1")).agg(F.count(F.lit(1)).alias("n"))
+        return c.withColumns({"corr_id": F.lit(0), "term": F.lit("D0D0"), "pix2": F.col("pix1"), "edge_idx": F.lit(0)})
+
+    R.save_counts(counted_in("galaxies").select(*R.PARTS, *R.CELL, "n"), path)
+    more = cut(counted_in("quasars"))
+    R.update_counts(more.where("zbin <> 1"), path)
+    R.update_counts(more.where("zbin = 1"), path, "assign")
+    return R.load_counts(spark, path, corr_id=0, term="D0D0").select("zbin", "pix1", "n")
+
+
 # ---------------------------------------------------------------- matches
 
 def _matched(left, right, arcsec):
@@ -418,12 +439,15 @@ def _(spark, sf):
 ms AS (SELECT corr_id, zbin, theta AS a, w*1e4 AS ya, lead(theta) OVER w AS b, lead(w*1e4) OVER w AS yb FROM mod WINDOW w AS (PARTITION BY corr_id, zbin ORDER BY theta)),
 pt AS (SELECT s.corr_id, s.zbin, s.w, s.err, ya+(s.theta-a)/(b-a)*(yb-ya) AS model FROM sig s JOIN ms ON ms.corr_id = s.corr_id AND ms.zbin = s.zbin AND s.theta >= a AND s.theta < b WHERE bin_idx >= 3),
 lk AS (SELECT corr_id, zbin, i, 8e0*i/399 AS b, sum((w-64e0*i*i/159201e0*model)*(w-64e0*i*i/159201e0*model)/(err*err)) AS chi2 FROM pt, range(400) t(i) GROUP BY ALL)
-SELECT corr_id, zbin, round(arg_min(b, chi2), 5) AS best FROM lk GROUP BY ALL""")
+,
+top AS (SELECT corr_id, zbin, arg_min(b, chi2) AS best, min(chi2) AS chi2 FROM lk GROUP BY ALL)
+SELECT t.corr_id, t.zbin, round(t.best, 5) AS best, round(CASE t.corr_id WHEN 0 THEN t.best ELSE t.best*t.best/a.best END, 4) AS bias, round(t.chi2, 1) AS chi2
+FROM top t JOIN top a ON a.corr_id = 0 AND a.zbin = t.zbin""")
 def _(spark, sf):
     # the table's power is in arbitrary units; scaled so that biases fall on the grid
     k = _ktab(spark, sf).withColumn("value", F.col("value") * 1e4)
     fit = corr_bias(_sig(spark, sf), _corrs(spark), _samples(spark, sf), _pdz(spark, sf), k)
-    return fit.best.select("corr_id", "zbin", F.round("best", 5).alias("best"))
+    return fit.best.select("corr_id", "zbin", F.round("best", 5).alias("best"), F.round("bias", 4).alias("bias"), F.round("chi2", 1).alias("chi2"))
 
 
 # ---------------------------------------------------------------- figure tables

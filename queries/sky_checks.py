@@ -289,18 +289,20 @@ def _(spark, sf):
     return FP.first_per_pointing(FP.not_null_visits(read(spark, sf, "visits"))).select("visit_id", "pntgid", "filter")
 
 
-# pixel centres of the whole sky, for brute force
-def _centres(n):
-    return f"""{sky(n)}, cen AS (SELECT pix, sqrt((1e0-z0)*(1e0+z0))*cos(phi0) AS x, sqrt((1e0-z0)*(1e0+z0))*sin(phi0) AS y, z0 AS z FROM sky_pix)"""
-
-
-COVER_NS, COVER_R = 128, 0.75
+COVER_NS, COVER_R = 1024, 0.75
 _VIS = f"v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pntgid ORDER BY visit_id) AS r FROM visits WHERE NOT is_null) WHERE r = 1)"
-_COVER = f"""{_VIS}, {xyzed('vx', 'v')}, {_centres(COVER_NS)},
-cov AS (SELECT visit_id, left(filter, 1) AS band, cen.pix FROM vx JOIN cen ON cen.z BETWEEN vx.z - 0.014e0 AND vx.z + 0.014e0
- WHERE (vx.x-cen.x)*(vx.x-cen.x)+(vx.y-cen.y)*(vx.y-cen.y)+(vx.z-cen.z)*(vx.z-cen.z) <= {(2 * math.sin(math.radians(COVER_R / 2))) ** 2!r}e0)"""
-_NEED = {"g": 2, "r": 2, "i": 3, "z": 3, "y": 3}
-_DEEP = "deep AS (SELECT pix, band FROM cov GROUP BY pix, band HAVING count(*) >= CASE WHEN band IN ('g', 'r') THEN 2 ELSE 3 END)"
+_CHORD = 2 * math.sin(math.radians(COVER_R / 2))
+# centres of the rings that a strip of declination round each visit meets, and of these the slots round its right ascension;
+# all visits lie in the belt of equal rings, within 41 degrees of the equator
+_COVER = f"""{_VIS}, {xyzed('vx', 'v')},
+strip AS (SELECT *, unnest(range(cast(floor({2 * COVER_NS} - {1.5 * COVER_NS}e0*(z + {_CHORD!r}e0)) AS bigint) - 1, cast(ceil({2 * COVER_NS} - {1.5 * COVER_NS}e0*(z - {_CHORD!r}e0)) AS bigint) + 2)) AS ring FROM vx),
+slots AS (SELECT visit_id, filter, x, y, z, ring, unnest(range(cast(floor((radians(ra) - 1.05e0*{_CHORD!r}e0/cos(radians(dec)))*{2 * COVER_NS}e0/{PI}) AS bigint) - 1,
+  cast(ceil((radians(ra) + 1.05e0*{_CHORD!r}e0/cos(radians(dec)))*{2 * COVER_NS}e0/{PI}) AS bigint) + 2)) AS slot FROM strip),
+cen AS (SELECT visit_id, filter, x, y, z, {2 * COVER_NS * (COVER_NS - 1)} + (ring - {COVER_NS})*{4 * COVER_NS} + ((slot % {4 * COVER_NS}) + {4 * COVER_NS}) % {4 * COVER_NS} AS pix,
+  ({2 * COVER_NS} - ring)*2e0/{3 * COVER_NS}e0 AS cz, (slot + CASE WHEN (ring - {COVER_NS}) % 2 = 0 THEN 0.5e0 ELSE 0e0 END)*{PI}/{2 * COVER_NS}e0 AS phi FROM slots),
+cov AS (SELECT visit_id, left(filter, 1) AS band, pix FROM cen WHERE (x-sqrt(1e0-cz*cz)*cos(phi))*(x-sqrt(1e0-cz*cz)*cos(phi))
+ + (y-sqrt(1e0-cz*cz)*sin(phi))*(y-sqrt(1e0-cz*cz)*sin(phi)) + (z-cz)*(z-cz) <= {_CHORD ** 2!r}e0)"""
+_DEEP = "deep AS (SELECT pix, band FROM cov GROUP BY pix, band HAVING count(*) >= CASE WHEN band IN ('g', 'r') THEN 4 ELSE 6 END)"
 _FULL = "full_ AS (SELECT pix FROM deep GROUP BY pix HAVING count(*) = 5)"
 
 
@@ -315,44 +317,24 @@ def _(spark, sf):
 
 @query("f9_band_depth", with_(ctes("visits"), _COVER) + " SELECT pix, band, count(*) AS n FROM cov GROUP BY pix, band")
 def _(spark, sf):
-    return FP.band_depth(_visits(spark, sf), COVER_R, COVER_NS)
+    return FP.band_depth(_visits(spark, sf))
 
 
 @query("f9_full_depth_footprint", with_(ctes("visits"), _COVER, _DEEP, _FULL) + " SELECT pix FROM full_")
 def _(spark, sf):
-    return FP.full_depth_footprint(_visits(spark, sf), _NEED, COVER_R, COVER_NS)
-
-
-@query("f10_footprint_area", with_(ctes("visits"), _COVER, _DEEP) + f"""
-SELECT band, count(*) AS pixels, round(129600/{PI}*count(*)/{12 * COVER_NS ** 2}e0, 6) AS area FROM deep GROUP BY band""")
-def _(spark, sf):
-    a = FP.footprint_area(FP.deep_pixels(FP.band_depth(_visits(spark, sf), COVER_R, COVER_NS), _NEED), COVER_NS, ["band"])
-    return a.select("band", "pixels", F.round("area", 6).alias("area"))
-
-
-# the same at the defaults of the operators: nside 1024 and all exposures; brute force is in tests/test_footprint_full.py
-FULL_NS = 1024
-
-
-@query("j7_disc_coverage_1024")
-def _(spark, sf):
-    return FP.disc_coverage(_visits(spark, sf), COVER_R, FULL_NS).select("visit_id", "pix")
-
-
-@query("f9_band_depth_1024")
-def _(spark, sf):
-    return FP.band_depth(_visits(spark, sf))
+    return FP.full_depth_footprint(_visits(spark, sf))
 
 
-@query("f9_full_depth_footprint_1024")
-def _(spark, sf):
-    return FP.full_depth_footprint(_visits(spark, sf))
+_AREA = f"count(*) AS pixels, round(129600/{PI}*count(*)/{12 * COVER_NS ** 2}e0, 6) AS area"
 
 
-@query("f10_footprint_area_1024")
+@query("f10_footprint_area", with_(ctes("visits"), _COVER, _DEEP, _FULL) + f"""
+SELECT band, {_AREA} FROM deep GROUP BY band UNION ALL SELECT 'all' AS band, {_AREA} FROM full_""")
 def _(spark, sf):
-    a = FP.footprint_area(FP.deep_pixels(FP.band_depth(_visits(spark, sf))), FULL_NS, ["band"])
-    return a.select("band", "pixels", F.round("area", 6).alias("area"))
+    deep = FP.deep_pixels(FP.band_depth(_visits(spark, sf)))
+    area = FP.footprint_area(deep, COVER_NS, ["band"])
+    both = FP.footprint_area(FP.full_depth(deep), COVER_NS).select(F.lit("all").alias("band"), "pixels", "area")
+    return area.unionByName(both).select("band", "pixels", F.round("area", 6).alias("area"))
 
 
 # places where galaxies crowd, and what connects over edges to the fullest of them

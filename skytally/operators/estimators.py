@@ -215,13 +215,13 @@ def _tried(points: DataFrame, keys, num: int, step: float) -> DataFrame:
 
 def fit_power_law(points: DataFrame, keys, x: str = "theta", k_lo: float = -3.0, k_hi: float = 1.0,
                   num: int = 81, passes: int = 3) -> DataFrame:
-    """Least-squares ``w = a * x**k`` per key: ``*keys, a, k, sse``.
+    """Least-squares ``w = a * x**k`` per key: ``*keys, a, k, sse, settled``.
 
     For a given exponent the amplitude is a ratio of sums, so a grid of exponents
     is tried in one aggregation. ``k_lo`` and ``k_hi`` are where it starts: while the best
     exponent of a key lies on the edge of its grid, that key's grid moves on by its width. Then it is
     refined round the best one. A fit that still improves after 40 moves (data of which no
-    power is the best) keeps its last exponent.
+    power is the best) keeps its last exponent and is not ``settled``.
     """
     keys = list(keys)
     p = points.select(*keys, F.col(x).alias("x"), F.col("w").alias("y"), (F.lit(1.0) / (F.col("err") * F.col("err"))).alias("g"))
@@ -237,8 +237,9 @@ def fit_power_law(points: DataFrame, keys, x: str = "theta", k_lo: float = -3.0,
         again = again.join(best.select(*keys, F.col("b.k").alias("was")), keys)
         again = again.withColumn("b", F.when(F.abs(F.col("b.k") - F.col("was")) < step / 2, F.col("b").withField("i", F.lit(1))).otherwise(F.col("b")))
         best = cut(best.where(~on_edge).unionByName(again.select(*keys, "b")))
+    settled = best.select(*keys, (~F.col("b.i").isin(0, num - 1)).alias("settled"))
     for _ in range(passes - 1):
         start = best.select(*keys, (F.col("b.k") - F.lit(step)).alias("k0"))
         step = 2.0 * step / (num - 1)
         best = _tried(p.join(start, keys), keys, num, step)
-    return best.select(*keys, "b.a", "b.k", "b.sse")
+    return best.join(settled, keys).select(*keys, "b.a", "b.k", "b.sse", "settled")

@@ -49,11 +49,15 @@ def deep_pixels(depth: DataFrame, need: dict[str, int] = FULL_DEPTH) -> DataFram
     return depth.where(ok).select("pix", "band")
 
 
+def full_depth(deep: DataFrame, need: dict[str, int] = FULL_DEPTH) -> DataFrame:
+    """``pix`` where every band is deep; ``deep`` is :func:`deep_pixels`."""
+    return deep.groupBy("pix").agg(F.count(F.lit(1)).alias("bands")).where(F.col("bands") == len(need)).select("pix")
+
+
 def full_depth_footprint(visits: DataFrame, need: dict[str, int] = FULL_DEPTH, radius_deg: float = 0.75,
                          nside: int = 1024) -> DataFrame:
     """``pix`` where every band has its exposures."""
-    deep = deep_pixels(band_depth(visits, radius_deg, nside), need)
-    return deep.groupBy("pix").agg(F.count(F.lit(1)).alias("bands")).where(F.col("bands") == len(need)).select("pix")
+    return full_depth(deep_pixels(band_depth(visits, radius_deg, nside), need), need)
 
 
 def footprint_area(mask: DataFrame, nside: int, keys=()) -> DataFrame:

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..lineage import stash
+from ..operators.counts import CELL, add_counts, assign_counts
+
 
 def _stored(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
@@ -37,10 +40,39 @@ def load_run(spark: SparkSession, path: str, n: int = -1) -> DataFrame:
     return pick_run(spark.read.parquet(path), n)
 
 
+PARTS = ("corr_id", "zbin", "term")
+
+
 def save_counts(counts: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store a count table in one folder per correlation, redshift bin and term."""
-    keys = ("corr_id", "zbin", "term")
-    counts.repartition(*keys).write.mode(mode).partitionBy(*keys).parquet(path)
+    """Store a count table in one folder per correlation, redshift bin and term.
+
+    Rows are rebalanced by these keys: small terms share a task, and a term larger than a task is
+    split over several.
+    """
+    counts.hint("rebalance", *PARTS).write.mode(mode).partitionBy(*PARTS).parquet(path)
+
+
+def update_counts(delta: DataFrame, path: str, how: str = "add") -> None:
+    """Add a count table onto stored ones (``how='add'``), or replace the entries that it has (``'assign'``).
+
+    Only the folders of correlations, bins and terms that ``delta`` has are read and written; all others
+    stay as they are. The new rows are written aside first, so a lost executor or a failed
+    write leaves the stored table whole; the swap is one commit. Without a stored table, ``delta`` becomes it.
+    Two updates of one table must not run at once.
+    """
+    if how not in ("add", "assign"):
+        raise ValueError(f"unknown update {how!r}")
+    spark = delta.sparkSession
+    columns = [*PARTS, *CELL, "n"]
+    delta = delta.select(*columns)
+    if _stored(spark, path):
+        touched = delta.select(*PARTS).distinct()
+        old = load_counts(spark, path).select(*[F.col(c).cast(delta.schema[c].dataType) for c in columns])
+        old = old.join(touched, list(PARTS), "left_semi")
+        delta = (add_counts if how == "add" else assign_counts)(old, delta, PARTS)
+    new = stash(delta, "counts")
+    (new.hint("rebalance", *PARTS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*PARTS).parquet(path))
 
 
 def load_counts(spark: SparkSession, path: str, corr_id: int | None = None, zbin: int | None = None,

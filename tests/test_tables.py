@@ -135,6 +135,48 @@ def test_distance_by_quadrature(spark):
     assert [r.d_c for r in CO.with_distance(df, z_max=0.5).where("z > 0.5").collect()] == [None] * 4
 
 
+def test_stored_counts_are_updated_in_place(spark, tmp_path):
+    import os
+
+    cols = "corr_id int, zbin int, term string, pix1 long, pix2 long, edge_idx int, n long"
+    def rows(t):
+        return {tuple(r)[:6]: r.n for r in t.select(*[c.split()[0] for c in cols.split(", ")]).collect()}
+    old = {(c, z, t, p, p + 1, e): 10 * p + e for c in (0, 1) for z in (0, 1) for t in ("DD", "RR") for p in range(4) for e in (0, 1)}
+    make = lambda d: spark.createDataFrame([(*k, n) for k, n in d.items()], cols)
+    path = f"{tmp_path}/counts"
+    R.update_counts(make(old), path)
+    assert rows(R.load_counts(spark, path)) == old
+    files = lambda: {f"{d}/{f}": os.stat(f"{d}/{f}").st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet") and not f.startswith(".")}
+    before = files()
+    delta = {(0, 1, "DD", 2, 3, 0): 5, (0, 1, "DD", 9, 9, 1): 7, (2, 0, "DD", 1, 1, 0): 1}
+    R.update_counts(make(delta), path)
+    want = {k: old.get(k, 0) + delta.get(k, 0) for k in {*old, *delta}}
+    assert rows(R.load_counts(spark, path)) == want
+    after = files()
+    kept = {f for f in before if "corr_id=0/zbin=1/term=DD" not in f}
+    assert kept and all(after.get(f) == before[f] for f in kept) and not {f for f in before if f not in kept} & set(after)
+    R.update_counts(make(delta), path, "assign")
+    assert rows(R.load_counts(spark, path)) == want | delta
+    R.update_counts(make({}), path)
+    assert rows(R.load_counts(spark, path)) == want | delta
+    with pytest.raises(Exception, match="repeated entries"):
+        R.update_counts(make(delta).union(make(delta)), path)
+    assert rows(R.load_counts(spark, path)) == want | delta
+
+
+def test_a_large_term_is_written_by_several_tasks(spark, tmp_path):
+    import glob
+
+    big = spark.range(400_000).select(F.lit(0).alias("corr_id"), F.lit(0).alias("zbin"), F.lit("DD").alias("term"), F.xxhash64("id").alias("pix1"), F.col("id").alias("pix2"), F.lit(0).alias("edge_idx"), F.col("id").alias("n"))
+    held = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2m")
+    try:
+        R.save_counts(big.repartition(8), f"{tmp_path}/c")
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", held)
+    assert len(glob.glob(f"{tmp_path}/c/corr_id=0/zbin=0/term=DD/*.parquet")) > 1
+
+
 def test_match_with_repeated_numbers_and_missing_positions(spark):
     from skytally.operators.match import cross_match
 
