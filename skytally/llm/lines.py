@@ -4,7 +4,7 @@ Lines are compared in lower case without blanks around them. Equal lines form a
 class, told apart by two 64-bit hashes of the line. A line's signature is a
 one-permutation MinHash sketch of its 8-character shingles, of which
 in long lines those that begin a word are hashed, in short lines and
-in lines with few blanks all: hashes fall into 42 ranges, and the smallest of
+in lines with few blanks all: hashes fall into 42 ranges by remainder, and the smallest of
 each counts. Three neighbouring ranges make a band, so there are 14. Small sets
 have runs of neighbours in the sorted list of all their hashes as bands
 instead: runs of three, and of two besides in the smallest. Lines that share a band are candidates; they are
@@ -17,8 +17,9 @@ ones into at most d + 1 runs, and 3 d <= c at a similarity of 0.75. So there is
 a run of three where c > 6, and one of two where c > 1; with c <= 6 both sets
 have at most 8 hashes. Of larger sets about one pair in two thousand is lost at 0.75, fewer above.
 
-Bands are made once for each class, and those of one class alone go before their
-names are shuffled. A class is first tried with one partner, the smallest class of the
+Shingles become rows of the tasks that hold the different lines, where
+compiled aggregates find the smallest of each range; sketches of a byte a range are kept for the comparison. Bands are
+shuffled once, to be counted and joined. A class is first tried with one partner, the smallest class of the
 band it shares most often. Bands that still hold several components are
 compared in tiles of bounded size. There each pair is tried in the first band
 that it shares only, and goes on to the exact test only if enough of the two
@@ -38,6 +39,8 @@ from skytally.llm.components import components
 SHINGLE = 8
 RUN, BANDS = 3, 14
 RANGES = RUN * BANDS
+#: Longs that hold a sketch.
+WORDS = (RANGES + 7) // 8
 #: Sets of up to so many hashes have runs as bands: of all shingles, and of those that begin a word.
 SMALL = (32, 16)
 #: Up to so many hashes, runs of two are bands too; 8 would do for all shingles, words are few in some long lines.
@@ -87,75 +90,86 @@ def _keys(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit(1)).alias("h2")]
 
 
-def _low(pattern: str) -> Column:
-    """The sorted distinct hashes of the shingles of `text` that the pattern finds."""
-    return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.xxhash64(x))))
-
-
-def _place(x: Column, ranges: int) -> Column:
-    """The range that a hash falls into, in order of the hashes."""
-    return F.floor((x.cast("double") / 2.0**64 + 0.5) * ranges).cast("int")
-
-
-def _leads(low: Column) -> Column:
-    """The smallest hash of each range that has one."""
-    return F.filter(low, lambda x, i: (i == 0) | (_place(x, RANGES) != _place(F.get(low, i - 1), RANGES)))
-
-
-def _sketches(lines: DataFrame) -> DataFrame:
-    """The columns of `lines(..., text)`, and `each` and `begin`: sorted hashes of all shingles, and of those that begin a word, where they count."""
+def _shingles(lines: DataFrame) -> DataFrame:
+    """`h1, h2, kind, set` of each different line of `lines(h1, h2, text, ...)`: the distinct shingles of all positions (kind 0) and of those that begin a word (kind 1), where they count."""
+    one = lines.groupBy("h1", "h2").agg(F.first("text").alias("text"))
     size = F.length("text")
     blanks = size - F.length(F.replace("text", F.lit(" "), F.lit("")))
-    return lines.select("*", F.when((size <= SHORT[1]) | (blanks * LONG_RUN < size), _low(_EACH)).alias("each"), F.when(size >= SHORT[0], _low(_BEGIN)).alias("begin"))
-
-
-def _bands(lines: DataFrame) -> DataFrame:
-    """`name, band` for each class and band, from `h1, h2, text`."""
-    none = F.array().cast("array<long>")
+    of = lambda kind, pattern: F.struct(F.lit(kind).alias("kind"), F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(1))).alias("set"))
+    kinds = F.array(F.when((size <= SHORT[1]) | (blanks * LONG_RUN < size), of(0, _EACH)), F.when(size >= SHORT[0], of(1, _BEGIN)))
+    return one.select("h1", "h2", F.explode(kinds).alias("of")).filter("of is not null").select("h1", "h2", "of.kind", "of.set")
 
-    def runs(low):
-        n = F.size(low)
 
-        def of(run):
-            several = F.transform(F.sequence(F.lit(1), n - run + 1), lambda i: F.xxhash64(F.slice(low, i, F.lit(run))))
-            return F.when(n >= run, several).otherwise(F.array(F.xxhash64(low)))
+def _runs(low: Column) -> Column:
+    """Bands of a small set, from its sorted hashes."""
+    n = F.size(low)
 
-        return F.concat(of(RUN), F.when(n <= FEW, of(2)).otherwise(none))
+    def of(run):
+        several = F.transform(F.sequence(F.lit(1), n - run + 1), lambda i: F.xxhash64(F.slice(low, i, F.lit(run))))
+        return F.when(n >= run, several).otherwise(F.array(F.xxhash64(low)))
 
-    def ranges(leads):
-        # of the at most three leads of a band the first one stands for it; `leads` must be a column, or it would be made anew for each
-        place = lambda i: _place(F.get(leads, i), BANDS)
-        begins = F.filter(F.sequence(F.lit(0), F.size(leads) - 1), lambda i: (i == 0) | (place(i) != F.coalesce(place(i - 1), F.lit(-1))))
-        same = lambda i, k: F.when(place(i + k) == place(i), F.get(leads, i + k))
-        return F.transform(begins, lambda i: F.xxhash64(F.get(leads, i), same(i, 1), same(i, 2)))
+    return F.concat(of(RUN), F.when(n <= FEW, of(2)).otherwise(F.array().cast("array<long>")))
 
-    def bands(low, small, leads):
-        # sets of a middle size have both kinds, to meet smaller and larger ones
-        n = F.size(low)
-        return F.when(F.col(low).isNull(), none).otherwise(F.concat(F.when(n <= small, runs(F.col(low))).otherwise(none), F.when(n > small // 2, ranges(F.col(leads))).otherwise(none)))
 
-    rows = _sketches(lines.select("h1", "h2", "text")).select("h1", "h2", "each", "begin", _leads(F.col("each")).alias("le"), _leads(F.col("begin")).alias("lb"))
-    rows = rows.select("h1", "h2", F.concat(bands("each", SMALL[0], "le"), bands("begin", SMALL[1], "lb")).alias("bands"))
-    # equal lines have equal bands
-    rows = rows.groupBy("h1", "h2").agg(F.first("bands").alias("bands"))
-    return rows.select(F.col("h1").alias("name"), F.explode(F.array_distinct("bands")).alias("band"))
+def _signatures(lines: DataFrame) -> DataFrame:
+    """`name, kind, bands, s0, s1, ...` from `h1, h2, text`; several rows may hold bands of a class, the sketch `s0, s1, ...` is NULL in all but one of a kind.
 
-
-def _profiles(texts: DataFrame) -> DataFrame:
-    """`name, each, begin`: for either kind of hashes 32 bits of the smallest of each range; NULL where the kind does not count."""
-    rows = _sketches(texts.select("name", "text")).select("name", "each", "begin", _leads(F.col("each")).alias("le"), _leads(F.col("begin")).alias("lb"))
-    short = [F.transform(c, lambda x: F.shiftright(x, 32).cast("int")) for c in ("le", "lb")]
-    return rows.select("name", short[0].alias("each"), short[1].alias("begin"))
+    Shingles are rows here, and the smallest of each range is an ordinary
+    aggregate, in the tasks that hold the different lines already, so that nothing is shuffled for it.
+    """
+    small = F.when(F.col("kind") == 0, SMALL[0]).otherwise(SMALL[1])
+    sets = _shingles(lines).withColumn("low", F.when(F.size("set") <= small, F.sort_array(F.transform("set", lambda x: F.xxhash64(x)))))
+    # a run is a row of its own, beside the row of all shingles
+    whole = F.array(F.struct(F.lit(None).cast("long").alias("run"), F.col("set").alias("set")))
+    single = F.transform(_runs(F.col("low")), lambda x: F.struct(x.alias("run"), F.array(F.lit("")).alias("set")))
+    parts = sets.select("h1", "h2", "kind", F.explode(F.when(F.col("low").isNull(), whole).otherwise(F.concat(whole, single))).alias("part"))
+    rows = parts.select("h1", "h2", "kind", "part.run", F.explode("part.set").alias("shingle"))
+    rows = rows.select("h1", "h2", "kind", "run", F.xxhash64("shingle").alias("h"))
+    rows = rows.withColumn("at", F.pmod(F.col("h"), F.lit(RANGES)).cast("int"))
+    least = [F.min(F.when(F.col("at") == i, F.col("h"))).alias(f"m{i}") for i in range(RANGES)]
+    sums = rows.groupBy("h1", "h2", "kind", "run").agg(F.count("*").alias("n"), *least)
+    # sets of a middle size have both kinds of bands, to meet smaller and larger ones
+    trios = [[F.col(f"m{RUN * j + k}") for k in range(RUN)] for j in range(BANDS)]
+    ranges = F.array(*[F.when(F.coalesce(*m).isNotNull(), F.xxhash64(F.lit(j), *m)) for j, m in enumerate(trios)])
+    bands = F.when(F.col("run").isNotNull(), F.array("run")).when(F.col("n") > small * SIMILARITY, ranges)
+    byte = lambda i: F.coalesce(F.pmod(F.shiftright(f"m{i}", 16), F.lit(255)) + 1, F.lit(0)).cast("long")
+    words = []
+    for lo in range(0, RANGES, 8):
+        word = byte(lo)
+        for i in range(lo + 1, min(lo + 8, RANGES)):
+            word = word.bitwiseOR(F.shiftleft(byte(i), 8 * (i - lo)))
+        words.append(F.when(F.col("run").isNull(), word).alias(f"s{lo // 8}"))
+    return sums.select(F.col("h1").alias("name"), "kind", bands.alias("bands"), *words)
+
+
+def _bands(signatures: DataFrame) -> DataFrame:
+    """`band, name` for each class and band."""
+    return signatures.select(F.explode("bands").alias("band"), "name").filter("band is not null")
+
+
+def _profiles(signatures: DataFrame, names: DataFrame) -> DataFrame:
+    """`name, s` of the classes in `names`: both sketches, a byte for each range, 0 where it is empty; NULL where the kind does not count."""
+    kinds = signatures.filter("s0 is not null").join(names, "name", "left_semi")
+    flat = kinds.groupBy("name").agg(*[F.max(F.when(F.col("kind") == k, F.col(f"s{w}"))).alias(f"k{k}s{w}") for k in (0, 1) for w in range(WORDS)])
+    return flat.select("name", F.struct(*[c for c in flat.columns if c != "name"]).alias("s"))
+
+
+def _filled(word: Column) -> Column:
+    """Bytes of a long that are not 0."""
+    for shift in (4, 2, 1):
+        word = word.bitwiseOR(F.shiftrightunsigned(word, shift))
+    return F.bit_count(word.bitwiseAND(F.lit(0x0101010101010101)))
 
 
 def _alike(a: str, b: str) -> Column:
     """Whether enough ranges of two sketches agree: within 4.75 standard deviations of what is expected at the similarity."""
     def agree(kind):
-        x, y = F.col(f"{a}.{kind}"), F.col(f"{b}.{kind}")
-        most = F.greatest(F.size(x), F.size(y))
-        return F.coalesce(F.size(F.array_intersect(x, y)) >= SIMILARITY * most - SURE * F.sqrt(SIMILARITY * (1 - SIMILARITY) * most), F.lit(False))
+        both = [(F.col(f"{a}.k{kind}s{w}"), F.col(f"{b}.k{kind}s{w}")) for w in range(WORDS)]
+        used = sum((_filled(x.bitwiseOR(y)) for x, y in both), F.lit(0))
+        differ = sum((_filled(x.bitwiseXOR(y)) for x, y in both), F.lit(0))
+        return F.coalesce(used - differ >= SIMILARITY * used - SURE * F.sqrt(SIMILARITY * (1 - SIMILARITY) * used), F.lit(False))
 
-    return agree("each") | agree("begin")
+    return agree(0) | agree(1)
 
 
 def _texts(names: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
@@ -183,7 +197,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
 
 def _likely(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """The pairs `a, b` whose sketches agree enough."""
-    side = profiles.select("name", F.struct("each", "begin").alias("s"))
+    side = profiles
     both = (pairs.join(side.select(F.col("name").alias("a"), F.col("s").alias("x")), "a").join(side.select(F.col("name").alias("b"), F.col("s").alias("y")), "b"))
     return both.filter(_alike("x", "y")).select("a", "b")
 
@@ -195,7 +209,7 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, profiles: DataFrame) -> Da
     mixed = (rows.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo < hi").select("band", F.ceil(F.col("n") / TILE).cast("long").alias("blocks")))
     open_ = stash(rows.join(mixed, "band"), "open")
-    mine = open_.groupBy("name").agg(F.sort_array(F.collect_set("band")).alias("bands")).join(profiles, "name").select("name", "bands", F.struct("each", "begin").alias("s"))
+    mine = open_.groupBy("name").agg(F.sort_array(F.collect_set("band")).alias("bands")).join(profiles, "name").select("name", "bands", "s")
     tiled = (open_.join(mine, "name").withColumn("mine", F.pmod(F.xxhash64("name", "band"), F.col("blocks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
              .select("band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "name", "component", "bands", "s"))
@@ -223,15 +237,17 @@ def fuzzy_lines(docs: DataFrame, share: float = SIMILARITY) -> DataFrame:
     lean = stash(lines.select("doc_id", "line_no", "h1", "h2", (F.col("text") == "").alias("blank")), "lines")
     classes = lean.filter("not blank").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     classes = stash(classes, "classes")
-    bands = _bands(filled)
-    # counted first: bands of one class alone are most, and their names need not be shuffled again
-    several = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", "n")
-    shared = stash(bands.join(several, "band").select("band", "name", "n"), "shared")
-    pivots = stash(shared.groupBy("band").agg(F.min("name").alias("pivot")), "pivots")
-    tried = (shared.join(pivots, "band").filter("name <> pivot").groupBy("name", "pivot").agg(F.count("*").alias("n"))
+    signatures = stash(_signatures(filled), "signatures")
+    # counted where they are joined, by one shuffle: bands of one class alone are most
+    bands = _bands(signatures).repartition("band")
+    several = bands.groupBy("band").agg(F.count("name").alias("n"), F.min("name").alias("pivot"), F.max("name").alias("other"))
+    several = several.filter("pivot < other").select("band", "n", "pivot")
+    shared = stash(bands.join(several, "band").select("band", "name", "n", "pivot").distinct(), "shared")
+    tried = (shared.filter("name <> pivot").groupBy("name", "pivot").agg(F.count("*").alias("n"))
              .groupBy("name").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b")).select(F.col("name").alias("a"), "b"))
-    texts = _texts(shared.select("name").distinct(), filled, classes)
-    profiles = stash(_profiles(texts), "profiles")
+    names = stash(shared.select("name").distinct(), "names")
+    texts = _texts(names, filled, classes)
+    profiles = stash(_profiles(signatures, names), "profiles")
     tried = stash(_likely(tried, profiles), "tried")
     edges = stash(_linked(tried, texts, share), "links")
     labels = components(edges)

@@ -336,7 +336,7 @@ def test_bands_meet_at_every_length(spark):
     rows = [(2 * i + k, t) for i, p in enumerate(pairs) for k, t in enumerate(p)]
     text = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", F.lit(0).alias("line_no"), "text", *N._keys(F.col("text")))
     bands = {}
-    for r in N._bands(text).select("name", "band").collect():
+    for r in N._bands(N._signatures(text)).select("name", "band").collect():
         bands.setdefault(r["name"], set()).add(r.band)
     name = {r.text: r.h1 for r in text.select("text", "h1").collect()}
     lost = [(a, b) for a, b in pairs if not bands[name[a]] & bands[name[b]]]
