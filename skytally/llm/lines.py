@@ -1,81 +1,169 @@
-"""Fuzzy line deduplication by MinHash, with DataFrame functions only.
+"""Fuzzy line deduplication by MinHash.
 
 Lines are compared in lower case without blanks around them. Equal lines form a
 class, told apart by two 64-bit hashes of the line. A line's signature is a
-one-permutation MinHash sketch of its 8-character shingles, of which
-in long lines those that begin a word are hashed, in short lines and
-in lines with few blanks all: hashes fall into 42 ranges, and the smallest of
-each counts. Three neighbouring ranges make a band, so there are 14. Small sets
-have runs of neighbours in the sorted list of all their hashes as bands
-instead: runs of three, and of two besides in the smallest. Lines that share a band are candidates; they are
-linked when the Jaccard similarity of the sets of all their 8-character
-shingles is 0.75 or more. Of each component the first line in order of doc_id
-and line number is kept.
+one-permutation MinHash sketch of its 8-character shingles: hashes fall into 42
+ranges, and the smallest of each counts. Three neighbouring ranges make a band,
+so there are 14. Small sets have runs of neighbours in the sorted list of all
+their hashes as bands instead: runs of three, and of two besides in the
+smallest. Lines that share a band are candidates; they are linked when the
+Jaccard similarity of their shingle sets is 0.75 or more. Of each component the
+first line in order of doc_id and line number is kept.
 
 Sets of at most 32 shingles lose no pair: d differing hashes split the c common
 ones into at most d + 1 runs, and 3 d <= c at a similarity of 0.75. So there is
 a run of three where c > 6, and one of two where c > 1; with c <= 6 both sets
 have at most 8 hashes. Of larger sets about one pair in two thousand is lost at 0.75, fewer above.
 
-Bands are made once for each class, and those of one class alone go before their
-names are shuffled. A class is first tried with one partner, the smallest class of the
-band it shares most often. Bands that still hold several components are
-compared in tiles of bounded size. There each pair is tried in the first band
-that it shares only, and goes on to the exact test only if enough of the two
-sketches agree, which misses about one pair in a million. So no pair of a band is left out, and only likely
-ones are written. Texts are not shuffled but for candidates, which
-fetch theirs by the place where the line occurs first.
+A class is first tried with one partner, the smallest class of the band it
+shares most often. Bands that still hold several components are compared in
+tiles of bounded size. There each pair is tried in the first band that it
+shares only, and goes on to the exact test only if enough of the two sketches
+agree, which misses about one pair in a million. So no pair of a band is left
+out, and only likely ones are written. Texts are not shuffled but for
+candidates, which fetch theirs by the place where the line occurs first.
+
+Shingles are hashed and compared in numpy over Arrow batches. A form with
+DataFrame functions alone stays far above the limits (figures in the README):
+array functions make a shingle in about a microsecond, and each set twice or
+more. Grouping, joins and components are DataFrame operations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skytally.lineage import stash
 from skytally.llm.components import components
+from skytally.llm.tiles import whole_groups
+from skytally.llm.words import mix, randoms
 
 SHINGLE = 8
 RUN, BANDS = 3, 14
 RANGES = RUN * BANDS
-#: Sets of up to so many hashes have runs as bands: of all shingles, and of those that begin a word.
-SMALL = (32, 16)
-#: Up to so many hashes, runs of two are bands too; 8 would do for all shingles, words are few in some long lines.
+#: Sets of up to so many hashes have runs as bands; those of more than half as many have ranges too, to meet larger sets.
+SMALL = 32
+#: Up to so many hashes, runs of two are bands too.
 FEW = 16
 SIMILARITY = 0.75
 #: Rows of a tile's side, and how many standard deviations below the expected number of equal ranges a pair still goes on to the exact test.
-TILE, SURE = 64, 4.75
+TILE, SURE = 256, 4.75
 #: Candidates whose places are sent to every executor at most (about 100 MB); more are joined by a shuffle.
 SENT_LINES = 2_000_000
-#: Shorter lines hash all their shingles, longer ones those that begin a word; in between, both make bands.
-SHORT = (80, 128)
-_EACH = r"(?s)(?=(.{8}|^.{1,7}$))"
-_BEGIN = r"(?s)(?:^| )(?=(.{1,8}))"
-#: Lines of longer runs without a blank on average hash all their shingles too.
-LONG_RUN = 16
+#: Characters hashed together; a longer line is taken alone.
+CHUNK = 1 << 16
+_PAIR, _FOUR, _EIGHT, _SIZE = (int(v) | 1 for v in randoms(4, 31))
+_ORDER = randoms(RUN + 2, 32) | np.uint64(1)
+_SALT = randoms(BANDS, 33)
+_NONE, _NONE32 = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint32(0xFFFFFFFF)
 
 
 def plain(line: Column) -> Column:
     return F.trim(F.lower(line))
 
 
-def _codes(text: Column) -> Column:
-    """Two bytes a character, so that a shingle is a slice of bytes."""
-    return F.encode(text, "UTF-16BE")
-
-
-def _shingle(codes: Column, i: Column) -> Column:
-    return F.xxhash64(F.substring(codes, i * 2 + 1, F.lit(2 * SHINGLE)))
-
+def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the 8-character shingles of filled lines, and how many each line has.
 
-def _count(codes: Column) -> Column:
-    """Shingles of a line, one at least: a line of fewer than eight characters is a shingle by itself."""
-    return F.greatest(F.length(codes) / 2 - (SHINGLE - 1), F.lit(1)).cast("int")
-
-
-def _set(codes: Column) -> Column:
-    """The set of all shingles; ``codes`` must be a column, or it would be made anew for each."""
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), _count(codes) - 1), lambda i: _shingle(codes, i)))
+    A line of fewer than eight characters is a shingle by itself.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    # so that a window begins at each character
+    c = np.zeros(len(codes) + SHINGLE - 1, np.uint64)
+    c[:len(codes)] = codes
+    c[:len(codes)] += np.uint64(1)
+    ends = np.cumsum(sizes)
+    begins = ends - sizes
+    two = c[:-1] * np.uint64(_PAIR) + c[1:]
+    four = two[:-2] * np.uint64(_FOUR) + two[2:]
+    h = four[:-4] * np.uint64(_EIGHT) + four[4:]
+    inside = np.ones(len(h), bool)
+    for k in range(1, SHINGLE):
+        inside[(ends - k)[sizes >= k]] = False
+    short = np.flatnonzero(sizes < SHINGLE)
+    if len(short):
+        at, n = begins[short], sizes[short]
+        own = n.astype(np.uint64) * np.uint64(_SIZE)
+        for k in range(SHINGLE):
+            own = own * np.uint64(_PAIR) + np.where(k < n, c[at + k], np.uint64(0))
+        h[at] = own
+        inside[at] = True
+    return mix(h[inside]), np.maximum(sizes - (SHINGLE - 1), 1)
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of lines that are hashed together."""
+    at = 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) <= CHUNK):
+            size += len(texts[upto])
+            upto += 1
+        yield at, upto
+        at = upto
+
+
+def _sets(texts: list[str]) -> Iterator[np.ndarray]:
+    """The sorted distinct shingle hashes of each line."""
+    for lo, hi in _chunks(texts):
+        h, sizes = _shingles(texts[lo:hi])
+        for part in np.split(h, np.cumsum(sizes)[:-1]):
+            part.sort()
+            yield part[np.r_[True, part[1:] != part[:-1]]]
+
+
+def _sketch(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The smallest hash of each range, a row a line; all ones where a range has none."""
+    low = np.full(len(sizes) * RANGES, _NONE)
+    at = ((h >> np.uint64(32)) * np.uint64(RANGES) >> np.uint64(32)).astype(np.int64)
+    at += np.repeat(np.arange(len(sizes)) * RANGES, sizes)
+    np.minimum.at(low, at, h)
+    return low.reshape(-1, RANGES)
+
+
+def _bands_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Line and band, in order of lines; a line may have a band twice."""
+    h, sizes = _shingles(texts)
+    low = _sketch(h, sizes)
+    filled = low != _NONE
+    # a set of few hashes fills few ranges
+    maybe = filled.sum(axis=1) <= SMALL
+    mine = np.repeat(maybe, sizes)
+    owner, v = np.repeat(np.arange(len(sizes)), sizes)[mine], h[mine]
+    order = np.lexsort((v, owner))
+    owner, v = owner[order], v[order]
+    new = np.ones(len(v), bool)
+    new[1:] = (owner[1:] != owner[:-1]) | (v[1:] != v[:-1])
+    owner, v = owner[new], v[new]
+    n = np.bincount(owner, minlength=len(sizes))
+    n[~maybe] = len(h) + SMALL + 1
+    lines, bands = [], []
+
+    def runs(run: int, most: int):
+        i = np.arange(max(len(v) - run + 1, 0))
+        i = i[(owner[i] == owner[i + run - 1]) & (n[owner[i]] <= most)]
+        lines.append(owner[i])
+        bands.append(mix(sum((v[i + k] * _ORDER[k] for k in range(run)), np.full(len(i), _ORDER[RUN + run - 2]))))
+
+    runs(RUN, SMALL)
+    runs(2, FEW)
+    one = np.flatnonzero(n[owner] == 1)
+    lines.append(owner[one])
+    bands.append(mix(v[one] * _ORDER[0] + np.uint64(1)))
+    wide = np.flatnonzero(n > SMALL // 2)
+    triples, some = low[wide].reshape(-1, BANDS, RUN), filled[wide].reshape(-1, BANDS, RUN).any(axis=2)
+    of = mix((triples * _ORDER[:RUN]).sum(axis=2, dtype=np.uint64) + _SALT)
+    lines.append(np.repeat(wide, BANDS)[some.ravel()])
+    bands.append(of[some])
+    line, band = np.concatenate(lines), np.concatenate(bands)
+    order = np.argsort(line, kind="stable")
+    return line[order], band[order]
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -87,79 +175,36 @@ def _keys(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit(1)).alias("h2")]
 
 
-def _low(pattern: str) -> Column:
-    """The sorted distinct hashes of the shingles of `text` that the pattern finds."""
-    return F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: F.xxhash64(x))))
-
-
-def _place(x: Column, ranges: int) -> Column:
-    """The range that a hash falls into, in order of the hashes."""
-    return F.floor((x.cast("double") / 2.0**64 + 0.5) * ranges).cast("int")
-
-
-def _leads(low: Column) -> Column:
-    """The smallest hash of each range that has one."""
-    return F.filter(low, lambda x, i: (i == 0) | (_place(x, RANGES) != _place(F.get(low, i - 1), RANGES)))
-
-
-def _sketches(lines: DataFrame) -> DataFrame:
-    """The columns of `lines(..., text)`, and `each` and `begin`: sorted hashes of all shingles, and of those that begin a word, where they count."""
-    size = F.length("text")
-    blanks = size - F.length(F.replace("text", F.lit(" "), F.lit("")))
-    return lines.select("*", F.when((size <= SHORT[1]) | (blanks * LONG_RUN < size), _low(_EACH)).alias("each"), F.when(size >= SHORT[0], _low(_BEGIN)).alias("begin"))
-
-
 def _bands(lines: DataFrame) -> DataFrame:
-    """`name, band` for each class and band, from `h1, h2, text`."""
-    none = F.array().cast("array<long>")
-
-    def runs(low):
-        n = F.size(low)
+    """`name, band` of the lines `h1, text`; equal lines of one batch once."""
+    def run(batches):
+        for batch in batches:
+            names, at = np.unique(batch.column(0).to_numpy(), return_index=True)
+            texts = batch.column(1).take(pa.array(at)).to_pylist()
+            for lo, hi in _chunks(texts):
+                line, band = _bands_of(texts[lo:hi])
+                offsets = np.searchsorted(line, np.arange(hi - lo + 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[lo:hi]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(band.view(np.int64)))], names=["name", "bands"])
 
-        def of(run):
-            several = F.transform(F.sequence(F.lit(1), n - run + 1), lambda i: F.xxhash64(F.slice(low, i, F.lit(run))))
-            return F.when(n >= run, several).otherwise(F.array(F.xxhash64(low)))
+    return stash(lines.select("h1", "text").mapInArrow(run, "name long, bands array<long>"), "bands").select("name", F.explode("bands").alias("band"))
 
-        return F.concat(of(RUN), F.when(n <= FEW, of(2)).otherwise(none))
 
-    def ranges(leads):
-        # of the at most three leads of a band the first one stands for it; `leads` must be a column, or it would be made anew for each
-        place = lambda i: _place(F.get(leads, i), BANDS)
-        begins = F.filter(F.sequence(F.lit(0), F.size(leads) - 1), lambda i: (i == 0) | (place(i) != F.coalesce(place(i - 1), F.lit(-1))))
-        same = lambda i, k: F.when(place(i + k) == place(i), F.get(leads, i + k))
-        return F.transform(begins, lambda i: F.xxhash64(F.get(leads, i), same(i, 1), same(i, 2)))
+def _with_sketch(texts: DataFrame) -> DataFrame:
+    """`name, text, sketch`: the upper 32 bits of the smallest hash of each range."""
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for lo, hi in _chunks(texts):
+                low = (_sketch(*_shingles(texts[lo:hi])) >> np.uint64(32)).astype(np.uint32)
+                part = batch.slice(lo, hi - lo)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([row.tobytes() for row in low], pa.binary())], names=["name", "text", "sketch"])
 
-    def bands(low, small, leads):
-        # sets of a middle size have both kinds, to meet smaller and larger ones
-        n = F.size(low)
-        return F.when(F.col(low).isNull(), none).otherwise(F.concat(F.when(n <= small, runs(F.col(low))).otherwise(none), F.when(n > small // 2, ranges(F.col(leads))).otherwise(none)))
-
-    rows = _sketches(lines.select("h1", "h2", "text")).select("h1", "h2", "each", "begin", _leads(F.col("each")).alias("le"), _leads(F.col("begin")).alias("lb"))
-    rows = rows.select("h1", "h2", F.concat(bands("each", SMALL[0], "le"), bands("begin", SMALL[1], "lb")).alias("bands"))
-    # equal lines have equal bands
-    rows = rows.groupBy("h1", "h2").agg(F.first("bands").alias("bands"))
-    return rows.select(F.col("h1").alias("name"), F.explode(F.array_distinct("bands")).alias("band"))
-
-
-def _profiles(texts: DataFrame) -> DataFrame:
-    """`name, each, begin`: for either kind of hashes 32 bits of the smallest of each range; NULL where the kind does not count."""
-    rows = _sketches(texts.select("name", "text")).select("name", "each", "begin", _leads(F.col("each")).alias("le"), _leads(F.col("begin")).alias("lb"))
-    short = [F.transform(c, lambda x: F.shiftright(x, 32).cast("int")) for c in ("le", "lb")]
-    return rows.select("name", short[0].alias("each"), short[1].alias("begin"))
-
-
-def _alike(a: str, b: str) -> Column:
-    """Whether enough ranges of two sketches agree: within 4.75 standard deviations of what is expected at the similarity."""
-    def agree(kind):
-        x, y = F.col(f"{a}.{kind}"), F.col(f"{b}.{kind}")
-        most = F.greatest(F.size(x), F.size(y))
-        return F.coalesce(F.size(F.array_intersect(x, y)) >= SIMILARITY * most - SURE * F.sqrt(SIMILARITY * (1 - SIMILARITY) * most), F.lit(False))
-
-    return agree("each") | agree("begin")
+    return texts.mapInArrow(run, "name long, text string, sketch binary")
 
 
 def _texts(names: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
-    """`name, text` of the classes in `names`, read where each occurs first."""
+    """`name, text, sketch` of the classes in `names`, read where each occurs first."""
     places = classes.select(F.col("h1").alias("name"), F.col("first.doc_id").alias("at_doc"), F.col("first.line_no").alias("at_line"))
     needed = stash(places.join(names, "name", "left_semi"), "needed")
     if needed.count() <= SENT_LINES:
@@ -167,45 +212,81 @@ def _texts(names: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
     # the first of equal lines may be in a document without an id
     place = (F.col("h1") == F.col("name")) & (F.col("line_no") == F.col("at_line")) & F.col("doc_id").eqNullSafe(F.col("at_doc"))
     found = lines.select("doc_id", "line_no", "h1", "text").join(needed, place).select("name", "text")
-    return stash(found.dropDuplicates(["name"]), "texts")
+    # equal lines of one document in repeated rows have one text
+    return stash(_with_sketch(found.groupBy("name").agg(F.min("text").alias("text"))), "texts")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     """The pairs `a, b` whose shingle sets reach the similarity."""
+    def run(batches):
+        for batch in batches:
+            left, right, last, ok = batch.column(2).to_pylist(), batch.column(3).to_pylist(), None, []
+            # pairs come in runs with the same second line, whose set is made once
+            for x, a in zip(right, _sets(left)):
+                if last is None or last[0] != x:
+                    last = (x, next(_sets([x])))
+                b = last[1]
+                if min(len(a), len(b)) < share * max(len(a), len(b)):
+                    ok.append(False)
+                    continue
+                both = np.concatenate([a, b])
+                both.sort()
+                n = int(np.count_nonzero(both[1:] == both[:-1]))
+                ok.append(n >= share * (len(a) + len(b) - n))
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
     both = (pairs.select("a", "b").join(texts.select(F.col("name").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("name").alias("b"), F.col("text").alias("tb")), "b"))
-    both = both.select("a", "b", _codes(F.col("ta")).alias("ca"), _codes(F.col("tb")).alias("cb"))
-    both = both.select("a", "b", _set(F.col("ca")).alias("sa"), _set(F.col("cb")).alias("sb"))
-    # the row number keeps the filter from being pushed into the projections, where each set would be made again for each of its uses
-    both = both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"), F.monotonically_increasing_id().alias("row"))
-    return both.filter((F.col("n") >= share * (F.col("na") + F.col("nb") - F.col("n"))) & (F.col("row") >= 0)).select("a", "b")
-
+    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
-def _likely(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """The pairs `a, b` whose sketches agree enough."""
-    side = profiles.select("name", F.struct("each", "begin").alias("s"))
-    both = (pairs.join(side.select(F.col("name").alias("a"), F.col("s").alias("x")), "a").join(side.select(F.col("name").alias("b"), F.col("s").alias("y")), "b"))
-    return both.filter(_alike("x", "y")).select("a", "b")
 
-
-def _open_pairs(shared: DataFrame, labels: DataFrame, profiles: DataFrame) -> DataFrame:
+def _tile_pairs(table: pa.Table, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Names of the open pairs of a tile whose sketches agree enough and that share no earlier band."""
+    part = table.slice(lo, hi - lo)
+    band, x, y = (part.column(c)[0].as_py() for c in range(3))
+    mine, name, component = (part.column(c).to_numpy() for c in (3, 4, 5))
+    sketch = np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint32).reshape(-1, RANGES)
+    # within a block each pair once; between two blocks from the first to the second
+    if x == y:
+        i, j = np.triu_indices(len(name), 1)
+    else:
+        left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
+    ok = component[i] != component[j]
+    i, j = i[ok], j[ok]
+    filled = (sketch != _NONE32).sum(axis=1)
+    agree = np.zeros(len(i), np.int64)
+    for k in range(RANGES):
+        one = sketch[:, k]
+        agree += (one[i] == one[j]) & (one[i] != _NONE32)
+    most = np.maximum(filled[i], filled[j])
+    ok = agree >= SIMILARITY * most - SURE * np.sqrt(SIMILARITY * (1 - SIMILARITY) * most)
+    i, j = i[ok], j[ok]
+    bands = [set(b) for b in part.column(6).to_pylist()] if len(i) else []
+    first = np.array([min(bands[p] & bands[q]) == band for p, q in zip(i.tolist(), j.tolist())], bool)
+    return name[i[first]], name[j[first]]
+
+
+def _open_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs `a, b` of different components that share a band and whose sketches agree enough, each once."""
     rows = shared.join(labels.withColumnRenamed("node", "name"), "name", "left").select("band", "name", F.coalesce("component", "name").alias("component"))
-    rows = stash(rows, "marked")
     mixed = (rows.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo < hi").select("band", F.ceil(F.col("n") / TILE).cast("long").alias("blocks")))
     open_ = stash(rows.join(mixed, "band"), "open")
-    mine = open_.groupBy("name").agg(F.sort_array(F.collect_set("band")).alias("bands")).join(profiles, "name").select("name", "bands", F.struct("each", "begin").alias("s"))
+    mine = open_.groupBy("name").agg(F.collect_set("band").alias("bands")).join(texts.select("name", "sketch"), "name")
+    tile = ["band", "x", "y"]
     tiled = (open_.join(mine, "name").withColumn("mine", F.pmod(F.xxhash64("name", "band"), F.col("blocks")))
              .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "name", "component", "bands", "s"))
-    tile = ["band", "x", "y"]
-    left, right = (tiled.select(*tile, *[F.col(c).alias(f"{c}_{k}") for c in ("mine", "name", "component", "bands", "s")]) for k in "ab")
-    # within a block each pair once; between two blocks from the first to the second
-    sides = F.when(F.col("x") == F.col("y"), F.col("name_a") < F.col("name_b")).otherwise((F.col("mine_a") == F.col("x")) & (F.col("mine_b") == F.col("y")))
-    first = F.array_min(F.array_intersect("bands_a", "bands_b")) == F.col("band")
-    pairs = left.join(right, tile).filter(sides & (F.col("component_a") != F.col("component_b")) & _alike("s_a", "s_b") & first)
-    return stash(pairs.select(F.least("name_a", "name_b").alias("a"), F.greatest("name_a", "name_b").alias("b")), "candidates")
+             .select("band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "name", "component", "bands", "sketch"))
+
+    def run(batches):
+        for table, groups in whole_groups(batches, 3):
+            for lo, hi in groups:
+                a, b = _tile_pairs(table, lo, hi)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return stash(tiled.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, "a long, b long"), "candidates")
 
 
 def fuzzy_lines(docs: DataFrame, share: float = SIMILARITY) -> DataFrame:
@@ -224,18 +305,17 @@ def fuzzy_lines(docs: DataFrame, share: float = SIMILARITY) -> DataFrame:
     classes = lean.filter("not blank").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     classes = stash(classes, "classes")
     bands = _bands(filled)
-    # counted first: bands of one class alone are most, and their names need not be shuffled again
-    several = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band", "n")
-    shared = stash(bands.join(several, "band").select("band", "name", "n"), "shared")
-    pivots = stash(shared.groupBy("band").agg(F.min("name").alias("pivot")), "pivots")
-    tried = (shared.join(pivots, "band").filter("name <> pivot").groupBy("name", "pivot").agg(F.count("*").alias("n"))
+    # counted first: bands of one line alone are most, and their names need not be shuffled with them
+    several = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    shared = stash(bands.join(several, "band").select("band", "name").distinct(), "shared")
+    pivots = stash(shared.groupBy("band").agg(F.min("name").alias("pivot"), F.max("name").alias("most")).filter("pivot < most").select("band", "pivot"), "pivots")
+    shared = stash(shared.join(pivots, "band"), "shared")
+    tried = (shared.filter("name <> pivot").groupBy("name", "pivot").agg(F.count("*").alias("n"))
              .groupBy("name").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b")).select(F.col("name").alias("a"), "b"))
     texts = _texts(shared.select("name").distinct(), filled, classes)
-    profiles = stash(_profiles(texts), "profiles")
-    tried = stash(_likely(tried, profiles), "tried")
     edges = stash(_linked(tried, texts, share), "links")
     labels = components(edges)
-    more = stash(_linked(_open_pairs(shared, labels, profiles), texts, share), "links")
+    more = stash(_linked(_open_pairs(shared.select("band", "name"), labels, texts), texts, share), "links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
 
