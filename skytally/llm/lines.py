@@ -240,31 +240,28 @@ def _linked(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _tile_pairs(table: pa.Table, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
-    """Names of the open pairs of a tile whose sketches agree enough and that share no earlier band."""
-    part = table.slice(lo, hi - lo)
-    band, x, y = (part.column(c)[0].as_py() for c in range(3))
-    mine, name, component = (part.column(c).to_numpy() for c in (3, 4, 5))
-    sketch = np.frombuffer(b"".join(part.column(7).to_pylist()), np.uint32).reshape(-1, RANGES)
+def _tile_pairs(tile: tuple[int, int, int], mine: np.ndarray, component: np.ndarray, bands: pa.Array, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows i, j of the open pairs of a tile whose sketches agree enough and that share no earlier band."""
+    band, x, y = tile
     # within a block each pair once; between two blocks from the first to the second
     if x == y:
-        i, j = np.triu_indices(len(name), 1)
+        i, j = np.triu_indices(len(mine), 1)
     else:
         left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
         i, j = np.repeat(left, len(right)), np.tile(right, len(left))
     ok = component[i] != component[j]
     i, j = i[ok], j[ok]
     filled = (sketch != _NONE32).sum(axis=1)
-    agree = np.zeros(len(i), np.int64)
-    for k in range(RANGES):
-        one = sketch[:, k]
-        agree += (one[i] == one[j]) & (one[i] != _NONE32)
+    one = sketch[i]
+    agree = ((one == sketch[j]) & (one != _NONE32)).sum(axis=1)
     most = np.maximum(filled[i], filled[j])
     ok = agree >= SIMILARITY * most - SURE * np.sqrt(SIMILARITY * (1 - SIMILARITY) * most)
     i, j = i[ok], j[ok]
-    bands = [set(b) for b in part.column(6).to_pylist()] if len(i) else []
-    first = np.array([min(bands[p] & bands[q]) == band for p, q in zip(i.tolist(), j.tolist())], bool)
-    return name[i[first]], name[j[first]]
+    if not len(i):
+        return i, j
+    own = [set(v) for v in bands.to_pylist()]
+    first = np.array([min(own[p] & own[q]) == band for p, q in zip(i.tolist(), j.tolist())], bool)
+    return i[first], j[first]
 
 
 def _open_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
@@ -281,9 +278,14 @@ def _open_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame) -> DataF
 
     def run(batches):
         for table, groups in whole_groups(batches, 3):
+            band, x, y, mine, name, component = (table.column(c).to_numpy() for c in range(6))
+            bands = table.column(6).combine_chunks()
+            sketch = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint32).reshape(-1, RANGES)
             for lo, hi in groups:
-                a, b = _tile_pairs(table, lo, hi)
-                if len(a):
+                part = slice(lo, hi)
+                i, j = _tile_pairs((int(band[lo]), int(x[lo]), int(y[lo])), mine[part], component[part], bands.slice(lo, hi - lo), sketch[part])
+                if len(i):
+                    a, b = name[lo + i], name[lo + j]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return stash(tiled.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, "a long, b long"), "candidates")
