@@ -37,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def wide_tasks(df: DataFrame) -> int:
+    """How many tasks share work that is large for its few bytes; AQE leaves a given number alone."""
+    spark = df.sparkSession
+    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing uses yet."""
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")

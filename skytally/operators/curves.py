@@ -7,16 +7,19 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import gauss, linear_grid
+from ..lineage import wide_tasks
 
 
 def gauss_sum(df: DataFrame, mu: str, sigma: str, lo: float = 0.0, hi: float = 4.0, num: int = 500, keys=()) -> DataFrame:
     """``*keys, i, x, y``: sum of each row's normal density on an even grid.
 
-    The grid is unrolled row by row inside the map-side aggregation, so rows are
-    never shuffled, only grid points.
+    The grid is unrolled row by row inside the map-side aggregation, so only the two
+    numbers of a row and the grid points are shuffled. Rows are dealt evenly before: a
+    file read by one task holds many densities.
     """
     g = df.where(F.col(mu).isNotNull() & (F.col(sigma) > 0))
-    g = g.select(*keys, F.col(mu).alias("mu"), F.col(sigma).alias("sigma"), F.explode(linear_grid(lo, hi, num)).alias("g"))
+    g = g.select(*keys, F.col(mu).alias("mu"), F.col(sigma).alias("sigma")).repartition(wide_tasks(df))
+    g = g.select(*keys, "mu", "sigma", F.explode(linear_grid(lo, hi, num)).alias("g"))
     s = g.groupBy(*keys, F.col("g.i").alias("i")).agg(
         F.sum(gauss(F.col("g.x"), F.col("mu"), F.col("sigma"))).alias("y"))
     step = (hi - lo) / (num - 1)

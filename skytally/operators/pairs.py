@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import chord, chord_sq, with_unit_vector
 from ..functions.healpix import centre_of, neighbours, nested_id, npix, pixel_radius, with_pixel
-from ..lineage import cut
+from ..lineage import cut, wide_tasks
 from ..sources.catalog import number_rows
 
 # most distinct positions a cell may hold before it is split
@@ -253,11 +253,6 @@ def _bucket(d2: Column, limits) -> Column:
     return out
 
 
-def _wide(df: DataFrame) -> int:
-    spark = df.sparkSession
-    return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def meet_cells(pairs: DataFrame, a: Side, b: Side, limits) -> DataFrame:
     """Cell pairs one level down, with the buckets of their nearest and farthest points.
 
@@ -268,7 +263,7 @@ def meet_cells(pairs: DataFrame, a: Side, b: Side, limits) -> DataFrame:
     cb = b.cells()
     j = _natural(pairs, a.cells())
     # few bytes, much work: keep the number of tasks from shrinking with the bytes
-    j = j.repartition(_wide(pairs), *[c for c in cb.columns if c in j.columns])
+    j = j.repartition(wide_tasks(pairs), *[c for c in cb.columns if c in j.columns])
     j = _natural(j, cb)
     near, far, used = F.lit(0.0), F.lit(0.0), ["up1", "up2"]
     for c in "xyz":
