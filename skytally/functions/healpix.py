@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .geometry import chord, chord_sq, col, unit_vector
+from .geometry import chord, chord_col, chord_sq, col, unit_vector
 
 # Row and longitude offsets of the twelve base faces.
 FACE_ROW = (2, 2, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4)
@@ -271,22 +271,29 @@ def edge_neighbours(spark: SparkSession, nside: int, pixels: DataFrame | None =
     return sides.join(other, "side").where("pix <> near").select("pix", "near").distinct()
 
 
-def disc_pixels(df: DataFrame, radius_deg: float, nside: int, ra: str = "ra", dec: str = "dec",
+def disc_pixels(df: DataFrame, radius_deg: float | Column, nside: int, ra: str = "ra", dec: str = "dec",
                 slack_deg: float = 0.0) -> DataFrame:
     """Each row repeated for every pixel whose centre lies within the radius.
 
     The rings a disc touches follow from its latitude span and the slots of a
     ring from its longitude span, so a row makes its own pixels: no join and no
-    shuffle. ``slack_deg`` widens the disc, e.g. by a pixel's own size.
+    shuffle. ``slack_deg`` widens the disc, e.g. by a pixel's own size. The radius is one
+    number or a column.
     """
     reach = radius_deg + slack_deg
+    if isinstance(radius_deg, Column):
+        angle, reach_sq = F.radians(reach), F.pow(chord_col(F.least(reach, F.lit(180.0))), F.lit(2.0))
+        cos_reach = F.cos(angle)
+    else:
+        angle, reach_sq = F.lit(math.radians(reach)), F.lit(chord(min(reach, 180.0)) ** 2)
+        cos_reach = F.lit(math.cos(math.radians(reach)))
     x, y, z = unit_vector(ra, dec)
     d = df.withColumns({"_x": x, "_y": y, "_z": z})
     ns = nside
     # span of polar angle -> span of ring numbers, one ring of margin on each side
     theta = F.lit(math.pi / 2) - F.radians(col(dec))
-    lo = F.greatest(theta - F.lit(math.radians(reach)), F.lit(0.0))
-    hi = F.least(theta + F.lit(math.radians(reach)), F.lit(math.pi))
+    lo = F.greatest(theta - angle, F.lit(0.0))
+    hi = F.least(theta + angle, F.lit(math.pi))
 
     def ring_at(angle: Column) -> Column:
         c = F.cos(angle)
@@ -305,7 +312,7 @@ def disc_pixels(df: DataFrame, radius_deg: float, nside: int, ra: str = "ra", de
     sr = F.sqrt((F.lit(1.0) - F.col("_zr")) * (F.lit(1.0) + F.col("_zr")))
     s0 = F.sqrt(F.greatest(F.lit(1.0) - F.col("_z") * F.col("_z"), F.lit(0.0)))
     cos_span = F.try_divide(
-        F.lit(math.cos(math.radians(reach))) - F.col("_z") * F.col("_zr"), s0 * sr
+        cos_reach - F.col("_z") * F.col("_zr"), s0 * sr
     )
     # a disc round a pole meets all longitudes of a ring
     span = F.when(cos_span.isNull() | (cos_span <= -1.0), F.lit(math.pi)).when(
@@ -325,7 +332,7 @@ def disc_pixels(df: DataFrame, radius_deg: float, nside: int, ra: str = "ra", de
     # pixel number slot+1 of the ring has longitude (slot + 1 - off) * step
     lon = (slot.cast("double") + F.lit(1.0) - F.col("_off")) * F.lit(math.pi / 2) / F.col("_nr")
     cxyz = (F.col("_sr") * F.cos(lon), F.col("_sr") * F.sin(lon), F.col("_zr"))
-    inside = chord_sq((F.col("_x"), F.col("_y"), F.col("_z")), cxyz) <= F.lit(chord(min(reach, 180.0)) ** 2)
+    inside = chord_sq((F.col("_x"), F.col("_y"), F.col("_z")), cxyz) <= reach_sq
     before = (
         F.when(ring < ns, F.lit(2) * F.col("_nr") * (F.col("_nr") - 1))
         .when(belt, F.lit(2 * ns * (ns - 1)) + (ring - F.lit(ns)) * F.lit(4 * ns))

@@ -8,10 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import to_galactic, with_unit_vector
-from ..functions.healpix import disc_pixels, npix, with_pixel
+from ..functions.healpix import disc_pixels, npix, pixel_radius, with_pixel
 from ..functions.scalars import all_of, any_of, in_range, known
+from ..lineage import wide_tasks
 
-CAP_NSIDE = 16
+# a polygon is laid out on the smallest of these pixels that is not smaller than the polygon's radius
+CAP_NSIDES = (1, 2, 8, 32, 128, 512, 2048)
+# a sky of so many pixels at most is sent to every task
+SMALL_SKY = 12 * 128 * 128
 
 
 def in_boxes(ra: str, dec: str, boxes) -> Column:
@@ -50,7 +54,7 @@ def outside_patch(ra: str, dec: str, patch, active: bool = True) -> Column:
 
 
 def _polygons(caps: DataFrame) -> DataFrame:
-    """One row per polygon and coarse pixel it may touch, with the polygon's caps."""
+    """One row per polygon: its caps, a disc that bounds it, and the ``nside`` whose pixels suit the disc."""
     cap = F.struct("x", "y", "z", F.col("one_minus_cos").alias("cm"))
     polys = caps.groupBy("polygon_id").agg(F.collect_list(cap).alias("caps"))
     # the smallest cap bounds the polygon; a polygon with none is tried everywhere
@@ -58,23 +62,14 @@ def _polygons(caps: DataFrame) -> DataFrame:
     small = F.array_min(F.transform(ups, lambda c: F.struct(c.cm, c.x, c.y, c.z)))
     polys = polys.withColumn("b", F.coalesce(small, F.struct(
         F.lit(2.0).alias("cm"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("z"))))
-    # coarse radius steps keep one disc size per batch of polygons
     radius = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.lit(1.0) - F.col("b.cm"))))
-    side = math.degrees(math.sqrt(4 * math.pi / npix(CAP_NSIDE)))
-    polys = polys.withColumns({
-        "bra": F.pmod(F.degrees(F.atan2("b.y", "b.x")), F.lit(360.0)),
-        "bdec": F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("b.z"))))),
-        "rad": radius,
-    })
-    steps, out = [1.0, 5.0, 20.0, 60.0, 180.0], None
-    lo = -1.0
-    for hi in steps:
-        part = polys.where((F.col("rad") > lo) & (F.col("rad") <= hi))
-        part = disc_pixels(part.select("polygon_id", "caps", "bra", "bdec"), min(hi + side, 180.0), CAP_NSIDE, "bra", "bdec")
-        part = part.select("polygon_id", "caps", "pix")
-        out = part if out is None else out.unionByName(part)
-        lo = hi
-    return out
+    polys = polys.select("polygon_id", "caps", radius.alias("rad"),
+                         F.pmod(F.degrees(F.atan2("b.y", "b.x")), F.lit(360.0)).alias("bra"),
+                         F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("b.z"))))).alias("bdec"))
+    level = F.lit(CAP_NSIDES[0])
+    for n in CAP_NSIDES[1:]:
+        level = F.when(F.col("rad") <= math.degrees(math.sqrt(4 * math.pi / npix(n))), F.lit(n)).otherwise(level)
+    return polys.where("rad <= 180").withColumn("nside", level)
 
 
 def polygon_hits(df: DataFrame, caps: DataFrame, ra: str = "ra", dec: str = "dec", frame: str = "galactic",
@@ -83,19 +78,35 @@ def polygon_hits(df: DataFrame, caps: DataFrame, ra: str = "ra", dec: str = "dec
 
     A polygon is the overlap of spherical caps, given as rows ``polygon_id, x, y, z,
     one_minus_cos`` (a negative size means the outside of the cap). Points and
-    polygons meet on a coarse pixel.
+    polygons meet on pixels about as wide as the polygon, so the polygons tried for a point are those
+    of its surroundings; polygons of each width in use are one join. The work is large for few
+    bytes, so its tasks are not merged by size.
     """
-    p = df
     if frame == "galactic":
         lon, lat = to_galactic(ra, dec)
-        p = p.withColumns({"_lon": lon, "_lat": lat})
+        p = df.withColumns({"_lon": lon, "_lat": lat})
     else:
-        p = p.withColumns({"_lon": F.col(ra), "_lat": F.col(dec)})
-    p = with_unit_vector(with_pixel(p, CAP_NSIDE, "_lon", "_lat", "_pix"), "_lon", "_lat", ("_x", "_y", "_z"))
-    away = lambda c: F.lit(1.0) - (c.x * F.col("_x") + c.y * F.col("_y") + c.z * F.col("_z"))
+        p = df.withColumns({"_lon": F.col(ra), "_lat": F.col(dec)})
+    p = with_unit_vector(p, "_lon", "_lat", ("_ux", "_uy", "_uz"))
+    away = lambda c: F.lit(1.0) - (c.x * F.col("_ux") + c.y * F.col("_uy") + c.z * F.col("_uz"))
     inside = F.forall(F.col("caps"), lambda c: F.when(c.cm >= 0, away(c) < c.cm).otherwise(away(c) > -c.cm))
-    polys = _polygons(caps)
-    return p.join(polys, (F.col("_pix") == polys["pix"]) & inside, how).select(*df.columns)
+    polys, tasks, hits = _polygons(caps), wide_tasks(df), None
+    # one number for each width, at most as many as CAP_NSIDES
+    for nside in sorted(r.nside for r in polys.select("nside").distinct().collect()):
+        part = polys.where(F.col("nside") == nside)
+        # a hair more than the disc and a pixel, so that rounding never loses a pixel
+        reach = F.least(F.col("rad") + F.lit(pixel_radius(nside) + 1e-6), F.lit(181.0))
+        part = disc_pixels(part.select("caps", "bra", "bdec", "rad"), reach, nside, "bra", "bdec")
+        part = part.select("caps", F.col("pix").alias("_cap")).repartition(tasks, "_cap")
+        at = with_pixel(p, nside, "_lon", "_lat", "_pix").repartition(tasks, "_pix")
+        on = (F.col("_pix") == F.col("_cap")) & inside
+        if how == "left_semi":
+            hit = at.join(part, on, "left_semi").select(*df.columns)
+            hits = hit if hits is None else hits.unionByName(hit)
+        p = at.join(part, on, "left_anti").drop("_pix")
+    if how == "left_semi":
+        return df.limit(0) if hits is None else hits
+    return p.select(*df.columns)
 
 
 def polygon_mask(df: DataFrame, caps: DataFrame, ra: str = "ra", dec: str = "dec", frame: str = "galactic") -> DataFrame:
