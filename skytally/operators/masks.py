@@ -169,6 +169,12 @@ def cut_by_bin(df: DataFrame, value: str, z: str, bin_edges, thresholds) -> tupl
 
 
 def in_footprint(df: DataFrame, mask: DataFrame, nside: int, ra: str = "ra", dec: str = "dec") -> DataFrame:
-    """Rows whose pixel is in a mask table ``pix``."""
+    """Rows whose pixel is in a mask table ``pix``.
+
+    The pixels of a low ``nside`` are few, whatever the catalogs' size, so they go to the rows.
+    """
     p = with_pixel(df, nside, ra, dec, "_pix")
-    return p.join(mask.select(F.col("pix").alias("_pix")), "_pix", "left_semi").select(*df.columns)
+    m = mask.select(F.col("pix").alias("_pix")).distinct()
+    if npix(nside) <= SMALL_SKY:
+        m = F.broadcast(m)
+    return p.join(m, "_pix", "left_semi").select(*df.columns)
