@@ -2,9 +2,10 @@
 
 ``pair_count`` is the heart of the library. It joins two catalogs on the sky,
 but never lists the pairs of a crowded region: objects are first summed into
-cells of space, and a pair of cells whose nearest and farthest possible
+cells of space, whole pixels to begin with, and a pair of cells whose nearest and farthest possible
 distances fall between the same two edges is counted as a product. Only cell
-pairs that straddle an edge are opened, and crowded ones are split first.
+pairs that straddle an edge are opened, and crowded ones are split first. An opened pair
+sends the positions of one cell that lie near the other, and is counted in one task.
 """
 
 from __future__ import annotations
@@ -16,15 +17,18 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import chord, chord_sq, with_unit_vector
 from ..functions.healpix import centre_of, neighbours, nested_id, npix, pixel_radius, with_pixel
-from ..lineage import cut, wide_tasks
+from ..lineage import cut, stash, wide_tasks
 from ..sources.catalog import number_rows
+from .blocks import block_counter, near_points
 
 # most distinct positions a cell may hold before it is split
-LEAF = 256
-# object pairs that one task tries
-TASK_PAIRS = 20_000_000
+LEAF = 16_384
+# object pairs that one task tries, where they are rows and where they are blocks; positions sent to a task
+TASK_PAIRS, BLOCK_PAIRS, TASK_POINTS = 20_000_000, 1_000_000_000, 2_000_000
 # cells are cubes with sides of 2**(shift - GRID_BITS)
 GRID_BITS = 50
+# one cube holds the whole sky, so that a cell is a pixel
+WHOLE = GRID_BITS + 2
 
 
 def rings_for(nside: int) -> int:
@@ -169,10 +173,11 @@ def _positions(df: DataFrame, keys, nside: int, weight: str | None) -> DataFrame
     d = df.where(F.col("ra").isNotNull() & F.col("dec").isNotNull())
     if "pix" not in d.columns:
         d = with_pixel(d, nside)
-    d = with_unit_vector(d)
+    # a position that is not a number is near to nothing
+    d = with_unit_vector(d).where(~(F.isnan("x") | F.isnan("y") | F.isnan("z")))
     n = F.sum(weight) if weight else F.count(F.lit(1))
     # the shuffle key is the position itself, so no pixel or catalog weighs on one task
-    return d.groupBy(*keys, "pix", "x", "y", "z").agg(n.alias("n"))
+    return d.groupBy(*keys, "pix", "x", "y", "z").agg(n.alias("n")).where("n is not null")
 
 
 def _node(level: int, shift: int) -> Column:
@@ -191,24 +196,35 @@ def _summary(points: DataFrame, keys, last: bool, leaf: int) -> DataFrame:
 
 
 class CellTree:
-    """Cells of one or more keyed catalogs, level by level; each object ends in one small leaf."""
+    """Cells of one or more keyed catalogs, level by level; each object ends in one small leaf.
 
-    def __init__(self, points: DataFrame, keys, shift: int, leaf: int | None = None):
+    ``below`` is the size of cells on the second level, a quarter of the first if not given. ``stored`` tells that
+    the points are a table, which is read again rather than copied.
+    """
+
+    def __init__(self, points: DataFrame, keys, shift: int, leaf: int | None = None, below: int | None = None, stored: bool = False):
         self.keys, self.shift, self.level = list(keys), shift, 0
-        self.leaf = leaf or LEAF
+        self.leaf, self.below, self.stored = leaf or LEAF, below, stored
         self.open = points.withColumns({"node": _node(0, shift), "up": F.lit(None).cast("int")})
         self.cells = _summary(self.open, keys, shift == 0, self.leaf)
+        if stored:
+            self.cells = cut(self.cells)
         self.leaves: list[DataFrame] = []
 
     def split(self) -> None:
         """Go one level down where cells are crowded; leaves stay as they are."""
         on = [*self.keys, "pix", "node"]
         hot = self.cells.where(~F.col("leaf")).select(*on)
+        # a table of known size: Spark sends it to the points if it is small
+        hot = stash(hot) if self.stored else hot
+        keep = stash if self.stored else cut
         settled = self.cells.where("leaf").withColumn("up", F.col("node"))
-        self.leaves.append(cut(self.open.join(hot, on, "left_anti").drop("up")))
+        calm = self.open.join(hot, on, "left_anti").drop("up")
+        self.leaves.append(calm if self.stored else cut(calm))
         rest = self.open.join(hot, on, "left_semi")
-        self.level, self.shift = self.level + 1, max(self.shift - 2, 0)
-        self.open = cut(
+        self.shift = self.below if self.level == 0 and self.below is not None else max(self.shift - 2, 0)
+        self.level += 1
+        self.open = keep(
             rest.withColumn("up", F.col("node")).withColumn("node", _node(self.level, self.shift))
         )
         self.cells = cut(_summary(self.open, self.keys, self.shift == 0, self.leaf).unionByName(settled))
@@ -253,8 +269,8 @@ def _bucket(d2: Column, limits) -> Column:
     return out
 
 
-def meet_cells(pairs: DataFrame, a: Side, b: Side, limits) -> DataFrame:
-    """Cell pairs one level down, with the buckets of their nearest and farthest points.
+def meet_cells(pairs: DataFrame, a: Side, b: Side, limits, box: bool = False) -> DataFrame:
+    """Cell pairs one level down, with the buckets of their nearest and farthest points, and the second's ``box2`` if asked for.
 
     ``pairs`` holds pixel pairs at first and then the opened cell pairs. Box bounds and
     pair distances are summed in the same order, and rounding keeps order, so a bound
@@ -272,6 +288,8 @@ def meet_cells(pairs: DataFrame, a: Side, b: Side, limits) -> DataFrame:
         span = F.greatest(hi1 - lo2, hi2 - lo1)
         near, far = near + gap * gap, far + span * span
         used += [f"{t}{c}{s}" for s in "12" for t in ("lo", "hi")]
+    if box:
+        j = j.withColumn("box2", F.struct(*[F.col(f"{t}{c}2").alias(f"{t}{c}") for c in "xyz" for t in ("lo", "hi")]))
     # the one comparison that becomes part of the join; all else is worked out for survivors
     j = j.withColumns({"near": near, "far": far}).drop(*used).where(F.col("near") <= F.lit(limits[-1]))
     return j.withColumns({"b0": _bucket(F.col("near"), limits), "b1": _bucket(F.col("far"), limits)})
@@ -279,7 +297,7 @@ def meet_cells(pairs: DataFrame, a: Side, b: Side, limits) -> DataFrame:
 
 def opened_pairs(met: DataFrame) -> DataFrame:
     """Cell pairs as the parents of the next level."""
-    facts = {f"{c}{i}" for c in ("node", "n", "m", "leaf") for i in "12"} | {"near", "far", "b0", "b1"}
+    facts = {f"{c}{i}" for c in ("node", "n", "m", "leaf") for i in "12"} | {"near", "far", "b0", "b1", "box2"}
     keep = [c for c in met.columns if c not in facts]
     return met.select(*keep, F.col("node1").alias("up1"), F.col("node2").alias("up2"))
 
@@ -325,27 +343,43 @@ def first_shift(theta_deg: float, nside: int | None = None) -> int:
     return min(GRID_BITS, max(0, GRID_BITS + math.floor(math.log2(side))))
 
 
+def _block_tasks(met: DataFrame) -> tuple[bool, int]:
+    """Whether a cell must be split, and over how many tasks to count the pairs of leaves."""
+    leaves = F.col("leaf1") & F.col("leaf2")
+    crowded, work, sent = met.agg(
+        F.coalesce(F.bool_or(~leaves), F.lit(False)),
+        F.coalesce(F.sum(F.col("m1").cast("double") * F.col("m2")), F.lit(0.0)),
+        F.coalesce(F.sum(F.col("m1").cast("double") + F.col("m2")), F.lit(0.0)),
+    ).first()
+    return crowded, max(wide_tasks(met), math.ceil(work / BLOCK_PAIRS), math.ceil(sent / TASK_POINTS))
+
+
 def _count(pairs: DataFrame, a: Side, b: Side, out_keys, limits) -> DataFrame:
     """``*out_keys, pix1, pix2, bucket, n`` summed over cell pairs and opened leaves."""
     counted = []
     group = [*out_keys, "pix1", "pix2"]
     straddle = F.col("b0") < F.col("b1")
     while True:
-        met = cut(meet_cells(pairs, a, b, limits))
+        met = cut(meet_cells(pairs, a, b, limits, box=True))
         counted.append(met.where(~straddle).select(*group, F.col("b0").alias("bucket"), (F.col("n1") * F.col("n2")).alias("n")))
-        crowded, tasks = pending(met.where(straddle))
+        crowded, tasks = _block_tasks(met.where(straddle))
         if not crowded:
             break
         # pairs of two leaves wait: a leaf is its own child on the next level
         pairs = opened_pairs(met.where(straddle))
         for t in {id(s.tree): s.tree for s in (a, b)}.values():
             t.split()
-    rest = opened_pairs(met.where(straddle)).withColumnsRenamed({"up1": "node1", "up2": "node2"})
-    j = leaf_objects(rest, a, b, group, tasks)
-    j = j.select(*group, (F.col("p.n") * F.col("q.n")).alias("n"), point_distance_sq().alias("d2"))
-    j = j.where(F.col("d2") <= F.lit(limits[-1]))
-    j = j.select(*group, _bucket(F.col("d2"), limits).alias("bucket"), "n")
-    counted.append(j.groupBy(*group, "bucket").agg(F.sum("n").alias("n")).select(*group, "bucket", "n"))
+    box = met.where(straddle).select(*opened_pairs(met).drop("up1", "up2").columns, "node1", "node2", "box2")
+    # only what lies near the other cell is sent
+    j = _natural(box, a.packed())
+    j = j.mapInArrow(near_points(limits[-1]), j.drop("box2").schema)
+    pb = b.packed()
+    j = _natural(j.repartition(tasks, *[c for c in pb.columns if c in j.columns]), pb).select(*group, "pts1", "pts2")
+    kinds = dict(j.select(*group, F.col("pts1")[0]["n"].alias("n")).dtypes)
+    schema = ", ".join([*(f"`{g}` {kinds[g]}" for g in group), f"bucket int, n {kinds['n']}"])
+    j = j.mapInArrow(block_counter(limits, group), schema)
+    # a row a pixel pair and bucket, kept once whatever reads it
+    counted.append(cut(j.groupBy(*group, "bucket").agg(F.sum("n").alias("n"))))
     total = counted[0]
     for part in counted[1:]:
         total = total.unionByName(part)
@@ -376,6 +410,11 @@ def _checked(edges_deg, covered: float, convention: str) -> list[float]:
     return edges
 
 
+def _tree(points: DataFrame, keys, shift: int) -> CellTree:
+    """Pixels as cells, split into cubes of a size where they are crowded; the positions are stored once."""
+    return CellTree(stash(points, "positions"), keys, WHOLE, below=shift, stored=True)
+
+
 def both_ways(pairs: DataFrame) -> DataFrame:
     """Pixel pairs in both orientations."""
     others = [c for c in pairs.columns if c not in ("pix1", "pix2")]
@@ -421,8 +460,8 @@ def pair_count(
     if convention == "symmetric":
         pairs = both_ways(pairs)
     shift = first_shift(edges[-1], nside)
-    ta = CellTree(_positions(left, keys, nside, weight), keys, shift)
-    tb = ta if right is left else CellTree(_positions(right, keys, nside, weight), keys, shift)
+    ta = _tree(_positions(left, keys, nside, weight), keys, shift)
+    tb = ta if right is left else _tree(_positions(right, keys, nside, weight), keys, shift)
     total = _count(pairs, Side(ta, "1"), Side(tb, "2"), keys, [chord(e) ** 2 for e in edges])
     return _per_edge(total, keys, edges, convention)
 
@@ -441,7 +480,7 @@ def pair_count_terms(points: DataFrame, terms: DataFrame, edges_deg, pairs: Data
     if convention == "symmetric":
         pairs = both_ways(pairs)
     work = pairs.join(terms.select("corr_id", "term", "first", "second"), "corr_id")
-    tree = CellTree(_positions(points, tree_keys, nside, None), tree_keys, first_shift(edges[-1], nside))
+    tree = _tree(_positions(points, tree_keys, nside, None), tree_keys, first_shift(edges[-1], nside))
     a, b = Side(tree, "1", {"catalog": "first"}), Side(tree, "2", {"catalog": "second"})
     total = _count(work, a, b, [*keys, "term"], [chord(e) ** 2 for e in edges])
     return _per_edge(total, [*keys, "term"], edges, convention)
