@@ -57,7 +57,8 @@ def split_by_correlation(points: DataFrame, corrs: DataFrame, zbins) -> DataFram
     own = zbin_index("redshift", zbins)
     bins = (F.when(~F.col("_use"), F.array(F.lit(0))).when(~F.col("_has"), F.sequence(F.lit(0), F.lit(len(zbins) - 2)))
             .when(own.isNotNull(), F.array(own)).otherwise(F.array().cast("array<int>")))
-    return p.join(kinds, ["corr_id", "catalog"]).withColumn("zbin", F.explode(bins)).drop("redshift", "_has", "_use")
+    # a row a catalog, sent to the points: dealt by so few keys, a whole catalog would be sorted in one task
+    return p.join(F.broadcast(kinds), ["corr_id", "catalog"]).withColumn("zbin", F.explode(bins)).drop("redshift", "_has", "_use")
 
 
 def hash_order(key: str, seed: int = 0) -> Column:
