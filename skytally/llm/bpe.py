@@ -18,8 +18,10 @@ lies two characters or more before the end of what was read is certain.
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +37,14 @@ from skytally.llm.chunks import BITS, LEAST, MOST, chunk_ends
 
 #: Fixed value: how byte-level BPE parts text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for text of ASCII characters alone.
+ASCII_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+#: Words in each of the two halves of the memory for words.
 KNOWN_WORDS = 1 << 16
 KNOWN_LENGTH = 64
 HEAD = 64
+#: Chunks of one text that are encoded as one at most.
+RUN = 64
 #: Rows whose texts and ids a task holds as Python objects at once.
 ROWS = 256
 
@@ -54,16 +61,23 @@ _BYTE = {c: b for b, c in enumerate(_LETTERS)}
 
 
 class _Known(dict):
-    """Ids of words (4 bytes each, little-endian), worked out when first asked for; of bounded size."""
+    """Ids of words (4 bytes each, little-endian), worked out when first asked for; of bounded size.
+
+    When it is full it becomes the older half, and words asked for again come back from there.
+    """
 
     def __init__(self, model):
-        self.model = model
+        self.model, self.older = model, {}
 
     def __missing__(self, word: str) -> bytes:
-        letters = word.encode().decode("latin-1").translate(_LETTERS)
-        ids = np.array([t.id for t in self.model.tokenize(letters)], "<u4").tobytes()
+        ids = self.older.get(word)
+        if ids is None:
+            # printable ASCII characters stand for themselves
+            letters = word.replace(" ", _LETTERS[32]) if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(_LETTERS)
+            ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(letters)])
         if len(word) <= KNOWN_LENGTH:
             if len(self) >= KNOWN_WORDS:
+                self.older = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -84,7 +98,7 @@ class Coder:
         self.ids = _Known(self.model)
         self.special = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in kind["added_tokens"]}
         self.at_special = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.word = regex.compile(WORDS)
+        self.word, self.ascii_word = regex.compile(WORDS), re.compile(ASCII_WORDS)
 
     def parts(self, text: str) -> list[bytes | list[bytes]]:
         """Ids of a special token, or the chunks of the text between two of them."""
@@ -99,8 +113,10 @@ class Coder:
         return out
 
     def words(self, text: str) -> list[str]:
+        if text.isascii():
+            return self.ascii_word.findall(text)
         # only code points that are not assigned yet are classed unlike the library's
-        if not text.isascii() and any(unicodedata.category(c) == "Cn" for c in set(text)):
+        if any(unicodedata.category(c) == "Cn" for c in set(text)):
             return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
         return self.word.findall(text)
 
@@ -166,9 +182,21 @@ class Coder:
             if isinstance(part, bytes):
                 out.append(part)
                 continue
-            texts = [c.decode() for c in part]
-            out.append(self.joined(texts, [known.get(at + k) or self.chunk(t) for k, t in enumerate(texts)]))
-            at += len(texts)
+            # chunks of this text alone that follow each other are encoded as one
+            texts, made = [], []
+            for (lent, _), run in groupby(range(len(part)), lambda k: (at + k in known, k // RUN)):
+                if lent:
+                    for k in run:
+                        texts.append(part[k].decode())
+                        made.append(known[at + k])
+                else:
+                    texts.append(b"".join([part[k] for k in run]).decode())
+                    made.append(None)
+            at += len(part)
+            if made == [None]:
+                out.append(self.encode(texts[0]))
+            else:
+                out.append(self.joined(texts, [m or self.chunk(t) for t, m in zip(texts, made)]))
         return b"".join(out)
 
 

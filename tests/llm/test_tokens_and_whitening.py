@@ -58,6 +58,45 @@ def test_joined_chunks_equal_the_library(library, size):
         assert B.text_of(ids, B.read_spec(PATH)) == library.decode(want, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("size", [(2, 1, 8), (3, 4, 16), (5, 16, 64)])
+def test_lent_and_own_chunks_equal_the_library(library, size):
+    coder, rng = B.Coder(B.read_spec(PATH), *size), random.Random(3)
+    for s in odd_texts(200, 7 + size[0]):
+        chunks = [c.decode() for part in coder.parts(s) if isinstance(part, list) for c in part]
+        for share in (0.1, 0.5, 1.0):
+            known = {k: coder.chunk(c) for k, c in enumerate(chunks) if rng.random() < share}
+            assert np.frombuffer(coder.whole(s, known), "<u4").tolist() == library.encode(s, add_special_tokens=False).ids, s
+
+
+def test_ascii_words_are_the_published_ones():
+    coder, rng = B.Coder(B.read_spec(PATH)), random.Random(4)
+    pool = [*map(chr, range(128)), *"  ''stremld\n\t\x0b\x0c\r\x1c\x1f"]
+    for _ in range(4000):
+        s = "".join(rng.choices(pool, k=rng.randint(0, 20)))
+        assert coder.words(s) == [s[a:b] for _, (a, b) in coder.library.pre_tokenizer.pre_tokenize_str(s)]
+
+
+def test_own_text_is_encoded_without_joins_and_frequent_words_once(library, monkeypatch):
+    """op11: a text that shares no chunk has no join; a word that comes often outlives a full memory."""
+    coder, text = B.Coder(B.read_spec(PATH)), " ".join(f"word{i} often" for i in range(900))
+    assert len(coder.parts(text)[0]) > 5
+    with monkeypatch.context() as m:
+        m.setattr(B.Coder, "_meet", lambda *_: pytest.fail("a join"))
+        assert np.frombuffer(coder.whole(text, {}), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(B, "KNOWN_WORDS", 4)
+    asked = []
+
+    class Model:
+        def tokenize(self, letters):
+            asked.append(letters)
+            return coder.model.tokenize(letters)
+
+    known = B._Known(Model())
+    for i in range(50):
+        assert known["often"] == coder.encode("often") and known[f"w{i}"] == coder.encode(f"w{i}") and len(known) + len(known.older) <= 8
+    assert asked.count("often") == 1
+
+
 def test_words_of_any_length(library):
     coder = B.Coder(B.read_spec(PATH))
     for s in ("a" * 300_000, " " * 300_000 + "x", "1" * 50_000 + "b", "漢" * 50_000):
