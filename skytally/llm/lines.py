@@ -17,11 +17,14 @@ have at most 8 hashes. Of larger sets about one pair in two thousand is lost at
 
 A class is first tried with one partner, the smallest class of the band it
 shares most often. Bands that still hold several components are compared in
-tiles of bounded size. There each pair is tried in the first band that it
-shares only, and goes on to the exact test only if enough of the two sketches
-agree, which misses about one pair in a million. So no pair of a band is left
-out, and only likely ones are written. Texts are not shuffled but for
-candidates, which fetch theirs by the place where the line occurs first.
+tiles of bounded size. A pair goes on to the exact test only if enough of the two
+sketches agree, which misses about one pair in a million. The classes of a tile
+that have such a partner meet again in tiles with their texts, where all shared
+shingles are counted at once. A tile writes a link for each class at most, so the
+rows between the steps grow with the classes of a band times its tiles a side and
+not with its pairs, and no pair of a band is left out. Texts are not shuffled but
+for classes of shared bands, which fetch theirs by the place where the line occurs
+first.
 
 Shingles are hashed and compared in numpy over Arrow batches. A form with
 DataFrame functions alone stays far above the limits (figures in the README):
@@ -35,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,10 +57,16 @@ FEW = 16
 SIMILARITY = 0.75
 #: Rows of a tile's side, and how many standard deviations below the expected number of equal ranges a pair still goes on to the exact test.
 TILE, SURE = 256, 4.75
+#: Pairs of a tile compared by sketches at once, and shingles of a tile counted at once.
+PAIRS, COUNTED = 1 << 16, 1 << 13
+#: Tiles of up to so many rows are counted together, in runs of so many characters.
+FEW_ROWS, FEW_CHARS = 8, 1 << 15
+#: Characters of the texts of a tile's side, on average; a longer line is taken alone.
+TILE_CHARS = 1 << 21
 #: Candidates whose places are sent to every executor at most (about 100 MB); more are joined by a shuffle.
 SENT_LINES = 2_000_000
-#: Characters hashed together; a longer line is taken alone.
-CHUNK = 1 << 16
+#: Characters hashed together, few enough to stay in a core's cache; a longer line is taken alone.
+CHUNK = 1 << 14
 _PAIR, _FOUR, _EIGHT, _SIZE = (int(v) | 1 for v in randoms(4, 31))
 _ORDER = randoms(RUN + 2, 32) | np.uint64(1)
 _SALT = randoms(BANDS, 33)
@@ -80,9 +90,12 @@ def _shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     c[:len(codes)] += np.uint64(1)
     ends = np.cumsum(sizes)
     begins = ends - sizes
-    two = c[:-1] * np.uint64(_PAIR) + c[1:]
-    four = two[:-2] * np.uint64(_FOUR) + two[2:]
-    h = four[:-4] * np.uint64(_EIGHT) + four[4:]
+    two = c[:-1] * np.uint64(_PAIR)
+    two += c[1:]
+    four = two[:-2] * np.uint64(_FOUR)
+    four += two[2:]
+    h = four[:-4] * np.uint64(_EIGHT)
+    h += four[4:]
     inside = np.ones(len(h), bool)
     for k in range(1, SHINGLE):
         inside[(ends - k)[sizes >= k]] = False
@@ -175,19 +188,39 @@ def _keys(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(line, F.lit(1)).alias("h2")]
 
 
-def _bands(lines: DataFrame) -> DataFrame:
-    """`name, band` of the lines `h1, text`; equal lines of one batch once."""
+def _signed(lines: DataFrame) -> DataFrame:
+    """`doc_id, line_no, h1, h2, blank, bands` of `lines(doc_id, line_no, h1, h2, text)`.
+
+    Bands are NULL for blank lines, and for all but one of the equal lines of a batch.
+    """
     def run(batches):
         for batch in batches:
-            names, at = np.unique(batch.column(0).to_numpy(), return_index=True)
-            texts = batch.column(1).take(pa.array(at)).to_pylist()
+            names, blank = batch.column(2).to_numpy(), pc.equal(batch.column(4), "").to_numpy(zero_copy_only=False)
+            filled = np.flatnonzero(~blank)
+            at = np.sort(filled[np.unique(names[filled], return_index=True)[1]])
+            texts, counts, bands = batch.column(4).take(pa.array(at)).to_pylist(), np.zeros(len(names), np.int64), []
             for lo, hi in _chunks(texts):
                 line, band = _bands_of(texts[lo:hi])
-                offsets = np.searchsorted(line, np.arange(hi - lo + 1)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[lo:hi]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(band.view(np.int64)))], names=["name", "bands"])
+                counts[at[lo:hi]] = np.bincount(line, minlength=hi - lo)
+                bands.append(band)
+            offsets = np.r_[0, np.cumsum(counts)].astype(np.int32)
+            none = np.ones(len(names), bool)
+            none[at] = False
+            values = np.concatenate(bands) if bands else np.zeros(0, np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.view(np.int64)), mask=pa.array(none))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(blank), lists], names=["doc_id", "line_no", "h1", "h2", "blank", "bands"])
 
-    return stash(lines.select("h1", "text").mapInArrow(run, "name long, bands array<long>"), "bands").select("name", F.explode("bands").alias("band"))
+    columns = lines.select("doc_id", "line_no", "h1", "h2", "text")
+    return stash(columns.mapInArrow(run, "doc_id long, line_no int, h1 long, h2 long, blank boolean, bands array<long>"), "lines")
+
+
+def _exploded(signed: DataFrame) -> DataFrame:
+    return signed.filter("bands is not null").select(F.col("h1").alias("name"), F.explode("bands").alias("band"))
+
+
+def _bands(lines: DataFrame) -> DataFrame:
+    """`name, band` of the lines `doc_id, line_no, h1, h2, text`; equal lines of one batch once."""
+    return _exploded(_signed(lines))
 
 
 def _with_sketch(texts: DataFrame) -> DataFrame:
@@ -216,10 +249,25 @@ def _texts(names: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
     return stash(_with_sketch(found.groupBy("name").agg(F.min("text").alias("text"))), "texts")
 
 
+def _rows(sketches: pa.Array) -> np.ndarray:
+    """Sketches as an array, a row a line."""
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint32).reshape(-1, RANGES)
+
+
+def _likely(one: np.ndarray, other: np.ndarray, share: float) -> np.ndarray:
+    """Whether enough of the sketches in equal rows of two tables agree."""
+    agree = ((one == other) & (one != _NONE32)).sum(axis=1)
+    most = np.maximum((one != _NONE32).sum(axis=1), (other != _NONE32).sum(axis=1))
+    return agree >= share * most - SURE * np.sqrt(share * (1 - share) * most)
+
+
 def _linked(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     """The pairs `a, b` whose shingle sets reach the similarity."""
     def run(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            batch = batch.filter(pa.array(_likely(_rows(batch.column(4)), _rows(batch.column(5)), share)))
             left, right, last, ok = batch.column(2).to_pylist(), batch.column(3).to_pylist(), None, []
             # pairs come in runs with the same second line, whose set is made once
             for x, a in zip(right, _sets(left)):
@@ -235,60 +283,171 @@ def _linked(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
                 ok.append(n >= share * (len(a) + len(b) - n))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    both = (pairs.select("a", "b").join(texts.select(F.col("name").alias("a"), F.col("text").alias("ta")), "a")
-            .join(texts.select(F.col("name").alias("b"), F.col("text").alias("tb")), "b"))
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def _tile_pairs(tile: tuple[int, int, int], mine: np.ndarray, component: np.ndarray, bands: pa.Array, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows i, j of the open pairs of a tile whose sketches agree enough and that share no earlier band."""
-    band, x, y = tile
-    # within a block each pair once; between two blocks from the first to the second
-    if x == y:
-        i, j = np.triu_indices(len(mine), 1)
-    else:
-        left, right = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
-        i, j = np.repeat(left, len(right)), np.tile(right, len(left))
-    ok = component[i] != component[j]
-    i, j = i[ok], j[ok]
-    filled = (sketch != _NONE32).sum(axis=1)
-    one = sketch[i]
-    agree = ((one == sketch[j]) & (one != _NONE32)).sum(axis=1)
-    most = np.maximum(filled[i], filled[j])
-    ok = agree >= SIMILARITY * most - SURE * np.sqrt(SIMILARITY * (1 - SIMILARITY) * most)
-    i, j = i[ok], j[ok]
-    if not len(i):
-        return i, j
-    own = [set(v) for v in bands.to_pylist()]
-    first = np.array([min(own[p] & own[q]) == band for p, q in zip(i.tolist(), j.tolist())], bool)
-    return i[first], j[first]
-
-
-def _open_pairs(shared: DataFrame, labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs `a, b` of different components that share a band and whose sketches agree enough, each once."""
+    left, right = (texts.select(F.col("name").alias(c), F.col("text").alias("t" + c), F.col("sketch").alias("s" + c)) for c in "ab")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+def _tiled(rows: DataFrame) -> DataFrame:
+    """`band, x, y, mine, ...` of `rows(band, name, blocks, ...)`: each two blocks of a band meet in one tile, each block with itself too."""
+    rest = [c for c in rows.columns if c not in ("band", "blocks")]
+    tile = ["band", "x", "y"]
+    return (rows.withColumn("mine", F.pmod(F.xxhash64("name", "band"), F.col("blocks")))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            .select("band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", *rest)
+            .repartition(*tile).sortWithinPartitions(*tile))
+
+
+def _pairs_of(groups: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows i < j of all pairs within the groups, a bounded number at once."""
+    i = np.concatenate([np.arange(lo, hi) for lo, hi in groups])
+    n = np.concatenate([np.arange(hi - lo - 1, -1, -1) for lo, hi in groups])
+    ends, at = np.cumsum(n), 0
+    while at < len(i):
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        left = np.repeat(i[at:upto], n[at:upto])
+        yield left, left + 1 + np.arange(len(left)) - np.repeat(ends[at:upto] - n[at:upto] - (ends[at - 1] if at else 0), n[at:upto])
+        at = upto
+
+
+def _open_rows(shared: DataFrame, labels: DataFrame, texts: DataFrame, share: float) -> DataFrame:
+    """`band, name` of the classes that share the band with one of another component whose sketch agrees enough."""
     rows = shared.join(labels.withColumnRenamed("node", "name"), "name", "left").select("band", "name", F.coalesce("component", "name").alias("component"))
     mixed = (rows.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo < hi").select("band", F.ceil(F.col("n") / TILE).cast("long").alias("blocks")))
-    open_ = stash(rows.join(mixed, "band"), "open")
-    mine = open_.groupBy("name").agg(F.collect_set("band").alias("bands")).join(texts.select("name", "sketch"), "name")
-    tile = ["band", "x", "y"]
-    tiled = (open_.join(mine, "name").withColumn("mine", F.pmod(F.xxhash64("name", "band"), F.col("blocks")))
-             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-             .select("band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "name", "component", "bands", "sketch"))
+    open_ = rows.join(mixed, "band").join(texts.select("name", "sketch"), "name")
 
     def run(batches):
         for table, groups in whole_groups(batches, 3):
+            if not groups:
+                continue
             band, x, y, mine, name, component = (table.column(c).to_numpy() for c in range(6))
-            bands = table.column(6).combine_chunks()
-            sketch = np.frombuffer(b"".join(table.column(7).to_pylist()), np.uint32).reshape(-1, RANGES)
-            for lo, hi in groups:
-                part = slice(lo, hi)
-                i, j = _tile_pairs((int(band[lo]), int(x[lo]), int(y[lo])), mine[part], component[part], bands.slice(lo, hi - lo), sketch[part])
-                if len(i):
-                    a, b = name[lo + i], name[lo + j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+            sketch, found = _rows(table.column(6)), np.zeros(len(name), bool)
+            for i, j in _pairs_of(groups):
+                # between two blocks only from the one to the other
+                maybe = (component[i] != component[j]) & ((x[i] == y[i]) | (mine[i] != mine[j]))
+                i, j = i[maybe], j[maybe]
+                ok = _likely(sketch[i], sketch[j], share)
+                found[i[ok]] = found[j[ok]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(band[found]), pa.array(name[found])], names=["band", "name"])
+
+    return stash(_tiled(open_.select("band", "name", "component", "sketch", "blocks")).mapInArrow(run, "band long, name long").distinct(), "open")
+
+
+def _shared_counts(texts: list[str], first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Set sizes of the lines, and how many shingles each line in `first` has in common with each in `second`."""
+    sets = list(_sets(texts))
+    sizes = np.array([len(s) for s in sets])
+    owner, h = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    order = np.argsort(h, kind="stable")
+    owner, h = owner[order], h[order]
+    same = h[1:] == h[:-1]
+    several = np.r_[False, same] | np.r_[same, False]
+    owner, column = owner[several], (np.cumsum(np.r_[True, ~same]) - 1)[several]
+    column = np.cumsum(np.r_[False, column[1:] != column[:-1]]) if len(column) else column
+    counts = np.zeros((len(first), len(second)))
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COUNTED):
+        part = slice(*np.searchsorted(column, [lo, lo + COUNTED]))
+        has = np.zeros((len(sets), min(COUNTED, int(column[-1]) + 1 - lo)), np.float32)
+        has[owner[part], column[part] - lo] = 1
+        counts += has[first] @ has[second].T
+    return sizes, counts
+
+
+def _tile_links(texts: list[str], first: np.ndarray, second: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lines i, j of a tile, i in `first` and j in `second`, whose sets reach the similarity."""
+    sizes, n = _shared_counts(texts, first, second)
+    i, j = np.nonzero(n >= share * (sizes[first][:, None] + sizes[second] - n))
+    return first[i], second[j]
+
+
+def _few_links(texts: list[str], tile: np.ndarray, place: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Lines i, j whose sets reach the similarity, of many tiles with up to eight lines each.
+
+    `tile` tells each line's tile, from 0 on in order, and `place` its position there.
+    """
+    parts = [_shingles(texts[lo:hi]) for lo, hi in _chunks(texts)]
+    owner = np.repeat(np.arange(len(texts)), np.concatenate([sizes for _, sizes in parts]))
+    # equal keys are equal shingles of one tile
+    key = np.concatenate([h for h, _ in parts]) + mix(tile.astype(np.uint64) * _ORDER[0])[owner]
+    order = np.argsort(key)
+    key = key[order]
+    begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    lines = np.bitwise_or.reduceat((1 << place)[owner[order]].astype(np.uint8), begins)
+    of, tiles = tile[owner[order[begins]]], int(tile[-1]) + 1
+    has = [of[lines >> p & 1 == 1] for p in range(FEW_ROWS)]
+    sizes = [np.bincount(h, minlength=tiles) for h in has]
+    at = np.searchsorted(tile, np.arange(tiles))
+    several = lines & (lines - 1) != 0
+    lines, of = lines[several], of[several]
+    i, j = [], []
+    for p in range(FEW_ROWS):
+        for q in range(p):
+            both = np.uint8(1 << p | 1 << q)
+            n = np.bincount(of[lines & both == both], minlength=tiles)
+            linked = np.flatnonzero((n > 0) & (n >= share * (sizes[p] + sizes[q] - n)))
+            i.append(at[linked] + q)
+            j.append(at[linked] + p)
+    return np.concatenate(i), np.concatenate(j)
+
+
+def _leaders(rows: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of the rows the smallest that links i, j lead to."""
+    root = np.arange(rows)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, i, root[j])
+        np.minimum.at(low, j, root[i])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
+
+
+def _few_runs(groups: list[tuple[int, int]], texts: pa.ChunkedArray) -> Iterator[list[tuple[int, int]]]:
+    """Runs of groups with a bounded number of characters; a longer group is taken alone."""
+    ends = np.r_[0, np.cumsum(pc.utf8_length(texts).to_numpy())]
+    held, size = [], 0
+    for lo, hi in groups:
+        chars = int(ends[hi] - ends[lo])
+        if held and size + chars > FEW_CHARS:
+            yield held
+            held, size = [], 0
+        held.append((lo, hi))
+        size += chars
+    if held:
+        yield held
+
+
+def _open_links(open_: DataFrame, texts: DataFrame, share: float) -> DataFrame:
+    """Links `a, b` that join what the exact links within each band join; one for each class of a tile at most."""
+    sizes = (open_.join(texts.select("name", F.length("text").alias("size")), "name").groupBy("band")
+             .agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_CHARS)).cast("long").alias("blocks")))
+    rows = open_.join(sizes, "band").join(texts.select("name", "text"), "name").select("band", "name", "text", "blocks")
 
-    return stash(tiled.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, "a long, b long"), "candidates")
+    def run(batches):
+        for table, groups in whole_groups(batches, 3):
+            x, y, mine, name = (table.column(c).to_numpy() for c in range(1, 5))
+            few = [(lo, hi) for lo, hi in groups if hi - lo <= FEW_ROWS and x[lo] == y[lo]]
+            many = [(lo, hi) for lo, hi in groups if hi - lo > FEW_ROWS or x[lo] != y[lo]]
+            i, j = [], []
+            for run_ in _few_runs(few, table.column(5)):
+                at = np.concatenate([np.arange(lo, hi) for lo, hi in run_])
+                sizes = [hi - lo for lo, hi in run_]
+                p, q = _few_links(table.column(5).take(pa.array(at)).to_pylist(), np.repeat(np.arange(len(run_)), sizes), at - np.repeat([lo for lo, _ in run_], sizes), share)
+                i.append(at[p])
+                j.append(at[q])
+            for lo, hi in many:
+                at = np.arange(hi - lo)
+                first, second = (at, at) if x[lo] == y[lo] else (np.flatnonzero(mine[lo:hi] == b) for b in (x[lo], y[lo]))
+                p, q = _tile_links(table.column(5).slice(lo, hi - lo).to_pylist(), first, second, share)
+                i.append(lo + p)
+                j.append(lo + q)
+            if i:
+                root = _leaders(len(name), np.concatenate(i), np.concatenate(j))
+                led = np.flatnonzero(root < np.arange(len(root)))
+                yield pa.RecordBatch.from_arrays([pa.array(name[root[led]]), pa.array(name[led])], names=["a", "b"])
+
+    return _tiled(rows).mapInArrow(run, "a long, b long")
 
 
 def fuzzy_lines(docs: DataFrame, share: float = SIMILARITY) -> DataFrame:
@@ -302,11 +461,11 @@ def fuzzy_lines(docs: DataFrame, share: float = SIMILARITY) -> DataFrame:
     """
     line = plain(F.col("line"))
     lines = lines_of(docs).select("doc_id", "line_no", line.alias("text")).select("doc_id", "line_no", "text", *_keys(F.col("text")))
-    filled = lines.filter("text <> ''")
-    lean = stash(lines.select("doc_id", "line_no", "h1", "h2", (F.col("text") == "").alias("blank")), "lines")
+    signed = _signed(lines)
+    lean = signed.select("doc_id", "line_no", "h1", "h2", "blank")
     classes = lean.filter("not blank").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     classes = stash(classes, "classes")
-    bands = _bands(filled)
+    bands = _exploded(signed)
     # counted first: bands of one line alone are most, and their names need not be shuffled with them
     several = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     shared = stash(bands.join(several, "band").select("band", "name").distinct(), "shared")
@@ -314,10 +473,10 @@ def fuzzy_lines(docs: DataFrame, share: float = SIMILARITY) -> DataFrame:
     shared = stash(shared.join(pivots, "band"), "shared")
     tried = (shared.filter("name <> pivot").groupBy("name", "pivot").agg(F.count("*").alias("n"))
              .groupBy("name").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b")).select(F.col("name").alias("a"), "b"))
-    texts = _texts(shared.select("name").distinct(), filled, classes)
+    texts = _texts(shared.select("name").distinct(), lines, classes)
     edges = stash(_linked(tried, texts, share), "links")
     labels = components(edges)
-    more = stash(_linked(_open_pairs(shared.select("band", "name"), labels, texts), texts, share), "links")
+    more = stash(_open_links(_open_rows(shared.select("band", "name"), labels, texts, share), texts, share), "links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
 

@@ -301,6 +301,57 @@ def test_lines_equal_brute_force(make_docs, clashing):
     assert N.fuzzy_lines(make_docs()).collect() == []
 
 
+def test_near_copies_below_the_bound_write_no_row_for_each_pair(make_docs, monkeypatch):
+    """Copies with four words of thirty changed are mostly too unlike each other, in a band of several tiles' blocks."""
+    rng, written = random.Random(23), []
+    words = [letters(rng, 6)[:6].replace(" ", "x") for _ in range(30)]
+    head = "every copy begins with the same words as all of the others do so that they meet in one band "
+    rows = []
+    for d in range(600):
+        mine = list(words)
+        for k in rng.sample(range(30), 3 if d % 3 else 1):
+            mine[k] = letters(rng, 6)[:6].replace(" ", "y")
+        rows.append((d, head * (d % 2) + " ".join(mine)))
+
+    def counted(df, name="stash"):
+        written.append((name, (out := real(df, name)).count()))
+        return out
+
+    real = N.stash
+    monkeypatch.setattr(N, "stash", counted)
+    out = N.fuzzy_lines(make_docs(*rows)).collect()
+    assert sorted((r.doc_id, r.line_no, r.keeper_doc, r.keeper_line) for r in out) == sorted(brute_lines(rows))
+    bands = sum(len(b) for b in [r.bands for r in N._signed(_signed_input(make_docs(*rows))).collect()])
+    assert max(n for _, n in written) <= bands
+
+
+def _signed_input(docs):
+    return N.lines_of(docs).select("doc_id", "line_no", N.plain(F.col("line")).alias("text")).select("*", *N._keys(F.col("text")))
+
+
+def test_tile_counts_equal_plain_sets():
+    """Few lines of many tiles at once, and all lines of one tile, against plain sets."""
+    rng = random.Random(29)
+    tiles = []
+    for k in range(60):
+        base = letters(rng, 40)
+        tiles.append([rng.choice([base, "ab" * rng.randrange(1, 40), edited(rng, base, rng.randrange(1, 3)), "a"]) for _ in range(rng.randrange(2, 9))])
+    texts = [t for tile in tiles for t in tile]
+    of = np.repeat(np.arange(len(tiles)), [len(t) for t in tiles])
+    place = np.concatenate([np.arange(len(t)) for t in tiles])
+
+    def close(a, b):
+        x, y = shingles(a), shingles(b)
+        return len(x & y) >= 0.75 * len(x | y)
+
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if of[i] == of[j] and close(texts[i], texts[j])}
+    assert set(zip(*(v.tolist() for v in N._few_links(texts, of, place, 0.75)))) == want and want
+    first, second = np.arange(0, 40), np.arange(40, 90)
+    want = {(i, j) for i in first.tolist() for j in second.tolist() if close(texts[i], texts[j])}
+    assert set(zip(*(v.tolist() for v in N._tile_links(texts, first, second, 0.75)))) == want and want
+    assert N._leaders(6, np.array([4, 5]), np.array([5, 2])).tolist() == [0, 1, 2, 3, 2, 2]
+
+
 def test_kept_lines_make_texts(make_docs):
     docs = make_docs((1, "one two three four\nfive"), (2, "One two three four\nsix\n"), (3, None))
     got = {r.doc_id: r.text for r in N.without_repeats(docs, N.fuzzy_lines(docs)).collect()}
