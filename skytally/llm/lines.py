@@ -20,7 +20,7 @@ shares most often. Bands that still hold several components are compared in
 tiles of bounded size. A pair goes on to the exact test only if enough of the two
 sketches agree, which misses about one pair in a million. The classes of a tile
 that have such a partner meet again in tiles with their texts, where all shared
-shingles are counted at once. A tile writes a link for each class at most, so the
+shingles are counted at once. A tile writes a link for each component at most, so the
 rows between the steps grow with the classes of a band times its tiles a side and
 not with its pairs, and no pair of a band is left out. Texts are not shuffled but
 for classes of shared bands, which fetch theirs by the place where the line occurs
@@ -50,6 +50,8 @@ from skytally.llm.words import mix, randoms
 SHINGLE = 8
 RUN, BANDS = 3, 14
 RANGES = RUN * BANDS
+#: Ranges of the sketches that pairs are compared by, a byte each.
+FINE = 128
 #: Sets of up to so many hashes have runs as bands; those of more than half as many have ranges too, to meet larger sets.
 SMALL = 32
 #: Up to so many hashes, runs of two are bands too.
@@ -70,7 +72,7 @@ CHUNK = 1 << 14
 _PAIR, _FOUR, _EIGHT, _SIZE = (int(v) | 1 for v in randoms(4, 31))
 _ORDER = randoms(RUN + 2, 32) | np.uint64(1)
 _SALT = randoms(BANDS, 33)
-_NONE, _NONE32 = np.uint64(0xFFFFFFFFFFFFFFFF), np.uint32(0xFFFFFFFF)
+_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def plain(line: Column) -> Column:
@@ -131,19 +133,19 @@ def _sets(texts: list[str]) -> Iterator[np.ndarray]:
             yield part[np.r_[True, part[1:] != part[:-1]]]
 
 
-def _sketch(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+def _sketch(h: np.ndarray, sizes: np.ndarray, ranges: int) -> np.ndarray:
     """The smallest hash of each range, a row a line; all ones where a range has none."""
-    low = np.full(len(sizes) * RANGES, _NONE)
-    at = ((h >> np.uint64(32)) * np.uint64(RANGES) >> np.uint64(32)).astype(np.int64)
-    at += np.repeat(np.arange(len(sizes)) * RANGES, sizes)
+    low = np.full(len(sizes) * ranges, _NONE)
+    at = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    at += np.repeat(np.arange(len(sizes)) * ranges, sizes)
     np.minimum.at(low, at, h)
-    return low.reshape(-1, RANGES)
+    return low.reshape(-1, ranges)
 
 
 def _bands_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Line and band, in order of lines; a line may have a band twice."""
     h, sizes = _shingles(texts)
-    low = _sketch(h, sizes)
+    low = _sketch(h, sizes, RANGES)
     filled = low != _NONE
     # a set of few hashes fills few ranges
     maybe = filled.sum(axis=1) <= SMALL
@@ -224,12 +226,13 @@ def _bands(lines: DataFrame) -> DataFrame:
 
 
 def _with_sketch(texts: DataFrame) -> DataFrame:
-    """`name, text, sketch`: the upper 32 bits of the smallest hash of each range."""
+    """`name, text, sketch`: a byte of the smallest hash of each range, 0 where a range has none."""
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for lo, hi in _chunks(texts):
-                low = (_sketch(*_shingles(texts[lo:hi])) >> np.uint64(32)).astype(np.uint32)
+                low = _sketch(*_shingles(texts[lo:hi]), FINE)
+                low = np.where(low == _NONE, 0, low % np.uint64(255) + np.uint64(1)).astype(np.uint8)
                 part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([row.tobytes() for row in low], pa.binary())], names=["name", "text", "sketch"])
 
@@ -251,13 +254,13 @@ def _texts(names: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
 
 def _rows(sketches: pa.Array) -> np.ndarray:
     """Sketches as an array, a row a line."""
-    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint32).reshape(-1, RANGES)
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, FINE)
 
 
 def _likely(one: np.ndarray, other: np.ndarray, share: float) -> np.ndarray:
     """Whether enough of the sketches in equal rows of two tables agree."""
-    agree = ((one == other) & (one != _NONE32)).sum(axis=1)
-    most = np.maximum((one != _NONE32).sum(axis=1), (other != _NONE32).sum(axis=1))
+    agree = np.count_nonzero((one == other) & (one != 0), axis=1)
+    most = np.maximum(np.count_nonzero(one, axis=1), np.count_nonzero(other, axis=1))
     return agree >= share * most - SURE * np.sqrt(share * (1 - share) * most)
 
 
@@ -310,7 +313,7 @@ def _pairs_of(groups: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.nd
 
 
 def _open_rows(shared: DataFrame, labels: DataFrame, texts: DataFrame, share: float) -> DataFrame:
-    """`band, name` of the classes that share the band with one of another component whose sketch agrees enough."""
+    """`band, name, component` of the classes that share the band with one of another component whose sketch agrees enough."""
     rows = shared.join(labels.withColumnRenamed("node", "name"), "name", "left").select("band", "name", F.coalesce("component", "name").alias("component"))
     mixed = (rows.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo < hi").select("band", F.ceil(F.col("n") / TILE).cast("long").alias("blocks")))
@@ -328,9 +331,9 @@ def _open_rows(shared: DataFrame, labels: DataFrame, texts: DataFrame, share: fl
                 i, j = i[maybe], j[maybe]
                 ok = _likely(sketch[i], sketch[j], share)
                 found[i[ok]] = found[j[ok]] = True
-            yield pa.RecordBatch.from_arrays([pa.array(band[found]), pa.array(name[found])], names=["band", "name"])
+            yield pa.RecordBatch.from_arrays([pa.array(v[found]) for v in (band, name, component)], names=["band", "name", "component"])
 
-    return stash(_tiled(open_.select("band", "name", "component", "sketch", "blocks")).mapInArrow(run, "band long, name long").distinct(), "open")
+    return stash(_tiled(open_.select("band", "name", "component", "sketch", "blocks")).mapInArrow(run, "band long, name long, component long").distinct(), "open")
 
 
 def _shared_counts(texts: list[str], first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -419,33 +422,36 @@ def _few_runs(groups: list[tuple[int, int]], texts: pa.ChunkedArray) -> Iterator
 
 
 def _open_links(open_: DataFrame, texts: DataFrame, share: float) -> DataFrame:
-    """Links `a, b` that join what the exact links within each band join; one for each class of a tile at most."""
-    sizes = (open_.join(texts.select("name", F.length("text").alias("size")), "name").groupBy("band")
+    """Links `a, b` between components that the exact links within each band join; one for each component of a tile at most."""
+    sizes = (open_.select("band", "name").join(texts.select("name", F.length("text").alias("size")), "name").groupBy("band")
              .agg(F.ceil(F.greatest(F.count("*") / TILE, F.sum("size") / TILE_CHARS)).cast("long").alias("blocks")))
-    rows = open_.join(sizes, "band").join(texts.select("name", "text"), "name").select("band", "name", "text", "blocks")
+    rows = open_.join(sizes, "band").join(texts.select("name", "text"), "name").select("band", "name", "component", "text", "blocks")
 
     def run(batches):
         for table, groups in whole_groups(batches, 3):
-            x, y, mine, name = (table.column(c).to_numpy() for c in range(1, 5))
+            x, y, mine, _, component = (table.column(c).to_numpy() for c in range(1, 6))
+            texts = table.column(6)
             few = [(lo, hi) for lo, hi in groups if hi - lo <= FEW_ROWS and x[lo] == y[lo]]
             many = [(lo, hi) for lo, hi in groups if hi - lo > FEW_ROWS or x[lo] != y[lo]]
             i, j = [], []
-            for run_ in _few_runs(few, table.column(5)):
+            for run_ in _few_runs(few, texts):
                 at = np.concatenate([np.arange(lo, hi) for lo, hi in run_])
                 sizes = [hi - lo for lo, hi in run_]
-                p, q = _few_links(table.column(5).take(pa.array(at)).to_pylist(), np.repeat(np.arange(len(run_)), sizes), at - np.repeat([lo for lo, _ in run_], sizes), share)
+                p, q = _few_links(texts.take(pa.array(at)).to_pylist(), np.repeat(np.arange(len(run_)), sizes), at - np.repeat([lo for lo, _ in run_], sizes), share)
                 i.append(at[p])
                 j.append(at[q])
             for lo, hi in many:
                 at = np.arange(hi - lo)
                 first, second = (at, at) if x[lo] == y[lo] else (np.flatnonzero(mine[lo:hi] == b) for b in (x[lo], y[lo]))
-                p, q = _tile_links(table.column(5).slice(lo, hi - lo).to_pylist(), first, second, share)
+                p, q = _tile_links(texts.slice(lo, hi - lo).to_pylist(), first, second, share)
                 i.append(lo + p)
                 j.append(lo + q)
             if i:
-                root = _leaders(len(name), np.concatenate(i), np.concatenate(j))
+                # what one component holds already needs no link
+                known, node = np.unique(component, return_inverse=True)
+                root = _leaders(len(known), node[np.concatenate(i)], node[np.concatenate(j)])
                 led = np.flatnonzero(root < np.arange(len(root)))
-                yield pa.RecordBatch.from_arrays([pa.array(name[root[led]]), pa.array(name[led])], names=["a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(known[root[led]]), pa.array(known[led])], names=["a", "b"])
 
     return _tiled(rows).mapInArrow(run, "a long, b long")
 
