@@ -62,13 +62,13 @@ TILE, SURE = 256, 4.75
 #: Pairs of a tile compared by sketches at once, and shingles of a tile counted at once.
 PAIRS, COUNTED = 1 << 16, 1 << 13
 #: Tiles of up to so many rows are counted together, in runs of so many characters.
-FEW_ROWS, FEW_CHARS = 8, 1 << 15
+FEW_ROWS, FEW_CHARS = 8, 1 << 16
 #: Characters of the texts of a tile's side, on average; a longer line is taken alone.
 TILE_CHARS = 1 << 21
 #: Candidates whose places are sent to every executor at most (about 100 MB); more are joined by a shuffle.
 SENT_LINES = 2_000_000
 #: Characters hashed together, few enough to stay in a core's cache; a longer line is taken alone.
-CHUNK = 1 << 14
+CHUNK = 1 << 16
 _PAIR, _FOUR, _EIGHT, _SIZE = (int(v) | 1 for v in randoms(4, 31))
 _ORDER = randoms(RUN + 2, 32) | np.uint64(1)
 _SALT = randoms(BANDS, 33)
@@ -149,8 +149,10 @@ def _bands_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     filled = low != _NONE
     # a set of few hashes fills few ranges
     maybe = filled.sum(axis=1) <= SMALL
-    mine = np.repeat(maybe, sizes)
-    owner, v = np.repeat(np.arange(len(sizes)), sizes)[mine], h[mine]
+    few = np.flatnonzero(maybe)
+    begins, ends = np.cumsum(sizes) - sizes, np.cumsum(sizes[few])
+    owner = np.repeat(few, sizes[few])
+    v = h[np.arange(len(owner)) + np.repeat(begins[few] - ends + sizes[few], sizes[few])]
     order = np.lexsort((v, owner))
     owner, v = owner[order], v[order]
     new = np.ones(len(v), bool)
@@ -239,15 +241,35 @@ def _with_sketch(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "name long, text string, sketch binary")
 
 
-def _texts(names: DataFrame, lines: DataFrame, classes: DataFrame) -> DataFrame:
+def _shared(bands: DataFrame) -> DataFrame:
+    """`band, name, pivot` of the bands that several classes share; `pivot` is a band's smallest class."""
+    # one shuffle serves the bands' classes and their rows, which are not sorted
+    dealt = bands.repartition("band")
+    pivots = dealt.groupBy("band").agg(F.min("name").alias("pivot"), F.max("name").alias("most")).filter("pivot < most").select("band", "pivot")
+    return stash(dealt.join(pivots.hint("shuffle_hash"), "band").select("band", "name", "pivot").distinct(), "shared")
+
+
+def _once(rows: DataFrame) -> DataFrame:
+    """`rows(band, name, ...)`, each name once a band, without bands that hold the same names as another one.
+
+    Near copies share many bands. Sets of names are told apart by their size and 128 bits.
+    """
+    held = (rows.groupBy("band").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("name")).alias("x"), F.bit_xor(F.xxhash64("name", F.lit(1))).alias("y"))
+            .groupBy("n", "x", "y").agg(F.min("band").alias("band")).select("band"))
+    return rows.join(held, "band", "left_semi")
+
+
+def _texts(names: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     """`name, text, sketch` of the classes in `names`, read where each occurs first."""
     places = classes.select(F.col("h1").alias("name"), F.col("first.doc_id").alias("at_doc"), F.col("first.line_no").alias("at_line"))
     needed = stash(places.join(names, "name", "left_semi"), "needed")
     if needed.count() <= SENT_LINES:
         needed = F.broadcast(needed)
     # the first of equal lines may be in a document without an id
-    place = (F.col("h1") == F.col("name")) & (F.col("line_no") == F.col("at_line")) & F.col("doc_id").eqNullSafe(F.col("at_doc"))
-    found = lines.select("doc_id", "line_no", "h1", "text").join(needed, place).select("name", "text")
+    place = (F.col("line_no") == F.col("at_line")) & F.col("doc_id").eqNullSafe(F.col("at_doc"))
+    found = lines_of(docs).join(needed, place).select("name", plain(F.col("line")).alias("text"))
+    # documents of one id may have other lines there
+    found = found.filter(F.xxhash64("text") == F.col("name"))
     # equal lines of one document in repeated rows have one text
     return stash(_with_sketch(found.groupBy("name").agg(F.min("text").alias("text"))), "texts")
 
@@ -271,20 +293,14 @@ def _linked(pairs: DataFrame, texts: DataFrame, share: float) -> DataFrame:
             if not batch.num_rows:
                 continue
             batch = batch.filter(pa.array(_likely(_rows(batch.column(4)), _rows(batch.column(5)), share)))
-            left, right, last, ok = batch.column(2).to_pylist(), batch.column(3).to_pylist(), None, []
-            # pairs come in runs with the same second line, whose set is made once
-            for x, a in zip(right, _sets(left)):
-                if last is None or last[0] != x:
-                    last = (x, next(_sets([x])))
-                b = last[1]
-                if min(len(a), len(b)) < share * max(len(a), len(b)):
-                    ok.append(False)
-                    continue
-                both = np.concatenate([a, b])
-                both.sort()
-                n = int(np.count_nonzero(both[1:] == both[:-1]))
-                ok.append(n >= share * (len(a) + len(b) - n))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            texts = [t for pair in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()) for t in pair]
+            ok = np.zeros(batch.num_rows, bool)
+            # each pair is a tile by itself
+            for run_ in _few_runs([(k, k + 2) for k in range(0, len(texts), 2)], pa.array(texts, pa.string())):
+                lo, n = run_[0][0], len(run_)
+                first, _ = _few_links(texts[lo:lo + 2 * n], np.repeat(np.arange(n), 2), np.tile([0, 1], n), share)
+                ok[(lo + first) // 2] = True
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     left, right = (texts.select(F.col("name").alias(c), F.col("text").alias("t" + c), F.col("sketch").alias("s" + c)) for c in "ab")
     return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "ta", "tb", "sa", "sb").mapInArrow(run, "a long, b long")
@@ -370,20 +386,23 @@ def _few_links(texts: list[str], tile: np.ndarray, place: np.ndarray, share: flo
     """
     parts = [_shingles(texts[lo:hi]) for lo, hi in _chunks(texts)]
     owner = np.repeat(np.arange(len(texts)), np.concatenate([sizes for _, sizes in parts]))
-    # equal keys are equal shingles of one tile
-    key = np.concatenate([h for h, _ in parts]) + mix(tile.astype(np.uint64) * _ORDER[0])[owner]
-    order = np.argsort(key)
-    key = key[order]
-    begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    lines = np.bitwise_or.reduceat((1 << place)[owner[order]].astype(np.uint8), begins)
-    of, tiles = tile[owner[order[begins]]], int(tile[-1]) + 1
-    has = [of[lines >> p & 1 == 1] for p in range(FEW_ROWS)]
+    tiles, most = int(tile[-1]) + 1, int(place.max()) + 1
+    # tile, hash and place in one number, which sorts several times faster than an order; the more tiles, the fewer shingles has each
+    bits = np.uint64(max(tiles - 1, 1).bit_length())
+    top, low = tile.astype(np.uint64) << (np.uint64(64) - bits), place.astype(np.uint64)
+    key = np.concatenate([h for h, _ in parts]) >> bits & ~np.uint64(FEW_ROWS - 1) | (top | low)[owner]
+    key.sort()
+    shingle = key & ~np.uint64(FEW_ROWS - 1)
+    begins = np.flatnonzero(np.r_[True, shingle[1:] != shingle[:-1]])
+    lines = np.bitwise_or.reduceat(np.uint8(1) << (key & np.uint64(FEW_ROWS - 1)).astype(np.uint8), begins)
+    of = (key[begins] >> (np.uint64(64) - bits)).astype(np.int64)
+    has = [of[lines >> p & 1 == 1] for p in range(most)]
     sizes = [np.bincount(h, minlength=tiles) for h in has]
     at = np.searchsorted(tile, np.arange(tiles))
     several = lines & (lines - 1) != 0
     lines, of = lines[several], of[several]
     i, j = [], []
-    for p in range(FEW_ROWS):
+    for p in range(most):
         for q in range(p):
             both = np.uint8(1 << p | 1 << q)
             n = np.bincount(of[lines & both == both], minlength=tiles)
@@ -406,7 +425,7 @@ def _leaders(rows: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         root = low
 
 
-def _few_runs(groups: list[tuple[int, int]], texts: pa.ChunkedArray) -> Iterator[list[tuple[int, int]]]:
+def _few_runs(groups: list[tuple[int, int]], texts: pa.Array | pa.ChunkedArray) -> Iterator[list[tuple[int, int]]]:
     """Runs of groups with a bounded number of characters; a longer group is taken alone."""
     ends = np.r_[0, np.cumsum(pc.utf8_length(texts).to_numpy())]
     held, size = [], 0
@@ -471,18 +490,13 @@ def fuzzy_lines(docs: DataFrame, share: float = SIMILARITY) -> DataFrame:
     lean = signed.select("doc_id", "line_no", "h1", "h2", "blank")
     classes = lean.filter("not blank").groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
     classes = stash(classes, "classes")
-    bands = _exploded(signed)
-    # counted first: bands of one line alone are most, and their names need not be shuffled with them
-    several = bands.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    shared = stash(bands.join(several, "band").select("band", "name").distinct(), "shared")
-    pivots = stash(shared.groupBy("band").agg(F.min("name").alias("pivot"), F.max("name").alias("most")).filter("pivot < most").select("band", "pivot"), "pivots")
-    shared = stash(shared.join(pivots, "band"), "shared")
+    shared = _shared(_exploded(signed))
     tried = (shared.filter("name <> pivot").groupBy("name", "pivot").agg(F.count("*").alias("n"))
              .groupBy("name").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b")).select(F.col("name").alias("a"), "b"))
-    texts = _texts(shared.select("name").distinct(), lines, classes)
+    texts = _texts(shared.select("name").distinct(), docs, classes)
     edges = stash(_linked(tried, texts, share), "links")
     labels = components(edges)
-    more = stash(_open_links(_open_rows(shared.select("band", "name"), labels, texts, share), texts, share), "links")
+    more = stash(_open_links(_once(_open_rows(_once(shared.select("band", "name")), labels, texts, share)), texts, share), "links")
     if not more.isEmpty():
         labels = components(edges.unionByName(more))
 
