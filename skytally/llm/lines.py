@@ -136,7 +136,10 @@ def _sets(texts: list[str]) -> Iterator[np.ndarray]:
 def _sketch(h: np.ndarray, sizes: np.ndarray, ranges: int) -> np.ndarray:
     """The smallest hash of each range, a row a line; all ones where a range has none."""
     low = np.full(len(sizes) * ranges, _NONE)
-    at = ((h >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+    at = h >> np.uint64(32)
+    at *= np.uint64(ranges)
+    at >>= np.uint64(32)
+    at = at.view(np.int64)
     at += np.repeat(np.arange(len(sizes)) * ranges, sizes)
     np.minimum.at(low, at, h)
     return low.reshape(-1, ranges)
@@ -330,7 +333,7 @@ def _pairs_of(groups: list[tuple[int, int]]) -> Iterator[tuple[np.ndarray, np.nd
 
 def _open_rows(shared: DataFrame, labels: DataFrame, texts: DataFrame, share: float) -> DataFrame:
     """`band, name, component` of the classes that share the band with one of another component whose sketch agrees enough."""
-    rows = shared.join(labels.withColumnRenamed("node", "name"), "name", "left").select("band", "name", F.coalesce("component", "name").alias("component"))
+    rows = shared.join(labels.withColumnRenamed("node", "name"), "name", "left").select("band", "name", F.coalesce("component", "name").alias("component")).repartition("band")
     mixed = (rows.groupBy("band").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter("lo < hi").select("band", F.ceil(F.col("n") / TILE).cast("long").alias("blocks")))
     open_ = rows.join(mixed, "band").join(texts.select("name", "sketch"), "name")
