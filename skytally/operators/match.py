@@ -2,55 +2,86 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+from itertools import product
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geometry import chord, with_unit_vector
-from ..lineage import cut
-from .pairs import GRID_BITS, CellTree, Side, first_shift, leaf_objects, meet_cells, opened_pairs, pending, point_distance_sq
+from ..functions.geometry import chord, chord_sq, unit_vector, with_unit_vector
+from ..lineage import cut, stash
+from .pairs import GRID_BITS, CellTree, Side, leaf_objects, meet_cells, opened_pairs, pending, point_distance_sq
 
 MATCH_LEAF = 32
-FIRST_SHIFT = GRID_BITS - 8
+# right rows that a left row meets in its cube on average, and left rows of a cube that one task looks up row by row
+CUBE_MEAN, CUBE_ROWS = 8, 100_000
+# cubes of the first tally have a side of 1/32, or as much as the radius needs
+FIRST_SHIFT = GRID_BITS - 5
 _AXIS = 1 << 20
+_SPOT = ("_rx", "_ry", "_rz")
 
 
-def _located(df: DataFrame, ra: str, dec: str, shift: int) -> DataFrame:
-    """Rows with a position, their unit vector, and the cube of space (``pix``) that holds it."""
-    d = with_unit_vector(df.where(F.col(ra).isNotNull() & F.col(dec).isNotNull()), ra, dec)
-    side = float(2 ** GRID_BITS)
-    axis = lambda c: F.shiftright(F.floor((F.col(c) + 1.0) * side).cast("long"), shift)
-    return d.withColumn("pix", (axis("x") * _AXIS + axis("y")) * _AXIS + axis("z"))
+def _placed(ra: str, dec: str) -> Column:
+    """Whether a row has a position: neither missing nor without bounds."""
+    return F.coalesce((F.abs(F.radians(ra)) < F.lit(math.inf)) & (F.abs(F.radians(dec)) < F.lit(math.inf)), F.lit(False))
 
 
-def _near_cubes(left: DataFrame, right: DataFrame) -> DataFrame:
-    """``pix1, pix2``: occupied cubes of both sides that are equal or touch."""
-    steps = [(i * _AXIS + j) * _AXIS + k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
-    pairs = left.select("pix").distinct().select(F.col("pix").alias("pix1"), F.explode(F.array(*[F.col("pix") + F.lit(s) for s in steps])).alias("pix2"))
-    return pairs.join(right.select(F.col("pix").alias("pix2")).distinct(), "pix2", "left_semi").select("pix1", "pix2")
+def _axis(c: Column, shift: int) -> Column:
+    return F.shiftright(F.floor((c + 1.0) * float(2 ** GRID_BITS)).cast("long"), shift)
 
 
-def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, l_ra="ra", l_dec="dec",
-            r_ra="ra", r_dec="dec", right_id="id") -> DataFrame:
-    """``x, y, z, match, dist, _rx, _ry, _rz`` for each left position with a right one within the radius.
+def _number(a: Column, b: Column, c: Column) -> Column:
+    # never NULL, or Spark tests the whole formula for NULL below each join
+    return F.coalesce((a * _AXIS + b) * _AXIS + c, F.lit(-1).cast("long"))
 
-    ``match`` is the closest right object (the lowest number on equal distance) and
-    ``dist`` the straight distance. Both sides are summed into cubes at least as wide as the
-    radius, which meet their up to 27 neighbours by an equi-join, so the cell pairs tried grow with the occupied cubes; a pair of cells
-    is dropped when another right cell is certainly nearer, and crowded cells are
-    split, so equal or crowded positions never meet pair by pair.
+
+def _cube(ra: str, dec: str, shift: int) -> Column:
+    """The cube of space that holds a position."""
+    return _number(*[_axis(c, shift) for c in unit_vector(ra, dec)])
+
+
+def _in_cubes(right: DataFrame, shift: int, reach: float) -> DataFrame:
+    """``_ra, _dec, rid`` once for each cube (``_pix``) that comes within the reach of the position; a cube is at least twice as wide."""
+    d = with_unit_vector(right, "_ra", "_dec").select(
+        *right.columns, *[_axis(F.col(c) + F.lit(to), shift).alias(f"{tag}{c}") for c in "xyz" for tag, to in (("lo", -reach), ("hi", reach))])
+    one = (F.col("lox") == F.col("hix")) & (F.col("loy") == F.col("hiy")) & (F.col("loz") == F.col("hiz"))
+    all_ = [_number(*map(F.col, some)) for some in product(("lox", "hix"), ("loy", "hiy"), ("loz", "hiz"))]
+    return d.select(*right.columns, F.explode_outer(F.when(one, F.array(all_[0])).otherwise(F.array_distinct(F.array(*all_)))).alias("_pix"))
+
+
+def _tally(left: DataFrame, right: DataFrame, l_ra: str, l_dec: str, reach: float) -> tuple[int, DataFrame | None, int]:
+    """The size of cubes, the wide cubes that hold many left rows (if there are any), and the size of these.
+
+    Cubes are at least 16 times as wide as the reach, so that few right rows lie near to a face, and else
+    so small that a left row meets few right ones.
     """
-    radius = chord(radius_arcsec / 3600.0)
-    shift = min(max(FIRST_SHIFT, first_shift(radius_arcsec / 3600.0) + 1), GRID_BITS + 1)
-    lp = _located(left, l_ra, l_dec, shift).groupBy("pix", "x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
-    rp = _located(right, r_ra, r_dec, shift).groupBy("pix", "x", "y", "z").agg(
-        F.count(F.lit(1)).alias("n"), F.min(right_id).alias("rid")
-    )
-    pairs = _near_cubes(lp, rp)
-    a = Side(CellTree(lp, [], shift, MATCH_LEAF), "1")
-    b = Side(CellTree(rp, [], shift, MATCH_LEAF), "2")
-    limits = [radius * radius]
+    least = min(max(GRID_BITS + math.ceil(math.log2(16 * reach)), GRID_BITS - 14), GRID_BITS + 3)
+    wide = max(least, FIRST_SHIFT)
+    counted = left.select(_cube(l_ra, l_dec, wide).alias("pix"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
+        right.select(_cube("_ra", "_dec", wide).alias("pix"), F.lit(0).alias("l"), F.lit(1).alias("r")))
+    # a table of known size, some thousand cubes at most: Spark sends it to the rows
+    counted = stash(counted.groupBy("pix").agg(F.sum("l").cast("double").alias("l"), F.sum("r").cast("double").alias("r")), "tally")
+    lefts, met, most = counted.agg(F.sum("l"), F.sum(F.col("l") * F.col("r")), F.max("l")).first()
+    mean, shift = met / lefts if lefts else 0.0, wide
+    while mean > CUBE_MEAN and shift > least:
+        mean, shift = mean / 4, shift - 1
+    many = counted.where(F.col("l") > CUBE_ROWS).select(F.col("pix").alias("_wide")) if (most or 0) > CUBE_ROWS else None
+    return shift, many, wide
+
+
+def _nearest_crowded(left: DataFrame, right: DataFrame, cubes: DataFrame, shift: int, limit: float) -> DataFrame:
+    """``_x, _y, _z, _best`` for the left positions of crowded cubes.
+
+    ``left`` has ``pix, x, y, z``, ``right`` the same and ``rid``, with all rows that come near to the cube. Both are summed into
+    distinct positions and cells; a pair of cells is dropped when another right cell is certainly nearer,
+    and crowded cells are split, so equal or crowded positions never meet pair by pair.
+    """
+    lp = left.groupBy("pix", "x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
+    rp = right.groupBy("pix", "x", "y", "z").agg(F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid"))
+    a, b = (Side(CellTree(stash(p, "positions"), [], shift, MATCH_LEAF, stored=True), tag) for p, tag in ((lp, "1"), (rp, "2")))
+    pairs = cubes.select(F.col("_pix").alias("pix1"), F.col("_pix").alias("pix2"))
     while True:
-        met = meet_cells(pairs, a, b, limits)
+        met = meet_cells(pairs, a, b, [limit])
         sure = met.groupBy("pix1", "node1").agg(F.min("far").alias("sure"))
         met = cut(met.join(sure, ["pix1", "node1"]).where("near <= sure").drop("sure"))
         crowded, tasks = pending(met)
@@ -60,10 +91,66 @@ def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, l_ra="ra",
         a.tree.split()
         b.tree.split()
     j = leaf_objects(met.select("pix1", "pix2", "node1", "node2"), a, b, [], tasks)
-    spot = F.struct(F.col("q.x").alias("_rx"), F.col("q.y").alias("_ry"), F.col("q.z").alias("_rz"))
-    j = j.select("p.x", "p.y", "p.z", "q.rid", point_distance_sq().alias("d2"), spot.alias("spot")).where(F.col("d2") < F.lit(limits[0]))
-    best = j.groupBy("x", "y", "z").agg(F.min(F.struct("d2", "rid", "spot")).alias("best"))
-    return best.select("x", "y", "z", F.col("best.rid").alias("match"), F.sqrt("best.d2").alias("dist"), "best.spot.*")
+    spot = F.struct(*[F.col(f"q.{c}").alias(s) for c, s in zip("xyz", _SPOT)])
+    j = j.select(*[F.col(f"p.{c}").alias(f"_{c}") for c in "xyz"], F.struct(point_distance_sq().alias("d2"), "q.rid", spot.alias("spot")).alias("at"))
+    return j.where(F.col("at.d2") < F.lit(limit)).groupBy("_x", "_y", "_z").agg(F.min("at").alias("_best"))
+
+
+def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, l_ra="ra", l_dec="dec",
+            r_ra="ra", r_dec="dec", right_id="id", rows: bool = False) -> DataFrame:
+    """``x, y, z, match, dist, _rx, _ry, _rz`` for each left position with a right one within the radius.
+
+    ``match`` is the closest right object (the lowest number on equal distance) and
+    ``dist`` the straight distance. With ``rows`` every left row that has a position comes back with its columns, and with
+    the others as ``_x, _y, _z, _match, _dist`` and so on, NULL without a match.
+
+    Space is cut into cubes whose size follows the density. A left row goes to its cube, a right one to each cube it comes
+    within the radius of, so both are dealt once, by cube, and a left row looks at the
+    right positions of its own cube only. Cubes with many right rows, or very many left ones, go another way, that
+    of :func:`_nearest_crowded`; their rows are found by counting, before any row is dealt.
+    """
+    radius = chord(radius_arcsec / 3600.0)
+    # a hair more than the radius, so that rounding never leaves a cube out
+    limit, reach = radius * radius, radius * (1 + 1e-6) + 1e-12
+    left = left.where(_placed(l_ra, l_dec))
+    right = right.where(_placed(r_ra, r_dec)).select(F.col(r_ra).alias("_ra"), F.col(r_dec).alias("_dec"), F.col(right_id).alias("rid"))
+    shift, many, wide = _tally(left, right, l_ra, l_dec, reach)
+    at = left.withColumn("_pix", _cube(l_ra, l_dec, shift))
+    near = _in_cubes(right, shift, reach)
+    crowded = near.groupBy("_pix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * MATCH_LEAF).select("_pix")
+    if many is not None:
+        full = left.select(_cube(l_ra, l_dec, wide).alias("_wide"), _cube(l_ra, l_dec, shift).alias("_pix")).join(many, "_wide", "left_semi")
+        full = full.groupBy("_pix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CUBE_ROWS).select("_pix")
+        crowded = crowded.unionByName(full).distinct()
+    crowded = stash(crowded, "crowded")
+    some = not crowded.isEmpty()
+    # the cube and two angles are sent; vectors are made again from them
+    few = (near.join(crowded, "_pix", "left_anti") if some else near).repartition("_pix")
+    few = with_unit_vector(few, "_ra", "_dec").groupBy("_pix", "x", "y", "z").agg(F.min("rid").alias("rid"))
+    few = few.groupBy("_pix").agg(F.collect_list(F.struct("x", "y", "z", "rid")).alias("_pts"))
+    out = (at.join(crowded, "_pix", "left_anti") if some else at).join(few, "_pix", "left")
+    out = with_unit_vector(out, l_ra, l_dec, ("_x", "_y", "_z"))
+    apart = lambda q: chord_sq(tuple(F.col(f"_{c}") for c in "xyz"), tuple(q[c] for c in "xyz"))
+    spot = lambda q: F.struct(*[q[c].alias(s) for c, s in zip("xyz", _SPOT)])
+    best = F.transform("_pts", lambda q: F.struct(apart(q).alias("d2"), q["rid"].alias("rid"), spot(q).alias("spot")))
+    best = F.array_min(F.filter(best, lambda t: t["d2"] < F.lit(limit)))
+    # a row each: what is asked of the match later is not asked of the whole formula
+    out = out.select(*left.columns, "_x", "_y", "_z", F.explode_outer(F.array(best)).alias("_best"))
+    if some:
+        held = at.join(crowded, "_pix", "left_semi")
+        lp = with_unit_vector(held, l_ra, l_dec).select(F.col("_pix").alias("pix"), "x", "y", "z")
+        rp = with_unit_vector(near.join(crowded, "_pix", "left_semi"), "_ra", "_dec").select(F.col("_pix").alias("pix"), "x", "y", "z", "rid")
+        found = _nearest_crowded(lp, rp, crowded, shift, limit)
+        held = with_unit_vector(held.drop("_pix"), l_ra, l_dec, ("_x", "_y", "_z")).join(found, ["_x", "_y", "_z"], "left")
+        out = out.unionByName(held)
+    # a match without a number is none
+    of = lambda c: F.when(F.col("_best.rid").isNotNull(), c)
+    out = out.select(*[c for c in out.columns if c != "_best"], F.col("_best.rid").alias("_match"), of(F.sqrt("_best.d2")).alias("_dist"),
+                     *[of(F.col(f"_best.spot.{s}")).alias(s) for s in _SPOT])
+    if rows:
+        return out
+    out = out.where("_match is not null").select(*[F.col(f"_{c}").alias(c) for c in ("x", "y", "z", "match", "dist")], *_SPOT)
+    return out.dropDuplicates(["x", "y", "z"])
 
 
 def cross_match(left: DataFrame, right: DataFrame, radius_arcsec: float = 2.0, l_ra="ra", l_dec="dec",
@@ -74,19 +161,17 @@ def cross_match(left: DataFrame, right: DataFrame, radius_arcsec: float = 2.0, l
     columns and NULL elsewhere. ``distance`` names an extra column for the chord. Of right
     rows that share the matched number and position one is taken.
     """
-    best = nearest(left, right, radius_arcsec, l_ra, l_dec, r_ra, r_dec, right_id)
-    # matched positions take up the right columns first, so that left rows are joined
-    # once, by position, and rows without a match never share a key
-    best = best.withColumnsRenamed({"x": "_x", "y": "_y", "z": "_z", "match": "_match", "dist": "_dist"})
-    # a number that stands for several right rows is told apart by the matched position
-    spot = ["_match", "_rx", "_ry", "_rz"]
-    other = with_unit_vector(right.where(F.col(r_ra).isNotNull() & F.col(r_dec).isNotNull()), r_ra, r_dec, ("_rx", "_ry", "_rz"))
-    other = other.select(*[F.col(c).alias(c + suffix) for c in right.columns], F.col(right_id).alias("_match"), "_rx", "_ry", "_rz")
-    best = best.join(other.dropDuplicates(spot), spot).drop(*spot)
-    known = F.col(l_ra).isNotNull() & F.col(l_dec).isNotNull()
-    out = with_unit_vector(left.where(known), l_ra, l_dec, ("_x", "_y", "_z")).join(best, ["_x", "_y", "_z"], "left")
-    # rows without a position match nothing and stay out of the join
-    out = out.unionByName(left.where(~known), allowMissingColumns=True)
+    out = nearest(left, right, radius_arcsec, l_ra, l_dec, r_ra, r_dec, right_id, rows=True)
+    # a number that stands for several right rows is told apart by the matched position; rows
+    # without a match get a place off the sphere, so that they never share a key
+    spot = ["_match", *_SPOT]
+    out = out.withColumns({s: F.coalesce(s, F.col(c) + 4.0) for s, c in zip(_SPOT, ("_x", "_y", "_z"))})
+    other = with_unit_vector(right.where(_placed(r_ra, r_dec)), r_ra, r_dec, _SPOT)
+    other = other.select(*[F.col(c).alias(c + suffix) for c in right.columns], F.col(right_id).alias("_match"), *_SPOT)
+    # every match finds one row: without a right column that is asked for, Spark leaves this join out
+    out = out.join(other.dropDuplicates(spot), spot, "left").drop(*spot)
+    # rows without a position match nothing and stay out of the joins
+    out = out.unionByName(left.where(~_placed(l_ra, l_dec)), allowMissingColumns=True)
     cols = [F.col(c) for c in left.columns]
     for name, kind in right.dtypes:
         c = F.col(name + suffix)
