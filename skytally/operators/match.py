@@ -31,8 +31,14 @@ def _axis(c: Column, shift: int) -> Column:
 
 
 def _number(a: Column, b: Column, c: Column) -> Column:
-    # never NULL, or Spark tests the whole formula for NULL below each join
-    return F.coalesce((a * _AXIS + b) * _AXIS + c, F.lit(-1).cast("long"))
+    # from one on each axis, as -1 lies beside the sky; never NULL, or Spark tests the whole formula for NULL below each join
+    return F.coalesce(((a + 1) * _AXIS + b + 1) * _AXIS + c + 1, F.lit(-1).cast("long"))
+
+
+def _block(cube: str) -> Column:
+    """The block of four by four by four cubes that a cube belongs to."""
+    a, b, c = (F.shiftright(F.shiftright(cube, s).bitwiseAND(_AXIS - 1), 2) for s in (40, 20, 0))
+    return (a * _AXIS + b) * _AXIS + c
 
 
 def _cube(ra: str, dec: str, shift: int) -> Column:
@@ -49,8 +55,8 @@ def _in_cubes(right: DataFrame, shift: int, reach: float) -> DataFrame:
     return d.select(*right.columns, F.explode_outer(F.when(one, F.array(all_[0])).otherwise(F.array_distinct(F.array(*all_)))).alias("_pix"))
 
 
-def _tally(left: DataFrame, right: DataFrame, l_ra: str, l_dec: str, reach: float) -> tuple[int, DataFrame | None, int]:
-    """The size of cubes, the wide cubes that hold many left rows (if there are any), and the size of these.
+def _tally(left: DataFrame, right: DataFrame, l_ra: str, l_dec: str, reach: float) -> tuple[int, float, DataFrame | None, int]:
+    """The size of cubes, the number of right rows, the wide cubes that hold many left rows (if there are any), and the size of these.
 
     Cubes are at least 16 times as wide as the reach, so that few right rows lie near to a face, and else
     so small that a left row meets few right ones.
@@ -61,12 +67,35 @@ def _tally(left: DataFrame, right: DataFrame, l_ra: str, l_dec: str, reach: floa
         right.select(_cube("_ra", "_dec", wide).alias("pix"), F.lit(0).alias("l"), F.lit(1).alias("r")))
     # a table of known size, some thousand cubes at most: Spark sends it to the rows
     counted = stash(counted.groupBy("pix").agg(F.sum("l").cast("double").alias("l"), F.sum("r").cast("double").alias("r")), "tally")
-    lefts, met, most = counted.agg(F.sum("l"), F.sum(F.col("l") * F.col("r")), F.max("l")).first()
+    lefts, rights, met, most = counted.agg(F.sum("l"), F.sum("r"), F.sum(F.col("l") * F.col("r")), F.max("l")).first()
     mean, shift = met / lefts if lefts else 0.0, wide
     while mean > CUBE_MEAN and shift > least:
         mean, shift = mean / 4, shift - 1
     many = counted.where(F.col("l") > CUBE_ROWS).select(F.col("pix").alias("_wide")) if (most or 0) > CUBE_ROWS else None
-    return shift, many, wide
+    return shift, rights or 0.0, many, wide
+
+
+def _crowded(near: DataFrame, rights: float, left: DataFrame, many: DataFrame | None) -> DataFrame | None:
+    """Cubes (``_pix``) with many right rows or very many left ones, if there are any.
+
+    Blocks of cubes are counted first, which are summed before they are dealt; cubes then in crowded blocks only.
+    """
+    most = 4 * MATCH_LEAF
+    over = lambda d, by, n: d.groupBy(by).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > n)
+    cubes = near.select("_pix", _block("_pix").alias("_block"))
+    blocks = stash(over(cubes, "_block", most), "blocks")
+    held = blocks.agg(F.sum("n")).first()[0]
+    parts = []
+    if held:
+        # where they hold much of the rows, the rows are counted as they are
+        some = cubes.join(blocks.select("_block"), "_block", "left_semi") if held < rights / 4 else cubes
+        parts.append(over(some, "_pix", most).select("_pix"))
+    if many is not None:
+        parts.append(over(left.join(many, "_wide", "left_semi"), "_pix", CUBE_ROWS).select("_pix"))
+    if not parts:
+        return None
+    found = stash(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]).distinct(), "crowded")
+    return None if found.isEmpty() else found
 
 
 def _nearest_crowded(left: DataFrame, right: DataFrame, cubes: DataFrame, shift: int, limit: float) -> DataFrame:
@@ -114,21 +143,15 @@ def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, l_ra="ra",
     limit, reach = radius * radius, radius * (1 + 1e-6) + 1e-12
     left = left.where(_placed(l_ra, l_dec))
     right = right.where(_placed(r_ra, r_dec)).select(F.col(r_ra).alias("_ra"), F.col(r_dec).alias("_dec"), F.col(right_id).alias("rid"))
-    shift, many, wide = _tally(left, right, l_ra, l_dec, reach)
+    shift, rights, many, wide = _tally(left, right, l_ra, l_dec, reach)
     at = left.withColumn("_pix", _cube(l_ra, l_dec, shift))
     near = _in_cubes(right, shift, reach)
-    crowded = near.groupBy("_pix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * MATCH_LEAF).select("_pix")
-    if many is not None:
-        full = left.select(_cube(l_ra, l_dec, wide).alias("_wide"), _cube(l_ra, l_dec, shift).alias("_pix")).join(many, "_wide", "left_semi")
-        full = full.groupBy("_pix").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CUBE_ROWS).select("_pix")
-        crowded = crowded.unionByName(full).distinct()
-    crowded = stash(crowded, "crowded")
-    some = not crowded.isEmpty()
+    crowded = _crowded(near, rights, left.select(_cube(l_ra, l_dec, wide).alias("_wide"), _cube(l_ra, l_dec, shift).alias("_pix")), many)
     # the cube and two angles are sent; vectors are made again from them
-    few = (near.join(crowded, "_pix", "left_anti") if some else near).repartition("_pix")
+    few = (near if crowded is None else near.join(crowded, "_pix", "left_anti")).repartition("_pix")
     few = with_unit_vector(few, "_ra", "_dec").groupBy("_pix", "x", "y", "z").agg(F.min("rid").alias("rid"))
     few = few.groupBy("_pix").agg(F.collect_list(F.struct("x", "y", "z", "rid")).alias("_pts"))
-    out = (at.join(crowded, "_pix", "left_anti") if some else at).join(few, "_pix", "left")
+    out = (at if crowded is None else at.join(crowded, "_pix", "left_anti")).join(few, "_pix", "left")
     out = with_unit_vector(out, l_ra, l_dec, ("_x", "_y", "_z"))
     apart = lambda q: chord_sq(tuple(F.col(f"_{c}") for c in "xyz"), tuple(q[c] for c in "xyz"))
     spot = lambda q: F.struct(*[q[c].alias(s) for c, s in zip("xyz", _SPOT)])
@@ -136,7 +159,7 @@ def nearest(left: DataFrame, right: DataFrame, radius_arcsec: float, l_ra="ra",
     best = F.array_min(F.filter(best, lambda t: t["d2"] < F.lit(limit)))
     # a row each: what is asked of the match later is not asked of the whole formula
     out = out.select(*left.columns, "_x", "_y", "_z", F.explode_outer(F.array(best)).alias("_best"))
-    if some:
+    if crowded is not None:
         held = at.join(crowded, "_pix", "left_semi")
         lp = with_unit_vector(held, l_ra, l_dec).select(F.col("_pix").alias("pix"), "x", "y", "z")
         rp = with_unit_vector(near.join(crowded, "_pix", "left_semi"), "_ra", "_dec").select(F.col("_pix").alias("pix"), "x", "y", "z", "rid")
