@@ -58,10 +58,10 @@ def _in_cubes(right: DataFrame, shift: int, reach: float) -> DataFrame:
 def _tally(left: DataFrame, right: DataFrame, l_ra: str, l_dec: str, reach: float) -> tuple[int, float, DataFrame | None, int]:
     """The size of cubes, the number of right rows, the wide cubes that hold many left rows (if there are any), and the size of these.
 
-    Cubes are at least 16 times as wide as the reach, so that few right rows lie near to a face, and else
+    Cubes are at least 8 times as wide as the reach, so that few right rows lie near to a face, and else
     so small that a left row meets few right ones.
     """
-    least = min(max(GRID_BITS + math.ceil(math.log2(16 * reach)), GRID_BITS - 14), GRID_BITS + 3)
+    least = min(max(GRID_BITS + math.ceil(math.log2(8 * reach)), GRID_BITS - 14), GRID_BITS + 3)
     wide = max(least, FIRST_SHIFT)
     counted = left.select(_cube(l_ra, l_dec, wide).alias("pix"), F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(
         right.select(_cube("_ra", "_dec", wide).alias("pix"), F.lit(0).alias("l"), F.lit(1).alias("r")))
